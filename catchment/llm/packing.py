@@ -98,16 +98,14 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     room: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
     for n in sorted(left, reverse=True):
         count = left[n]
-        for space in sorted(r for r in room if r >= n and room[r]):
-            for combo in list(room[space]):
-                if not count:
-                    break
-                have = room[space].pop(combo)
-                taken = min(have, count)
-                if have > taken:
-                    room[space][combo] = have - taken
-                count -= taken
-                room[space - n][(*combo, n)] += taken
+        while count and (open_ := [r for r in room if r >= n and room[r]]):
+            space = min(open_)
+            combo, have = room[space].popitem()
+            taken = min(have, count)
+            if have > taken:
+                room[space][combo] = have - taken
+            count -= taken
+            room[space - n][(*combo, n)] += taken
         if count:
             each = capacity // n
             if count // each:
