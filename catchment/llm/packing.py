@@ -47,14 +47,20 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, pattern: str | None =
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times): which lengths share a sequence, and how many such sequences; uses up counts.
-
-    Longest first: for each length the gap it leaves is looked up among single lengths, then among
-    sums of two, then of three (lengths index the table of how many are left, so a sum's partner is one
-    look-up); a combination that fills the gap exactly is used as often as all its lengths last. What is left goes best-fit: each length, longest first, into the open
-    sequences with the least room that holds it. Its work depends on the number of different
-    lengths, which capacity bounds, not on the number of pieces.
+    """(lengths, times): which lengths share a sequence, and how many such sequences.
+
+    First the gap that each length leaves is looked up among single lengths, then among sums of two,
+    then of three (lengths index the table of how many are left, so a sum's last partner is one look-up); a
+    combination that fills the gap exactly is used as often as all its lengths last. What is left goes
+    best-fit: each length, longest first, into the open sequences with the least room that
+    holds it. Sums of two and three can use up short pieces that best-fit would have placed better, so the plan is
+    made with sums of up to three, two, one and no lengths, and the shortest is kept. Its work depends
+    on the number of different lengths, which capacity bounds, not on the number of pieces.
     """
+    return min((_planned(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+
+
+def _planned(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
         left[n] = c
@@ -79,12 +85,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     if left[capacity]:
         use(capacity)
-    for n in range(capacity - 1, 0, -1):
+    for n in range(capacity - 1, 0, -1) if most >= 1 else ():
+        if left[n] and left[capacity - n]:
+            use(n, capacity - n)
+    for n in range(capacity - 2, 0, -1) if most >= 2 else ():
+        if left[n]:
+            fill_two(n, capacity - n)
+    for n in range(capacity - 3, 0, -1) if most >= 3 else ():
         gap = capacity - n
-        if left[n] and left[gap]:
-            use(n, gap)
-        if left[n] and gap > 1:
-            fill_two(n, gap)
         for a in np.flatnonzero(left[: gap - 1])[::-1].tolist():
             if not left[n] or 3 * a < gap:
                 break
