@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, near_dedup, packing, token_files
+from . import bpe, exact_dedup, near_dedup, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_simhash": near_dedup.op2_simhash,
     "op3_bpe": bpe.op3_bpe,
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op10_quality": quality.op10_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
