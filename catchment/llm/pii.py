@@ -45,8 +45,9 @@ def _kind() -> str:
 
 
 def _canonical() -> str:
-    """What two spellings of one entity share: digits without separators, lower case."""
-    return "CASE WHEN kind IN ('phone', 'card', 'social') THEN regexp_replace(entity, '[^0-9]', '') WHEN kind LIKE 'name%' THEN lower(regexp_replace(entity, '^[^ ]+ ', '')) ELSE lower(entity) END"
+    """What two spellings of one entity share: digits without separators (a phone's country code and the rest), lower case."""
+    code = "regexp_extract(entity, '^[+]([0-9]{1,3})(?=[ .(-])', 1)"
+    return f"CASE WHEN kind = 'phone' THEN concat({code}, ':', substring(regexp_replace(entity, '[^0-9]', ''), length({code}) + 1)) WHEN kind IN ('card', 'social') THEN regexp_replace(entity, '[^0-9]', '') WHEN kind LIKE 'name%' THEN lower(regexp_replace(entity, '^[^ ]+ ', '')) ELSE lower(entity) END"
 
 
 def _stream(what: str) -> str:
@@ -76,11 +77,11 @@ def _luhn(digits: str) -> str:
 
 
 def _digits() -> str:
-    """As many new digits as canonical has; a valid Luhn sum stays valid."""
-    plain = f"array_join(transform(sequence(1, length(canonical)), i -> cast({_number(_stream('canonical'), 'i')} % 10 AS string)), '')"
+    """As many new digits as canonical has after a phone's country code, which stays; a valid Luhn sum stays valid."""
+    plain = f"array_join(transform(sequence(1, length(substring_index(canonical, ':', -1))), i -> cast({_number(_stream('canonical'), 'i')} % 10 AS string)), '')"
     body = f"left({plain}, length(canonical) - 1)"
     check = f"cast((10 - {_luhn(f'concat({body}, {_lit("0")})')} % 10) % 10 AS string)"
-    return f"IF(kind = 'card' AND {_luhn('canonical')} % 10 = 0, concat({body}, {check}), {plain})"
+    return f"CASE WHEN kind = 'phone' THEN concat(substring_index(canonical, ':', 1), ':', {plain}) WHEN kind = 'card' AND {_luhn('canonical')} % 10 = 0 THEN concat({body}, {check}) ELSE {plain} END"
 
 
 def _replacement() -> str:
@@ -104,10 +105,8 @@ def _replacement() -> str:
 def _formatted() -> str:
     """The surrogate in the format of the entity: separators, country code, title and case."""
     rank = "length(regexp_replace(left(entity, i + 1), '[^0-9]', ''))"
-    digits = f"array_join(transform(split(entity, ''), (c, i) -> IF(c RLIKE '[0-9]', substring(surrogate, {rank}, 1), c)), '')"
-    code = "regexp_extract(entity, '^[+][0-9]{1,3}(?=[ .(-])', 0)"
-    return f"""CASE WHEN kind = 'phone' THEN concat({code}, substring({digits}, length({code}) + 1))
-      WHEN kind IN ('card', 'social') THEN {digits}
+    digits = f"array_join(transform(split(entity, ''), (c, i) -> IF(c RLIKE '[0-9]', substring(replace(surrogate, ':', ''), {rank}, 1), c)), '')"
+    return f"""CASE WHEN kind IN ('phone', 'card', 'social') THEN {digits}
       WHEN kind LIKE 'name%' THEN concat(regexp_extract(entity, '^[^ ]+ ', 0), surrogate)
       WHEN entity = upper(entity) AND entity <> lower(entity) THEN upper(surrogate) ELSE surrogate END"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, near_dedup, packing, pii, quality, token_files, toxicity
+from . import bpe, exact_dedup, fingerprints, near_dedup, packing, pii, quality, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_pii": pii.op8_pii,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
