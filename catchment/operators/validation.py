@@ -59,7 +59,8 @@ def regular(rows: DataFrame, columns: list[str], frequency_us: int = HOUR_US) ->
     origin = F.floor(F.col("first") / F.lit(DAY_US)).cast("long") * DAY_US
     bin_of = lambda c: F.floor((F.col(c) - origin) / F.lit(frequency_us)).cast("long")
     means = rows.join(ends, "series").withColumn("us", origin + bin_of("us") * frequency_us).groupBy("series", "us").agg(*[F.avg(finite(c)).alias(c) for c in columns])
-    clock = ends.select("series", (origin + F.explode(F.sequence(bin_of("first"), bin_of("last"))) * frequency_us).alias("us"))
+    bins = ends.withColumn("bin", F.explode(F.sequence(bin_of("first"), bin_of("last"))))
+    clock = bins.select("series", (origin + F.col("bin") * frequency_us).alias("us"))
     return clock.join(means, ["series", "us"], "left")
 
 
