@@ -54,9 +54,12 @@ def with_next(df: DataFrame, key: str, columns: list[str], name: str = "next", s
 
 def correlation(x: str, y: str, least: int = 2) -> Column:
     """Pearson correlation of pairs without nulls; null for fewer than least pairs or a constant side."""
-    n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-    flat = F.least(F.stddev_pop(x), F.stddev_pop(y)) <= 2.220446049250313e-16
-    return F.when((n >= least) & ~flat, F.corr(x, y))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    flat = F.least(F.stddev_pop(a), F.stddev_pop(b)) <= 2.220446049250313e-16
+    # corr() itself divides by zero for a constant side under ANSI rules.
+    return F.when((F.count(a) >= least) & ~flat, F.covar_pop(a, b) / spread)
 
 
 def ratio(top: Column, bottom: Column) -> Column:
