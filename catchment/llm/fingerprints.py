@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,14 +116,15 @@ def _order_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(_LOWEST))
 
 
-def with_next(docs: DataFrame, n: int = 24) -> DataFrame:
+def with_next(docs: DataFrame, n: int | None = None) -> DataFrame:
     """(part, seq, ghost, doc_id, text, next_text): each row of docs(doc_id, text, ...) with the next one's text by ascending doc_id, the first after the last.
 
     Null ids come first, rows of one id are ordered by text, null texts are empty. Rows are dealt
-    by ranges of doc_id, about n * n even ones, and each range's first rows also go to the range
+    by ranges of doc_id, about n * n even ones (at least eight to a shuffle partition, up to 16384), and each range's first rows also go to the range
     before it, as ghosts at its end; so the next row is found by a window within a range, the text
     is shuffled once, and no task sees more than a few ranges. (part, seq) tells the rows apart.
     """
+    n = n or min(128, max(24, math.isqrt(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     splits = _ranges(docs, n)
     outer = "array(" + ", ".join(f"{s[0]}L" for s in splits[1:]) + ")" if len(splits) > 1 else "array(9223372036854775807L)"
     inner = "array(" + ", ".join("array(" + ", ".join(f"{x}L" for x in s) + ")" for s in splits) + ")"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from .common import documents, staged, text_slices
 #: Bytes of a repeated string, of a minimizer, and positions that compete for one.
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that one suffix array is built over; and contexts of one minimizer that it takes.
-BLOCK, GROUP_LIMIT = 1 << 20, 4096
+BLOCK, GROUP_LIMIT = 1 << 17, 4096
 #: 64-bit words of the Bloom filter of minimizers that occur twice.
 FILTER_WORDS = 1 << 20
 _LOWEST = -(1 << 63)
@@ -120,33 +121,62 @@ def suffix_array(text: bytes) -> list[int]:
     smaller = [-1] * n
     for i in range(n - 1, -1, -1):
         j = i + 1
+        own = text[i]
         while j < n:
+            other = text[j]
+            if own > other:
+                break
             k = after[j]
-            if text[i:j] >= text[j:k]:
+            if own == other and text[i:j] >= text[j:k]:
                 break
             smaller[j] = i
             j = k
         after[i] = j
     words = [text[i:j] for i, j in enumerate(after)]
-    sizes: dict[bytes, int] = {}
-    for w in words:
-        sizes[w] = sizes.get(w, 0) + 1
-    place, end = {}, n
+    sizes = Counter(words)
+    number: dict[bytes, int] = {}
+    place: list[int] = []
+    end = n
     for w in sorted(sizes, reverse=True):
         end -= sizes[w]
-        place[w] = end
+        number[w] = len(place)
+        place.append(end)
+    group = list(map(number.__getitem__, words))
+    del words, sizes, number
     out = [n] * n
-    for at in range(-1, n):
-        p = out[at] if at >= 0 else n
+    q = n - 1
+    while q >= 0:
+        g = group[q]
+        at = place[g]
+        out[at] = q
+        place[g] = at + 1
+        q = smaller[q]
+    for p in out:
         q = p - 1
         while q >= 0 and after[q] == p:
-            w = words[q]
-            out[place[w]] = q
-            place[w] += 1
+            g = group[q]
+            at = place[g]
+            out[at] = q
+            place[g] = at + 1
             q = smaller[q]
     return out
 
 
+def _same_strings(data: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+    """For each neighbouring pair of sa whether `length` bytes agree, eight at a time, only pairs that agreed so far."""
+    step = min(8, length)
+    words = np.zeros(len(data) - step + 1, dtype=np.uint64)
+    for i in range(step):
+        words = (words << np.uint64(8)) | data[i : i + len(words)]
+    pairs = np.arange(len(sa) - 1)
+    for offset in [*range(0, length - step, step), length - step]:
+        left, right = sa[pairs] + offset, sa[pairs + 1] + offset
+        pairs = pairs[words[left] == words[right]]
+    same = np.zeros(len(sa) - 1, dtype=bool)
+    same[pairs] = True
+    return same
+
+
 def repeated_starts(contexts: list[bytes], starts: list[int], order: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each context, which of its first `starts` strings of `length` bytes also starts earlier, in another context.
 
@@ -166,22 +196,16 @@ def repeated_starts(contexts: list[bytes], starts: list[int], order: np.ndarray,
     first = np.empty(len(contexts), dtype=np.int64)
     first[by] = begins
     sa = sa[owner[sa] >= 0]
-    data = np.frombuffer(text, dtype=np.uint8)
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)
-    same = np.zeros(max(0, len(sa) - 1), dtype=bool)
-    for a in range(0, len(same), 1 << 16):
-        b = min(len(same), a + (1 << 16))
-        here = windows[sa[a : b + 1]]
-        same[a:b] = (here[1:] == here[:-1]).all(axis=1)
-    run = np.concatenate([[0], np.cumsum(~same)]) if len(sa) else np.zeros(0, np.int64)
+    if not len(sa):
+        return [np.zeros(n, dtype=bool) for n in starts]
+    same = _same_strings(np.frombuffer(text, dtype=np.uint8), sa, length)
+    run = np.concatenate([[0], np.cumsum(~same)])
     own = owner[sa]
-    offset = sa - first[own]
-    ranked = np.lexsort((order[own, 2] + offset, order[own, 1], order[own, 0], run))
-    later = np.concatenate([[False], run[ranked][1:] == run[ranked][:-1]]) if len(sa) else np.zeros(0, bool)
-    marks = [np.zeros(n, dtype=bool) for n in starts]
-    for i, o in zip(own[ranked][later].tolist(), offset[ranked][later].tolist(), strict=True):
-        marks[i][o] = True
-    return marks
+    ranked = np.lexsort((order[own, 2] + sa - first[own], order[own, 1], order[own, 0], run))
+    later = np.concatenate([[False], run[ranked][1:] == run[ranked][:-1]])
+    marked = np.zeros(len(text), dtype=bool)
+    marked[sa[ranked[later]]] = True
+    return [marked[b : b + n] for b, n in zip(first.tolist(), starts, strict=True)]
 
 
 _UP = bytes(min(255, b + 1) for b in range(256))
@@ -267,7 +291,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words
     texts = _rows(docs).select("row", "text").join(wanted, "row").select("row", "text", F.explode("runs").alias("r"))
     read = staged(texts.select("row", "r.*", F.expr(f"substring(text, r.at + 1, r.starts + {length - 1})").alias("bytes")), "contexts")
     total = read.filter(F.col("n") <= limit).agg(F.sum(F.length("bytes"))).first()[0] or 0
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (16 * BLOCK))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (128 * BLOCK))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
