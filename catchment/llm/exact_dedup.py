@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     groups = staged(_repeated(again), "groups")
     total = hashes.count()
     met = join_groups(again, groups, "sha", "group_size", total, "left")
-    straight = tested.filter("not maybe").drop("maybe").withColumns({"keep": F.struct("doc_id", "row"), "group_size": F.lit(1).cast("long")})
+    straight = tested.filter("not maybe").drop("maybe").withColumns({"keep": F.struct("doc_id", "row", F.lit(1).cast("long").alias("n")), "group_size": F.lit(1).cast("long")})
     return straight.unionByName(met).select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
@@ -73,14 +73,16 @@ def exact_groups(docs: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
 
 
 def _repeated(again: DataFrame) -> DataFrame:
-    return again.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")).filter("group_size > 1")
+    """(sha, keep, group_size) of groups of two or more; keep.n tells how many rows share the kept id."""
+    each = again.groupBy("sha", "doc_id").agg(F.max("row").alias("row"), F.count("*").alias("n"))
+    return each.groupBy("sha").agg(F.max(F.struct("doc_id", "row", "n")).alias("keep"), F.sum("n").alias("group_size")).filter("group_size > 1")
 
 
 def drop_exact_copies(docs: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """docs with the kept row of each group only, columns unchanged.
 
     Rows that the filter clears pass straight through, text and all; the others are held against
-    the groups. Two kept rows of one group (same id and text) are merged into one.
+    the groups. Kept rows of one group (same id and text) are merged into one; only such groups are shuffled for it.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _sha("text").alias("sha"))
     hashes = staged(docs.select("doc_id", _sha("text").alias("sha"), F.monotonically_increasing_id().alias("row")), "hashes")
@@ -88,9 +90,12 @@ def drop_exact_copies(docs: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     groups = staged(_repeated(maybe_repeated(hashes, repeats, words).filter("maybe")), "groups")
     tested = maybe_repeated(packed, repeats, words)
     met = join_groups(tested.filter("maybe").drop("maybe"), groups, "sha", "group_size", hashes.count(), "left")
-    single = met.filter("group_size is null")
-    kept = met.filter(F.col("group_size").isNotNull() & F.col("doc.doc_id").eqNullSafe(F.col("keep.doc_id"))).dropDuplicates(["sha"])
-    return tested.filter("not maybe").select("doc.*").unionByName(single.select("doc.*")).unionByName(kept.select("doc.*"))
+    own = F.col("doc.doc_id").eqNullSafe(F.col("keep.doc_id"))
+    out = tested.filter("not maybe").select("doc.*").unionByName(met.filter(F.col("group_size").isNull() | (own & (F.col("keep.n") == 1))).select("doc.*"))
+    twins = groups.filter("keep.n > 1")
+    if twins.isEmpty():
+        return out
+    return out.unionByName(tested.filter("maybe").join(twins, "sha").filter(own).dropDuplicates(["sha"]).select("doc.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
