@@ -119,9 +119,12 @@ def _linked_by_flips(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints of fps(fp), all different, that chains of THRESHOLD bits or fewer connect."""
     placed = anchors(fps)
-    counts = staged(placed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "anchors")
-    pairs = counts.filter(f"n = 2 AND bit_count(a ^ b) <= {THRESHOLD}").select("a", "b")
-    more = counts.filter("n > 2").select("anchor", "n")
+    sums = [F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.expr("bit_xor(fp)").alias("x")]
+    counts = staged(placed.groupBy("anchor").agg(*sums).filter("n > 1"), "anchors")
+    # Two or three members are known from these sums: the third is what the exclusive or leaves.
+    few = counts.filter("n < 4").select(F.expr("inline(IF(n = 2, array(struct(a, b)), array(struct(a, b), struct(a, a ^ b ^ x AS b), struct(a ^ b ^ x AS a, b))))"))
+    pairs = few.filter(f"bit_count(a ^ b) <= {THRESHOLD}")
+    more = counts.filter("n > 3").select("anchor", "n")
     lists = placed.join(more.filter(F.col("n") <= limit), "anchor").groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
     compared = lists.select("fps").mapInArrow(_compared, "a long, b long")
     crowded = placed.join(more.filter(F.col("n") > limit).select("anchor"), "anchor", "left_semi").select("fp").distinct()
