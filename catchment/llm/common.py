@@ -1,16 +1,17 @@
-"""What the text operators share: the shared folder, staged tables, batches and joins on uneven groups."""
+"""What the text operators share: batches of texts and joins on uneven groups."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_dir, shared_dir, staged
+
+__all__ = ["documents", "join_groups", "new_dir", "shared_dir", "staged", "text_slices", "whole_text"]
+
 #: A group of more than one row in so many is dealt with by a broadcast; so at most this many groups are broadcast.
 HOT_SHARE = 2000
 
@@ -18,38 +19,6 @@ HOT_SHARE = 2000
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="catchment-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what lies there is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df, written once as a table in the shared folder: it is computed once and a lost executor costs no lineage."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
