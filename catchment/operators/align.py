@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import SPAN_US, span_of, with_previous
 from ..sources.gauges import GAP_US
 
+# How a series' outflow was found.
 JOINED = "outlet discharge + finite spillway flow; unknown spillway is missing"
 ALONE = "downstream discharge only; spillway unavailable in requested data"
 
