@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import SPAN_US
 from ..plans.config import SeriesConfig
+from ..sources.shared import staged
 from .filtering import filtered, smoothed
 from .prepare import active_counts, steps
 
@@ -23,8 +24,8 @@ def deviation(variance: str) -> Column:
 
 
 def states(obs: DataFrame, config: SeriesConfig, strict: bool = True, span: int = SPAN_US) -> DataFrame:
-    """Filtered states of obs(series, us, storage, outflow); see steps for which rows have one."""
-    return filtered(steps(obs, strict, span), config, span)
+    """Filtered states of obs(series, us, storage, outflow); see steps for which rows have one. Written once, as what follows reads them more than once."""
+    return staged(filtered(staged(steps(obs, strict, span), "steps"), config, span), "states")
 
 
 def estimate(obs: DataFrame, config: SeriesConfig, uncertainty: bool = False, provisional: bool = False, strict: bool = True, check_window: bool = True, span: int = SPAN_US) -> DataFrame:
@@ -36,12 +37,11 @@ def estimate(obs: DataFrame, config: SeriesConfig, uncertainty: bool = False, pr
     storage reading, or series with less than two) keep nulls. check_window fails if more rows than the
     configured window wait for release. Null and NaN readings are missing; no rows give no rows.
     """
-    step_rows = steps(obs, strict, span)
+    step_rows = staged(steps(obs, strict, span), "steps")
     if check_window:
-        counted = active_counts(step_rows.select("series", "us"), config.lag_us, span).filter(F.col("active") > config.max_window)
-        guard = counted.select("series", "us", F.raise_error(F.lit("more rows than max_window wait for release")).cast("boolean").alias("overflow"))
-        step_rows = step_rows.join(guard, ["series", "us"], "left").filter("overflow IS NULL").drop("overflow")
-    causal = filtered(step_rows, config, span)
+        if not active_counts(step_rows.select("series", "us"), config.lag_us, span).filter(F.col("active") > config.max_window).isEmpty():
+            raise OverflowError("more rows than max_window wait for release")
+    causal = staged(filtered(step_rows, config, span), "states")
     revised = smoothed(causal, config, provisional, span=span)
     flag = F.when(F.col("storage").isNotNull() & F.col("outflow").isNotNull(), NORMAL).otherwise(PREDICTED)
     both = causal.select("series", "us", F.col("m1").alias("estimated_inflow"), flag.alias("flag"), "p11").join(revised.select("series", "us", "sm1", "sp11", "released"), ["series", "us"])

@@ -41,7 +41,7 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = rows.filter("storage IS NOT NULL").select("series", "us", F.row_number().over(Window.partitionBy("series").orderBy("us")).alias("n")).filter("n = 3").select("series", F.col("us").alias("third_us"))
     known = rows.join(third, "series", "left")
     gone = (F.col("event_type") == "error") | ((F.col("event_type") == "signup") & (F.col("us") >= F.col("third_us")))
-    return prepare.observations(known, "series", "us", "storage", F.when(~F.coalesce(gone, F.lit(False)), F.col("value")))
+    return staged(prepare.observations(known, "series", "us", "storage", F.when(~F.coalesce(gone, F.lit(False)), F.col("value"))), "observations")
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -90,6 +90,13 @@ def inflow_filtered(spark, sf_dir):
 
 
 def inflow_estimate(spark, sf_dir):
+    """Every reading with its causal and revised estimate and their flags."""
+    out = estimate.estimate(event_observations(spark, sf_dir), CONFIG)
+    return _rounded(out, "estimated_inflow", "revised_inflow", digits=4)
+
+
+def inflow_intervals(spark, sf_dir):
+    """Estimates with standard deviations and 95 % intervals."""
     out = estimate.with_intervals(estimate.estimate(event_observations(spark, sf_dir), CONFIG, uncertainty=True), 0.95)
     return _rounded(out, *[c for c in out.columns if c.endswith(("inflow", "deviation", "lower", "upper"))])
 
@@ -351,7 +358,7 @@ def inflow_stream(spark, sf_dir):
     stream = spark.readStream.schema(prepare.OBSERVATION).parquet(folder)
     query = stream_estimates(stream, CONFIG).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
     query.awaitTermination()
-    return _rounded(spark.read.schema(stream_schema()).parquet(out), "value", "standard_deviation", digits=5).filter("kind <> 'rejected'").select("series", "us", "kind", "value", "prediction_flag", "smoothing_flag", "standard_deviation")
+    return _rounded(spark.read.schema(stream_schema()).parquet(out), "value", digits=4).filter("kind <> 'rejected'").select("series", "us", "kind", "value", "prediction_flag", "smoothing_flag")
 
 
 def stream_schema() -> str:
@@ -369,7 +376,7 @@ def filter_in_spans(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        observations, order_faults, filter_steps, model_steps, inflow_filtered, inflow_estimate, inflow_revised, inflow_smoothed_whole, inflow_log_likelihood, filter_in_spans, inflow_stream,
+        observations, order_faults, filter_steps, model_steps, inflow_filtered, inflow_estimate, inflow_intervals, inflow_revised, inflow_smoothed_whole, inflow_log_likelihood, filter_in_spans, inflow_stream,
         release_times, active_counts, validation_windows, window_faults, window_capacity, row_scores, window_scores, pooled_metrics, inflow_changes, calibration_warnings, candidate_validity, noise_screening,
         autocorrelation, innovation_autocorrelation, reading_noise_table, reading_noise_warnings, proxy_check, clean_sources, source_audit, asof_aligned, combined_outflow, window_audit,
         outer_aligned, shared_times, unmatched_times, validation_frame, proxy_agreement, lag_curve, best_lags, frozen_lags, storage_closure, inflow_behavior, unit_conversions,
@@ -429,7 +436,31 @@ co AS (SELECT *, CASE WHEN NOT joined THEN outlet WHEN ok THEN outlet + spillway
 joint AS (SELECT * FROM co WHERE us >= (SELECT min(us) FROM co WHERE storage IS NOT NULL AND outflow IS NOT NULL))""" % (START_US + 2 * DAY_US, START_US + 20 * DAY_US, align.JOINED, align.ALONE)
 _NT = "w AS (SELECT series, us, ntile(%d) OVER (PARTITION BY series ORDER BY us) AS part FROM (SELECT DISTINCT series, us FROM obs %s)), p AS (SELECT series, part, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM w GROUP BY 1, 2), windows AS (SELECT series, 'window-' || part AS name, start_us, coalesce(lead(start_us) OVER (PARTITION BY series ORDER BY part), last_us + 1) AS end_us, n FROM p)"
 
+_REVISED = oracle.smooth_sql(_FILTER, _LAG, FACTOR)
+_FLAG = "CASE WHEN x.storage IS NOT NULL AND x.outflow IS NOT NULL THEN 'NORMAL' ELSE 'PREDICTED' END"
+_CHECKS = [(m, 0.7, 1.5) for m in ("joint_nis", "storage_nis", "outflow_nis")] + [(m, -0.25, 0.25) for m in ("storage_bias", "outflow_bias", "conditional_storage_bias")]
+_CHECKS += [(f"{c}_coverage_{level}", level / 100 - 0.1, level / 100 + 0.1) for c in ("storage", "outflow") for level in (50, 90)]
+_POOLED = """SELECT series, avg(storage_z) AS storage_bias, avg(outflow_z) AS outflow_bias, avg(conditional_storage_z) AS conditional_storage_bias, sum(joint_nis) / sum(CASE WHEN joint_nis IS NOT NULL THEN joint_components END) AS joint_nis, avg(storage_z * storage_z) AS storage_nis, avg(outflow_z * outflow_z) AS outflow_nis,
+  avg(CAST(abs(storage_z) <= 0.6744897501960817 AS INT)) AS storage_coverage_50, avg(CAST(abs(storage_z) <= 1.6448536269514722 AS INT)) AS storage_coverage_90, avg(CAST(abs(outflow_z) <= 0.6744897501960817 AS INT)) AS outflow_coverage_50, avg(CAST(abs(outflow_z) <= 1.6448536269514722 AS INT)) AS outflow_coverage_90 FROM inside GROUP BY series"""
+
+
+def _screened(k: int, q: tuple, r: tuple) -> str:
+    """The objective of one candidate as a query of its own."""
+    own = _WINDOW_SCORES.replace(_FILTER, oracle.filter_sql(q, r, P0, FACTOR))
+    return f"""SELECT {k} AS candidate, series, objective FROM (WITH RECURSIVE {own} SELECT wins.series, round(CASE WHEN min(coalesce(storage_count, 0)) >= 3 AND count(joint_nlpd) = 3 THEN sum(joint_nlpd) / 3 END, 5) AS objective FROM wins LEFT JOIN agg USING (series, name) GROUP BY wins.series)"""
+
+
 ORACLE_SQL = {
+    "inflow_estimate": f"""WITH RECURSIVE {_REVISED}, done AS (SELECT x.series, x.us, x.m1, s1, {_FLAG} AS flag FROM rec x LEFT JOIN (SELECT * FROM back WHERE j = k) b ON b.series = x.series AND b.k = x.n)
+SELECT obs.series, obs.us, storage, outflow, round(m1, 4) AS estimated_inflow, round(s1, 4) AS revised_inflow, flag AS estimated_inflow_flag, CASE WHEN s1 IS NOT NULL THEN flag END AS revised_inflow_flag, 'NON_SMOOTHED' AS estimated_inflow_smoothing_flag, CASE WHEN s1 IS NOT NULL THEN 'SMOOTHED' ELSE 'NON_SMOOTHED' END AS revised_inflow_smoothing_flag
+FROM obs LEFT JOIN done ON done.series = obs.series AND done.us = obs.us""",
+    "inflow_stream": f"""WITH RECURSIVE {_REVISED} SELECT x.series, x.us, 'filtered' AS kind, round(m1, 4) AS value, {_FLAG} AS prediction_flag, 'NON_SMOOTHED' AS smoothing_flag FROM rec x
+UNION ALL SELECT x.series, x.us, 'revised', round(s1, 4), {_FLAG}, 'SMOOTHED' FROM rec x JOIN back b ON b.series = x.series AND b.k = x.n AND b.j = b.k""",
+    "calibration_warnings": f"WITH RECURSIVE {_COUNTED}, pooled AS ({_POOLED}), each AS (" + " UNION ALL ".join(f"SELECT series, '{m}' AS metric, {m} AS value, CAST({low!r} AS DOUBLE) AS low, CAST({high!r} AS DOUBLE) AS high FROM pooled" for m, low, high in _CHECKS) + ") SELECT series, metric, round(value, 4) AS value, round(low, 4) AS low, round(high, 4) AS high FROM each WHERE value IS NULL OR value < low OR value > high",
+    "noise_screening": " UNION ALL ".join(_screened(k, q, r) for k, (q, r) in enumerate(((Q, R), ((1e-4, 1e-3, 1e-4), (0.25, 4.0)), ((1e-4, 2e-5, 1e-4), (0.5, 4.0))))),
+    "innovation_autocorrelation": f"""WITH RECURSIVE {_SCORES}, m AS (SELECT series, us, storage_z - avg(storage_z) OVER (PARTITION BY series) AS x FROM rows_ WHERE storage_z IS NOT NULL), l AS (SELECT CAST(i AS BIGINT) * {DAY_US // 2} AS lag_us FROM range(1, 9) t(i)),
+pr AS (SELECT a.series, lag_us, a.x AS x0, b.x AS x1 FROM m a, l, m b WHERE a.series = b.series AND b.us > a.us AND abs(b.us - a.us - lag_us) <= {DAY_US // 8}), bins AS (SELECT series, lag_us, sum(x0 * x1) / sqrt(sum(x0 * x0) * sum(x1 * x1)) AS ac FROM pr GROUP BY 1, 2 HAVING count(*) >= 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY abs(ac) DESC, lag_us) AS rn FROM bins) SELECT series, round(abs(ac), 5) AS largest, lag_us FROM o WHERE rn = 1""",
     "observations": f"WITH {oracle.OBS} SELECT * FROM obs",
     "order_faults": "SELECT event_type AS series, epoch_us(ts) // 600000000 * 600000000 AS us, 'repeated' AS fault FROM events GROUP BY 1, 2 HAVING count(*) > 1",
     "filter_steps": f"WITH {oracle.OBS}, {oracle.STEPS} SELECT series, us, storage, outflow, round(dt, 6) AS dt, first_us, second_us FROM steps",

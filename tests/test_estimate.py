@@ -105,7 +105,7 @@ def test_first_storage_needs_outflow(spark):
 def test_window_overflow(spark):
     obs = spark.createDataFrame([("a", i * HOUR, 100.0 + i, 4.0) for i in range(6)], SCHEMA)
     small = SeriesConfig.diagonal(lag=timedelta(hours=4), max_window=3)
-    with pytest.raises(Exception, match="max_window"):
+    with pytest.raises(OverflowError, match="max_window"):
         estimate(obs, small).collect()
     assert estimate(obs, SeriesConfig.diagonal(lag=timedelta(hours=3), max_window=3)).count() == 6
 
