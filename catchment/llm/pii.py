@@ -115,6 +115,12 @@ def _entities() -> Column:
     return F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
 
 
+def _has_entities() -> Column:
+    """Whether text has an entity. All but names have a digit, an @ or a quote, which is quick to see; few texts need the whole pattern."""
+    text = F.col("text")
+    return (text.rlike('[0-9@"]') | text.rlike(NAME)) & text.rlike(ANY)
+
+
 def surrogates(found: DataFrame, most: int = 20) -> DataFrame:
     """(entity, replacement, n) for found(entity, n) with one row per spelling.
 
@@ -154,8 +160,8 @@ def replace_entities(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars", "n_entities")]
     packed = docs.select(F.struct(*columns).alias("doc"), "text")
-    clean = packed.filter(F.col("text").isNull() | ~F.col("text").rlike(ANY)).withColumn("n_entities", F.lit(0).cast("long"))
-    dirty = packed.filter(F.col("text").rlike(ANY)).select("doc", "text", F.xxhash64("doc.doc_id", "text").alias("row"))
+    clean = packed.filter(F.col("text").isNull() | ~_has_entities()).withColumn("n_entities", F.lit(0).cast("long"))
+    dirty = packed.filter(_has_entities()).select("doc", "text", F.xxhash64("doc.doc_id", "text").alias("row"))
     found = staged(dirty.select("row", F.explode(F.array_distinct(_entities())).alias("entity")).distinct(), "found")
     total = found.count()
     table = staged(surrogates(found.groupBy("entity").agg(F.count("*").alias("n"))), "surrogates")
