@@ -451,6 +451,13 @@ def _screened(k: int, q: tuple, r: tuple) -> str:
 
 
 ORACLE_SQL = {
+    "proxy_check": f"""WITH {_EVEN}, j AS (SELECT a.series, a.us, a.storage AS estimate, b.storage AS proxy FROM even a JOIN even b ON a.us = b.us AND b.series = 'view' WHERE a.series <> 'view'),
+o AS (SELECT CAST(unnest(generate_series(-12, 12)) AS INT) AS shift), pr AS (SELECT a.series, shift, a.us, a.estimate, b.proxy FROM j a, o, j b WHERE a.series = b.series AND b.us = a.us + CAST(shift AS BIGINT) * 3600000000),
+ch AS (SELECT *, estimate - lag(estimate) OVER w AS de, proxy - lag(proxy) OVER w AS dp FROM pr WINDOW w AS (PARTITION BY series, shift ORDER BY us)),
+f AS (SELECT series, shift, corr(estimate, proxy) AS shape, coalesce(corr(de, dp), 0) AS change FROM ch GROUP BY 1, 2 HAVING count(*) >= 12 AND corr(estimate, proxy) IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY 0.6 * shape + 0.4 * change DESC, shift) AS rn FROM f), al AS (SELECT series, count(*) AS n FROM j GROUP BY 1)
+SELECT al.series, al.n AS proxy_aligned_count, CASE WHEN al.n >= 12 THEN CAST(-shift AS DOUBLE) * 3600 END AS proxy_best_lag_seconds, CASE WHEN al.n >= 12 THEN round(shape, 6) END AS proxy_shape_correlation, CASE WHEN al.n >= 12 THEN round(change, 6) END AS proxy_change_correlation,
+al.n >= 12 AND coalesce(shape >= 0.2 AND change >= 0.1, false) AS proxy_check_passed FROM al LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (series)""",
     "inflow_estimate": f"""WITH RECURSIVE {_REVISED}, done AS (SELECT x.series, x.us, x.m1, s1, {_FLAG} AS flag FROM rec x LEFT JOIN (SELECT * FROM back WHERE j = k) b ON b.series = x.series AND b.k = x.n)
 SELECT obs.series, obs.us, storage, outflow, round(m1, 4) AS estimated_inflow, round(s1, 4) AS revised_inflow, flag AS estimated_inflow_flag, CASE WHEN s1 IS NOT NULL THEN flag END AS revised_inflow_flag, 'NON_SMOOTHED' AS estimated_inflow_smoothing_flag, CASE WHEN s1 IS NOT NULL THEN 'SMOOTHED' ELSE 'NON_SMOOTHED' END AS revised_inflow_smoothing_flag
 FROM obs LEFT JOIN done ON done.series = obs.series AND done.us = obs.us""",
@@ -488,6 +495,7 @@ weeks AS (SELECT series, win, week, count(*) AS n, -avg((later - m) * (earlier -
 f AS (SELECT series, win, sum(n) AS pairs, count(CASE WHEN n >= 20 THEN 1 END) AS blocks, median(CASE WHEN n >= 20 THEN e END) AS middle, sum(still) / sum(n) AS share FROM weeks GROUP BY 1, 2)
 SELECT k.series, k.win AS "window", round(CASE WHEN pairs >= 100 AND blocks > 0 THEN greatest(middle, 0) END, 3) AS r_storage, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, CASE WHEN pairs >= 100 THEN blocks ELSE 0 END AS blocks, round(CASE WHEN pairs >= 100 AND blocks > 0 THEN share END, 3) AS unchanged_share
 FROM (SELECT * FROM (SELECT DISTINCT series FROM even), (SELECT unnest(['first', 'second', 'all']) AS win)) k LEFT JOIN f USING (series, win)""",
+    "reading_noise_warnings": "",
     "clean_sources": f"WITH {CLEAN_SQL} SELECT * FROM series",
     "source_audit": f"""WITH {CLEAN_SQL}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY name ORDER BY us) AS gap FROM series),
 own AS (SELECT name, count(*) AS clean_rows, avg(CAST(value IS NOT NULL AS INT)) AS frac, min(us) AS first_us, max(us) AS last_us, median(gap) / 60e6 AS med, count(CASE WHEN gap > 1200000000 THEN 1 END) AS gaps FROM g GROUP BY name),
@@ -517,3 +525,8 @@ SELECT series, estimate, count(value) AS finite_observations, round(avg(CAST(val
     "unit_conversions": f"""WITH a AS (SELECT CAST(user_id AS VARCHAR) AS series, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS rn FROM events), b AS (SELECT *, (us - lag(us) OVER (PARTITION BY series ORDER BY us)) / 1e6 AS s FROM a WHERE rn = 1)
 SELECT series, us, round(value * s * {FACTOR}, 5) AS volume, round(value / (s * {FACTOR}), 5) AS flow, round(value * (CAST(43560 AS DOUBLE) * pow(CAST(0.3048 AS DOUBLE), 3)), 5) AS cubic_metres, round(value * pow(CAST(0.3048 AS DOUBLE), 3), 5) AS cubic_metres_per_second, true AS valid FROM b""",
 }
+ORACLE_SQL["reading_noise_warnings"] = f"""WITH t AS ({ORACLE_SQL["reading_noise_table"]}), sp AS (SELECT series, arg_min("window", r_storage) AS low, arg_max("window", r_storage) AS high, max(r_storage) / min(r_storage) AS times, count(*) AS n FROM t WHERE "window" <> 'all' AND r_storage > 0 GROUP BY series)
+SELECT series, 'no estimate: too few evenly spaced pairs' AS warning FROM t WHERE "window" = 'all' AND r_storage IS NULL
+UNION ALL SELECT series, 'no estimate: changes are not negatively correlated' FROM t WHERE "window" = 'all' AND r_storage = 0
+UNION ALL SELECT series, "window" || ' gave no estimate' FROM t WHERE "window" <> 'all' AND r_storage = 0
+UNION ALL SELECT series, 'reading noise differs between ' || low || ' and ' || high FROM sp WHERE n > 1 AND times > 4"""
