@@ -17,6 +17,8 @@ from .common import documents, staged, text_slices
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that one suffix array is built over; and contexts of one minimizer that it takes.
 BLOCK, GROUP_LIMIT = 1 << 17, 4096
+#: Bytes of text hashed at a time; the hashes take some seventy times as much memory.
+SLICE = 1 << 20
 #: 64-bit words of the Bloom filter of minimizers that occur twice.
 FILTER_WORDS = 1 << 20
 _LOWEST = -(1 << 63)
@@ -224,7 +226,7 @@ def _run_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
     for batch in batches:
         rows, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         first = 0
-        for _, texts in text_slices([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["row", "text"])]):
+        for _, texts in text_slices([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["row", "text"])], SLICE):
             values = texts.to_pylist()
             sizes = np.array([len(v) for v in values], dtype=np.int64)
             data = np.frombuffer(b"".join(values), dtype=np.uint8)
