@@ -11,21 +11,40 @@ KEY = "catchment"
 
 # The patterns of each type, titles by gender, given names by gender, syllables of surnames and letters by script.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}"
-PHONE = r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"
-ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
+PHONE = (
+    r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"
+    r"|(?<![\p{L}\d+])\+(?:\d{7,15}|(?=(?:[ .-]?\d){7})\d{1,3}(?:[ .-]\d{1,4}){2,6})(?!\d)"
+    r"|(?<![\p{L}\d+.-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\p{L}\d+.-])(?:1\.)?\d{3}\.\d{3}\.\d{4}(?!\d|\.\d)"
+)
+ADDRESS = r"(?<![\d.vV])(?<![Vv]ersion )\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
+ADDRESS6 = r"(?<![\p{L}\d:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{6})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\d:])"
+ACCOUNT = r"(?<![\p{L}\d])(?=(?: ?[A-Z0-9]){15})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
-SECRET = r'(?<=")[0-9A-Fa-f]{16,}+(?=")'
-TITLES = {"m": "Mr Herr Monsieur Señor Sir", "f": "Mrs Ms Miss Frau Madame Señora Madam"}
+#: A card without separators also needs a valid Luhn sum; see _real.
+CARD = r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
+HEX = "[0-9A-Fa-f]{16,}+"
+PREFIX = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|AIza"
+SECRET = (
+    rf"""(?<="){HEX}(?=")|(?<='){HEX}(?=')|(?<![\p{{L}}\d])(?:A[KS]IA[0-9A-Z]{{16}}|(?:{PREFIX})[A-Za-z0-9_-]{{16,}})(?![\p{{L}}\d])"""
+    r"""|(?<=[:=] {0,2}["']?)(?:(?<=(?i:password|passwd|passphrase|pwd)["']? {0,2}[:=] {0,2}["']?)[^\s"',;<>]{6,}+"""
+    r"""|(?<=(?i:secret|token|key|credential)["']? {0,2}[:=] {0,2}["']?)(?=[^\s"',;<>]*\d)[^\s"',;<>]{8,}+)"""
+)
+TITLES = {
+    "m": "Mr Herr Monsieur Señor Sir Lord Don Mister",
+    "f": "Mrs Ms Miss Frau Madame Señora Madam Señorita Mademoiselle Mme Mlle Lady Doña",
+    "x": "Dr Prof Professor Doctor Docteur Professeur Doctora Profesor Judge Senator President Captain Colonel General Rev",
+}
 NAMES = {
     "m": "Adam Boris Carl David Emil Felix Georg Henry Ivan Jonas Karim Louis Marco Nils Oscar Pablo Quentin Rafael Simon Thomas Ulrich Victor Walter Xavier",
     "f": "Alma Berta Clara Diana Elena Fiona Greta Hanna Irene Julia Karin Laura Maria Nadia Olga Paula Rosa Sara Teresa Ursula Vera Wanda Yvonne Zoe",
 }
+NAMES["x"] = NAMES["m"] + " " + NAMES["f"]
 SYLLABLES = "bar ben bor dal den dor fal fen gar gel hol jan kal ken lam lor mar men mor nal nor pal ren ros sal sen tal tor val wes".split()
 LATIN, ACCENTED, GREEK, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "áéíóúàèìòùâêîôûäëïöüñç", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшэюя"
 
-NAME = r"(?<!\p{L})(?:" + "|".join(f"{TITLES[g]}".replace(" ", "|") for g in "mf") + r")\.? \p{Lu}[\p{L}'-]++(?: \p{Lu}[\p{L}'-]++)?"
-ANY = "|".join((SECRET, EMAIL, NAME, PHONE, ADDRESS, SOCIAL, CARD))
+TITLE = r"(?:(?:" + "|".join(TITLES[g].replace(" ", "|") for g in "mfx") + r")\.? )+"
+NAME = rf"(?<!\p{{L}}){TITLE}(?!{TITLE})\p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?"
+ANY = "|".join((SECRET, EMAIL, NAME, ACCOUNT, PHONE, ADDRESS, ADDRESS6, SOCIAL, CARD))
 
 
 def _lit(text: str) -> str:
@@ -38,16 +57,21 @@ def _array(words: list[str]) -> str:
 
 def _kind() -> str:
     """The type of an entity, from its form."""
-    title = lambda g: _lit("^(?:" + TITLES[g].replace(" ", "|") + r")\b")
-    return f"""CASE WHEN contains(entity, '@') THEN 'email' WHEN entity RLIKE {title("m")} THEN 'name_m' WHEN entity RLIKE {title("f")} THEN 'name_f'
-      WHEN entity RLIKE {_lit("^" + ADDRESS + "$")} THEN 'address' WHEN entity RLIKE {_lit("^" + SOCIAL + "$")} THEN 'social'
-      WHEN entity RLIKE {_lit("^(?:" + CARD + ")$")} THEN 'card' WHEN entity RLIKE '^[+(]' THEN 'phone' ELSE 'secret' END"""
+    title = lambda g: _lit("^(?:" + TITLES[g].replace(" ", "|") + r")\.? ")
+    whole = lambda pattern: f"entity RLIKE {_lit('^(?:' + pattern + ')$')}"
+    named = " ".join(f"WHEN entity RLIKE {title(g)} THEN 'name_{g}'" for g in "mfx")
+    forms = (("email", EMAIL), ("iban", ACCOUNT), ("address", ADDRESS), ("ipv6", ADDRESS6), ("social", SOCIAL), ("card", CARD), ("phone", PHONE), ("secret", HEX))
+    return f"CASE {named} {' '.join(f"WHEN {whole(p)} THEN '{k}'" for k, p in forms)} ELSE 'key' END"
 
 
 def _canonical() -> str:
-    """What two spellings of one entity share: digits without separators (a phone's country code and the rest), lower case."""
-    code = "regexp_extract(entity, '^[+]([0-9]{1,3})(?=[ .(-])', 1)"
-    return f"CASE WHEN kind = 'phone' THEN concat({code}, ':', substring(regexp_replace(entity, '[^0-9]', ''), length({code}) + 1)) WHEN kind IN ('card', 'social') THEN regexp_replace(entity, '[^0-9]', '') WHEN kind LIKE 'name%' THEN lower(regexp_replace(entity, '^[^ ]+ ', '')) ELSE lower(entity) END"
+    """What two spellings of one entity share: digits without separators (a phone's country code and the rest), lower case; keys as they are."""
+    cut = "regexp_extract(entity, '^[+]([0-9]{1,3})(?=[ .(-])', 1)"
+    run = "regexp_extract(entity, '^[+](1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})', 1)"
+    code = f"coalesce(nullif({cut}, ''), {run})"
+    return f"""CASE WHEN kind = 'phone' THEN concat({code}, ':', substring(regexp_replace(entity, '[^0-9]', ''), length({code}) + 1))
+      WHEN kind IN ('card', 'social') THEN regexp_replace(entity, '[^0-9]', '') WHEN kind = 'iban' THEN replace(entity, ' ', '') WHEN kind = 'key' THEN entity
+      WHEN kind LIKE 'name%' THEN lower(regexp_replace(entity, {_lit("^" + TITLE)}, '')) ELSE lower(entity) END"""
 
 
 def _stream(what: str) -> str:
@@ -84,6 +108,18 @@ def _digits() -> str:
     return f"CASE WHEN kind = 'phone' THEN concat(substring_index(canonical, ':', 1), ':', {plain}) WHEN kind = 'card' AND {_luhn('canonical')} % 10 = 0 THEN concat({body}, {check}) ELSE {plain} END"
 
 
+def _account() -> str:
+    """An account number of the same country and form with valid check digits."""
+    body = _letters("substring(canonical, 5)", _stream("canonical"))
+    rest = f"aggregate(split(concat({body}, left(canonical, 2), '00'), ''), 0, (a, c) -> CASE WHEN c = '' THEN a WHEN c RLIKE '[0-9]' THEN (a * 10 + cast(c AS int)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+    return f"concat(left(canonical, 2), lpad(cast(98 - {rest} AS string), 2, '0'), {body})"
+
+
+def _real() -> str:
+    """Whether a match is an entity: runs of 13 to 19 digits only with a valid Luhn sum."""
+    return f"NOT (entity RLIKE '^[0-9]{{13,19}}$') OR {_luhn('entity')} % 10 = 0"
+
+
 def _replacement() -> str:
     """The surrogate of (kind, canonical, attempt), before it takes an entity's format."""
     first, last = "split(canonical, ' ')[0]", "element_at(split(canonical, ' '), -1)"
@@ -93,21 +129,26 @@ def _replacement() -> str:
     octet = f"""CASE length(o) WHEN 1 THEN {_number(_stream('canonical'), '7 * i')} % 10 WHEN 2 THEN 10 + {_number(_stream('canonical'), '7 * i')} % 90 ELSE 100 + {_number(_stream('canonical'), '7 * i')} % 156 END"""
     domain = "substring_index(canonical, '@', -1)"
     local = "substring_index(canonical, '@', 1)"
+    prefix = f"regexp_extract(canonical, {_lit('^(' + PREFIX + ')')}, 1)"
     labels = f"regexp_replace({domain}, '[.][^.]*$', '')"
     return f"""CASE WHEN kind IN ('phone', 'card', 'social') THEN {_digits()}
       WHEN kind = 'address' THEN array_join(transform(split(canonical, '[.]'), (o, i) -> cast({octet} AS string)), '.')
       WHEN kind = 'email' THEN concat({_letters(local, _stream('canonical'))}, '@', {_letters(labels, _stream(domain))}, '.', substring_index({domain}, '.', -1))
-      WHEN kind = 'secret' THEN array_join(transform(split(canonical, ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' THEN {_char("0123456789", _stream("canonical"), "i + 7 * (i div 61)")} ELSE {_char("abcdef", _stream("canonical"), "i + 7 * (i div 61)")} END), '')
-      WHEN contains(canonical, ' ') THEN concat(IF(kind = 'name_m', {given("m")}, {given("f")}), ' ', {surname})
+      WHEN kind = 'iban' THEN {_account()}
+      WHEN kind = 'key' THEN concat({prefix}, {_letters(f"substring(canonical, length({prefix}) + 1)", _stream('canonical'))})
+      WHEN kind IN ('secret', 'ipv6') THEN array_join(transform(split(canonical, ''), (c, i) -> CASE WHEN c = ':' THEN c WHEN c RLIKE '[0-9]' THEN {_char("0123456789", _stream("canonical"), "i + 7 * (i div 61)")} ELSE {_char("abcdef", _stream("canonical"), "i + 7 * (i div 61)")} END), '')
+      WHEN contains(canonical, ' ') THEN concat(CASE kind WHEN 'name_m' THEN {given("m")} WHEN 'name_f' THEN {given("f")} ELSE {given("x")} END, ' ', {surname})
       ELSE {surname} END"""
 
 
 def _formatted() -> str:
     """The surrogate in the format of the entity: separators, country code, title and case."""
     rank = "length(regexp_replace(left(entity, i + 1), '[^0-9]', ''))"
+    spaced = "array_join(transform(split(entity, ''), (c, i) -> IF(c = ' ', c, substring(surrogate, length(replace(left(entity, i + 1), ' ', '')), 1))), '')"
     digits = f"array_join(transform(split(entity, ''), (c, i) -> IF(c RLIKE '[0-9]', substring(replace(surrogate, ':', ''), {rank}, 1), c)), '')"
     return f"""CASE WHEN kind IN ('phone', 'card', 'social') THEN {digits}
-      WHEN kind LIKE 'name%' THEN concat(regexp_extract(entity, '^[^ ]+ ', 0), surrogate)
+      WHEN kind = 'iban' THEN {spaced} WHEN kind = 'key' THEN surrogate
+      WHEN kind LIKE 'name%' THEN concat(regexp_extract(entity, {_lit("^" + TITLE)}, 0), surrogate)
       WHEN entity = upper(entity) AND entity <> lower(entity) THEN upper(surrogate) ELSE surrogate END"""
 
 
@@ -116,9 +157,26 @@ def _entities() -> Column:
 
 
 def _has_entities() -> Column:
-    """Whether text has an entity. All but names have a digit, an @ or a quote, which is quick to see; few texts need the whole pattern."""
+    """Whether text may have an entity. All but names have a digit, an @, a quote or a password's label, which is quick to see; few texts need the whole pattern."""
     text = F.col("text")
-    return (text.rlike('[0-9@"]') | text.rlike(NAME)) & text.rlike(ANY)
+    return (text.rlike("[0-9@\"]|'[A-Fa-f]{16}|[:=] {0,2}'?(?<=(?i:password|passwd|passphrase|pwd)'? {0,2}[:=] {0,2}'?)") | text.rlike(PREFIX) | text.rlike(NAME)) & text.rlike(ANY)
+
+
+def _mentions() -> str:
+    """(mention, surrogate) for each titled name of map: the name without its title and each of its words, the longest first, once each."""
+    bare = lambda x: f"regexp_replace({x}, {_lit('^' + TITLE)}, '')"
+    names = f"transform(filter(map_entries(map), e -> e.key RLIKE {_lit('^' + TITLE)}), e -> struct({bare('e.key')} AS k, {bare('e.value')} AS v))"
+    words = "concat(array(e), IF(size(split(e.k, ' ')) = 2, array(struct(split(e.k, ' ')[0] AS k, split(e.v, ' ')[0] AS v), struct(split(e.k, ' ')[1] AS k, split(e.v, ' ')[1] AS v)), array()))"
+    return f"array_sort(filter(flatten(transform({names}, e -> {words})), e -> length(e.k) > 2), (x, y) -> CASE WHEN length(x.k) <> length(y.k) THEN length(y.k) - length(x.k) WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END)"
+
+
+def _with_mentions(cut: DataFrame) -> DataFrame:
+    """cut(map, between, ...) with the bare mentions of its titled names replaced in between, all in one pass."""
+    pattern = r"concat('(?<![\\p{L}\\p{N}])(?:', array_join(transform(mentions, e -> e.k), '|'), ')(?![\\p{L}\\p{N}])')"
+    value = "filter(mentions, e -> e.k = get(regexp_extract_all(x, pattern, 0), i))"
+    woven = f"transform(between, x -> array_join(transform(split(x, pattern, -1), (y, i) -> concat(y, coalesce(get({value}, 0).v, ''))), ''))"
+    named = cut.withColumn("mentions", F.expr(_mentions())).withColumn("pattern", F.expr(f"IF(size(mentions) > 0, {pattern}, null)"))
+    return named.withColumn("between", F.expr(f"IF(pattern IS NULL, between, {woven})")).drop("mentions", "pattern")
 
 
 def surrogates(found: DataFrame, most: int = 20) -> DataFrame:
@@ -131,7 +189,7 @@ def surrogates(found: DataFrame, most: int = 20) -> DataFrame:
     """
     named = staged(found.withColumn("kind", F.expr(_kind())).withColumn("canonical", F.expr(_canonical())), "entities")
     open_ = named.groupBy("kind", "canonical").agg(F.lit(0).alias("attempt"))
-    real = named.select("kind", F.col("canonical").alias("seen")).distinct()
+    real = named.select("kind", F.lower("canonical").alias("seen")).distinct()
     done = None
     for attempt in range(most):
         tried = staged(open_.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", F.expr(_replacement())).withColumn("seen", F.lower("surrogate")), "tried")
@@ -152,7 +210,8 @@ def surrogates(found: DataFrame, most: int = 20) -> DataFrame:
 def replace_entities(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with every entity in text replaced, n_chars (if there) recounted, and n_entities added.
 
-    Null texts stay null with no entities; other columns pass through. Rows
+    Null texts stay null with no entities; other columns pass through. Bare mentions of a titled
+    name in the same text are replaced with it, but not counted. Rows
     without entities pass straight; for the others their distinct entities are joined to the
     surrogates (a frequent one by broadcast, see join_groups), and go back to the row by
     its doc_id and text hash; repeated rows are therefore treated alike.
@@ -162,14 +221,15 @@ def replace_entities(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*columns).alias("doc"), "text")
     clean = packed.filter(F.col("text").isNull() | ~_has_entities()).withColumn("n_entities", F.lit(0).cast("long"))
     dirty = packed.filter(_has_entities()).select("doc", "text", F.xxhash64("doc.doc_id", "text").alias("row"))
-    found = staged(dirty.select("row", F.explode(F.array_distinct(_entities())).alias("entity")).distinct(), "found")
+    found = staged(dirty.select("row", F.explode(F.array_distinct(_entities())).alias("entity")).filter(_real()).distinct(), "found")
     total = found.count()
     table = staged(surrogates(found.groupBy("entity").agg(F.count("*").alias("n"))), "surrogates")
     pairs = join_groups(found, table, "entity", "n", total)
     maps = pairs.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("map"))
-    cut = dirty.join(maps, "row").withColumn("found", _entities()).withColumn("between", F.split("text", ANY, -1))
-    woven = F.expr("array_join(transform(between, (x, i) -> concat(x, coalesce(try_element_at(map, get(found, i)), ''))), '')")
-    changed = cut.select("doc", woven.alias("text"), F.size("found").cast("long").alias("n_entities"))
+    cut = dirty.join(maps, "row", "left").withColumn("map", F.coalesce("map", F.expr("cast(map() AS map<string, string>)")))
+    cut = _with_mentions(cut.withColumn("found", _entities()).withColumn("between", F.split("text", ANY, -1)))
+    woven = F.expr("array_join(transform(between, (x, i) -> concat(x, coalesce(try_element_at(map, get(found, i)), get(found, i), ''))), '')")
+    changed = cut.select("doc", woven.alias("text"), F.expr("size(filter(found, e -> map_contains_key(map, e)))").cast("long").alias("n_entities"))
     both = clean.unionByName(changed)
     out = {c: F.col(f"doc.`{c}`") for c in docs.columns if c not in ("text", "n_chars", "n_entities")}
     out |= {"text": F.col("text"), "n_chars": F.length("text").cast("long"), "n_entities": F.col("n_entities")}
