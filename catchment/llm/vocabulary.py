@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 #: Entries of the memo's younger half; at that size the older half is dropped.
@@ -35,11 +36,11 @@ class WordMemo:
 
 
 class Encoder:
-    """Ids of the tokenizers library for a byte-level BPE file, strings of special tokens being ordinary text.
+    """Ids of the tokenizers library's encode(text, add_special_tokens=False) for a byte-level BPE file; an added token's string in a text is that token.
 
     The library itself encodes about 2.5 MB a second on one core. tiktoken, given the same file's
     vocabulary as ranks (a token's id is its rank), gives the same ids at four times that speed, so it
-    does the work; each worker first encodes the start of its texts by both and uses the tokenizers
+    does the work but for texts with the string of an added token, which go to the library; each worker first encodes the start of its texts by both and uses the tokenizers
     library for everything should they differ.
     """
 
@@ -49,21 +50,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         as_byte = {c: b for b, c in _byte_letters().items()}
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
         ranks = {bytes(as_byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.compared = 0
-        self.agree = True
+        # Under a normalizer an added token may stand in a text otherwise written.
+        self.agree = self.library.normalizer is None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.agree:
             return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        out = [array("I", x).tobytes() for x in map(self.fast.encode_ordinary, texts)]
+        out = [array("I", self._ids(text)).tobytes() for text in texts]
         for text, ids in zip(texts, out, strict=True):
             if self.compared >= AGREE_CHARS:
                 break
@@ -73,6 +75,11 @@ class Encoder:
                 return self.encode(texts)
         return out
 
+    def _ids(self, text: str) -> list[int]:
+        if self.added and self.added.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level BPE files write for each byte: printable ones stand for themselves, the others follow from 256 on."""
