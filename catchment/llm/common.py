@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_dir, shared_dir, staged
 
-__all__ = ["documents", "join_groups", "new_dir", "shared_dir", "staged", "text_slices", "whole_text"]
+__all__ = ["documents", "join_groups", "new_dir", "perhaps", "shared_dir", "staged", "text_slices", "whole_text", "without"]
 
 #: A group of more than one row in so many is dealt with by a broadcast; so at most this many groups are broadcast.
 HOT_SHARE = 2000
 
+#: 64-bit words of the Bloom filters that are broadcast: at most so many rows of 16 bytes.
+FILTER_WORDS = 1 << 20
+
 #: Bytes of text that Python works on at a time.
 SLICE_BYTES = 4 << 20
 
@@ -58,3 +61,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(F.broadcast(hot), key, "inner").unionByName(
         rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     )
+
+
+def _bits(h: str) -> str:
+    """Three bits of one word of a filter, as SQL over a hash column."""
+    return " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({h}, {40 + 6 * i}) & 63 AS int))" for i in range(3))
+
+
+def perhaps(rows: DataFrame, keys: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """rows with `maybe`, false only where key isn't in keys(key). No shuffle of rows.
+
+    keys become a Bloom filter of at most `words` rows, whatever their number; so what is broadcast is bounded,
+    and with far more keys than words the filter only tells less. A null key is never in keys.
+    """
+    h = F.xxhash64(key)
+    table = keys.select(h.alias("__h")).groupBy(F.expr(f"__h & {words - 1}L").alias("__word")).agg(F.expr(f"bit_or({_bits('__h')})").alias("__mask"))
+    own = rows.withColumn("__h", h).withColumn("__word", F.expr(f"__h & {words - 1}L"))
+    met = own.join(F.broadcast(table), "__word", "left")
+    return met.withColumn("maybe", F.expr(f"{key} IS NOT NULL AND coalesce(__mask & ({_bits('__h')}) = ({_bits('__h')}), false)")).drop("__h", "__word", "__mask")
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't in keys(key): a left anti join in which only rows that a filter can't clear are shuffled."""
+    tested = perhaps(rows, keys, key)
+    return tested.filter("NOT maybe").unionByName(tested.filter("maybe").join(keys, key, "left_anti")).select(*rows.columns)

@@ -10,15 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, staged, text_slices
+from .common import documents, join_groups, staged, text_slices, without
 from .components import connected_components
 
 SHINGLE = 3
 SEED = 42
 #: Fingerprints that differ in so many bits at most are linked.
 THRESHOLD = 2
-#: An anchor with more fingerprints than this is not compared as a whole; see _linked_by_flips, which is exact too.
+#: An anchor with more fingerprints than this is compared under narrower anchors; see narrower.
 ANCHOR_LIMIT = 512
+#: Fingerprints compared with all others of their anchor at a time.
+COMPARED = 256
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -51,36 +53,59 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fp long")
 
 
-def _flips() -> list[list[int]]:
-    """For each syndrome of the [31, 26] Hamming code, the bit masks that lead from a word to every code word within distance two.
+def _flips(n: int = 31) -> list[list[int]]:
+    """For each syndrome of the Hamming code of n = 2^m - 1 bits, the bit masks that lead from a word to every code word within distance two.
 
     Bit i of the word has position i + 1; a word's syndrome is the exclusive or of the positions
     of its set bits. Flipping the positions in a set changes the syndrome by their exclusive or.
     """
     bit = lambda position: 1 << (position - 1)
     table = [[0]]
-    for s in range(1, 32):
-        table.append([bit(s)] + [bit(a) | bit(a ^ s) for a in range(1, 32) if a < a ^ s and a != s])
+    for s in range(1, n + 1):
+        table.append([bit(s)] + [bit(a) | bit(a ^ s) for a in range(1, n + 1) if a < a ^ s and a != s])
     return table
 
 
-def anchors(fps: DataFrame) -> DataFrame:
-    """(anchor, fp): each fingerprint of fps(fp) with every anchor that covers it.
-
-    Two fingerprints within THRESHOLD = 2 bits differ in at most one bit of their low or of
-    their high half. Over a half's first 31 bits the anchors are the words of the perfect [31, 26]
-    Hamming code, whose covering radius is one; so replicas go to all anchors within 1 + 1 bits:
-    16 of them, or only itself for a code word. Of two fingerprints that agree so far, one's
-    nearest anchor covers both. Written as built-in functions: syndrome by parities, then one
-    exclusive or per anchor.
+def covered(words: DataFrame, columns: list[str], word: str = "word", part: str = "part") -> DataFrame:
+    """(anchor, columns...): each row of words(part, word, columns...) with every anchor that covers its word.
+
+    The anchors over the first 31 bits of a word are the words of the perfect [31, 26] Hamming code, whose covering
+    radius is one; for a threshold of one bit a word goes to all anchors within 1 + 1 bits: 16 of
+    them, or only itself if it is a code word. Of two words of a part that differ in at most one bit, one's nearest anchor covers
+    both. Written as built-in functions: syndrome by parities, then one exclusive or per anchor.
     """
     masks = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
     table = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in row) + ")" for row in _flips()) + ")"
-    halves = fps.select("fp", F.explode(F.expr("array(struct(0 AS half, fp & 2147483647L AS word), struct(1 AS half, shiftrightunsigned(fp, 32) & 2147483647L AS word))")).alias("x"))
-    syndrome = " + ".join(f"(bit_count(x.word & {m}L) % 2) * {1 << j}" for j, m in enumerate(masks))
-    coded = halves.select("fp", "x.half", "x.word", F.expr(f"cast({syndrome} AS int)").alias("syndrome"))
-    flipped = coded.select("fp", "half", "word", F.expr(f"explode(element_at({table}, syndrome + 1))").alias("flip"))
-    return flipped.select(F.expr("shiftleft(cast(half AS long), 32) | (word ^ flip)").alias("anchor"), "fp")
+    syndrome = " + ".join(f"(bit_count({word} & {m}L) % 2) * {1 << j}" for j, m in enumerate(masks))
+    coded = words.withColumn("__syndrome", F.expr(f"cast({syndrome} AS int)"))
+    flipped = coded.select(*columns, part, word, F.expr(f"explode(element_at({table}, __syndrome + 1))").alias("__flip"))
+    return flipped.select(F.expr(f"shiftleft(cast({part} AS long), 32) | ({word} ^ __flip)").alias("anchor"), *columns)
+
+
+def anchors(fps: DataFrame) -> DataFrame:
+    """(anchor, fp): each fingerprint of fps(fp) with every anchor that covers one of its halves (see covered).
+
+    Two fingerprints within THRESHOLD = 2 bits differ in at most one bit of their low or of their
+    high half, so they meet at an anchor of that half.
+    """
+    halves = "inline(array(struct(0 AS part, fp & 2147483647L AS word), struct(1 AS part, shiftrightunsigned(fp, 32) & 2147483647L AS word)))"
+    return covered(fps.select("fp", F.expr(halves)), ["fp"])
+
+
+def narrower(placed: DataFrame) -> DataFrame:
+    """(anchor, fp): the rows of placed(anchor, fp) under 2 * 2^11 anchors each, for anchors that are crowded.
+
+    Fingerprints of an anchor of one half that lie within THRESHOLD = 2 bits differ in at most one bit of a
+    quarter in the other half. Over a quarter's first 15 bits the code is the perfect [15, 11] Hamming code, covered as in
+    anchors: 8 replicas or one for each quarter. An anchor's members so meet in groups some 270 times smaller.
+    """
+    other = "shiftrightunsigned(fp, CASE WHEN shiftrightunsigned(anchor, 32) = 0 THEN 32 ELSE 0 END)"
+    rows = placed.select("anchor", "fp", F.expr(f"inline(array(struct(0 AS part, {other} & 32767L AS word), struct(1 AS part, shiftrightunsigned({other}, 16) & 32767L AS word)))"))
+    masks = [sum(1 << (p - 1) for p in range(1, 16) if p >> j & 1) for j in range(4)]
+    table = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in row) + ")" for row in _flips(15)) + ")"
+    syndrome = " + ".join(f"(bit_count(word & {m}L) % 2) * {1 << j}" for j, m in enumerate(masks))
+    coded = rows.select("anchor", "fp", "part", "word", F.expr(f"element_at({table}, cast({syndrome} AS int) + 1)").alias("flips"))
+    return coded.select(F.expr("explode(transform(flips, f -> struct(anchor, part, word ^ f AS code)))").alias("anchor"), "fp")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +115,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right: list[np.ndarray] = []
         for members in batch.column(0):
             fps = np.asarray(members.values.to_numpy(), dtype=np.int64)
-            near = np.bitwise_count(fps[:, None].view(np.uint64) ^ fps[None, :].view(np.uint64)) <= THRESHOLD
             label = np.arange(len(fps))
             while True:
-                new = np.where(near, label[None, :], len(fps)).min(axis=1)
+                new = label.copy()
+                for i in range(0, len(fps), COMPARED):
+                    near = np.bitwise_count(fps[i : i + COMPARED, None].view(np.uint64) ^ fps[None, :].view(np.uint64)) <= THRESHOLD
+                    new[i : i + COMPARED] = np.where(near, label[None, :], len(fps)).min(axis=1)
                 new = new[new]
                 if (new == label).all():
                     break
@@ -104,18 +131,6 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.array([], dtype=np.int64)) for x in (left, right)], ["a", "b"])
 
 
-def _linked_by_flips(fps: DataFrame) -> DataFrame:
-    """All links among fps(fp), exact for a threshold of two: members of crowded anchors come here.
-
-    Each fingerprint goes to itself and its 64 one-bit neighbours; two meet at a key exactly if
-    they differ in two bits or fewer, and all that meet are linked to the smallest there. At most
-    65 different fingerprints can meet at a key, so no group is large.
-    """
-    keys = fps.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("key"))
-    met = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
-    return met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b").distinct()
-
-
 def links(fps: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints of fps(fp), all different, that chains of THRESHOLD bits or fewer connect."""
     placed = anchors(fps)
@@ -127,8 +142,9 @@ def links(fps: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     more = counts.filter("n > 3").select("anchor", "n")
     lists = placed.join(more.filter(F.col("n") <= limit), "anchor").groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
     compared = lists.select("fps").mapInArrow(_compared, "a long, b long")
-    crowded = placed.join(more.filter(F.col("n") > limit).select("anchor"), "anchor", "left_semi").select("fp").distinct()
-    return pairs.unionByName(compared).unionByName(_linked_by_flips(crowded)).distinct()
+    crowded = narrower(placed.join(more.filter(F.col("n") > limit).select("anchor"), "anchor", "left_semi"))
+    crowded = crowded.groupBy("anchor").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select("fps").mapInArrow(_compared, "a long, b long")
+    return pairs.unionByName(compared).unionByName(crowded).distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -155,7 +171,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     groups = near_groups(docs, shingle)
     dropped = staged(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, dropped, "doc_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
