@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, staged, text_slices
-from .vocabulary import default_path, default_pattern, encode_all
+from .vocabulary import default_path, default_pattern, encode_all, same_ids
 
 CAPACITY = 1024
 END_ID = 2
@@ -27,14 +28,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, pattern: str | None =
     its end, so only the first piece may be shorter. Null texts count as empty (one piece, the end id). Each row by itself; no shuffle.
     """
     tokenizer, pattern = tokenizer or default_path("byte_bpe_50k.json"), pattern or default_pattern()
-    tail = np.array([end_id], dtype="<u4").tobytes()
+    tail, same = np.array([end_id], dtype="<u4").tobytes(), same_ids(tokenizer, pattern)
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_slices(batches):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, x in zip(ids.to_pylist(), encode_all([t.decode() for t in texts.to_pylist()], tokenizer, pattern), strict=True):
+            for doc_id, x in zip(ids.to_pylist(), encode_all([t.decode() for t in texts.to_pylist()], tokenizer, pattern, same), strict=True):
                 x += tail
                 n = len(x) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
@@ -49,21 +50,17 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, pattern: str | None =
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, times): which lengths share a sequence, and how many such sequences.
 
-    First the gap that each length leaves is looked up among single lengths, then among sums of two,
-    then of three (lengths index the table of how many are left, so a sum's last partner is one look-up); a
-    combination that fills the gap exactly is used as often as all its lengths last. What is left goes
-    best-fit: each length, longest first, into the open sequences with the least room that
-    holds it. Sums of two and three can use up short pieces that best-fit would have placed better, so the plan is
-    made with sums of up to three, two, one and no lengths, and the shortest is kept. Its work depends
-    on the number of different lengths, which capacity bounds, not on the number of pieces.
+    Lengths index the table of how many are left, which so holds the single sums; a sum of two or three has one
+    look-up for its last partner. From the longest length down, the gap that it leaves is looked up among single lengths,
+    then among sums of two, then of three; a combination that fills the gap exactly is used as often as
+    all its lengths last. Of c pieces of a length the square root of c, rounded up, aren't available for this: so all lengths remain for
+    the residuals, which go best-fit: each, longest first, into the open sequences with the least room that holds it. The plan's
+    work depends on the number of different lengths, which capacity bounds, not on the number of pieces.
     """
-    return min((_planned(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
-
-
-def _planned(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    reserve = {n: math.isqrt(c - 1) + 1 for n, c in counts.items() if 0 < c and n < capacity}
     left = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
-        left[n] = c
+        left[n] = c - reserve.get(n, 0)
     out: list[tuple[tuple[int, ...], int]] = []
 
     def use(*combo: int) -> None:
@@ -85,20 +82,19 @@ def _planned(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tup
 
     if left[capacity]:
         use(capacity)
-    for n in range(capacity - 1, 0, -1) if most >= 1 else ():
-        if left[n] and left[capacity - n]:
-            use(n, capacity - n)
-    for n in range(capacity - 2, 0, -1) if most >= 2 else ():
-        if left[n]:
-            fill_two(n, capacity - n)
-    for n in range(capacity - 3, 0, -1) if most >= 3 else ():
+    for n in range(capacity - 1, 0, -1):
         gap = capacity - n
-        for a in np.flatnonzero(left[: gap - 1])[::-1].tolist():
+        if left[n] and left[gap]:
+            use(n, gap)
+        if left[n] and gap > 1:
+            fill_two(n, gap)
+        for a in np.flatnonzero(left[: max(0, gap - 1)])[::-1].tolist():
             if not left[n] or 3 * a < gap:
                 break
             if left[a]:
                 fill_two(n, gap - a, a)
-    return out + _best_fit({n: int(left[n]) for n in np.flatnonzero(left).tolist()}, capacity)
+    rest = {n: int(left[n]) + reserve.get(n, 0) for n in counts}
+    return out + _best_fit({n: c for n, c in rest.items() if c}, capacity)
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, new_dir, staged, text_slices
-from .vocabulary import default_path, default_pattern, encode_all
+from .vocabulary import default_path, default_pattern, encode_all, id_width, same_ids
 
 # Fixed values of the public zstandard seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
+#: Files in a manifest that is broadcast at most; about so many wanted documents of a file go to one task.
+MANIFEST_ROWS, WANTED = 50_000, 100_000
+
 MANIFEST = "file_index int, path string, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -47,6 +50,8 @@ class FileWriter:
         self.n_tokens = self.n_bytes = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} doesn't fit {self.width} bytes")
         plain = ids.astype(f"<u{self.width}").tobytes()
         frame = self.pack.compress(plain)
         self.out.write(frame)
@@ -101,11 +106,12 @@ class FileReader:
         return np.frombuffer(plain, dtype=f"<u{self.width}")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, pattern: str | None = None, end_id: int = 0, width: int = 2, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, pattern: str | None = None, end_id: int = 0, width: int | None = None, files: int | None = None) -> DataFrame:
     """Encodes docs(doc_id, text, ...), writes files under path, and returns their manifest, staged.
 
     path is a URI that all executors can write (file, hdfs, s3 ...). Each document's ids end with
-    end_id; null texts count as empty; null ids come first; rows of one id are kept, ordered by
+    end_id and are stored in `width` bytes each (what the vocabulary needs, if None; an id that doesn't fit
+    is an error); null texts count as empty; null ids come first; rows of one id are kept, ordered by
     text; other columns are not read. Documents are dealt by ranges of doc_id, one task and one
     file per range, `files` in all (spark.sql.shuffle.partitions if None); empty ranges write none. A file
     is written under a name of its own and then moved, so a task that runs twice leaves one whole file.
@@ -113,7 +119,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     spark = docs.sparkSession
     tokenizer, pattern = tokenizer or default_path("byte_bpe_50k.json"), pattern or default_pattern()
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tail = np.array([end_id], dtype="<u4").tobytes()
+    tail, same = np.array([end_id], dtype="<u4").tobytes(), same_ids(tokenizer, pattern)
+    width = width or max(id_width(tokenizer), 2 if end_id < 1 << 16 else 4)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,7 +134,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 store.create_dir(root, recursive=True)
                 stream = store.open_output_stream(temp)
                 writer = FileWriter(stream, width)
-            encoded = encode_all([t.decode() for t in texts.to_pylist()], tokenizer, pattern)
+            encoded = encode_all([t.decode() for t in texts.to_pylist()], tokenizer, pattern, same)
             for doc_id, x in zip(ids.to_pylist(), encoded, strict=True):
                 writer.add(doc_id, np.frombuffer(x + tail, dtype="<u4"))
         if writer is not None:
@@ -146,17 +153,24 @@ def read_token_files(manifest: DataFrame, uri: str, wanted: DataFrame | None = N
 
     ids_crc32 is that of the ids as little-endian 32-bit integers; ids are null without with_ids.
 
-    With wanted(doc_id), only those documents' frames are read and decompressed: each file's
-    wanted ids are joined to the manifest by range and go to the file's task as a list.
+    With wanted(doc_id), only those documents' frames are read and decompressed: wanted ids meet
+    the manifest by range, and go to the file's tasks in lists of at most WANTED. A manifest of over MANIFEST_ROWS files isn't
+    broadcast; its ranges are cut at multiples of about their mean length and joined on these. A long text is one frame, held whole.
     """
     before = F.sum("n_tokens").over(Window.orderBy("file_index").rowsBetween(Window.unboundedPreceding, -1))
-    placed = staged(manifest.select("file_index", "path", "first_id", "last_id", F.coalesce(before, F.lit(0)).alias("start")), "placed")
+    placed = staged(manifest.select("file_index", "path", "first_id", "last_id", "n_docs", F.coalesce(before, F.lit(0)).alias("start")), "placed")
     n = max(1, manifest.count())
     if wanted is None:
         jobs = placed.select("path", "start", F.lit(None).cast("array<long>").alias("wanted"))
     else:
-        met = wanted.select("doc_id").distinct().join(F.broadcast(placed), F.expr("doc_id BETWEEN first_id AND last_id"))
-        jobs = met.groupBy("path", "start").agg(F.collect_list("doc_id").alias("wanted"))
+        ids, between = wanted.select("doc_id").distinct(), F.expr("doc_id BETWEEN first_id AND last_id")
+        if n <= MANIFEST_ROWS:
+            met = ids.join(F.broadcast(placed), between)
+        else:
+            step = max(1, int(placed.agg(F.expr("avg(last_id - first_id + 1)")).first()[0] or 1))
+            cut = placed.withColumn("at", F.expr(f"explode(sequence(first_id div {step}L, last_id div {step}L))"))
+            met = ids.withColumn("at", F.expr(f"doc_id div {step}L")).join(cut, "at").filter(between)
+        jobs = met.groupBy("path", "start", F.expr(f"pmod(xxhash64(doc_id), greatest(1, n_docs div {WANTED}))")).agg(F.collect_list("doc_id").alias("wanted")).select("path", "start", "wanted")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(uri)

@@ -6,13 +6,11 @@ import json
 import os
 import re
 from array import array
+from functools import cache
 
 #: Entries of the memo's younger half; at that size the older half is dropped.
 MEMO_LIMIT = 250_000
 
-#: Characters of each worker's first texts that both libraries encode, to see that they agree.
-AGREE_CHARS = 50_000
-
 
 class WordMemo:
     """Maps pre-tokens to values: recent ones from two generations of bounded dictionaries, new ones by `solve`, a list at a time."""
@@ -39,41 +37,25 @@ class Encoder:
     """Ids of the tokenizers library's encode(text, add_special_tokens=False) for a byte-level BPE file; an added token's string in a text is that token.
 
     The library itself encodes about 2.5 MB a second on one core. tiktoken, given the same file's
-    vocabulary as ranks (a token's id is its rank), gives the same ids at four times that speed, so it
-    does the work but for texts with the string of an added token, which go to the library; each worker first encodes the start of its texts by both and uses the tokenizers
-    library for everything should they differ.
+    vocabulary as ranks (a token's id is its rank), does so at four times that speed; it does the work where
+    `same` says that it gives the same ids (see same_ids), but for texts with the string of an added token, which
+    always go to the library.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, same: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        as_byte = {c: b for b, c in _byte_letters().items()}
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        self.added = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
-        ranks = {bytes(as_byte[c] for c in token): i for token, i in vocab.items() if token not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.compared = 0
-        # Under a normalizer an added token may stand in a text otherwise written.
-        self.agree = self.library.normalizer is None
+        self.library, self.same = Tokenizer.from_file(path), same
+        added = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.fast = _tiktoken(path, pattern, set(added)) if same else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if not self.agree:
+        if not self.same:
             return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        out = [array("I", self._ids(text)).tobytes() for text in texts]
-        for text, ids in zip(texts, out, strict=True):
-            if self.compared >= AGREE_CHARS:
-                break
-            self.compared += len(text) + 1
-            if array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() != ids:
-                self.agree = False
-                return self.encode(texts)
-        return out
+        return [array("I", self._ids(text)).tobytes() for text in texts]
 
     def _ids(self, text: str) -> list[int]:
         if self.added and self.added.search(text):
@@ -81,6 +63,54 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+def _tiktoken(path: str, pattern: str, added: set[str]):
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    as_byte = {c: b for b, c in _byte_letters().items()}
+    ranks = {bytes(as_byte[c] for c in token): i for token, i in vocab.items() if token not in added}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@cache
+def same_ids(path: str, pattern: str) -> bool:
+    """Whether tiktoken gives the library's ids for every text without an added token; asked once, on the driver.
+
+    Pre-tokens. The file's only pre-tokenizer is the byte-level one with its own expression, and no normalizer or
+    post-processor changes a text. That expression tells characters apart by class and ASCII letters alone, so it is
+    compared on every code point behind a letter, a digit and a space. Merges. Both libraries
+    merge the adjacent pair of least rank, the leftmost first, but one knows listed pairs and the other all
+    pairs that spell a token. They agree if each longer token has one listed pair, ids ascend with the
+    list, and the library merges each token's own bytes to that token: for then, were two neighbours
+    x, y that spell a token t not its listed pair, the merges so far inside of them would be the start of those of t alone,
+    which end in the listed pair and so never pass by x, y.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    plain = (model.get("type") or "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    whole = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not file["normalizer"] and not file["post_processor"]
+    if not plain or not whole:
+        return False
+    library = Tokenizer.from_file(path)
+    added = {t.content for t in library.get_added_tokens_decoder().values()}
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"].get(t, -1) for t in made]
+    longer = {t for t in model["vocab"] if len(t) > 1 and t not in added}
+    if any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or set(made) != longer or set(_byte_letters().values()) - set(model["vocab"]):
+        return False
+    if any([x.id for x in library.model.tokenize(t)] != [model["vocab"][t]] for t in longer):
+        return False
+    fast = _tiktoken(path, pattern, added)
+    points = [chr(i) for r in (range(0xD800), range(0xE000, 0x110000)) for i in r]
+    texts = ["".join(f"a{c}1{c} {c}" for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    encoded = library.encode_batch_fast(texts, add_special_tokens=False)
+    return all(x.ids == fast.encode_ordinary(text) for x, text in zip(encoded, texts, strict=True))
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level BPE files write for each byte: printable ones stand for themselves, the others follow from 256 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -88,14 +118,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
+
+
+def encode_all(texts: list[str], path: str, pattern: str, same: bool) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers, by this worker's encoder for the file; same is what same_ids says."""
+    if (path, pattern, same) not in _encoders:
+        _encoders[path, pattern, same] = Encoder(path, pattern, same)
+    return _encoders[path, pattern, same].encode(texts)
+
 
+def id_width(path: str) -> int:
+    """Bytes that every id of a tokenizer file fits in: 2 or 4."""
+    from tokenizers import Tokenizer
 
-def encode_all(texts: list[str], path: str, pattern: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, by this worker's encoder for the file."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern].encode(texts)
+    return 2 if max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
 
 
 def default_path(name: str) -> str:

@@ -17,7 +17,6 @@ from catchment.llm.common import documents, new_dir
 
 def library():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
