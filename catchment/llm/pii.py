@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, staged, whole_text
+from .common import documents, join_groups, perhaps, staged, whole_text
 
-KEY = "catchment"
+#: The setting with the secret key of the registered query, and the key of examples and tests, which keeps no secret.
+KEY_SETTING, EXAMPLE_KEY = "spark.catchment.pii.key", "an example, not a secret"
+#: After so many attempts surrogates get longer, so that free ones never run out.
+PATIENCE = 4
 
 # The patterns of each type, titles by gender, given names by gender, syllables of surnames and letters by script.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}"
@@ -30,8 +35,8 @@ SECRET = (
     r"""|(?<=(?i:secret|token|key|credential)["']? {0,2}[:=] {0,2}["']?)(?=[^\s"',;<>]*\d)[^\s"',;<>]{8,}+)"""
 )
 TITLES = {
-    "m": "Mr Herr Monsieur Señor Sir Lord Don Mister",
-    "f": "Mrs Ms Miss Frau Madame Señora Madam Señorita Mademoiselle Mme Mlle Lady Doña",
+    "m": "Mr Herr Monsieur Señor Sir Lord Don Mister Г-н Господин Κύριος",
+    "f": "Mrs Ms Miss Frau Madame Señora Madam Señorita Mademoiselle Mme Mlle Lady Doña Г-жа Госпожа Κυρία",
     "x": "Dr Prof Professor Doctor Docteur Professeur Doctora Profesor Judge Senator President Captain Colonel General Rev",
 }
 NAMES = {
@@ -39,6 +44,8 @@ NAMES = {
     "f": "Alma Berta Clara Diana Elena Fiona Greta Hanna Irene Julia Karin Laura Maria Nadia Olga Paula Rosa Sara Teresa Ursula Vera Wanda Yvonne Zoe",
 }
 NAMES["x"] = NAMES["m"] + " " + NAMES["f"]
+#: The letters of given names and syllables, and the Cyrillic and Greek ones that stand for them.
+SCRIPT_LETTERS = ("abcdefghijklmnopqrstuvwxyz", {"cyrillic": "абкдефгхийклмнопкрстуввкиз", "greek": "αβκδεφγχιικλμνοπκρστυββξιζ"})
 SYLLABLES = "bar ben bor dal den dor fal fen gar gel hol jan kal ken lam lor mar men mor nal nor pal ren ros sal sen tal tor val wes".split()
 LATIN, ACCENTED, GREEK, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "áéíóúàèìòùâêîôûäëïöüñç", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшэюя"
 
@@ -74,9 +81,22 @@ def _canonical() -> str:
       WHEN kind LIKE 'name%' THEN lower(regexp_replace(entity, {_lit("^" + TITLE)}, '')) ELSE lower(entity) END"""
 
 
-def _stream(what: str) -> str:
-    """64 hexadecimal digits that depend on the key, the kind, the attempt and what is named."""
-    return f"sha2(concat_ws('|', {_lit(KEY)}, kind, attempt, {what}), 256)"
+def _pads(key: str) -> tuple[str, str]:
+    """The inner and outer key blocks of HMAC-SHA256, as SQL binary literals."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    return tuple("X'" + bytes(b ^ x for b in block).hex() + "'" for x in (0x36, 0x5C))
+
+
+def _seed(key: str, *named: str) -> str:
+    """HMAC-SHA256 of what is named, as 64 hexadecimal digits."""
+    inner, outer = _pads(key)
+    return f"sha2(concat({outer}, unhex(sha2(concat({inner}, cast(concat_ws('|', {', '.join(named)}) AS binary)), 256))), 256)"
+
+
+def _stream(what: str, seed: str = "seed") -> str:
+    """64 hexadecimal digits that depend on a seed and on a part of what is named."""
+    return f"sha2(concat_ws('|', {seed}, {what}), 256)"
 
 
 def _number(stream: str, at: str) -> str:
@@ -101,16 +121,16 @@ def _luhn(digits: str) -> str:
 
 
 def _digits() -> str:
-    """As many new digits as canonical has after a phone's country code, which stays; a valid Luhn sum stays valid."""
-    plain = f"array_join(transform(sequence(1, length(substring_index(canonical, ':', -1))), i -> cast({_number(_stream('canonical'), 'i')} % 10 AS string)), '')"
-    body = f"left({plain}, length(canonical) - 1)"
+    """As many new digits as canonical has after a phone's country code, which stays, and surplus ones; a valid Luhn sum stays valid."""
+    plain = f"array_join(transform(sequence(1, length(substring_index(canonical, ':', -1)) + surplus), i -> cast({_number(_stream('concat(canonical, i div 61)'), 'i')} % 10 AS string)), '')"
+    body = f"left({plain}, length(canonical) + surplus - 1)"
     check = f"cast((10 - {_luhn(f'concat({body}, {_lit("0")})')} % 10) % 10 AS string)"
     return f"CASE WHEN kind = 'phone' THEN concat(substring_index(canonical, ':', 1), ':', {plain}) WHEN kind = 'card' AND {_luhn('canonical')} % 10 = 0 THEN concat({body}, {check}) ELSE {plain} END"
 
 
 def _account() -> str:
     """An account number of the same country and form with valid check digits."""
-    body = _letters("substring(canonical, 5)", _stream("canonical"))
+    body = _letters("concat(substring(canonical, 5), repeat('0', surplus))", _stream("canonical"))
     rest = f"aggregate(split(concat({body}, left(canonical, 2), '00'), ''), 0, (a, c) -> CASE WHEN c = '' THEN a WHEN c RLIKE '[0-9]' THEN (a * 10 + cast(c AS int)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
     return f"concat(left(canonical, 2), lpad(cast(98 - {rest} AS string), 2, '0'), {body})"
 
@@ -120,34 +140,46 @@ def _real() -> str:
     return f"NOT (entity RLIKE '^[0-9]{{13,19}}$') OR {_luhn('entity')} % 10 = 0"
 
 
+def _in_script(word: str) -> str:
+    """A Latin word in the script of canonical: its letters are replaced one by one."""
+    latin, others = SCRIPT_LETTERS
+    both = lambda letters: f"translate({word}, {_lit(latin + latin.upper())}, {_lit(letters + letters.upper())})"
+    return f"CASE WHEN canonical RLIKE '[\\\\p{{IsCyrillic}}]' THEN {both(others['cyrillic'])} WHEN canonical RLIKE '[\\\\p{{IsGreek}}]' THEN {both(others['greek'])} ELSE {word} END"
+
+
 def _replacement() -> str:
-    """The surrogate of (kind, canonical, attempt), before it takes an entity's format."""
-    first, last = "split(canonical, ' ')[0]", "element_at(split(canonical, ' '), -1)"
-    given = lambda g: f"element_at({_array(NAMES[g].split())}, {_number(_stream(first), '0')} % {len(NAMES[g].split())} + 1)"
-    part = lambda i: f"element_at({_array(SYLLABLES)}, {_number(_stream(last), str(8 + 8 * i))} % {len(SYLLABLES)} + 1)"
-    surname = f"initcap(concat({part(0)}, {part(1)}, {part(2)}, IF(attempt > 2, {part(3)}, '')))"
-    octet = f"""CASE length(o) WHEN 1 THEN {_number(_stream('canonical'), '7 * i')} % 10 WHEN 2 THEN 10 + {_number(_stream('canonical'), '7 * i')} % 90 ELSE 100 + {_number(_stream('canonical'), '7 * i')} % 156 END"""
+    """The surrogate of (kind, canonical, attempt, surplus, seed), before it takes an entity's format. Names come word by word."""
+    part = lambda i: f"element_at({_array(SYLLABLES)}, {_number('seed', str(i))} % {len(SYLLABLES)} + 1)"
+    more = f"array_join(transform(sequence(1, surplus), i -> element_at({_array(SYLLABLES)}, {_number(_stream('i'), '0')} % {len(SYLLABLES)} + 1)), '')"
+    longer = f"IF(surplus > 0, {more}, '')"
+    given = lambda g: f"concat(element_at({_array(NAMES[g].split())}, {_number('seed', '0')} % {len(NAMES[g].split())} + 1), IF(attempt > 0, {part(8)}, ''), {longer})"
+    surname = f"initcap(concat({part(8)}, {part(16)}, {part(24)}, IF(attempt > 2, {part(32)}, ''), {longer}))"
+    wide = f"cast({_number(_stream('canonical'), '7 * i')} % 256 AS string)"
+    octet = f"""CASE WHEN surplus > 0 THEN {wide} WHEN length(o) = 1 THEN cast({_number(_stream('canonical'), '7 * i')} % 10 AS string) WHEN length(o) = 2 THEN cast(10 + {_number(_stream('canonical'), '7 * i')} % 90 AS string) ELSE cast(100 + {_number(_stream('canonical'), '7 * i')} % 156 AS string) END"""
     domain = "substring_index(canonical, '@', -1)"
     local = "substring_index(canonical, '@', 1)"
     prefix = f"regexp_extract(canonical, {_lit('^(' + PREFIX + ')')}, 1)"
     labels = f"regexp_replace({domain}, '[.][^.]*$', '')"
+    letters = lambda text: _letters(f"concat({text}, repeat('a', surplus))", _stream("canonical"))
+    hexes = f"""array_join(transform(split(concat(canonical, IF(kind = 'secret', repeat('a', surplus), '')), ''), (c, i) -> CASE WHEN c = ':' THEN c WHEN c RLIKE '[0-9]' THEN {_char("0123456789", _stream("canonical"), "i + 7 * (i div 61)")} ELSE {_char("abcdef", _stream("canonical"), "i + 7 * (i div 61)")} END), '')"""
     return f"""CASE WHEN kind IN ('phone', 'card', 'social') THEN {_digits()}
-      WHEN kind = 'address' THEN array_join(transform(split(canonical, '[.]'), (o, i) -> cast({octet} AS string)), '.')
-      WHEN kind = 'email' THEN concat({_letters(local, _stream('canonical'))}, '@', {_letters(labels, _stream(domain))}, '.', substring_index({domain}, '.', -1))
+      WHEN kind = 'address' THEN array_join(transform(split(canonical, '[.]'), (o, i) -> {octet}), '.')
+      WHEN kind = 'email' THEN concat({letters(local)}, '@', {_letters(labels, "domain_seed")}, '.', substring_index({domain}, '.', -1))
       WHEN kind = 'iban' THEN {_account()}
-      WHEN kind = 'key' THEN concat({prefix}, {_letters(f"substring(canonical, length({prefix}) + 1)", _stream('canonical'))})
-      WHEN kind IN ('secret', 'ipv6') THEN array_join(transform(split(canonical, ''), (c, i) -> CASE WHEN c = ':' THEN c WHEN c RLIKE '[0-9]' THEN {_char("0123456789", _stream("canonical"), "i + 7 * (i div 61)")} ELSE {_char("abcdef", _stream("canonical"), "i + 7 * (i div 61)")} END), '')
-      WHEN contains(canonical, ' ') THEN concat(CASE kind WHEN 'name_m' THEN {given("m")} WHEN 'name_f' THEN {given("f")} ELSE {given("x")} END, ' ', {surname})
-      ELSE {surname} END"""
+      WHEN kind = 'key' THEN concat({prefix}, {letters(f"substring(canonical, length({prefix}) + 1)")})
+      WHEN kind IN ('secret', 'ipv6') THEN {hexes}
+      WHEN kind = 'given_m' THEN {_in_script(given("m"))} WHEN kind = 'given_f' THEN {_in_script(given("f"))} WHEN kind = 'given_x' THEN {_in_script(given("x"))}
+      ELSE {_in_script(surname)} END"""
 
 
 def _formatted() -> str:
     """The surrogate in the format of the entity: separators, country code, title and case."""
     rank = "length(regexp_replace(left(entity, i + 1), '[^0-9]', ''))"
     spaced = "array_join(transform(split(entity, ''), (c, i) -> IF(c = ' ', c, substring(surrogate, length(replace(left(entity, i + 1), ' ', '')), 1))), '')"
-    digits = f"array_join(transform(split(entity, ''), (c, i) -> IF(c RLIKE '[0-9]', substring(replace(surrogate, ':', ''), {rank}, 1), c)), '')"
+    held = "length(regexp_replace(entity, '[^0-9]', ''))"
+    digits = f"concat(array_join(transform(split(entity, ''), (c, i) -> IF(c RLIKE '[0-9]', substring(replace(surrogate, ':', ''), {rank}, 1), c)), ''), substring(replace(surrogate, ':', ''), {held} + 1))"
     return f"""CASE WHEN kind IN ('phone', 'card', 'social') THEN {digits}
-      WHEN kind = 'iban' THEN {spaced} WHEN kind = 'key' THEN surrogate
+      WHEN kind = 'iban' THEN concat({spaced}, substring(surrogate, length(replace(entity, ' ', '')) + 1)) WHEN kind = 'key' THEN surrogate
       WHEN kind LIKE 'name%' THEN concat(regexp_extract(entity, {_lit("^" + TITLE)}, 0), surrogate)
       WHEN entity = upper(entity) AND entity <> lower(entity) THEN upper(surrogate) ELSE surrogate END"""
 
@@ -179,54 +211,65 @@ def _with_mentions(cut: DataFrame) -> DataFrame:
     return named.withColumn("between", F.expr(f"IF(pattern IS NULL, between, {woven})")).drop("mentions", "pattern")
 
 
-def surrogates(found: DataFrame, most: int = 20) -> DataFrame:
+def surrogates(found: DataFrame, key: str = EXAMPLE_KEY, patience: int = PATIENCE) -> DataFrame:
     """(entity, replacement, n) for found(entity, n) with one row per spelling.
 
-    Spellings of one entity share a canonical form, which the keyed hash maps to a surrogate, so
-    an entity gets the same one everywhere. Surrogates of one kind that meet, or that are themselves
-    entities of the corpus, are tried again with the next attempt number until all differ; the
-    smallest of those that meet keeps its own. Fails if `most` attempts don't separate them.
+    Spellings of one entity share a canonical form, which the keyed hash (HMAC-SHA256) maps to a surrogate, so
+    an entity gets the same one everywhere. A name is mapped word by word, given names and surnames for themselves, so a
+    surname has one surrogate whatever stands before it. Surrogates of one kind that meet, or that are themselves
+    entities of the corpus, are tried again with the next attempt number until all differ; the smallest of those that
+    meet keeps its own. From the attempt `patience` on, each is one letter, digit or syllable longer than the one
+    before (addresses: any octets), so the loop ends whatever share of a format the corpus uses up.
     """
     named = staged(found.withColumn("kind", F.expr(_kind())).withColumn("canonical", F.expr(_canonical())), "entities")
-    open_ = named.groupBy("kind", "canonical").agg(F.lit(0).alias("attempt"))
-    real = named.select("kind", F.lower("canonical").alias("seen")).distinct()
-    done = None
-    for attempt in range(most):
-        tried = staged(open_.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", F.expr(_replacement())).withColumn("seen", F.lower("surrogate")), "tried")
+    words = "CASE WHEN kind LIKE 'name%' AND contains(canonical, ' ') THEN array(struct(concat('given', right(kind, 2)) AS kind, split(canonical, ' ')[0] AS canonical), struct('surname' AS kind, element_at(split(canonical, ' '), -1) AS canonical))"
+    words += " WHEN kind LIKE 'name%' THEN array(struct('surname' AS kind, canonical)) ELSE array(struct(kind, canonical)) END"
+    units = staged(named.select(F.expr(f"inline({words})")).distinct(), "units")
+    open_, real = units, units.select("kind", F.lower("canonical").alias("seen")).distinct()
+    done, attempt = None, 0
+    while True:
+        tried = open_.withColumn("attempt", F.lit(attempt)).withColumn("surplus", F.lit(max(0, attempt - patience)))
+        tried = tried.withColumns({"seed": F.expr(_seed(key, "kind", "attempt", "canonical")), "domain_seed": F.expr(_seed(key, "'domain'", "substring_index(canonical, '@', -1)"))})
+        tried = staged(tried.select("kind", "canonical", F.expr(_replacement()).alias("surrogate")).withColumn("seen", F.lower("surrogate")), "tried")
         taken = real if done is None else real.unionByName(done.select("kind", "seen"))
         free = tried.join(taken, ["kind", "seen"], "left_anti")
         first = free.groupBy("kind", "seen").agg(F.min("canonical").alias("canonical"))
         won = staged(tried.join(first, ["kind", "seen", "canonical"], "left_semi"), "won")
         done = won if done is None else staged(done.unionByName(won), "done")
-        open_ = tried.join(won.select("kind", "canonical"), ["kind", "canonical"], "left_anti").select("kind", "canonical", "attempt")
+        open_ = tried.select("kind", "canonical").join(won.select("kind", "canonical"), ["kind", "canonical"], "left_anti")
         if open_.isEmpty():
             break
-    else:
-        raise ValueError("surrogates still meet; raise `most` or lengthen them")
+        attempt += 1
     solved = done.select("kind", "canonical", "surrogate")
-    return named.join(solved, ["kind", "canonical"]).select("entity", F.expr(_formatted()).alias("replacement"), "n")
-
-
-def replace_entities(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with every entity in text replaced, n_chars (if there) recounted, and n_entities added.
-
-    Null texts stay null with no entities; other columns pass through. Bare mentions of a titled
-    name in the same text are replaced with it, but not counted. Rows
-    without entities pass straight; for the others their distinct entities are joined to the
-    surrogates (a frequent one by broadcast, see join_groups), and go back to the row by
-    its doc_id and text hash; repeated rows are therefore treated alike.
+    plain = named.filter("NOT kind LIKE 'name%'").join(solved, ["kind", "canonical"])
+    last = solved.filter("kind = 'surname'").select(F.col("canonical").alias("last"), F.col("surrogate").alias("last_surrogate"))
+    given = solved.filter("kind LIKE 'given%'").select(F.col("kind").alias("given_kind"), F.col("canonical").alias("given"), F.col("surrogate").alias("given_surrogate"))
+    people = named.filter("kind LIKE 'name%'").withColumn("last", F.expr("element_at(split(canonical, ' '), -1)")).withColumn("given_kind", F.expr("IF(contains(canonical, ' '), concat('given', right(kind, 2)), null)")).withColumn("given", F.expr("split(canonical, ' ')[0]"))
+    people = people.join(last, "last").join(given, ["given_kind", "given"], "left").withColumn("surrogate", F.expr("concat_ws(' ', given_surrogate, last_surrogate)"))
+    both = plain.select("entity", "kind", "canonical", "surrogate", "n").unionByName(people.select("entity", "kind", "canonical", "surrogate", "n"))
+    return both.select("entity", F.expr(_formatted()).alias("replacement"), "n")
+
+
+def replace_entities(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
+    """docs(doc_id, text, ...) with every entity in text replaced, n_chars (if there) recounted, and n_entities added (replacing any such column).
+
+    key is the secret of the surrogates: the same key gives the same ones. Null texts stay null with no entities, empty ones empty;
+    other columns pass through; no rows give no rows. Bare mentions of a titled name in the same text are replaced with it, but not
+    counted. Texts are searched once; rows without entities, told apart by a filter over doc_id and text hash, pass straight, the
+    others meet their distinct entities' surrogates (a frequent one by broadcast, see join_groups); so repeated rows are treated alike.
+    A text of any length is one value of a row, searched as a whole.
     """
-    spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars", "n_entities")]
-    packed = docs.select(F.struct(*columns).alias("doc"), "text")
-    clean = packed.filter(F.col("text").isNull() | ~_has_entities()).withColumn("n_entities", F.lit(0).cast("long"))
-    dirty = packed.filter(_has_entities()).select("doc", "text", F.xxhash64("doc.doc_id", "text").alias("row"))
-    found = staged(dirty.select("row", F.explode(F.array_distinct(_entities())).alias("entity")).filter(_real()).distinct(), "found")
+    packed = docs.select(F.struct(*columns).alias("doc"), "text").withColumn("row", F.xxhash64("doc.doc_id", "text"))
+    found = packed.filter(_has_entities()).select("row", F.explode(F.array_distinct(_entities())).alias("entity")).filter(_real())
+    found = staged(found.distinct(), "found")
     total = found.count()
-    table = staged(surrogates(found.groupBy("entity").agg(F.count("*").alias("n"))), "surrogates")
+    table = staged(surrogates(found.groupBy("entity").agg(F.count("*").alias("n")), key), "surrogates")
     pairs = join_groups(found, table, "entity", "n", total)
-    maps = pairs.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("map"))
-    cut = dirty.join(maps, "row", "left").withColumn("map", F.coalesce("map", F.expr("cast(map() AS map<string, string>)")))
+    maps = staged(pairs.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("map")), "maps")
+    tested = perhaps(packed, maps, "row")
+    clean = tested.filter("NOT maybe OR text IS NULL").select("doc", "text", F.lit(0).cast("long").alias("n_entities"))
+    cut = tested.filter("maybe AND text IS NOT NULL").drop("maybe").join(maps, "row", "left").withColumn("map", F.coalesce("map", F.expr("cast(map() AS map<string, string>)")))
     cut = _with_mentions(cut.withColumn("found", _entities()).withColumn("between", F.split("text", ANY, -1)))
     woven = F.expr("array_join(transform(between, (x, i) -> concat(x, coalesce(try_element_at(map, get(found, i)), get(found, i), ''))), '')")
     changed = cut.select("doc", woven.alias("text"), F.expr("size(filter(found, e -> map_contains_key(map, e)))").cast("long").alias("n_entities"))
@@ -238,5 +281,5 @@ def replace_entities(docs: DataFrame) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = replace_entities(documents(spark, sf_dir))
+    done = replace_entities(documents(spark, sf_dir), spark.conf.get(KEY_SETTING, EXAMPLE_KEY))
     return done.select("doc_id", "n_entities", "text", F.sha2(whole_text().cast("binary"), 256).alias("text_sha256"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from catchment.llm import pii
@@ -43,3 +44,73 @@ def test_later_mentions(spark):
     text = got = run(spark, ["Dr. John Smith spoke. Smith left; John Smith's car, Smithson. John waved."])[0].text
     given, last = re.match(r"Dr\. (\w+) (\w+) spoke", got).groups()
     assert text == f"Dr. {given} {last} spoke. {last} left; {given} {last}'s car, Smithson. {given} waved."
+
+
+def test_names_keep_their_script_and_surname(spark):
+    got = [r.text for r in run(spark, ["Mr Иван Петров und Frau Παπαδοπούλου", "Mr John Smith, later Mr Smith and Mrs Mary Smith", "Г-жа Анна Петрова"])]
+    assert re.fullmatch(r"Mr [А-Яа-я]+ [А-Яа-я]+ und Frau [Α-Ωα-ωά-ώ]+", got[0]) and "Петров" not in got[0]
+    assert re.fullmatch(r"Г-жа [А-Яа-я]+ [А-Яа-я]+", got[2]) and "Анна" not in got[2]
+    a, b, c = re.fullmatch(r"Mr \w+ (\w+), later Mr (\w+) and Mrs \w+ (\w+)", got[1]).groups()
+    assert a == b == c != "Smith"
+
+
+def test_the_key_decides(spark):
+    docs = spark.createDataFrame([(1, "ask Mr John Smith, a@b.org and c@b.org, 10.20.30.40")], "doc_id long, text string")
+    texts = [pii.replace_entities(docs, key).first().text for key in ("one", "one", "two")]
+    assert texts[0] == texts[1] != texts[2]
+    # One domain stays one domain.
+    assert len(set(re.findall(r"@([\w.]+)", texts[0]))) == 1
+
+
+def test_surrogates_never_run_out(spark):
+    """All one-digit addresses but a few, and more people than given names: longer surrogates, all different."""
+    found = [(f"{a}.{b}.{c}.{d}", 1) for a in range(10) for b in range(10) for c in range(10) for d in range(6)]
+    found += [(f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)}x Q", 1) for i in range(100)]
+    got = [r.replacement for r in pii.surrogates(spark.createDataFrame(found, "entity string, n long")).collect()]
+    assert len(got) == len(set(got)) == len(found) and not set(got) & {e for e, _ in found}
+
+
+def brute(text, table):
+    """What replacing whole entities, the longest first, in one pass gives."""
+    pattern = "|".join(map(re.escape, sorted(table, key=len, reverse=True)))
+    return re.sub(pattern, lambda m: table[m[0]], text)
+
+
+def test_recall_and_equality_with_brute_force(spark):
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 9)))
+
+    def luhn():
+        body = "4" + digits(14)
+        total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    make = {
+        "email": lambda: f"{word()}.{word()}@{word()}.org",
+        "phone": lambda: f"+{rng.randrange(1, 9)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        "address": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "social": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "card": luhn,
+        "secret": lambda: f'"{rng.getrandbits(128):032x}"',
+        "name": lambda: f"Mrs {word().title()} {word().title()}",
+    }
+    planted, texts = [], []
+    for _ in range(60):
+        own = [make[k]() for k in rng.choices(list(make), k=4)]
+        planted.append(own)
+        texts.append("; ".join(f"{word()} {word()} {e}" for e in own) + "; " + " ".join(word() for _ in range(30)))
+    got = run(spark, texts)
+    caught = sum(e.strip('"') not in r.text for own, r in zip(planted, got, strict=True) for e in own)
+    assert caught >= 0.98 * 4 * len(texts)
+    entities = sorted({e.strip('"') for own in planted for e in own})
+    table = {r.entity: r.replacement for r in pii.surrogates(spark.createDataFrame([(e, 1) for e in entities], "entity string, n long")).collect()}
+    assert len(set(table.values())) == len(entities) and not set(table.values()) & set(entities)
+    assert [r.text for r in got] == [brute(t, table) for t in texts]
+
+
+def test_no_rows_and_a_clashing_column(spark, nothing):
+    assert pii.replace_entities(nothing).count() == 0
+    docs = spark.createDataFrame([(1, "a@b.org", 99), (None, None, 98), (1, "a@b.org", 97)], "doc_id long, text string, n_entities long")
+    got = pii.replace_entities(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_entities) for r in got) == [(0, 0), (1, 1), (1, 1)]
