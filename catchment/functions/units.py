@@ -47,6 +47,7 @@ class UnitSystem:
         raise ValueError(f"no conversion from {self.volume}/{self.flow} to {other.volume}/{other.flow}")
 
 
+SECONDS_PER_HOUR = 3600
 US = UnitSystem()
 SI = UnitSystem("m3", "m3/s", 1.0)
 
@@ -54,3 +55,15 @@ SI = UnitSystem("m3", "m3/s", 1.0)
 def valid_flow(flow: Column) -> Column:
     """True for finite values, false for NaN and infinity, null for null."""
     return ~F.isnan(flow) & (F.abs(flow) < F.lit(float("inf")))
+
+
+def q_of_hourly_sd(sd: float) -> float:
+    """The inflow noise per second whose random walk spreads by sd in an hour."""
+    if not 0 < sd < math.inf:
+        raise ValueError("an hourly deviation must be positive and finite")
+    return sd * sd / SECONDS_PER_HOUR
+
+
+def hourly_sd_of_q(q: str | Column) -> Column:
+    """The hourly deviation of a column of noise per second."""
+    return F.sqrt(F.col(q) * SECONDS_PER_HOUR if isinstance(q, str) else q * SECONDS_PER_HOUR)

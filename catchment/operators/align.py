@@ -61,11 +61,15 @@ def from_first_joint(rows: DataFrame) -> DataFrame:
     return rows.join(first, "series").filter("us >= __first").drop("__first")
 
 
-def window_audit(rows: DataFrame, span: int = SPAN_US) -> DataFrame:
-    """One row per series of combined_outflow's result: extent, missing counts, spillway counts, median interval and gaps."""
+def window_audit(rows: DataFrame, span: int = SPAN_US, requested: tuple[int, int, int] | None = None) -> DataFrame:
+    """One row per series of combined_outflow's result: extent, missing counts, spillway counts, median interval and gaps.
+
+    With requested (start_us, end_us, tolerance_us), these are columns too.
+    """
     timed = with_previous(rows, "series", ["us"], "before", span).withColumn("gap", F.col("us") - F.col("before.us"))
     missing = lambda c: F.count_if(F.col(c).isNull()).alias(f"{c}_missing")
-    return timed.groupBy("series").agg(
+    asked = [F.lit(x).cast("long").alias(n) for n, x in zip(("requested_start_us", "requested_end_us", "asof_tolerance_us"), requested or (), strict=False)]
+    found = timed.groupBy("series").agg(
         F.min("us").alias("actual_start_us"),
         F.max("us").alias("actual_end_us"),
         F.count("*").alias("rows"),
@@ -79,6 +83,7 @@ def window_audit(rows: DataFrame, span: int = SPAN_US) -> DataFrame:
         F.count_if(F.col("gap") > GAP_US).alias("intervals_over_20min"),
         F.max("outflow_definition").alias("outflow_definition"),
     )
+    return found.select("series", *asked, *[c for c in found.columns if c != "series"])
 
 
 def outer_aligned(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("estimate", "upstream")) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.columns import SPAN_US
 from ..plans.config import SeriesConfig
 from ..sources.shared import staged
 from .filtering import filtered, smoothed
-from .prepare import active_counts, steps
+from .prepare import active_counts, checked_order, steps
 
 NORMAL, PREDICTED, SMOOTHED, NON_SMOOTHED = "NORMAL", "PREDICTED", "SMOOTHED", "NON_SMOOTHED"
 
@@ -35,9 +35,9 @@ def estimate(obs: DataFrame, config: SeriesConfig, uncertainty: bool = False, pr
     at least the lag later; it is null until then, or smoothed to the last row with
     provisional. A flag is PREDICTED if a reading was missing, else NORMAL. Rows without a step (before the second
     storage reading, or series with less than two) keep nulls. check_window fails if more rows than the
-    configured window wait for release. Null and NaN readings are missing; no rows give no rows.
+    configured window wait for release. Rows without a time, or two of one series and time, are an error. Null and NaN readings are missing; no rows give no rows.
     """
-    step_rows = staged(steps(obs, strict, span), "steps")
+    step_rows = staged(steps(checked_order(obs), strict, span), "steps")
     if check_window:
         if not active_counts(step_rows.select("series", "us"), config.lag_us, span).filter(F.col("active") > config.max_window).isEmpty():
             raise OverflowError("more rows than max_window wait for release")

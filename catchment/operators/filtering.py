@@ -23,6 +23,7 @@ from ..plans.config import SeriesConfig
 UPPER = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 MEAN, COV = ["m0", "m1", "m2"], [f"p{i}{j}" for i, j in UPPER]
 BEFORE_MEAN, BEFORE_COV = [f"b{c}" for c in MEAN], [f"b{c}" for c in COV]
+SMOOTHED_STATE = [f"s{n}" for n in MEAN + COV]
 INNOVATION = ["v0", "v1", "s00", "s01", "s11"]
 ELEMENT = [f"{n}{i}" for n, k in (("a", 9), ("b", 3), ("c", 9), ("e", 3), ("j", 9)) for i in range(k)]
 
@@ -252,51 +253,124 @@ def smoothed(states: DataFrame, config: SeriesConfig, provisional: bool = False,
 
     A row is released by the first row at least the lag later, and smoothed back from that one.
     Rows not yet released have nulls, or with provisional are smoothed back from the series' last row; with whole,
-    all rows are smoothed back from the last row. Each row carries the row behind it, and
+    all rows are smoothed back from the last row (see smoothed_back). Each row carries the row behind it, and
     rows are copied to the span before as far as the lag reaches, so any row finds all its window in one block.
     """
-    c = config.units.flow_to_volume_per_second
-    lag = config.lag_us
+    if whole:
+        return smoothed_back(states, config, span).select("*", F.lit(None).cast("long").alias("release_us"), F.lit(False).alias("released"))
+    fixed = _smoothed_by_lag(states, config, span)
+    if not provisional:
+        return fixed
+    last = states.groupBy("series").agg(F.max("us").alias("__last"))
+    tail = states.join(last, "series").filter(F.col("us") > F.col("__last") - config.lag_us).drop("__last")
+    values = smoothed_back(tail, config, span).select("series", "us", F.struct(*SMOOTHED_STATE).alias("back"))
+    joined = fixed.join(values, ["series", "us"], "left")
+    return joined.select("series", "us", *[F.when(F.col("released"), F.col(n)).otherwise(F.col(f"back.{n}")).alias(n) for n in SMOOTHED_STATE], "release_us", "released")
+
+
+def _with_row_behind(states: DataFrame, span: int) -> DataFrame:
     ahead = with_next(states, "series", ["dt", *BEFORE_MEAN, *BEFORE_COV, *MEAN, *COV], "next", span)
-    own = span_of("us", span)
-    if whole or provisional:
-        placed = ahead.withColumn("span", F.lit(0).cast("long")).withColumn("own", F.lit(True))
-    else:
-        first = F.floor((F.col("us") - lag) / F.lit(span)).cast("long")
-        placed = ahead.withColumn("at", own).withColumn("span", F.explode(F.sequence(first, F.col("at")))).withColumn("own", F.col("span") == F.col("at")).drop("at")
     nexts = [F.col(f"next.{n}").alias(f"n_{n}") for n in ("us", "dt", *BEFORE_MEAN, *BEFORE_COV, *MEAN, *COV)]
-    flat = placed.select("series", "span", "own", "us", *MEAN, *COV, *nexts)
-    out_names = [f"s{n}" for n in MEAN + COV]
+    return ahead.select("series", span_of("us", span).alias("span"), "us", *MEAN, *COV, *nexts)
+
+
+def _gains(df: pd.DataFrame, c: float) -> tuple[np.ndarray, ...]:
+    """(gain, mean, covariance, mean and covariance predicted for the row behind, whether there is one) of rows that carry the row behind them."""
+    has_next = df["n_us"].notna().to_numpy()
+    m, p = df[MEAN].to_numpy(), unpacked(df[COV].to_numpy())
+    grab = lambda names: np.nan_to_num(df[[f"n_{x}" for x in names]].to_numpy(dtype=float))
+    nb_m, nb_p = grab(BEFORE_MEAN), unpacked(grab(BEFORE_COV))
+    nb_p[~has_next] = np.eye(3)
+    f = transitions(np.nan_to_num(df["n_dt"].to_numpy(dtype=float)), c)
+    return _t(_solved(nb_p, f @ p)), m, p, nb_m, nb_p, has_next
+
+
+def smoothed_back(states: DataFrame, config: SeriesConfig, span: int = SPAN_US) -> DataFrame:
+    """(series, us, sm0..sm2, sp00..sp22): every row smoothed back from its series' last one, in work linear in the rows.
+
+    A row's smoothed state is an affine function (A, e, L) of that of the row behind: A x + e, A P A' + L. As in the filter, the
+    functions of a span compose to one by its own task, the short list of them is run through from the last span, and then all spans
+    are swept back at once from the states behind them.
+    """
+    c = config.units.flow_to_volume_per_second
+    rows = _with_row_behind(states, span)
+    names = [f"a{i}" for i in range(9)] + [f"e{i}" for i in range(3)] + [f"l{i}" for i in range(9)]
+
+    def functions(df: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        gain, m, p, nb_m, nb_p, has_next = _gains(df, c)
+        gain = gain * has_next[:, None, None]
+        return gain, m - (gain @ nb_m[:, :, None])[:, :, 0], _sym(p - gain @ nb_p @ _t(gain))
+
+    def composed(df: pd.DataFrame) -> pd.DataFrame:
+        parts = functions(df)
+        start, size = _groups(df, ["series", "span"])
+        out = [x[start + size - 1].copy() for x in parts]
+        for groups, at in _in_step(start, size):
+            back = 2 * start[groups] + size[groups] - 1 - at
+            inner = back < start[groups] + size[groups] - 1
+            g, i = groups[inner], back[inner]
+            a = parts[0][i]
+            out[2][g] = parts[2][i] + a @ out[2][g] @ _t(a)
+            out[1][g] = parts[1][i] + (a @ out[1][g][:, :, None])[:, :, 0]
+            out[0][g] = a @ out[0][g]
+        head = df.iloc[start]
+        return pd.DataFrame(np.hstack([x.reshape(len(start), -1) for x in out]), columns=names).assign(series=head["series"].to_numpy(), span=head["span"].to_numpy())
+
+    def behind(df: pd.DataFrame) -> pd.DataFrame:
+        x = df[names].to_numpy()
+        a, e, l_ = x[:, :9].reshape(-1, 3, 3), x[:, 9:12], x[:, 12:].reshape(-1, 3, 3)
+        start, size = _groups(df, ["series"])
+        m, p = np.zeros((len(start), 3)), np.zeros((len(start), 3, 3))
+        means, covs = np.empty((len(df), 3)), np.empty((len(df), 3, 3))
+        for groups, at in _in_step(start, size):
+            i = 2 * start[groups] + size[groups] - 1 - at
+            means[i], covs[i] = m[groups], p[groups]
+            m[groups] = e[i] + (a[i] @ m[groups][:, :, None])[:, :, 0]
+            p[groups] = _sym(l_[i] + a[i] @ p[groups] @ _t(a[i]))
+        return pd.DataFrame(np.hstack([means, packed(covs)]), columns=SMOOTHED_STATE).assign(series=df["series"].to_numpy(), span=df["span"].to_numpy())
+
+    def swept(df: pd.DataFrame) -> pd.DataFrame:
+        a, e, l_ = functions(df)
+        start, size = _groups(df, ["series", "span"])
+        m, p = df[SMOOTHED_STATE[:3]].to_numpy()[start], unpacked(df[SMOOTHED_STATE[3:]].to_numpy()[start])
+        means, covs = np.empty((len(df), 3)), np.empty((len(df), 3, 3))
+        for groups, at in _in_step(start, size):
+            i = 2 * start[groups] + size[groups] - 1 - at
+            m[groups] = e[i] + (a[i] @ m[groups][:, :, None])[:, :, 0]
+            p[groups] = _sym(l_[i] + a[i] @ p[groups] @ _t(a[i]))
+            means[i], covs[i] = m[groups], p[groups]
+        return pd.DataFrame(np.hstack([means, packed(covs)]), columns=SMOOTHED_STATE).assign(series=df["series"].to_numpy(), us=df["us"].to_numpy())
+
+    doubles = lambda columns: ", ".join(f"{n} double" for n in columns)
+    elements = by_groups(rows, ["series", "span"], "us", composed, f"{doubles(names)}, series string, span long")
+    tips = by_groups(elements, ["series"], "span", behind, f"{doubles(SMOOTHED_STATE)}, series string, span long")
+    done = by_groups(rows.join(tips, ["series", "span"]), ["series", "span"], "us", swept, f"{doubles(SMOOTHED_STATE)}, series string, us long")
+    return done.select("series", "us", *SMOOTHED_STATE)
+
+
+def _smoothed_by_lag(states: DataFrame, config: SeriesConfig, span: int) -> DataFrame:
+    c, lag = config.units.flow_to_volume_per_second, config.lag_us
+    first = F.floor((F.col("us") - lag) / F.lit(span)).cast("long")
+    placed = _with_row_behind(states, span).withColumn("at", F.col("span")).withColumn("span", F.explode(F.sequence(first, F.col("at"))))
+    flat = placed.withColumn("own", F.col("span") == F.col("at")).drop("at")
 
     def work(df: pd.DataFrame) -> pd.DataFrame:
         n = len(df)
         start, size = _groups(df, ["series", "span"])
         end = np.repeat(start + size, size)
         us = df["us"].to_numpy()
-        has_next = df["n_us"].notna().to_numpy()
-        m, p = df[MEAN].to_numpy(), unpacked(df[COV].to_numpy())
-        grab = lambda names: np.nan_to_num(df[[f"n_{x}" for x in names]].to_numpy(dtype=float))
-        nb_m, nb_p, n_m, n_p = grab(BEFORE_MEAN), unpacked(grab(BEFORE_COV)), grab(MEAN), unpacked(grab(COV))
-        nb_p[~has_next] = np.eye(3)
-        f = transitions(np.nan_to_num(df["n_dt"].to_numpy(dtype=float)), c)
-        gain = _t(_solved(nb_p, f @ p))
+        gain, m, p, nb_m, nb_p, has_next = _gains(df, c)
+        n_m = np.nan_to_num(df[[f"n_{x}" for x in MEAN]].to_numpy(dtype=float))
+        n_p = unpacked(np.nan_to_num(df[[f"n_{x}" for x in COV]].to_numpy(dtype=float)))
         last = np.empty(n, dtype=np.int64)
         for a, k in zip(start, size, strict=True):
             part = us[a : a + k]
             last[a : a + k] = a + np.searchsorted(part, part + lag, side="left") - 1
         released = has_next[last] & (last < end)
-        if whole:
-            released[:] = False
-        final = end - 1
-        tip = np.where(released, last, final)
-        work_rows = released | whole | provisional
         sm, sp = np.full((n, 3), np.nan), np.full((n, 3, 3), np.nan)
-        sm[work_rows & released], sp[work_rows & released] = n_m[last[work_rows & released]], n_p[last[work_rows & released]]
-        at = tip.copy()
-        tail = work_rows & ~released
-        sm[tail], sp[tail] = m[final[tail]], p[final[tail]]
-        at[tail] -= 1
-        rows = np.flatnonzero(work_rows & (at >= np.arange(n)))
+        sm[released], sp[released] = n_m[last[released]], n_p[last[released]]
+        at = last.copy()
+        rows = np.flatnonzero(released & (at >= np.arange(n)))
         while len(rows):
             i = at[rows]
             g = gain[i]
@@ -304,11 +378,10 @@ def smoothed(states: DataFrame, config: SeriesConfig, provisional: bool = False,
             sp[rows] = _sym(p[i] + g @ (sp[rows] - nb_p[i]) @ _t(g))
             at[rows] -= 1
             rows = rows[at[rows] >= rows]
-        keep = df["own"].to_numpy()
-        got = pd.DataFrame(np.hstack([sm, packed(sp)]), columns=out_names).assign(series=df["series"].to_numpy(), us=us, release_us=pd.array(np.where(released, df["n_us"].to_numpy(dtype=float)[last], np.nan)).astype("float"), released=released)
+        got = pd.DataFrame(np.hstack([sm, packed(sp)]), columns=SMOOTHED_STATE).assign(series=df["series"].to_numpy(), us=us, released=released)
         got["release_us"] = pd.array([int(x) if r else None for x, r in zip(df["n_us"].to_numpy()[last], released, strict=True)], dtype="Int64")
-        return got[keep]
+        return got[df["own"].to_numpy()]
 
-    schema = ", ".join(f"{n} double" for n in out_names) + ", series string, us long, release_us long, released boolean"
+    schema = ", ".join(f"{n} double" for n in SMOOTHED_STATE) + ", series string, us long, release_us long, released boolean"
     done = by_groups(flat, ["series", "span"], "us", work, schema)
-    return done.select("series", "us", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in out_names], "release_us", "released")
+    return done.select("series", "us", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in SMOOTHED_STATE], "release_us", "released")

@@ -30,6 +30,30 @@ def order_faults(obs: DataFrame) -> DataFrame:
     return missing.unionByName(repeated.select("series", "us", F.lit("repeated").alias("fault")))
 
 
+def checked_order(obs: DataFrame) -> DataFrame:
+    """obs, if no row breaks the time contract (see order_faults); otherwise an error that names one."""
+    bad = order_faults(obs).orderBy("series", "us").head(1)
+    if bad:
+        raise ValueError(f"every reading needs a series and a time of its own: {bad[0].fault} in series {bad[0].series} at {bad[0].us}")
+    return obs
+
+
+def frame_faults(obs: DataFrame) -> DataFrame:
+    """(series, us, fault): those of order_faults, and series with fewer than two storage readings (us null)."""
+    few = obs.filter("series IS NOT NULL").groupBy("series").agg(F.count("storage").alias("n")).filter("n < 2")
+    return order_faults(obs).unionByName(few.select("series", F.lit(None).cast("long").alias("us"), F.lit("too few storage readings").alias("fault")))
+
+
+def checked_frame(obs: DataFrame) -> DataFrame:
+    """obs, if it has rows and no fault; otherwise an error."""
+    if obs.isEmpty():
+        raise ValueError("the window has no readings")
+    bad = frame_faults(obs).orderBy("series", "us").head(1)
+    if bad:
+        raise ValueError(f"{bad[0].fault} in series {bad[0].series} at {bad[0].us}")
+    return obs
+
+
 def starts(obs: DataFrame) -> DataFrame:
     """(series, first_us, first_storage, first_outflow, second_us, scorable): the two rows that start the filter.
 

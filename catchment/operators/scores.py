@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPAN_US, with_previous
+from ..functions.columns import SPAN_US, correlation, with_previous
 from ..plans.config import ScoreSettings
 from .prepare import elapsed_seconds, in_windows
 
 # Half-widths of central intervals of a standard normal, in deviations.
 CENTRAL = {50: 0.6744897501960817, 90: 1.6448536269514722}
 LOG_TWO_PI = math.log(2 * math.pi)
+CHANNELS = ("storage", "outflow", "conditional_storage")
+MATERIAL = "max_material_elapsed_lag_autocorrelation"
+#: Lags of one series at most.
+MOST_LAGS = 100_000
 #: A 2 x 2 covariance nearer to singular than this is not scored.
 PIVOT = 1e-10
 
@@ -127,35 +131,73 @@ def pooled_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSetting
     )
 
 
-def autocorrelation(rows: DataFrame, value: str, lags: list[int], tolerance_us: int) -> DataFrame:
+def autocorrelation(rows: DataFrame, value: str, lags: list[int] | DataFrame, tolerance_us: int | None = None) -> DataFrame:
     """(series, lag_us, autocorrelation, pair_count) of rows(series, us, value) over all pairs whose distance is lag +- tolerance, both ends included.
 
-    Values are centred on their series' mean; a bin's covariance is divided by the root of both sides' energies; under three
-    pairs, or without energy, it is null. Pairs meet in buckets of time as wide as the tolerance reaches, so no series is compared with itself as a whole.
+    lags are the same for all series, or (series, lag_us, tolerance_us) rows as cadence_lags gives. Values are centred on their
+    series' mean; a bin's covariance is divided by the root of both sides' energies; under three pairs, or without energy, it is
+    null. Pairs meet in buckets of time as wide as the tolerance reaches, so no series is compared with itself as a whole.
     """
     seen = rows.filter(F.col(value).isNotNull()).select("series", "us", F.col(value).alias("x"))
     mean = seen.groupBy("series").agg(F.avg("x").alias("mean"))
-    centred = seen.join(mean, "series").select("series", "us", (F.col("x") - F.col("mean")).alias("x"))
-    width = 2 * tolerance_us + 1
-    sources = centred.select("series", F.col("us").alias("us0"), F.col("x").alias("x0"), F.explode(F.array(*[F.lit(x).cast("long") for x in lags])).alias("lag_us"))
-    low = F.floor((F.col("us0") + F.col("lag_us") - tolerance_us) / F.lit(width)).cast("long")
+    if isinstance(lags, DataFrame):
+        mean = mean.join(lags.groupBy("series").agg(F.array_sort(F.collect_set("lag_us")).alias("lags"), F.max("tolerance_us").alias("tolerance")), "series")
+    else:
+        mean = mean.withColumns({"lags": F.array(*[F.lit(x).cast("long") for x in lags]), "tolerance": F.lit(tolerance_us).cast("long")})
+    centred = seen.join(mean, "series").select("series", "us", (F.col("x") - F.col("mean")).alias("x"), "lags", "tolerance")
+    width = 2 * F.col("tolerance") + 1
+    sources = centred.select("series", F.col("us").alias("us0"), F.col("x").alias("x0"), "tolerance", F.explode("lags").alias("lag_us"))
+    low = F.floor((F.col("us0") + F.col("lag_us") - F.col("tolerance")) / width).cast("long")
     aimed = sources.withColumn("bucket", F.explode(F.array(low, low + 1)))
-    targets = centred.withColumn("bucket", F.floor(F.col("us") / F.lit(width)).cast("long"))
-    near = F.abs(F.col("us") - F.col("us0") - F.col("lag_us")) <= tolerance_us
+    targets = centred.select("series", "us", "x", F.floor(F.col("us") / width).cast("long").alias("bucket"))
+    near = F.abs(F.col("us") - F.col("us0") - F.col("lag_us")) <= F.col("tolerance")
     pairs = aimed.join(targets, ["series", "bucket"]).filter(near & (F.col("us") > F.col("us0")))
     sums = pairs.groupBy("series", "lag_us").agg(F.count("*").alias("pair_count"), F.sum(F.col("x0") * F.col("x")).alias("c"), F.sum(F.col("x0") * F.col("x0")).alias("e0"), F.sum(F.col("x") * F.col("x")).alias("e1"))
-    every = mean.select("series", F.explode(F.array(*[F.lit(x).cast("long") for x in lags])).alias("lag_us"))
+    every = mean.select("series", F.explode("lags").alias("lag_us"))
     power = F.sqrt(F.col("e0") * F.col("e1"))
     return every.join(sums, ["series", "lag_us"], "left").select("series", "lag_us", F.when((F.col("pair_count") >= 3) & (power > 0), F.col("c") / power).alias("autocorrelation"), F.coalesce("pair_count", F.lit(0)).alias("pair_count"))
 
 
-def cadence_lags(rows: DataFrame, max_lag_us: int, span: int = SPAN_US) -> tuple[list[int], int]:
-    """(lags, tolerance): multiples of the shortest interval up to max_lag_us, and a quarter of it, a second at least."""
-    gaps = with_previous(rows.select("series", "us"), "series", ["us"], "before", span).select((F.col("us") - F.col("before.us")).alias("gap"))
-    cadence = gaps.agg(F.min("gap")).first()[0]
-    if cadence is None:
-        return [], 0
-    return list(range(cadence, max_lag_us + (cadence + 1) // 2, cadence)), max(cadence // 4, 1_000_000)
+def cadence_lags(rows: DataFrame, max_lag_us: int, span: int = SPAN_US, most: int = MOST_LAGS) -> DataFrame:
+    """(series, lag_us, tolerance_us): multiples of a series' shortest interval up to max_lag_us, and a quarter of it, a second at least.
+
+    Each series has lags of its own; one that needs over `most` of them is an error that names it. Series of fewer than two times have none.
+    """
+    gaps = with_previous(rows.select("series", "us"), "series", ["us"], "before", span).select("series", (F.col("us") - F.col("before.us")).alias("gap"))
+    least = gaps.filter("gap > 0").groupBy("series").agg(F.min("gap").alias("gap")).withColumn("end", F.expr(f"{max_lag_us}L + (gap + 1) div 2 - 1"))
+    many = F.raise_error(F.concat(F.lit(f"over {most} lags in series "), F.col("series"))).cast("long")
+    checked = least.withColumn("end", F.when(F.expr(f"end div gap > {most}"), many).otherwise(F.col("end"))).filter("end >= gap")
+    return checked.select("series", F.explode(F.sequence("gap", "end", "gap")).alias("lag_us"), F.greatest(F.expr("gap div 4"), F.lit(1_000_000)).alias("tolerance_us"))
+
+
+def positional_lags(rows: DataFrame, estimate: str, upstream: str, lags: list[int]) -> DataFrame:
+    """(series, lag, correlation, pair_count): Pearson's correlation of estimate with upstream `lag` rows earlier (later, if negative), whatever time lies between.
+
+    Rows without a value keep their place; a pair needs both; under two pairs, or for a constant side, the correlation is null.
+    One window per series, so a series is one task: meant for evenly spaced frames, as rows stand for time there.
+    """
+    order = Window.partitionBy("series").orderBy("us")
+    pairs = rows.select("series", F.col(estimate).alias("x"), *[F.lag(upstream, k).over(order).alias(f"y{i}") for i, k in enumerate(lags)])
+    flat = pairs.select("series", "x", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"y{i}").alias("y")) for i, k in enumerate(lags)])).alias("p")).select("series", "x", "p.*")
+    return flat.groupBy("series", "lag").agg(correlation("x", "y").alias("correlation"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("pair_count"))
+
+
+def autocorrelation_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSettings | None = None, span: int = SPAN_US) -> DataFrame:
+    """(series, max_{channel}_elapsed_lag_autocorrelation and _seconds for each channel, max_material_elapsed_lag_autocorrelation).
+
+    Over the counted rows in a series' windows: for the deviations z of storage, outflow and conditional storage, the largest absolute
+    autocorrelation at a multiple of the series' own cadence, and its lag; the material one is the largest of the three.
+    """
+    settings = settings or ScoreSettings()
+    rows = in_windows(scored_rows(scores, _us(settings.warmup)), windows)
+    lags = cadence_lags(rows, _us(settings.max_lag), span)
+    out = rows.select("series").distinct()
+    names = []
+    for channel in CHANNELS:
+        best = largest_autocorrelation(autocorrelation(rows, f"{channel}_z", lags))
+        names.append(f"max_{channel}_elapsed_lag_autocorrelation")
+        out = out.join(best.select("series", F.col("largest").alias(names[-1]), (F.col("lag_us") / 1e6).alias(f"max_{channel}_elapsed_lag_seconds")), "series", "left")
+    return out.withColumn(MATERIAL, F.greatest(*names))
 
 
 def largest_autocorrelation(found: DataFrame) -> DataFrame:
@@ -164,8 +206,8 @@ def largest_autocorrelation(found: DataFrame) -> DataFrame:
     return found.filter("autocorrelation IS NOT NULL").groupBy("series").agg(best.alias("b")).select("series", F.abs("b.autocorrelation").alias("largest"), F.col("b.lag_us").alias("lag_us"))
 
 
-def calibration_warnings(pooled: DataFrame, settings: ScoreSettings | None = None, autocorrelations: DataFrame | None = None) -> DataFrame:
-    """(series, metric, value, low, high) for each metric that is missing or outside its range."""
+def calibration_warnings(pooled: DataFrame, settings: ScoreSettings | None = None) -> DataFrame:
+    """(series, metric, value, low, high) for each metric that is missing or outside its range; the autocorrelation only if pooled has it (see autocorrelation_metrics)."""
     s = settings or ScoreSettings()
     checks: list[tuple[str, float, float]] = []
     if s.nis_range:
@@ -174,9 +216,8 @@ def calibration_warnings(pooled: DataFrame, settings: ScoreSettings | None = Non
         checks += [(m, -s.bias_limit, s.bias_limit) for m in ("storage_bias", "outflow_bias", "conditional_storage_bias")]
     if s.coverage_limit is not None:
         checks += [(f"{c}_coverage_{level}", level / 100 - s.coverage_limit, level / 100 + s.coverage_limit) for c in ("storage", "outflow") for level in CENTRAL]
-    if s.autocorrelation_limit is not None and autocorrelations is not None:
-        pooled = pooled.join(autocorrelations.groupBy("series").agg(F.max("largest").alias("largest_autocorrelation")), "series", "left")
-        checks.append(("largest_autocorrelation", -s.autocorrelation_limit, s.autocorrelation_limit))
+    if s.autocorrelation_limit is not None and MATERIAL in pooled.columns:
+        checks.append((MATERIAL, 0.0, s.autocorrelation_limit))
     if not checks:
         return pooled.select("series", F.lit("").alias("metric"), F.lit(0.0).alias("value"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0)
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(a).alias("low"), F.lit(b).alias("high")) for m, a, b in checks]))

@@ -79,16 +79,41 @@ def _inverse(prefix: str) -> str:
     return ", ".join(f"{v} / {det} AS w{i}{j}" for (i, j), v in cof.items())
 
 
-def smooth_sql(base: str, lag_us: int, c: str) -> str:
-    """CTEs on top of filter_sql: back(series, k, s0, s1, s2), the revised means of released steps."""
+def _gains(c: str) -> str:
+    """Rows of rec but each series' last, with the gains g00 .. g22 and the state predicted for the row behind (nbm, nbp)."""
     move = [["1", "cd", "-cd"], ["0", "1", "0"], ["0", "0", "1"]]
     pf = lambda a, b: "(" + " + ".join(f"{_p(a, x, 'p')} * ({move[b][x]})" for x in range(3)) + ")"
     gain = ", ".join("(" + " + ".join(f"{pf(a, x)} * {_p(x, b, 'w')}" for x in range(3)) + f") AS g{a}{b}" for a in range(3) for b in range(3))
     nxt = ", ".join(f"lead({x}) OVER w AS n{x}" for x in ["bm0", "bm1", "bm2", *[_p(i, j, "bp") for i, j in PAIRS]])
     ahead = f"SELECT *, {nxt}, {c} * lead(dt) OVER w AS cd FROM rec WINDOW w AS (PARTITION BY series ORDER BY n)"
-    gains = f"SELECT series, n, m0, m1, m2, nbm0, nbm1, nbm2, {gain} FROM (SELECT *, {_inverse('nbp')} FROM ({ahead}) WHERE cd IS NOT NULL)"
-    step = ", ".join(f"t.m{a} + " + " + ".join(f"t.g{a}{b} * (back.s{b} - t.nbm{b})" for b in range(3)) + f" AS s{a}" for a in range(3))
-    return f"""{base}, gains AS ({gains}),
+    states = ", ".join([_p(i, j, "p") for i, j in PAIRS] + [_p(i, j, "nbp") for i, j in PAIRS])
+    return f"SELECT series, n, m0, m1, m2, nbm0, nbm1, nbm2, {states}, {gain} FROM (SELECT *, {_inverse('nbp')} FROM ({ahead}) WHERE cd IS NOT NULL)"
+
+
+def _step_back(t: str, back: str, covariances: bool) -> str:
+    """The smoothed state s0 .. s2 (and v00 .. v22) of row t out of that of the row behind it."""
+    means = [f"{t}.m{a} + " + " + ".join(f"{t}.g{a}{b} * ({back}.s{b} - {t}.nbm{b})" for b in range(3)) + f" AS s{a}" for a in range(3)]
+    if covariances:
+        change = lambda a, b: " + ".join(f"{t}.g{a}{x} * ({back}.{_p(x, y, 'v')} - {t}.{_p(x, y, 'nbp')}) * {t}.g{b}{y}" for x in range(3) for y in range(3))
+        means += [f"{t}.{_p(a, b, 'p')} + {change(a, b)} AS v{a}{b}" for a, b in PAIRS]
+    return ", ".join(means)
+
+
+def _first_state(x: str, covariances: bool) -> str:
+    return ", ".join([f"{x}.m{a} AS s{a}" for a in range(3)] + ([f"{x}.{_p(a, b, 'p')} AS v{a}{b}" for a, b in PAIRS] if covariances else []))
+
+
+def smooth_sql(base: str, lag_us: int, c: str, covariances: bool = False) -> str:
+    """CTEs on top of filter_sql: back(series, k, j, s0, s1, s2), the revised means (and covariances v00 .. v22) of released steps."""
+    return f"""{base}, gains AS ({_gains(c)}),
 release AS (SELECT a.series, a.n AS k, min(b.n) AS at FROM rec a JOIN rec b ON a.series = b.series AND b.us >= a.us + {lag_us} GROUP BY a.series, a.n),
-back AS (SELECT r.series, r.k, r.at AS j, x.m0 AS s0, x.m1 AS s1, x.m2 AS s2 FROM release r JOIN rec x ON x.series = r.series AND x.n = r.at
-  UNION ALL SELECT back.series, back.k, t.n AS j, {step} FROM back JOIN gains t ON t.series = back.series AND t.n = back.j - 1 WHERE back.j > back.k)"""
+back AS (SELECT r.series, r.k, r.at AS j, {_first_state('x', covariances)} FROM release r JOIN rec x ON x.series = r.series AND x.n = r.at
+  UNION ALL SELECT back.series, back.k, t.n AS j, {_step_back('t', 'back', covariances)} FROM back JOIN gains t ON t.series = back.series AND t.n = back.j - 1 WHERE back.j > back.k)"""
+
+
+def whole_sql(base: str, c: str) -> str:
+    """CTEs on top of filter_sql, which may hold gains already: whole(series, n, s0, s1, s2, v00 .. v22), all steps smoothed back from the last."""
+    gains = f", gains AS ({_gains(c)})" if "gains AS (" not in base else ""
+    return f"""{base}{gains}, tips AS (SELECT series, max(n) AS n FROM rec GROUP BY series),
+whole AS (SELECT x.series, x.n, {_first_state('x', True)} FROM tips JOIN rec x ON x.series = tips.series AND x.n = tips.n
+  UNION ALL SELECT whole.series, t.n, {_step_back('t', 'whole', True)} FROM whole JOIN gains t ON t.series = whole.series AND t.n = whole.n - 1)"""

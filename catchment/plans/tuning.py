@@ -10,16 +10,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPAN_US
+from ..functions.columns import SPAN_US, finite
+from ..functions.units import hourly_sd_of_q, q_of_hourly_sd
 from ..operators.filtering import filtered
-from ..operators.prepare import steps
-from ..operators.reading_noise import POOLED, reading_noise
-from ..operators.scores import calibration_warnings, pooled_metrics, row_scores, scored_rows, validity, window_scores
+from ..operators.prepare import checked_order, in_windows, steps
+from ..operators.reading_noise import POOLED, ProxySettings, proxy_check, reading_noise, reading_noise_warnings
+from ..operators.scores import autocorrelation_metrics, calibration_warnings, pooled_metrics, row_scores, scored_rows, validity, window_scores
+from ..sources.shared import staged
 from .config import ScoreSettings, SeriesConfig, Window, checked_windows
 
 TERMS = ("q_storage", "q_inflow", "q_outflow", "r_storage", "r_outflow")
 
 
+#: Warnings of a kind that a tuning names.
+MOST_WARNINGS = 100
+
+
 class TuningError(RuntimeError):
     """No candidate could be used."""
 
@@ -76,11 +82,12 @@ def candidate_scores(step_rows: DataFrame, config: SeriesConfig, candidates: lis
 
 
 def objective(scores: DataFrame, windows: DataFrame, settings: ScoreSettings) -> DataFrame:
-    """(candidate, series, objective, reasons): the weighted mean of the windows' joint densities; null if not valid."""
+    """(candidate, series, objective, total, reasons): the weighted mean of the windows' joint densities, and their sum over all components without weights; null if not valid."""
     rows = window_scores(scores, windows, settings, ("candidate",))
     ok = validity(rows, settings, ("candidate",))
-    mean = rows.join(windows.select("series", "name", "weight"), ["series", "name"]).groupBy("series", "candidate").agg(F.sum(F.col("joint_nlpd") * F.col("weight")).alias("mean"))
-    return ok.join(mean, ["series", "candidate"]).select("candidate", "series", F.when(F.col("valid"), F.col("mean")).alias("objective"), "reasons")
+    mean = rows.join(windows.select("series", "name", "weight"), ["series", "name"]).groupBy("series", "candidate").agg(F.sum(F.col("joint_nlpd") * F.col("weight")).alias("mean"), F.sum(F.col("joint_nlpd") * F.col("joint_count")).alias("sum"))
+    valid = lambda c, name: F.when(F.col("valid"), F.col(c)).alias(name)
+    return ok.join(mean, ["series", "candidate"]).select("candidate", "series", valid("mean", "objective"), valid("sum", "total"), "reasons")
 
 
 def evaluate(obs: DataFrame, config: SeriesConfig, windows: list[Window] | None = None, settings: ScoreSettings | None = None, span: int = SPAN_US) -> dict[str, DataFrame]:
@@ -93,9 +100,9 @@ def evaluate(obs: DataFrame, config: SeriesConfig, windows: list[Window] | None
         low, high = obs.agg(F.min("us"), F.max("us")).first()
         windows = [Window("all-data", low or 0, (high or 0) + 1)]
     frame = windows_frame(obs, windows)
-    scores = row_scores(filtered(steps(obs, span=span), config, span))
+    scores = staged(row_scores(filtered(staged(steps(checked_order(obs), span=span), "steps"), config, span)), "scores")
     rows = window_scores(scores, frame, settings)
-    pooled = pooled_metrics(scores, frame, settings, span)
+    pooled = staged(pooled_metrics(scores, frame, settings, span).join(autocorrelation_metrics(scores, frame, settings, span), "series", "left"), "pooled")
     return {"rows": scored_rows(scores, int(settings.warmup.total_seconds() * 1e6)), "windows": rows, "pooled": pooled, "validity": validity(rows, settings), "warnings": calibration_warnings(pooled, settings)}
 
 
@@ -107,6 +114,7 @@ class Search:
         self.low = np.log([bounds[t][0] for t in TERMS])
         self.high = np.log([bounds[t][1] for t in TERMS])
         self.known: dict[tuple, float] = {}
+        self.totals: dict[tuple, float] = {}
         self.reasons: dict[tuple, list] = {}
         self.passes = 0
 
@@ -120,9 +128,10 @@ class Search:
         """The objectives, infinite for candidates that can't be used. Several series count by their mean."""
         new = [c for c in dict.fromkeys(candidates) if c.values not in self.known]
         for part in [new[i : i + 16] for i in range(0, len(new), 16)]:
-            rows = objective(candidate_scores(self.step_rows, self.base, part), self.windows, self.settings).groupBy("candidate").agg(F.avg("objective").alias("mean"), F.count_if(F.col("objective").isNull()).alias("bad"), F.first("reasons").alias("reasons")).collect()
+            rows = objective(candidate_scores(self.step_rows, self.base, part), self.windows, self.settings).groupBy("candidate").agg(F.avg("objective").alias("mean"), F.sum("total").alias("total"), F.count_if(F.col("objective").isNull()).alias("bad"), F.first("reasons").alias("reasons")).collect()
             for r in rows:
                 self.known[part[r.candidate].values] = math.inf if r.bad or r["mean"] is None else r["mean"]
+                self.totals[part[r.candidate].values] = math.inf if r.bad or r.total is None else r.total
                 self.reasons[part[r.candidate].values] = list(r.reasons)
             self.passes += len(part)
             if self.progress:
@@ -154,7 +163,10 @@ class Search:
 
 
 def identifiability(search: Search, chosen: Candidate, step: float) -> dict:
-    """Standard errors and correlations of the logarithms of the terms not at a bound, by a central-difference Hessian of 2 n squared + 1 points."""
+    """Standard errors and correlations of the logarithms of the terms not at a bound, by a central-difference Hessian of 2 n squared + 1 points.
+
+    The Hessian is that of the whole negative log density of all scored readings, so window weights don't enter.
+    """
     x = search.point(chosen)
     free = [i for i in range(len(TERMS)) if 1e-6 < x[i] < 1 - 1e-6]
     if not free:
@@ -170,13 +182,13 @@ def identifiability(search: Search, chosen: Candidate, step: float) -> dict:
                     d[free[b]] += t * step / (2 if a == b else 1)
                     shifts[a, b, s, t] = Candidate(tuple(np.exp(base + d).tolist()))
     keys = list(shifts)
-    found = dict(zip(keys, search.values([shifts[k] for k in keys], "identifiability"), strict=True))
-    n = _scored_components(search)
+    search.values([shifts[k] for k in keys], "identifiability")
+    found = {k: search.totals.get(shifts[k].values, math.inf) for k in keys}
     h = np.zeros((len(free), len(free)))
     for a in range(len(free)):
         for b in range(a, len(free)):
             value = found[a, b, 1, 1] - found[a, b, 1, -1] - found[a, b, -1, 1] + found[a, b, -1, -1]
-            h[a, b] = h[b, a] = value * n / (step**2 if a == b else 4 * step**2)
+            h[a, b] = h[b, a] = value / (step**2 if a == b else 4 * step**2)
     names = [TERMS[i] for i in free]
     if not np.isfinite(h).all() or np.linalg.eigvalsh(h)[0] <= 0:
         return {"free": names, "standard_errors": {}, "correlations": {}, "warnings": ["the objective is not curved in every term"]}
@@ -188,12 +200,6 @@ def identifiability(search: Search, chosen: Candidate, step: float) -> dict:
     return {"free": names, "standard_errors": dict(zip(names, se.tolist(), strict=True)), "correlations": {f"{a}/{b}": v for (a, b), v in pairs.items()}, "warnings": warnings}
 
 
-def _scored_components(search: Search) -> int:
-    scores = row_scores(filtered(search.step_rows, search.base))
-    rows = window_scores(scores, search.windows, search.settings)
-    return int(rows.agg(F.sum("joint_count")).first()[0] or 0)
-
-
 def standard_error(values: np.ndarray, weights: np.ndarray) -> float:
     """Of a weighted mean over windows, by the unbiased weighted variance; zero for a single window."""
     w = np.asarray(weights, dtype=float) / np.sum(weights)
@@ -213,34 +219,74 @@ def paired_error(differences: np.ndarray, weights: np.ndarray, settings: ScoreSe
     return float(np.std(means, ddof=1))
 
 
-def starting_points(base: np.ndarray) -> list[np.ndarray]:
-    """The base and four others: the cube's middle, inflow noise low and high, and reading noise low."""
+def starting_points(base: np.ndarray, seeds: list[float] | None = None, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[np.ndarray]:
+    """The base and four others: the cube's middle, inflow noise low and high, and reading noise low; or one for each hourly inflow deviation of seeds."""
     middle = np.full(len(base), 0.5)
-    low, high, still = middle.copy(), middle.copy(), middle.copy()
-    low[1], high[1], still[3:] = 0.15, 0.85, 0.15
-    return [base, middle, low, high, still]
+    if seeds:
+        out = [base]
+        for sd in seeds:
+            x = middle.copy()
+            x[1] = np.clip((math.log(q_of_hourly_sd(sd)) - low[1]) / (high[1] - low[1]), 0, 1)
+            out.append(x)
+        return out
+    small, large, still = middle.copy(), middle.copy(), middle.copy()
+    small[1], large[1], still[3:] = 0.15, 0.85, 0.15
+    return [base, middle, small, large, still]
+
+
+def _compared(search: Search, base: Candidate, chosen: Candidate) -> tuple[DataFrame, float | None, float | None]:
+    """(window frame of both, weighted gain of chosen over base per component, its paired standard error); no gain if the base can't be used."""
+    scores = candidate_scores(search.step_rows, search.base, [base, chosen])
+    rows = staged(window_scores(scores, search.windows, search.settings, ("candidate",)).join(search.windows.select("series", "name", "weight"), ["series", "name"]), "windows")
+    frame = rows.select(F.when(F.col("candidate") == 0, "base").otherwise("selected").alias("role"), *[c for c in rows.columns if c not in ("candidate", "weight", "unscorable_count")])
+    if not math.isfinite(search.known.get(base.values, math.inf)):
+        return frame, None, None
+    # One row a window, whatever the number of series.
+    means = rows.groupBy("name", "candidate").agg(F.avg("joint_nlpd").alias("loss"), F.avg("weight").alias("weight"))
+    pairs = means.filter("candidate = 0").alias("a").join(means.filter("candidate = 1").alias("b"), "name").select("name", (F.col("a.loss") - F.col("b.loss")).alias("gain"), "a.weight").orderBy("name").collect()
+    gains, weights = np.array([r.gain for r in pairs], dtype=float), np.array([r.weight for r in pairs], dtype=float)
+    if not len(gains) or not np.isfinite(gains).all():
+        return frame, None, None
+    return frame, float(weights @ gains), paired_error(gains, weights, search.settings)
+
+
+def proxy_frame(search: Search, candidates: dict[str, Candidate], proxy: DataFrame, settings: ProxySettings | None = None) -> DataFrame:
+    """proxy_check of each candidate's causal inflow against proxy(series, us, proxy), over the scored rows of the windows only."""
+    out = None
+    for name, c in candidates.items():
+        scores = row_scores(filtered(search.step_rows, c.config(search.base)))
+        rows = in_windows(scored_rows(scores, int(search.settings.warmup.total_seconds() * 1e6)), search.windows).select("series", "us", F.col("m1").alias("estimate"))
+        both = rows.join(proxy.select("series", "us", finite("proxy").alias("proxy")), ["series", "us"], "full")
+        one = proxy_check(both, settings).withColumn("candidate", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return staged(out, "proxies")
 
 
-def tune(obs: DataFrame, base: SeriesConfig, windows: list[Window], settings: ScoreSettings | None = None, tuning: TuningSettings | None = None, progress: Callable[[str, int], None] | None = None) -> dict:
+def tune(obs: DataFrame, base: SeriesConfig, windows: list[Window], settings: ScoreSettings | None = None, tuning: TuningSettings | None = None, progress: Callable[[str, int], None] | None = None, proxy: DataFrame | None = None, seeds: list[float] | None = None, version: str | None = None) -> dict:
     """The noise setting with the least weighted joint density over three windows or more.
 
-    Starting points are scored in one job, the best are refined, and the least objective wins, an optimum before the
-    base of equal ones. Returns the proposed configuration, objectives, errors, warnings and the
-    table of candidates; nothing is stored. progress(phase, passes) may raise to stop.
+    Starting points (one for each hourly inflow deviation of seeds, if given) are scored in one job, the best are refined, and the least
+    objective wins, an optimum before the base of equal ones. Returns the proposed configuration, the objectives, the gain over the base
+    with its paired error, identifiability, the frames of candidates, windows, reading noise and, with proxy(series, us, proxy), of the proxy
+    check, and all warnings, which never change the selection. Nothing is stored. progress(phase, passes) may raise to stop.
     """
     settings, tuning = settings or ScoreSettings(), tuning or TuningSettings()
     if len(windows) < 3:
         raise ValueError("tuning needs three windows or more")
+    version = version or f"{base.version}-tuned"
+    if version == base.version:
+        raise ValueError("the proposal needs a version of its own")
     base_c = of_config(base)
     bounds = {t: (v * tuning.bounds[t][0], v * tuning.bounds[t][1]) for t, v in zip(TERMS, base_c.values, strict=True)}
-    frame = windows_frame(obs, windows)
-    measured = None
+    frame = staged(windows_frame(obs, windows), "frame")
+    noise, measured = None, None
     if tuning.estimate_r_storage:
-        measured = reading_noise(obs, frame.select("series", "name", "start_us", "end_us")).filter(F.col("window") == POOLED).agg(F.median("r_storage")).first()[0]
+        noise = staged(reading_noise(obs, frame.select("series", "name", "start_us", "end_us")), "noise")
+        measured = noise.filter(F.col("window") == POOLED).agg(F.median("r_storage")).first()[0]
         if measured:
             bounds["r_storage"] = (measured / tuning.r_storage_factor, measured * tuning.r_storage_factor)
-    search = Search(steps(obs).persist(), base, frame, settings, bounds, progress)
-    starts = starting_points(search.point(base_c))
+    search = Search(staged(steps(checked_order(obs)), "steps"), base, frame, settings, bounds, progress)
+    starts = starting_points(search.point(base_c), seeds, search.low, search.high)
     found = search.values([search.candidate(x) for x in starts] + [base_c], "screening")
     best = [starts[i] for i in np.argsort(found[:-1], kind="stable")[: tuning.local_searches] if math.isfinite(found[i])]
     ends = [search.candidate(search.local(x, tuning.rounds)) for x in best]
@@ -248,11 +294,30 @@ def tune(obs: DataFrame, base: SeriesConfig, windows: list[Window], settings: Sc
     if not np.isfinite(values).any():
         raise TuningError("; ".join(sorted({r for x in search.reasons.values() for r in x})) or "no candidate could be used")
     k = int(np.argmin(values))
-    chosen = [*ends, base_c][k]
+    kept, chosen = k == len(ends), [*ends, base_c][k]
     identified = identifiability(search, chosen, tuning.hessian_step) if tuning.check_identifiability else None
     tables = evaluate(obs, chosen.config(base), windows, settings)
     x = search.point(chosen)
-    at_bound = [t for t, v in zip(TERMS, x, strict=True) if v < 1e-6 or v > 1 - 1e-6]
-    proposed = replace(chosen.config(base), version=f"{base.version}-tuned", metadata=dict(base.metadata) | {"tuned_from": base.version})
-    candidates = obs.sparkSession.createDataFrame([(*v, None if math.isinf(o) else float(o)) for v, o in search.known.items()], ", ".join(f"{t} double" for t in TERMS) + ", objective double")
-    return {"config": proposed, "objective": float(values[k]), "base_objective": float(values[-1]), "improved": bool(values[k] < values[-1]), "at_bound": at_bound, "measured_r_storage": measured, "identifiability": identified, "candidates": candidates, "passes": search.passes, **tables}
+    at_bound = [] if kept else [t for t, v in zip(TERMS, x, strict=True) if v < 1e-6 or v > 1 - 1e-6]
+    pair_frame, gain, error = _compared(search, base_c, chosen)
+    proxies = proxy_frame(search, {"base": base_c} | {f"search-{i + 1}": c for i, c in enumerate(ends)}, proxy) if proxy is not None else None
+    name = "base" if kept else f"search-{k + 1}"
+    warnings = _gain_warnings(kept, gain, error) + [f"the search ended at the bounds of {', '.join(at_bound)}"] * bool(at_bound) + ["with fewer than five windows, errors are weak"] * (len(windows) < 5)
+    warnings += [f"calibration of {r.series}: {r.metric} is {r.value}" for r in tables["warnings"].orderBy("series", "metric").limit(MOST_WARNINGS).collect()]
+    warnings += identified["warnings"] if identified else []
+    if noise is not None:
+        warnings += [f"reading noise of {r[0]}: {r[-1]}" for r in reading_noise_warnings(noise).limit(MOST_WARNINGS).collect()]
+    if proxies is not None and not proxies.filter((F.col("candidate") == name) & ~F.col("proxy_check_passed")).isEmpty():
+        warnings.append("the selected setting doesn't follow the proxy's shape or timing")
+    selection = {"candidate": name, "objective": float(values[k]), "base_objective": float(values[-1]), "gain_error": error, "measured_r_storage": measured}
+    proposed = replace(chosen.config(base), version=version, metadata=dict(base.metadata) | {"tuned_from": base.version, "selection": selection})
+    candidates = obs.sparkSession.createDataFrame([(*v, None if math.isinf(o) else float(o), v == chosen.values, "; ".join(search.reasons.get(v, []))) for v, o in search.known.items()], ", ".join(f"{t} double" for t in TERMS) + ", objective double, selected boolean, reasons string").withColumn("inflow_increment_sd", hourly_sd_of_q("q_inflow"))
+    return {"config": proposed, "objective": float(values[k]), "base_objective": float(values[-1]), "improved": bool(values[k] < values[-1]), "improvement": gain, "improvement_error": error, "at_bound": at_bound, "measured_r_storage": measured, "identifiability": identified, "candidates": candidates, "compared_windows": pair_frame, "reading_noise": noise, "proxies": proxies, "selection_warnings": list(dict.fromkeys(warnings)), "passes": search.passes, **tables}
+
+
+def _gain_warnings(kept: bool, gain: float | None, error: float | None) -> list[str]:
+    if kept:
+        return ["no search did better than the base, which is kept"]
+    if gain is None:
+        return ["the base couldn't be scored, so the gain over it is unknown"]
+    return [] if gain > error else [f"the gain over the base, {gain:.4g}, is within its error of {error:.4g}"]

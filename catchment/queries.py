@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .functions.columns import micros, with_previous
-from .functions.units import SI, US, valid_flow
+from .functions.units import SI, US, hourly_sd_of_q, valid_flow
 from .operators import align, estimate, prepare, reading_noise, scores, validation
 from .operators.filtering import filtered, smoothed
 from .plans import tuning
@@ -26,6 +26,8 @@ SETTINGS = ScoreSettings(warmup=timedelta(days=2))
 FACTOR = "(CAST(1 AS DOUBLE) / CAST(43560 AS DOUBLE))"
 # 2024-01-01; the events table covers the thirty days behind it.
 START_US = 1_704_067_200_000_000
+LAG_HOURS = 48
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +100,13 @@ def inflow_estimate(spark, sf_dir):
 def inflow_intervals(spark, sf_dir):
     """Estimates with standard deviations and 95 % intervals."""
     out = estimate.with_intervals(estimate.estimate(event_observations(spark, sf_dir), CONFIG, uncertainty=True), 0.95)
-    return _rounded(out, *[c for c in out.columns if c.endswith(("inflow", "deviation", "lower", "upper"))])
+    return _rounded(out, *[c for c in out.columns if c.endswith(("inflow", "deviation", "lower", "upper"))], digits=4)
+
+
+def inflow_provisional(spark, sf_dir):
+    """Estimates in which rows that wait for release are smoothed back from their series' last row."""
+    out = estimate.estimate(event_observations(spark, sf_dir), CONFIG, provisional=True)
+    return _rounded(out.select("series", "us", "revised_inflow", "revised_inflow_flag", "revised_inflow_smoothing_flag"), "revised_inflow", digits=4)
 
 
 def inflow_revised(spark, sf_dir):
@@ -108,7 +116,13 @@ def inflow_revised(spark, sf_dir):
 
 def inflow_smoothed_whole(spark, sf_dir):
     out = smoothed(estimate.states(event_observations(spark, sf_dir), CONFIG), CONFIG, whole=True)
-    return _rounded(out.select("series", "us", F.col("sm1").alias("smoothed_inflow"), F.sqrt("sp11").alias("deviation")), "smoothed_inflow", "deviation")
+    return _rounded(out.select("series", "us", F.col("sm1").alias("smoothed_inflow"), F.sqrt("sp11").alias("deviation")), "smoothed_inflow", "deviation", digits=4)
+
+
+def smoothed_in_spans(spark, sf_dir):
+    """Whole smoothing with spans of two days composed, which must give what one span gives."""
+    out = smoothed(estimate.states(event_observations(spark, sf_dir), CONFIG), CONFIG, whole=True, span=2 * DAY_US)
+    return _rounded(out.select("series", "us", F.col("sm1").alias("smoothed_inflow")), "smoothed_inflow", digits=4)
 
 
 def inflow_log_likelihood(spark, sf_dir):
@@ -207,6 +221,32 @@ def innovation_autocorrelation(spark, sf_dir):
     return _rounded(found, "largest", digits=5)
 
 
+def cadence_autocorrelation(spark, sf_dir):
+    """Autocorrelation at the multiples of each series' own shortest interval."""
+    rows = _even(spark, sf_dir)
+    return _rounded(scores.autocorrelation(rows, "storage", scores.cadence_lags(rows, DAY_US)), "autocorrelation", digits=5)
+
+
+def positional_lags(spark, sf_dir):
+    """Outflow against storage by rows, three earlier to three later."""
+    rows = event_observations(spark, sf_dir)
+    return _rounded(scores.positional_lags(rows, "outflow", "storage", list(range(-3, 4))), "correlation", digits=5)
+
+
+def frame_faults(spark, sf_dir):
+    """Faults of ten-minute readings, twenty series to a user: repeated times and series with too few storage readings."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    us = F.floor(micros("ts") / 600_000_000) * 600_000_000
+    obs = e.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.expr("cast(event_id % 20 AS string)")).alias("series"), us.cast("long").alias("us"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("storage"))
+    return prepare.frame_faults(obs)
+
+
+def noise_units(spark, sf_dir):
+    """Hourly deviations of the values taken as noise per second."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value IS NOT NULL")
+    return _rounded(e.select("event_id", hourly_sd_of_q(F.abs("value")).alias("hourly_sd")), "hourly_sd", digits=5)
+
+
 def _even(spark, sf_dir):
     """Hourly sums of the events' values, a series per type: dense and mostly evenly spaced."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -234,6 +274,32 @@ def proxy_check(spark, sf_dir):
     return _rounded(out, "proxy_shape_correlation", "proxy_change_correlation")
 
 
+def exported_sources(spark, sf_dir):
+    """The sources written as exports (header lines, CSV) and read back: clean series."""
+    return gauges.clean(_exports(spark, sf_dir)[0])
+
+
+def exported_audit(spark, sf_dir):
+    """The audit of the same exports, with their header fields."""
+    rows, heads = _exports(spark, sf_dir)
+    return _rounded(gauges.source_audit(rows, headers=heads).drop("path"), "finite_value_fraction", "median_interval_min")
+
+
+def _exports(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(readings, headers) of one export per event type: the types' rows as text lines in the order of event_id, with three header lines."""
+    own = _sources(spark, sf_dir)
+    text = F.concat(F.coalesce(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("unknown")), F.lit(","), F.coalesce(F.col("value").cast("string"), F.lit("---")))
+    lines = own.select("name", "row", text.alias("value"))
+    heads = [f"# Time-series identifier: {{}}", "# Location:  here ", "# Value units: ft", f"{gauges.TIME},{gauges.VALUE}"]
+    paths = {}
+    for name in EVENT_TYPES:
+        paths[name] = new_dir(spark, f"export-{name}")
+        top = spark.createDataFrame([(i - len(heads), h.format(name)) for i, h in enumerate(heads)], "row long, value string")
+        # One export is one file, as an agency's download is.
+        lines.filter(F.col("name") == name).select("row", "value").unionByName(top).repartition(1).sortWithinPartitions("row").select("value").write.text(paths[name])
+    return gauges.read_sources(spark, paths)
+
+
 def clean_sources(spark, sf_dir):
     return gauges.clean(_sources(spark, sf_dir))
 
@@ -318,18 +384,18 @@ def proxy_agreement(spark, sf_dir):
 
 
 def lag_curve(spark, sf_dir):
-    return _rounded(validation.lagged_correlations(_estimates(spark, sf_dir), 12, 3), "correlation", digits=5)
+    return _rounded(validation.lagged_correlations(_estimates(spark, sf_dir), LAG_HOURS, 3), "correlation", digits=5)
 
 
 def best_lags(spark, sf_dir):
-    out = validation.best_lags(validation.lagged_correlations(_estimates(spark, sf_dir), 12, 3))
+    out = validation.best_lags(validation.lagged_correlations(_estimates(spark, sf_dir), LAG_HOURS, 3))
     return _rounded(out, "zero_lag_pearson_correlation", "max_correlation", "improvement_over_zero_lag", digits=5)
 
 
 def frozen_lags(spark, sf_dir):
     rows = _estimates(spark, sf_dir)
     split = START_US + 15 * DAY_US
-    curves = [validation.lagged_correlations(validation.between(rows, p), 12, 3) for p in ((None, split), (split + validation.HOUR_US, None))]
+    curves = [validation.lagged_correlations(validation.between(rows, p), LAG_HOURS, 3) for p in ((None, split), (split + validation.HOUR_US, None))]
     return _rounded(validation.frozen_lags(*curves), "zero_lag_pearson_correlation", "max_correlation", "improvement_over_zero_lag", digits=5)
 
 
@@ -361,6 +427,18 @@ def inflow_stream(spark, sf_dir):
     return _rounded(spark.read.schema(stream_schema()).parquet(out), "value", digits=4).filter("kind <> 'rejected'").select("series", "us", "kind", "value", "prediction_flag", "smoothing_flag")
 
 
+def stream_rejected(spark, sf_dir):
+    """Readings that come a second time, behind all others of their series: the stream must reject each."""
+    folder, out, check = (new_dir(spark, n) for n in ("readings", "stream", "offsets"))
+    obs = event_observations(spark, sf_dir)
+    obs.repartition(1).write.parquet(folder)
+    obs.filter("us div 1000000 % 7 = 0").repartition(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(prepare.OBSERVATION).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = stream_estimates(stream, CONFIG).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream_schema()).parquet(out).filter("kind = 'rejected'").select("series", "us", "kind")
+
+
 def stream_schema() -> str:
     from .streaming.inflow import OUTPUT
 
@@ -376,9 +454,9 @@ def filter_in_spans(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        observations, order_faults, filter_steps, model_steps, inflow_filtered, inflow_estimate, inflow_intervals, inflow_revised, inflow_smoothed_whole, inflow_log_likelihood, filter_in_spans, inflow_stream,
+        observations, order_faults, filter_steps, model_steps, inflow_filtered, inflow_estimate, inflow_intervals, inflow_revised, inflow_smoothed_whole, smoothed_in_spans, inflow_provisional, inflow_log_likelihood, filter_in_spans, inflow_stream, stream_rejected,
         release_times, active_counts, validation_windows, window_faults, window_capacity, row_scores, window_scores, pooled_metrics, inflow_changes, calibration_warnings, candidate_validity, noise_screening,
-        autocorrelation, innovation_autocorrelation, reading_noise_table, reading_noise_warnings, proxy_check, clean_sources, source_audit, asof_aligned, combined_outflow, window_audit,
+        autocorrelation, innovation_autocorrelation, cadence_autocorrelation, positional_lags, frame_faults, noise_units, exported_sources, exported_audit, reading_noise_table, reading_noise_warnings, proxy_check, clean_sources, source_audit, asof_aligned, combined_outflow, window_audit,
         outer_aligned, shared_times, unmatched_times, validation_frame, proxy_agreement, lag_curve, best_lags, frozen_lags, storage_closure, inflow_behavior, unit_conversions,
     )
 }
@@ -417,10 +495,10 @@ _CORR = "CASE WHEN count(*) >= 3 AND least(stddev_pop(value), stddev_pop(upstrea
 
 
 def _curve(source: str, name: str) -> str:
-    return f"""{name}_pairs AS (SELECT a.series, a.estimate, l.lag_hours, a.value, b.upstream_flow FROM {source} b, (SELECT CAST(unnest(generate_series(-12, 12)) AS INT) AS lag_hours) l, {source} a
+    return f"""{name}_pairs AS (SELECT a.series, a.estimate, l.lag_hours, a.value, b.upstream_flow FROM {source} b, (SELECT CAST(unnest(generate_series({-LAG_HOURS}, {LAG_HOURS})) AS INT) AS lag_hours) l, {source} a
   WHERE a.series = b.series AND a.estimate = b.estimate AND a.us = b.us + CAST(l.lag_hours AS BIGINT) * 3600000000 AND a.value IS NOT NULL AND b.upstream_flow IS NOT NULL),
 {name}_found AS (SELECT series, estimate, lag_hours, {_CORR} AS correlation, count(*) AS paired_observations FROM {name}_pairs GROUP BY 1, 2, 3),
-{name} AS (SELECT k.series, k.estimate, k.lag_hours, correlation, coalesce(paired_observations, 0) AS paired_observations FROM (SELECT * FROM (SELECT DISTINCT series, estimate FROM {source}), (SELECT CAST(unnest(generate_series(-12, 12)) AS INT) AS lag_hours)) k LEFT JOIN {name}_found f USING (series, estimate, lag_hours)),
+{name} AS (SELECT k.series, k.estimate, k.lag_hours, correlation, coalesce(paired_observations, 0) AS paired_observations FROM (SELECT * FROM (SELECT DISTINCT series, estimate FROM {source}), (SELECT CAST(unnest(generate_series({-LAG_HOURS}, {LAG_HOURS})) AS INT) AS lag_hours)) k LEFT JOIN {name}_found f USING (series, estimate, lag_hours)),
 {name}_best AS (SELECT series, estimate, max(CASE WHEN lag_hours = 0 THEN correlation END) AS zero FROM {name} GROUP BY 1, 2),
 {name}_top AS (SELECT *, row_number() OVER (PARTITION BY series, estimate ORDER BY round(correlation, 12) DESC, abs(lag_hours), lag_hours) AS rn FROM {name} WHERE correlation IS NOT NULL),
 {name}_lags AS (SELECT b.series, b.estimate, zero, t.correlation AS top, t.lag_hours AS lag, coalesce(t.paired_observations, 0) AS n FROM {name}_best b LEFT JOIN (SELECT * FROM {name}_top WHERE rn = 1) t USING (series, estimate))"""
@@ -438,6 +516,7 @@ _NT = "w AS (SELECT series, us, ntile(%d) OVER (PARTITION BY series ORDER BY us)
 
 _REVISED = oracle.smooth_sql(_FILTER, _LAG, FACTOR)
 _FLAG = "CASE WHEN x.storage IS NOT NULL AND x.outflow IS NOT NULL THEN 'NORMAL' ELSE 'PREDICTED' END"
+_Z95 = repr(estimate.quantile(0.95))
 _CHECKS = [(m, 0.7, 1.5) for m in ("joint_nis", "storage_nis", "outflow_nis")] + [(m, -0.25, 0.25) for m in ("storage_bias", "outflow_bias", "conditional_storage_bias")]
 _CHECKS += [(f"{c}_coverage_{level}", level / 100 - 0.1, level / 100 + 0.1) for c in ("storage", "outflow") for level in (50, 90)]
 _POOLED = """SELECT series, avg(storage_z) AS storage_bias, avg(outflow_z) AS outflow_bias, avg(conditional_storage_z) AS conditional_storage_bias, sum(joint_nis) / sum(CASE WHEN joint_nis IS NOT NULL THEN joint_components END) AS joint_nis, avg(storage_z * storage_z) AS storage_nis, avg(outflow_z * outflow_z) AS outflow_nis,
@@ -501,6 +580,27 @@ FROM (SELECT * FROM (SELECT DISTINCT series FROM even), (SELECT unnest(['first',
 own AS (SELECT name, count(*) AS clean_rows, avg(CAST(value IS NOT NULL AS INT)) AS frac, min(us) AS first_us, max(us) AS last_us, median(gap) / 60e6 AS med, count(CASE WHEN gap > 1200000000 THEN 1 END) AS gaps FROM g GROUP BY name),
 r AS (SELECT name, count(*) AS source_rows, count(CASE WHEN us IS NULL THEN 1 END) AS bad FROM raw GROUP BY name)
 SELECT name, source_rows, clean_rows, bad AS timestamp_parse_failures, source_rows - bad - clean_rows AS duplicates_removed, round(frac, 6) AS finite_value_fraction, first_us, last_us, round(med, 6) AS median_interval_min, gaps AS gaps_over_20min FROM r JOIN own USING (name)""",
+    "exported_sources": f"WITH {CLEAN_SQL} SELECT * FROM series",
+    "exported_audit": f"""SELECT *, name AS identifier, 'here' AS location, 'ft' AS units FROM (WITH {CLEAN_SQL}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY name ORDER BY us) AS gap FROM series),
+own AS (SELECT name, count(*) AS clean_rows, avg(CAST(value IS NOT NULL AS INT)) AS frac, min(us) AS first_us, max(us) AS last_us, median(gap) / 60e6 AS med, count(CASE WHEN gap > 1200000000 THEN 1 END) AS gaps FROM g GROUP BY name),
+r AS (SELECT name, count(*) AS source_rows, count(CASE WHEN us IS NULL THEN 1 END) AS bad FROM raw GROUP BY name)
+SELECT name, source_rows, clean_rows, bad AS timestamp_parse_failures, source_rows - bad - clean_rows AS duplicates_removed, round(frac, 6) AS finite_value_fraction, first_us, last_us, round(med, 6) AS median_interval_min, gaps AS gaps_over_20min FROM r JOIN own USING (name))""",
+    "inflow_smoothed_whole": f"WITH RECURSIVE {oracle.whole_sql(_FILTER, FACTOR)} SELECT w.series, x.us, round(s1, 4) AS smoothed_inflow, round(sqrt(v11), 4) AS deviation FROM whole w JOIN rec x USING (series, n)",
+    "smoothed_in_spans": f"WITH RECURSIVE {oracle.whole_sql(_FILTER, FACTOR)} SELECT w.series, x.us, round(s1, 4) AS smoothed_inflow FROM whole w JOIN rec x USING (series, n)",
+    "inflow_provisional": f"""WITH RECURSIVE {oracle.whole_sql(_REVISED, FACTOR)}, done AS (SELECT x.series, x.us, coalesce(b.s1, w.s1) AS s1, CASE WHEN b.k IS NOT NULL THEN {_FLAG} END AS flag, b.k IS NOT NULL AS released FROM rec x JOIN whole w USING (series, n) LEFT JOIN (SELECT * FROM back WHERE j = k) b ON b.series = x.series AND b.k = x.n)
+SELECT o.series, o.us, round(s1, 4) AS revised_inflow, flag AS revised_inflow_flag, CASE WHEN released THEN 'SMOOTHED' ELSE 'NON_SMOOTHED' END AS revised_inflow_smoothing_flag FROM obs o LEFT JOIN done d ON d.series = o.series AND d.us = o.us""",
+    "inflow_intervals": f"""WITH RECURSIVE {oracle.smooth_sql(_FILTER, _LAG, FACTOR, covariances=True)}, done AS (SELECT x.series, x.us, x.m1, sqrt(x.p11) AS d0, s1, sqrt(v11) AS d1, {_FLAG} AS flag, b.k IS NOT NULL AS released FROM rec x LEFT JOIN (SELECT * FROM back WHERE j = k) b ON b.series = x.series AND b.k = x.n)
+SELECT o.*, round(m1, 4) AS estimated_inflow, round(s1, 4) AS revised_inflow, flag AS estimated_inflow_flag, CASE WHEN released THEN flag END AS revised_inflow_flag, 'NON_SMOOTHED' AS estimated_inflow_smoothing_flag, CASE WHEN released THEN 'SMOOTHED' ELSE 'NON_SMOOTHED' END AS revised_inflow_smoothing_flag,
+  round(d0, 4) AS estimated_inflow_standard_deviation, round(d1, 4) AS revised_inflow_standard_deviation, round(m1 - {_Z95} * d0, 4) AS estimated_inflow_lower, round(m1 + {_Z95} * d0, 4) AS estimated_inflow_upper, round(s1 - {_Z95} * d1, 4) AS revised_inflow_lower, round(s1 + {_Z95} * d1, 4) AS revised_inflow_upper FROM obs o LEFT JOIN done d ON d.series = o.series AND d.us = o.us""",
+    "stream_rejected": f"WITH {oracle.OBS} SELECT series, us, 'rejected' AS kind FROM obs WHERE us // 1000000 % 7 = 0",
+    "cadence_autocorrelation": f"""WITH {_EVEN}, gaps AS (SELECT series, min(gap) AS gap FROM (SELECT series, us - lag(us) OVER (PARTITION BY series ORDER BY us) AS gap FROM even) GROUP BY series), m AS (SELECT series, us, storage - avg(storage) OVER (PARTITION BY series) AS x FROM even WHERE storage IS NOT NULL),
+l AS (SELECT series, unnest(generate_series(gap, {DAY_US} + (gap + 1) // 2 - 1, gap)) AS lag_us, greatest(gap // 4, 1000000) AS tol FROM gaps), pr AS (SELECT a.series, lag_us, a.x AS x0, b.x AS x1 FROM m a JOIN l USING (series) JOIN m b ON a.series = b.series AND b.us > a.us AND b.us BETWEEN a.us + lag_us - tol AND a.us + lag_us + tol),
+g AS (SELECT series, lag_us, count(*) AS n, sum(x0 * x1) AS c, sum(x0 * x0) AS e0, sum(x1 * x1) AS e1 FROM pr GROUP BY 1, 2) SELECT l.series, l.lag_us, round(CASE WHEN n >= 3 AND sqrt(e0 * e1) > 0 THEN c / sqrt(e0 * e1) END, 5) AS autocorrelation, coalesce(n, 0) AS pair_count FROM l LEFT JOIN g USING (series, lag_us)""",
+    "positional_lags": f"""WITH {oracle.OBS}, pr AS (""" + " UNION ALL ".join(f"SELECT series, {k} AS lag, outflow AS x, lag(storage, {k}) OVER (PARTITION BY series ORDER BY us) AS y FROM obs" for k in range(-3, 4)) + """), both_ AS (SELECT *, x IS NOT NULL AND y IS NOT NULL AS ok FROM pr)
+SELECT series, lag, round(CASE WHEN count(CASE WHEN ok THEN 1 END) >= 2 AND least(stddev_pop(CASE WHEN ok THEN x END), stddev_pop(CASE WHEN ok THEN y END)) > 2.220446049250313e-16 THEN covar_pop(CASE WHEN ok THEN x END, CASE WHEN ok THEN y END) / (stddev_pop(CASE WHEN ok THEN x END) * stddev_pop(CASE WHEN ok THEN y END)) END, 5) AS correlation, count(CASE WHEN ok THEN 1 END) AS pair_count FROM both_ GROUP BY series, lag""",
+    "frame_faults": """WITH o AS (SELECT CAST(user_id AS VARCHAR) || '/' || CAST(event_id % 20 AS VARCHAR) AS series, epoch_us(ts) // 600000000 * 600000000 AS us, CASE WHEN event_id % 5 <> 0 THEN value END AS storage FROM events)
+SELECT series, us, 'repeated' AS fault FROM o GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT series, NULL AS us, 'too few storage readings' AS fault FROM o GROUP BY 1 HAVING count(storage) < 2""",
+    "noise_units": "SELECT event_id, round(sqrt(abs(value) * 3600), 5) AS hourly_sd FROM events WHERE value IS NOT NULL",
     "asof_aligned": f"WITH {_ASOF} SELECT series, us, storage, outlet, spillway, upstream FROM aligned",
     "combined_outflow": f"WITH {_COMBINED} SELECT series, us, storage, round(outflow, 6) AS outflow, spillway_used, spillway_unknown, outflow_definition FROM joint",
     "window_audit": f"""WITH {_COMBINED}, g AS (SELECT *, us - lag(us) OVER (ORDER BY us) AS gap FROM joint) SELECT series, min(us) AS actual_start_us, max(us) AS actual_end_us, count(*) AS rows, count(*) - count(storage) AS storage_missing, count(*) - count(outflow) AS outflow_missing, count(*) - count(upstream) AS upstream_missing, count(CASE WHEN spillway_unknown THEN 1 END) AS spillway_unknown, count(CASE WHEN spillway < 0 THEN 1 END) AS spillway_invalid,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,26 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.substring_index(bare, ":", 1)).alias("key"), F.trim(F.expr("substring(value, instr(value, ':') + 1)")).alias("value"))
 
 
+# Header keys of an export and the audit's names for them.
+HEADER_FIELDS = {"Time-series identifier": "identifier", "Location": "location", "Value units": "units"}
+
+
+def header_fields(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, path, identifier, location, units) of an export, one row; a line that isn't there is empty, of repeated ones the greatest value counts."""
+    lines = read_header(spark, path)
+    pick = [F.coalesce(F.max(F.when(F.col("key") == k, F.col("value"))), F.lit("")).alias(v) for k, v in HEADER_FIELDS.items()]
+    return lines.agg(*pick).select(F.lit(name).alias("name"), F.lit(path).alias("path"), *HEADER_FIELDS.values())
+
+
+def read_sources(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(readings, headers) of the exports at paths by name: parsed rows (name, row, us, value), and header_fields."""
+    rows, heads = None, None
+    for name, path in paths.items():
+        one, head = parsed(read_export(spark, path, name)), header_fields(spark, path, name)
+        rows, heads = (one, head) if rows is None else (rows.unionByName(one), heads.unionByName(head))
+    return rows, heads
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """raw(name, row, time_text, value_text) with us (null if the time can't be read) and value (null if it isn't a finite number)."""
     ts = F.try_to_timestamp("time_text")
@@ -77,8 +98,8 @@ def clean(rows: DataFrame) -> DataFrame:
     return rows.filter("us IS NOT NULL").groupBy("name", "us").agg(F.max_by("value", "row").alias("value"))
 
 
-def source_audit(rows: DataFrame, span: int = SPAN_US) -> DataFrame:
-    """One row per name: source_rows, clean_rows, timestamp_parse_failures, duplicates_removed, finite_value_fraction, first_us, last_us, median_interval_min, gaps_over_20min."""
+def source_audit(rows: DataFrame, span: int = SPAN_US, headers: DataFrame | None = None) -> DataFrame:
+    """One row per name, with the columns of headers(name, ...) if given: source_rows, clean_rows, timestamp_parse_failures, duplicates_removed, finite_value_fraction, first_us, last_us, median_interval_min, gaps_over_20min."""
     series = with_previous(clean(rows), "name", ["us"], "before", span).withColumn("gap", F.col("us") - F.col("before.us"))
     own = series.groupBy("name").agg(
         F.count("*").alias("clean_rows"),
@@ -91,13 +112,17 @@ def source_audit(rows: DataFrame, span: int = SPAN_US) -> DataFrame:
     raw = rows.groupBy("name").agg(F.count("*").alias("source_rows"), F.count_if(F.col("us").isNull()).alias("timestamp_parse_failures"))
     joined = raw.join(own, "name", "left").withColumn("clean_rows", F.coalesce("clean_rows", F.lit(0)))
     duplicates = F.col("source_rows") - F.col("timestamp_parse_failures") - F.col("clean_rows")
-    return joined.select("name", "source_rows", "clean_rows", "timestamp_parse_failures", duplicates.alias("duplicates_removed"), "finite_value_fraction", "first_us", "last_us", "median_interval_min", "gaps_over_20min")
+    out = joined.select("name", "source_rows", "clean_rows", "timestamp_parse_failures", duplicates.alias("duplicates_removed"), "finite_value_fraction", "first_us", "last_us", "median_interval_min", "gaps_over_20min")
+    return out if headers is None else out.join(headers, "name", "left")
 
 
 def write_report(path: str, report: dict, config_path: str | None = None) -> None:
-    """report as JSON with sorted keys; NaN and infinities become null, time spans seconds. It must not overwrite the configuration."""
+    """report as JSON with sorted keys; NaN and infinities become null, time spans seconds. It must not overwrite the configuration.
+
+    path is a local file or a URI (file, hdfs, s3 ...).
+    """
     if config_path is not None and path == config_path:
         raise ValueError("the report would overwrite the configuration")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(plain(report), f, indent=2, sort_keys=True)
-        f.write("\n")
+    store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with store.open_output_stream(place) as f:
+        f.write((json.dumps(plain(report), indent=2, sort_keys=True) + "\n").encode())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.estimate import NON_SMOOTHED, NORMAL, PREDICTED, SMOOTHED
-from ..operators.filtering import process_covariances, transitions, update
+from ..operators.filtering import packed, process_covariances, transitions, unpacked, update
 from ..plans.config import SeriesConfig
 
 OUTPUT = "series string, us long, kind string, value double, prediction_flag string, smoothing_flag string, standard_deviation double, reason string"
-STATE = "fingerprint string, steps binary"
+#: Of each step not yet released: time, flag, and NUMBERS doubles (state, its covariance, both before the reading, seconds).
+STATE = "fingerprint string, last_us long, first_us long, first array<double>, us array<long>, flags array<string>, numbers array<double>"
+NUMBERS = 19
 
 
 class Running:
@@ -26,6 +27,20 @@ class Running:
         self.first: tuple[int, float, float] | None = None
         self.steps: list[tuple] = []
 
+    def stored(self) -> tuple:
+        """The columns of STATE behind the fingerprint."""
+        numbers = [x for _, m, p, bm, bp, dt, _ in self.steps for x in (*m[0].tolist(), *packed(p)[0].tolist(), *bm[0].tolist(), *packed(bp)[0].tolist(), dt)]
+        first = self.first or (None, None, None)
+        return self.last_us, first[0], list(first[1:]) if self.first else None, [s[0] for s in self.steps], [s[6] for s in self.steps], numbers
+
+    @classmethod
+    def restored(cls, last_us, first_us, first, us, flags, numbers) -> Running:
+        self = cls()
+        self.last_us, self.first = last_us, (first_us, *first) if first_us is not None else None
+        x = np.array(numbers, dtype=float).reshape(-1, 1, NUMBERS)
+        self.steps = [(t, v[:, :3], unpacked(v[:, 3:9]), v[:, 9:12], unpacked(v[:, 12:18]), float(v[0, 18]), f) for t, f, v in zip(us, flags, x, strict=True)]
+        return self
+
     def accept(self, us: int, storage: float, outflow: float, config: SeriesConfig) -> Iterator[tuple]:
         """The output rows of one reading, without the series; a rejected reading leaves the state as it was."""
         if self.last_us is not None and us <= self.last_us:
@@ -93,7 +108,7 @@ def stream_estimates(readings: DataFrame, config: SeriesConfig) -> DataFrame:
     Each reading gives a row of kind filtered, and rows of kind revised for those that are now at least the lag
     older. Readings of a micro-batch are taken in time order; one that is not later than the series' last,
     or a first storage reading without outflow, gives a row of kind rejected and changes nothing. The
-    state holds the steps not yet released and lives in Spark's state store, so a restarted query goes on where it was; a
+    state holds the steps not yet released, in typed columns, and lives in Spark's state store, so a restarted query goes on where it was; a
     query with another model fails on it. Nulls are missing readings.
     """
     mark = config.fingerprint()
@@ -101,13 +116,13 @@ def stream_estimates(readings: DataFrame, config: SeriesConfig) -> DataFrame:
     def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         running = Running()
         if state.exists:
-            known, blob = state.get
+            known, *rest = state.get
             if known != mark:
                 raise ValueError("the stored state belongs to another configuration")
-            running = pickle.loads(blob)
+            running = Running.restored(*rest)
         rows = pd.concat(list(frames), ignore_index=True).sort_values("us", kind="stable")
         out = [x for us, s, o in zip(rows["us"], rows["storage"].astype(float), rows["outflow"].astype(float), strict=True) for x in running.accept(int(us), s, o, config)]
-        state.update((mark, pickle.dumps(running)))
+        state.update((mark, *running.stored()))
         names = ["us", "kind", "value", "prediction_flag", "smoothing_flag", "standard_deviation", "reason"]
         yield pd.DataFrame(out, columns=names).assign(series=key[0])[["series", *names]]
 

@@ -87,6 +87,26 @@ def test_whole_record_and_provisional_smoothing(spark):
         assert part[rows[i][0]].sm1 == pytest.approx(want[1], abs=1e-7) and part[rows[i][0]].released == (i in released)
 
 
+@pytest.mark.parametrize("span", [3 * HOUR, 10**15])
+def test_whole_smoothing_in_spans(spark, span):
+    config, data = CONFIGS[1], {"s1": make(5)["s1"], "s2": make(6)["s2"]}
+    whole = {(r.series, r.us): r for r in smoothed(states(frame(spark, data), config), config, whole=True, span=span).collect()}
+    for s, rows in data.items():
+        plain_steps = run(rows, config)
+        for k, (i, *_) in enumerate(plain_steps):
+            m, p = back(plain_steps, k, len(plain_steps) - 1)
+            r = whole[s, rows[i][0]]
+            assert r.sm1 == pytest.approx(m[1], abs=1e-6) and r.sp11 == pytest.approx(p[1, 1], abs=1e-6)
+
+
+def test_repeated_and_missing_times_are_an_error(spark):
+    config = SeriesConfig.diagonal(lag=timedelta(hours=3))
+    rows = [("a", i * HOUR, 10.0 + i, 1.0) for i in range(5)]
+    for bad in (("a", 2 * HOUR, 5.0, 1.0), ("a", None, 5.0, 1.0)):
+        with pytest.raises(ValueError, match="repeated|missing"):
+            estimate(spark.createDataFrame([*rows, bad], "series string, us long, storage double, outflow double"), config)
+
+
 def test_intervals(spark):
     result = with_intervals(estimate(frame(spark, make(1)), CONFIGS[0], uncertainty=True), 0.9)
     for r in result.filter("estimated_inflow IS NOT NULL").collect():

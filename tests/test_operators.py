@@ -5,10 +5,12 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from reference_filter import run
 
+from catchment.functions import units
 from catchment.functions.units import SI
-from catchment.operators import align, reading_noise, scores, validation
+from catchment.operators import align, prepare, reading_noise, scores, validation
 from catchment.operators.estimate import states
 from catchment.plans import tuning
 from catchment.plans.config import ScoreSettings, SeriesConfig, Window, checked_windows, plain
@@ -68,8 +70,39 @@ def test_autocorrelation_against_all_pairs(spark):
         a, b = np.array(pairs).T
         assert got[lag].pair_count == len(pairs)
         assert got[lag].autocorrelation == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)))
-    lags, tol = scores.cadence_lags(df, 50)
-    assert lags[0] == min(np.diff(us)) and tol == 1_000_000
+
+
+def test_cadence_lags_are_each_series_own(spark):
+    rows = [("a", t * 1_000_000_000) for t in range(5)] + [("b", t * 1_000) for t in range(5)] + [("c", 7)]
+    df = spark.createDataFrame([(s, u, float(u % 7)) for s, u in rows], "series string, us long, x double")
+    got = scores.cadence_lags(df.filter("series <> 'b'"), 3_600_000_000)
+    assert [tuple(r) for r in got.orderBy("lag_us").collect()] == [("a", k * 1_000_000_000, 250_000_000) for k in (1, 2, 3, 4)]
+    with pytest.raises(Exception, match="lags in series b"):
+        scores.cadence_lags(df, 3_600_000_000).collect()
+    found = {(r.series, r.lag_us): r.pair_count for r in scores.autocorrelation(df, "x", scores.cadence_lags(df, 5_000)).collect()}
+    # A tolerance of a second takes in all pairs of the fast series.
+    assert found == {("b", k * 1_000): 10 for k in range(1, 6)}
+
+
+def test_positional_lags(spark):
+    x = [1.0, 2.0, None, 5.0, 4.0, 7.0]
+    y = [3.0, None, 1.0, 2.0, 8.0, 1.0]
+    df = spark.createDataFrame([("a", 10 * i, a, b) for i, (a, b) in enumerate(zip(x, y, strict=True))], "series string, us long, x double, y double")
+    got = {r.lag: r for r in scores.positional_lags(df, "x", "y", [-2, 0, 1, 5]).collect()}
+    for k, r in got.items():
+        pairs = [(x[i], y[i - k]) for i in range(6) if 0 <= i - k < 6 and x[i] is not None and y[i - k] is not None]
+        assert r.pair_count == len(pairs)
+        assert (r.correlation is None) if len(pairs) < 2 else r.correlation == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1])
+
+
+def test_autocorrelation_metrics_and_their_warning(spark):
+    obs = spark.createDataFrame(simulate(4, 120), OBS)
+    config = SeriesConfig.diagonal(q=(0.005, 0.04, 0.02), r=(0.25, 0.16), units=SI)
+    out = tuning.evaluate(obs, config, settings=ScoreSettings(warmup=timedelta(hours=2), autocorrelation_limit=1e-6))
+    row = out["pooled"].first()
+    three = [row[f"max_{c}_elapsed_lag_autocorrelation"] for c in scores.CHANNELS]
+    assert all(0 <= v <= 1 for v in three) and row[scores.MATERIAL] == max(three)
+    assert scores.MATERIAL in {r.metric for r in out["warnings"].collect()}
 
 
 @pytest.mark.parametrize("span", [7, 50, 10**6])
@@ -219,10 +252,53 @@ def test_tuning_improves_on_a_poor_base(spark):
     out = tuning.tune(obs, base, windows, ScoreSettings(warmup=timedelta(hours=2)), tuning.TuningSettings(rounds=1, local_searches=1, estimate_r_storage=False, check_identifiability=False), progress=lambda phase, n: seen.append((phase, n)))
     assert out["improved"] and out["objective"] < out["base_objective"] and out["config"].version == "1-tuned"
     assert seen and out["candidates"].count() == out["passes"]
+    assert out["improvement"] == pytest.approx(out["base_objective"] - out["objective"], abs=1e-9) and out["improvement_error"] >= 0
+    assert out["proxies"] is None and out["compared_windows"].count() == 6
+    assert "with fewer than five windows, errors are weak" in out["selection_warnings"]
     with pytest.raises(tuning.TuningError):
         tuning.tune(obs, base, [Window(f"v{i}", (1000 + i) * HOUR, (1001 + i) * HOUR) for i in range(3)], tuning=tuning.TuningSettings(rounds=1, estimate_r_storage=False, check_identifiability=False))
 
 
+def test_identifiability_ignores_window_weights(spark):
+    obs = spark.createDataFrame(simulate(7, 90), OBS)
+    base = SeriesConfig.diagonal(q=(0.005, 0.04, 0.02), r=(0.25, 0.16), units=SI)
+    settings = ScoreSettings(warmup=timedelta(hours=2))
+    found = []
+    for weights in ((1, 1, 1), (5, 1, 2)):
+        frame = tuning.windows_frame(obs, [Window(f"w{i}", 30 * i * HOUR, 30 * (i + 1) * HOUR, weight=w) for i, w in enumerate(weights)])
+        bounds = {t: (v / 4, v * 4) for t, v in zip(tuning.TERMS, tuning.of_config(base).values, strict=True)}
+        bounds |= {t: (v, v * 4) for t, v in zip(tuning.TERMS, tuning.of_config(base).values, strict=True) if t != "q_inflow"}
+        search = tuning.Search(prepare.steps(obs).persist(), base, frame, settings, bounds)
+        found.append(tuning.identifiability(search, tuning.of_config(base), 0.05))
+    assert found[0]["free"] == ["q_inflow"] and found[0]["standard_errors"]["q_inflow"] == pytest.approx(found[1]["standard_errors"]["q_inflow"], rel=1e-6)
+
+
+def test_proxy_in_the_tuner(spark):
+    obs = spark.createDataFrame(simulate(3, 120), OBS)
+    base = SeriesConfig.diagonal(q=(0.005, 0.04, 0.02), r=(0.25, 0.16), units=SI)
+    windows = [Window(f"w{i}", a * HOUR, b * HOUR) for i, (a, b) in enumerate(((10, 45), (45, 80), (80, 115)))]
+    proxy = obs.select("series", "us", (100 - F.col("us") / HOUR).alias("proxy"))
+    out = tuning.tune(obs, base, windows, ScoreSettings(warmup=timedelta(hours=2)), tuning.TuningSettings(rounds=1, local_searches=1, check_identifiability=False), proxy=proxy, seeds=[10.0, 20.0], version="2")
+    assert out["config"].version == "2" and {r.candidate for r in out["proxies"].collect()} == {"base", "search-1"}
+    # The proxy is known outside the windows too, but only scored rows are held against it.
+    assert all(r.proxy_aligned_count <= 105 for r in out["proxies"].collect())
+    assert set(out["config"].metadata["selection"]) >= {"candidate", "objective", "base_objective"}
+
+
+def test_frame_faults_and_hourly_deviations(spark):
+    rows = [("a", 1, 1.0, 1.0), ("a", 1, 2.0, 1.0), ("b", 1, 1.0, None), ("b", 2, None, 1.0), (None, 3, 1.0, 1.0)]
+    obs = spark.createDataFrame(rows, OBS)
+    assert sorted((r.series or "", r.fault) for r in prepare.frame_faults(obs).collect()) == [("", "missing"), ("a", "repeated"), ("b", "too few storage readings")]
+    with pytest.raises(ValueError, match="no readings"):
+        prepare.checked_frame(obs.limit(0))
+    with pytest.raises(ValueError, match="missing"):
+        prepare.checked_frame(obs)
+    assert units.q_of_hourly_sd(60.0) == 1.0
+    assert spark.range(1).select(units.hourly_sd_of_q(F.lit(1.0))).first()[0] == 60.0
+    with pytest.raises(ValueError):
+        units.q_of_hourly_sd(0)
+
+
 def test_registered_queries_have_matching_columns(spark, sf):
     import duckdb
 
