@@ -32,6 +32,8 @@ THREATS = "kill hurt destroy murder stab shoot beat töten umbringen schlagen tu
 INSULTS = "idiot moron scum loser trash stupid pathetic worthless disgusting clown"
 SEED_WEIGHT, THREAT_WEIGHT = 2.0, 1.0
 AT_TARGET, NEGATED, REPORTED = 1.25, 0.5, 0.6
+#: How a matched word stands in its clause; the first that holds counts.
+STANDINGS = ("reported", "negated", "directed", "plain")
 NEGATION_REACH = 3
 
 _CLAUSE = re.compile(r"[.!?;:\n]")
@@ -64,21 +66,23 @@ def _threat(state, symbol):
 
 
 def _target(seen, symbol):
-    return seen or symbol == "target", symbol, AT_TARGET if symbol == "harm" and seen else 1.0
+    return seen or symbol == "target", "directed" if symbol == "harm" and seen else "plain" if symbol == "harm" else symbol, AT_TARGET if symbol == "harm" and seen else 1.0
 
 
 def _negation(left, symbol):
     if symbol == "negation":
         return NEGATION_REACH, symbol, 1.0
-    return max(0, left - 1), symbol, NEGATED if symbol == "harm" and left else 1.0
+    harm = left and symbol in STANDINGS
+    return max(0, left - 1), "negated" if harm else symbol, NEGATED if harm else 1.0
 
 
 def _reported(seen, symbol):
-    return seen or symbol == "report", symbol, REPORTED if symbol == "harm" and seen else 1.0
+    harm = seen and symbol in STANDINGS
+    return seen or symbol == "report", "reported" if harm else symbol, REPORTED if harm else 1.0
 
 
 def grammar() -> Transducer:
-    """Insults and threats become harm; harm after a target counts more, near a negation or in reported speech less."""
+    """Insults and threats become harm, and harm is written as it stands: directed at a target of the clause, near a negation, in reported speech, or plain."""
     return Transducer(0, _insult).then(Transducer(0, _threat)).then(Transducer(False, _target)).then(Transducer(0, _negation)).then(Transducer(False, _reported))
 
 
@@ -95,6 +99,9 @@ class Grammar:
             self.finder.add_word(w, len(w))
         self.finder.make_automaton()
         self.machine = grammar()
+        # The start state in which the target has been seen.
+        (((insult, threat), _), negation), report = self.machine.start
+        self.aimed = ((((insult, threat), True), negation), report)
         self.table: dict = {}
 
     def read(self, word: str) -> tuple[str, float]:
@@ -106,19 +113,28 @@ class Grammar:
         return (known or ("insult" if weight else "other")), weight
 
     def clause(self, words: list[str]) -> float:
-        """The weight of the clause's only path: the harm weights times their factors."""
-        state, total = self.machine.start, 0.0
-        for word in words:
-            symbol, weight = self.read(word)
+        """The weight of a clause: its harm weights times their factors."""
+        return self.standings(words)[-1]
+
+    def standings(self, words: list[str]) -> list[float]:
+        """The harm weights of the clause's only path, summed by STANDINGS, and last their sum times the factors.
+
+        A target may stand before or behind the harm: a first pass tells whether there is one, and is the start of the second.
+        """
+        read = [self.read(w) for w in words]
+        state = self.aimed if any(c == "target" for c, _ in read) else self.machine.start
+        out = [0.0] * (len(STANDINGS) + 1)
+        for symbol, weight in read:
             if (found := self.table.get((state, symbol))) is None:
                 found = self.table[state, symbol] = self.machine.step(state, symbol)
             state, written, factor = found
-            if written == "harm":
-                total += weight * factor
-        return total
+            if written in STANDINGS:
+                out[STANDINGS.index(written)] += weight
+                out[-1] += weight * factor
+        return out
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """Of the clauses that match: logarithm of the summed weight, the same per 100 words of text, the largest, and logarithm of their number."""
+    def features(self, text: str) -> list[float]:
+        """Of the clauses that match: logarithms of the summed weight, of that per 100 words of text, of the number of clauses; the largest weight; and the logarithm of the weight by STANDINGS."""
         low = text.lower()
         spans: list[tuple[int, int]] = []
         for end, size in self.finder.iter(low):
@@ -130,10 +146,14 @@ class Grammar:
             begin = max(low.rfind(c, spans[-1][1] if spans else 0, start) for c in ".!?;:\n") + 1
             stop = _CLAUSE.search(low, start)
             spans.append((max(begin, spans[-1][1] if spans else 0), stop.start() if stop else len(low)))
-        weights = [w for a, b in spans if (w := self.clause(_WORD.findall(low, a, b)))]
-        total = sum(weights)
+        found = [x for a, b in spans if (x := self.standings(_WORD.findall(low, a, b)))[-1]]
+        sums = np.sum(found, axis=0) if found else np.zeros(len(STANDINGS) + 1)
         words = low.count(" ") + low.count("\n") + 1
-        return float(np.log1p(total)), float(np.log1p(100 * total / words)), max(weights, default=0.0), float(np.log1p(len(weights)))
+        return [*np.log1p([sums[-1], 100 * sums[-1] / words, len(found)]).tolist(), max((x[-1] for x in found), default=0.0), *np.log1p(sums[:-1]).tolist()]
+
+
+#: Numbers that Grammar.features gives.
+FEATURES = 4 + len(STANDINGS)
 
 
 @dataclass
@@ -163,26 +183,32 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
 def learn_lexicon(rows: DataFrame, all_t: int, all_n: int) -> dict[str, float]:
     """Words and stems that mark toxic documents, with their log odds, from rows(doc_id, y, text).
 
-    Spark counts in how many documents of each class every word and stem stands. Those above
-    LEAST_RATIO are candidates; taken in order of their ratio, a candidate is
-    held only if it still passes over the documents without any held term that is its beginning or continuation. So the
-    stem of a listed word adds nothing, but a stem with many endings stands for them all.
+    Spark counts in how many documents of each class every word and stem stands, and gives the log-likelihood ratio. Those above
+    LEAST_RATIO are candidates: with all_t toxic documents, each holding so many different terms, that is a number the sample bounds. Taken
+    in order of their ratio, a candidate is held only if it still passes over the documents without any
+    held term that is its beginning or continuation. So the stem of a listed word adds nothing, but a stem
+    with many endings stands for them all. The terms are split off once and staged.
     """
     low, high = STEM
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     one = rows.select("doc_id", "y", F.explode(words).alias("w"))
     stems = F.expr(f"transform(sequence(0, least({high}, length(w) - 1) - {low} + 1), i -> IF(i = 0, w, concat(left(w, i + {low} - 1), '*')))")
-    terms = one.select("doc_id", "y", F.explode(F.when(F.length("w") > low, stems).otherwise(F.array("w"))).alias("term")).distinct()
-    counts = terms.groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n")).filter(F.col("t") / all_t > 2 * F.col("n") / all_n)
-    chosen = [(r.term, _ratio(r.t, r.n, all_t, all_n)) for r in counts.filter("t >= 5").toLocalIterator()]
-    chosen = sorted((x for x in chosen if x[1] >= LEAST_RATIO), key=lambda x: (-x[1], x[0]))[:2000]
+    terms = one.select("doc_id", "y", F.explode(F.when(F.length("w") > low, stems).otherwise(F.array("w"))).alias("term"))
+    counts = terms.distinct().groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n"))
+    x = {"t": "t", "n": "n", "o": f"({all_t} - t)", "p": f"({all_n} - n)"}
+    total, seen = all_t + all_n, "(t + n)"
+    expected = {"t": f"({seen} * {all_t})", "n": f"({seen} * {all_n})", "o": f"(({total} - {seen}) * {all_t})", "p": f"(({total} - {seen}) * {all_n})"}
+    ratio = " + ".join(f"IF({v} > 0, {v} * ln({v} * {total}D / {expected[k]}), 0D)" for k, v in x.items())
+    marked = counts.filter(F.expr(f"t * {all_n}D > 2 * n * {all_t}D")).withColumn("ratio", F.expr(f"2 * ({ratio})")).filter(F.col("ratio") >= LEAST_RATIO)
+    marked = staged(marked, "terms")
+    chosen = sorted(((r.term, r.ratio) for r in marked.toLocalIterator()), key=lambda r: (-r[1], r[0]))
     if not chosen:
         return {}
-    names = rows.sparkSession.createDataFrame([(t,) for t, _ in chosen], "term string")
     where: dict[str, set] = defaultdict(set)
     toxic = set()
-    for r in terms.join(F.broadcast(names), "term").toLocalIterator():
-        where[r.term].add(r.doc_id)
+    for r in terms.join(F.broadcast(marked.select("term")), "term").groupBy("doc_id", "y").agg(F.collect_set("term").alias("terms")).toLocalIterator():
+        for term in r.terms:
+            where[term].add(r.doc_id)
         if r.y:
             toxic.add(r.doc_id)
     held: dict[str, float] = {}
@@ -191,7 +217,7 @@ def learn_lexicon(rows: DataFrame, all_t: int, all_n: int) -> dict[str, float]:
         kin = [h for h in held if h.rstrip("*").startswith(bare) or bare.startswith(h.rstrip("*"))]
         rest = where[term].difference(*[where[h] for h in kin])
         t = len(rest & toxic)
-        if t >= 5 and _ratio(t, len(rest) - t, all_t, all_n) >= LEAST_RATIO:
+        if _ratio(t, len(rest) - t, all_t, all_n) >= LEAST_RATIO:
             t = len(where[term] & toxic)
             held[term] = float(np.log((t + 0.5) / (all_t + 1)) - np.log((len(where[term]) - t + 0.5) / (all_n + 1)))
     return held
@@ -201,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """A model from at most `most` labelled documents of each class; None unless both occur.
 
     The sample's bound makes everything that the driver gets bounded: candidate terms, where they
-    stand, and four features per document for a logistic regression with equal weight to rows.
+    stand, and the features of each document for a logistic regression with equal weight to rows.
     """
     chosen = _sample(labels, most)
     rows = staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"), "learnt")
@@ -246,7 +272,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(model.lexicon if model else {})
         for ids, texts in text_slices(batches):
-            x = np.array([own.features(t.decode()) for t in texts.to_pylist()]).reshape(-1, 4)
+            x = np.array([own.features(t.decode()) for t in texts.to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([ids, pa.array(model.score(x) if model else 1 - np.exp(-np.expm1(x[:, 0])))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")

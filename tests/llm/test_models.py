@@ -72,7 +72,11 @@ def test_grammar_scores_clauses():
     assert g.clause(["zorkling"]) == 3.0 and g.clause(["nice", "day"]) == 0
     assert g.clause(["will", "kill", "you"]) > 0
     assert g.features("A nice day. You zorky idiot! Bye")[0] > g.features("A nice day. Bye")[0] == 0
-    assert g.features("") == (0, 0, 0, 0)
+    assert g.features("") == [0] * toxicity.FEATURES
+    assert g.clause(["idiot", "you"]) == g.clause(["you", "idiot"])
+    standing = lambda text: dict(zip(toxicity.STANDINGS, g.standings(text.split()), strict=False))
+    assert standing("you idiot")["directed"] > 0 and standing("she said you idiot")["reported"] > 0
+    assert standing("not an idiot")["negated"] > 0 and standing("what an idiot")["plain"] > 0
 
 
 def test_fingerprints_by_hand(spark, mixed):

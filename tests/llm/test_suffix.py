@@ -60,3 +60,14 @@ def test_nothing(spark, nothing):
 
 def test_op9_on_the_table(spark, sf):
     assert result(queries.QUERIES["op9_suffix_dedup"](spark, sf)) == brute(ordered(documents(spark, sf)), 100)
+
+
+def test_a_text_longer_than_a_slice(spark):
+    """Texts of several slices, with repeats inside, across slices and between documents; the brute force holds all strings."""
+    rng = random.Random(3)
+    line = lambda: bytes(rng.choices(b"abcdefghijklmnop", k=150)).decode() + "é\n"
+    lines = [line() for _ in range(9000)]
+    long = "".join(lines[:8000] + lines[100:110] + lines[7990:] + lines[:20])
+    assert len(long.encode()) > suffix_dedup.SLICE
+    docs = spark.createDataFrame([(1, long), (2, "".join(lines[8500:8520])), (3, "x" + long[5000:7000])], "doc_id long, text string").persist()
+    assert result(suffix_dedup.remove_repeats(docs)) == brute(ordered(docs), 100)
