@@ -67,23 +67,23 @@ def _flips(n: int = 31) -> list[list[int]]:
 
 
 def covered(words: DataFrame, columns: list[str], word: str = "word", part: str = "part") -> DataFrame:
-    """(anchor, columns...): each row of words(part, word, columns...) with every anchor that covers its word.
+    """(anchor, columns..., home): each row of words(part, word, columns...) with every anchor that covers its word; home is 1 at the nearest, else 0.
 
     The anchors over the first 31 bits of a word are the words of the perfect [31, 26] Hamming code, whose covering
     radius is one; for a threshold of one bit a word goes to all anchors within 1 + 1 bits: 16 of
     them, or only itself if it is a code word. Of two words of a part that differ in at most one bit, one's nearest anchor covers
-    both. Written as built-in functions: syndrome by parities, then one exclusive or per anchor.
+    both; so anchors that are nobody's home needn't be compared. Written as built-in functions: syndrome by parities, then one exclusive or per anchor.
     """
     masks = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
     table = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in row) + ")" for row in _flips()) + ")"
     syndrome = " + ".join(f"(bit_count({word} & {m}L) % 2) * {1 << j}" for j, m in enumerate(masks))
     coded = words.withColumn("__syndrome", F.expr(f"cast({syndrome} AS int)"))
     flipped = coded.select(*columns, part, word, F.expr(f"explode(element_at({table}, __syndrome + 1))").alias("__flip"))
-    return flipped.select(F.expr(f"shiftleft(cast({part} AS long), 32) | ({word} ^ __flip)").alias("anchor"), *columns)
+    return flipped.select(F.expr(f"shiftleft(cast({part} AS long), 32) | ({word} ^ __flip)").alias("anchor"), *columns, F.expr("cast(bit_count(__flip) < 2 AS int)").alias("home"))
 
 
 def anchors(fps: DataFrame) -> DataFrame:
-    """(anchor, fp): each fingerprint of fps(fp) with every anchor that covers one of its halves (see covered).
+    """(anchor, fp, home): each fingerprint of fps(fp) with every anchor that covers one of its halves (see covered).
 
     Two fingerprints within THRESHOLD = 2 bits differ in at most one bit of their low or of their
     high half, so they meet at an anchor of that half.
@@ -134,8 +134,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints of fps(fp), all different, that chains of THRESHOLD bits or fewer connect."""
     placed = anchors(fps)
-    sums = [F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.expr("bit_xor(fp)").alias("x")]
-    counts = staged(placed.groupBy("anchor").agg(*sums).filter("n > 1"), "anchors")
+    sums = [F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.expr("bit_xor(fp)").alias("x"), F.max("home").alias("home")]
+    counts = staged(placed.groupBy("anchor").agg(*sums).filter("n > 1 AND home = 1"), "anchors")
     # Two or three members are known from these sums: the third is what the exclusive or leaves.
     few = counts.filter("n < 4").select(F.expr("inline(IF(n = 2, array(struct(a, b)), array(struct(a, b), struct(a, a ^ b ^ x AS b), struct(a ^ b ^ x AS a, b))))"))
     pairs = few.filter(f"bit_count(a ^ b) <= {THRESHOLD}")
