@@ -69,7 +69,7 @@ def _bits(h: str) -> str:
 
 
 def perhaps(rows: DataFrame, keys: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
-    """rows with `maybe`, false only where key isn't in keys(key). No shuffle of rows.
+    """rows with `__maybe`, false only where key isn't in keys(key). No shuffle of rows.
 
     keys become a Bloom filter of at most `words` rows, whatever their number; so what is broadcast is bounded,
     and with far more keys than words the filter only tells less. A null key is never in keys.
@@ -78,10 +78,10 @@ def perhaps(rows: DataFrame, keys: DataFrame, key: str, words: int = FILTER_WORD
     table = keys.select(h.alias("__h")).groupBy(F.expr(f"__h & {words - 1}L").alias("__word")).agg(F.expr(f"bit_or({_bits('__h')})").alias("__mask"))
     own = rows.withColumn("__h", h).withColumn("__word", F.expr(f"__h & {words - 1}L"))
     met = own.join(F.broadcast(table), "__word", "left")
-    return met.withColumn("maybe", F.expr(f"{key} IS NOT NULL AND coalesce(__mask & ({_bits('__h')}) = ({_bits('__h')}), false)")).drop("__h", "__word", "__mask")
+    return met.withColumn("__maybe", F.expr(f"{key} IS NOT NULL AND coalesce(__mask & ({_bits('__h')}) = ({_bits('__h')}), false)")).drop("__h", "__word", "__mask")
 
 
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows whose key isn't in keys(key): a left anti join in which only rows that a filter can't clear are shuffled."""
     tested = perhaps(rows, keys, key)
-    return tested.filter("NOT maybe").unionByName(tested.filter("maybe").join(keys, key, "left_anti")).select(*rows.columns)
+    return tested.filter("NOT __maybe").unionByName(tested.filter("__maybe").join(keys, key, "left_anti")).select(*rows.columns)

@@ -268,8 +268,8 @@ def replace_entities(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
     pairs = join_groups(found, table, "entity", "n", total)
     maps = staged(pairs.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("map")), "maps")
     tested = perhaps(packed, maps, "row")
-    clean = tested.filter("NOT maybe OR text IS NULL").select("doc", "text", F.lit(0).cast("long").alias("n_entities"))
-    cut = tested.filter("maybe AND text IS NOT NULL").drop("maybe").join(maps, "row", "left").withColumn("map", F.coalesce("map", F.expr("cast(map() AS map<string, string>)")))
+    clean = tested.filter("NOT __maybe OR text IS NULL").select("doc", "text", F.lit(0).cast("long").alias("n_entities"))
+    cut = tested.filter("__maybe AND text IS NOT NULL").drop("__maybe").join(maps, "row", "left").withColumn("map", F.coalesce("map", F.expr("cast(map() AS map<string, string>)")))
     cut = _with_mentions(cut.withColumn("found", _entities()).withColumn("between", F.split("text", ANY, -1)))
     woven = F.expr("array_join(transform(between, (x, i) -> concat(x, coalesce(try_element_at(map, get(found, i)), get(found, i), ''))), '')")
     changed = cut.select("doc", woven.alias("text"), F.expr("size(filter(found, e -> map_contains_key(map, e)))").cast("long").alias("n_entities"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged, text_slices
+from .common import documents, staged, text_slices, whole_text, without
 
 #: Folds of the labelled rows; fold 0 is held out and never learnt from.
 FOLDS = 5
@@ -62,16 +62,20 @@ def _longest(flags: list[bool]) -> int:
     return best
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) with x the STATISTICS of each row of docs(doc_id, text, ...). Null texts count as empty; no shuffle."""
+def with_statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, carried..., x) with x the STATISTICS of each row of docs(doc_id, text, carried..., ...); carried are longs. Null texts count as empty; no shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_slices(batches):
             x = statistics(texts)
             offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, x array<double>")
+    return docs.select(F.struct("doc_id", *carried).alias("id"), "text").mapInArrow(rows, f"id {_id_type(carried)}, x array<double>").select("id.*", "x")
+
+
+def _id_type(carried: tuple[str, ...]) -> str:
+    return "struct<" + ", ".join(f"{c}: bigint" for c in ("doc_id", *carried)) + ">"
 
 
 @dataclass
@@ -214,15 +218,15 @@ def fold_of(doc_id: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text, ...).
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", *carried: str) -> DataFrame:
+    """(doc_id, carried..., held_out, score, predicted) for each row of docs(doc_id, text, carried..., ...).
 
     The model learns from labels(doc_id, <label>) of 0 or 1, fold 0 held out; other labels
     count as none, of several labels of one id the largest counts. Nothing but the
     text goes into a score; null texts count as empty. Without any label to learn from all
     scores are 0.5. A null doc_id is held out. Repeated rows are scored alike.
     """
-    x = staged(with_statistics(docs), "statistics")
+    x = staged(with_statistics(docs, *carried), "statistics")
     known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("y"))
     labelled = x.join(known, "doc_id").withColumn("fold", fold_of()).filter("fold > 0").select("x", "y", "fold")
     model = fit(staged(labelled, "labelled"))
@@ -231,16 +235,21 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
         for batch in batches:
             stats = _matrix(batch.column(1), len(STATISTICS))
             scores = np.clip(model.score(stats), 0, 1) if model else np.full(len(stats), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["id", "score"])
 
-    scored = x.mapInArrow(rows, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(fold_of() == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+    scored = x.select(F.struct("doc_id", *carried).alias("id"), "x").mapInArrow(rows, f"id {_id_type(carried)}, score double").select("id.*", "score")
+    return scored.select("doc_id", *carried, F.coalesce(fold_of() == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects (score under ACCEPT); columns unchanged. Rows without a doc_id stay."""
-    rejected = staged(score(docs, labels).filter("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that the classifier rejects (score under ACCEPT); columns unchanged.
+
+    A row is told apart by its doc_id and text, so of several rows of one id, or without an id, each goes by its own
+    score. Only rows that may go are shuffled.
+    """
+    own = docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64(whole_text())))
+    rejected = staged(score(own, labels, "quality", "__row").filter("predicted = 0").select("__row").distinct(), "rejected")
+    return without(own, rejected, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,7 +450,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words
     found = classes(shared, parts, length)
     heads = found.filter("kind = 0").select("m", "k", "row", "at", "starts", "behind")
     counts = staged(heads.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    heads = perhaps(heads, counts, "m").filter("maybe").drop("maybe").join(counts, "m")
+    heads = perhaps(heads, counts, "m").filter("__maybe").drop("__maybe").join(counts, "m")
     wanted = heads.groupBy("row").agg(F.collect_list(F.struct("m", "n", "k", "at", "starts", "behind")).alias("runs"))
     texts = _rows(docs).select("row", "text").join(wanted, "row").select("row", "text", F.explode("runs").alias("r"))
     read = staged(texts.select("row", "r.*", F.expr(f"substring(text, r.at + 1, r.starts + {length - 1})").alias("bytes")), "contexts")
