@@ -3,10 +3,13 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from catchment.llm import fingerprints, packing, pii, quality, queries, toxicity
@@ -202,6 +205,11 @@ def test_join_groups_splits_hot_keys(spark):
     assert join_groups(rows, groups.filter("key <> 'k3'"), "key", "n", 1, "left").count() == 80
 
 
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
 def test_pipeline_stages_against_their_inputs(spark, sf):
     docs = documents(spark, sf)
     kept = {r.doc_id for r in quality.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("predicted = 1").select("doc_id").collect()}
@@ -219,6 +227,34 @@ def test_pipeline_stages_against_their_inputs(spark, sf):
     assert four.columns == docs.columns and {r.doc_id for r in four.collect()} == {r.doc_id for r in three.collect()}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in three.collect()}
+    # Near copies by all pairs, chained.
+    sets = {r.doc_id: shingle_set(r.text) for r in two.collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert {r.doc_id for r in three.collect()} == {find(i) for i in sets}
+    # Texts with what the patterns find replaced, and nothing else; pieces by the plain library.
+    before, after = {r.doc_id: r.text for r in three.collect()}, {r.doc_id: r.text for r in four.collect()}
+    counted = {r.doc_id: r.n_entities for r in pii.replace_entities(three).collect()}
+    assert all((before[i] == after[i]) == (counted[i] == 0) for i in before)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, text in after.items():
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % packing.CAPACITY + 1
+        for k, a in enumerate([0, *range(first, len(ids), packing.CAPACITY)]):
+            part = ids[a : first if k == 0 else a + packing.CAPACITY]
+            want[i, k, a, len(part), zlib.crc32(array("I", part).tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     used = Counter()
     for r in rows:
         used[r.sequence_id] += r.length
