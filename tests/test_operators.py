@@ -285,6 +285,31 @@ def test_proxy_in_the_tuner(spark):
     assert set(out["config"].metadata["selection"]) >= {"candidate", "objective", "base_objective"}
 
 
+def test_job_from_exports_to_a_configuration(spark, tmp_path):
+    import json
+
+    from catchment.plans.job import tune_exports
+
+    stamp = lambda us: f"{np.datetime64(us, 'us').astype('datetime64[s]')}Z"
+    rows = simulate(9, 100)
+    kinds = {"storage": [(u, a) for _, u, a, _ in rows], "outlet": [(u, b) for _, u, _, b in rows], "upstream": [(u, 10 + b) for _, u, _, b in rows]}
+    for name, values in kinds.items():
+        lines = [f"# Location: {name} gauge", "# Value units: x", f"{gauges.TIME},{gauges.VALUE}", *[f"{stamp(u)},{v!r}" for u, v in values], "bad time,1"]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    own = gauges.Sources("lake", *[str(tmp_path / f"{n}.csv") for n in ("storage", "outlet", "upstream")])
+    base = SeriesConfig.diagonal(q=(0.005, 0.4, 0.02), r=(0.25, 0.16), units=SI)
+    config, report = str(tmp_path / "config.json"), str(tmp_path / "report.json")
+    out = tune_exports(spark, own, base, 0, 99 * HOUR, config, "2", report, windows=3, settings=ScoreSettings(warmup=timedelta(hours=2)), tuning=tuning.TuningSettings(rounds=1, local_searches=1, check_identifiability=False))
+    assert json.load(open(config))["version"] == "2" and out["improved"]
+    written = json.load(open(report))
+    assert {r["name"]: r["timestamp_parse_failures"] for r in written["source_audit"]} == {"storage": 1, "outlet": 1, "upstream": 1}
+    assert {r["location"] for r in written["source_audit"]} == {"storage gauge", "outlet gauge", "upstream gauge"}
+    assert written["window_audit"][0]["rows"] == 100 and written["window_audit"][0]["requested_end_us"] == 99 * HOUR
+    assert written["improvement"] == out["improvement"] and len(written["proxies"]) == 2
+    with pytest.raises(ValueError):
+        tune_exports(spark, own, base, 0, 1, config, "2", config)
+
+
 def test_frame_faults_and_hourly_deviations(spark):
     rows = [("a", 1, 1.0, 1.0), ("a", 1, 2.0, 1.0), ("b", 1, 1.0, None), ("b", 2, None, 1.0), (None, 3, 1.0, 1.0)]
     obs = spark.createDataFrame(rows, OBS)
