@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import subprocess
+import sys
 from array import array
 from functools import cache
 from itertools import islice
@@ -76,7 +78,14 @@ def _tiktoken(path: str, pattern: str, added: set[str]):
 
 @cache
 def same_ids(path: str, pattern: str) -> bool:
-    """Whether tiktoken gives the library's ids for every text without an added token; asked once, on the driver.
+    """Whether tiktoken gives the library's ids for every text without an added token; asked once, on the driver, by a process of its own, whose memory ends with it."""
+    ask = f"import sys; from {__name__} import _same_ids; print(_same_ids(*sys.argv[1:]))"
+    done = subprocess.run([sys.executable, "-c", ask, path, pattern], env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, stdout=subprocess.PIPE, text=True, check=True)
+    return done.stdout.split()[-1:] == ["True"]
+
+
+def _same_ids(path: str, pattern: str) -> bool:
+    """See same_ids.
 
     Pre-tokens. The file's only pre-tokenizer is the byte-level one with its own expression, and no normalizer or
     post-processor changes a text. That expression tells characters apart by class and ASCII letters alone, so it is
