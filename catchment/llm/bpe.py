@@ -204,7 +204,10 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, then decodes those ids, in one pass, and returns digests of both only."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, then decodes those ids, in one pass, and returns digests of both only.
+
+    Null texts count as empty, null ids and repeated rows are rows like others, no rows give no rows. A long text is split and encoded whole by one task.
+    """
     path, pattern = path or default_path("byte_bpe_multi_50k.tiktoken"), pattern or default_pattern()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

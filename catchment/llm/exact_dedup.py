@@ -53,7 +53,8 @@ def exact_groups(docs: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """For each row of docs(doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts form a group; the row with the largest doc_id stays (null ids come last; of rows
-    with that same id and text one stays). Null texts equal empty ones. Other columns are not read.
+    with that same id and text one stays). Null texts equal empty ones. Other columns are not read; texts of any length are hashed whole;
+    no rows give no rows.
     The text is read once, for its hash; only rows that the filter can't clear are shuffled.
     """
     hashes = staged(docs.select("doc_id", _sha("text").alias("sha"), F.monotonically_increasing_id().alias("row")), "hashes")

@@ -26,6 +26,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, pattern: str | None =
 
     A document is its ids and end_id. One longer than capacity is cut into pieces of capacity from
     its end, so only the first piece may be shorter. Null texts count as empty (one piece, the end id). Each row by itself; no shuffle.
+    Null and repeated ids are rows like others. A long text's ids are held as one array by one task.
     """
     tokenizer, pattern = tokenizer or default_path("byte_bpe_50k.json"), pattern or default_pattern()
     tail, same = np.array([end_id], dtype="<u4").tobytes(), same_ids(tokenizer, pattern)

@@ -224,7 +224,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", *carried:
     The model learns from labels(doc_id, <label>) of 0 or 1, fold 0 held out; other labels
     count as none, of several labels of one id the largest counts. Nothing but the
     text goes into a score; null texts count as empty. Without any label to learn from all
-    scores are 0.5. A null doc_id is held out. Repeated rows are scored alike.
+    scores are 0.5. A null doc_id is held out. Repeated rows are scored alike; no rows give no rows. A long text's statistics are
+    taken whole by one task, with its words as a list.
     """
     x = staged(with_statistics(docs, *carried), "statistics")
     known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("y"))

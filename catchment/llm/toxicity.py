@@ -265,7 +265,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learns from labels(doc_id, toxic) outside fold 0 only. Null texts count as empty and get the
     score of a text without a matching clause. Without labels of both classes the score is that of the seed
-    words: 1 - exp(-x) of the summed weight. Null ids are held out; repeated rows are scored alike.
+    words: 1 - exp(-x) of the summed weight. Null ids are held out; repeated rows are scored alike; no rows give no rows. A long text is searched
+    whole, clause by clause.
     """
     model = fit(docs, labels)
 
