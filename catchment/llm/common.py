@@ -19,7 +19,7 @@ HOT_SHARE = 2000
 FILTER_WORDS = 1 << 20
 
 #: Bytes of text that Python works on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
