@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, near_dedup, packing, pii, quality, suffix_dedup, token_files, toxicity
+from . import bpe, exact_dedup, fingerprints, merkle, near_dedup, packing, pii, quality, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op12_merkle": merkle.op12_merkle,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op12_merkle": merkle.OP12_SQL}
