@@ -1,31 +1,28 @@
-"""The causal filter: series in spans that start from composed elements, and a fixed-lag smoother over released windows.
+"""The water-balance filter and its smoothers: the model of linear.py in which storage gains what flows in and loses what flows out.
 
 The state is storage, inflow and outflow; over dt seconds storage gains c * (inflow - outflow) * dt,
-the two flows walk randomly, and readings show storage and outflow. A step, or any run of them, acts
-on the state before it as an element (A, b, C, eta, J) of five arrays, and two elements compose to one
-(temporal parallelisation of Bayesian smoothers, Sarkka and Garcia-Fernandez 2021). So each span of a series is first
-composed to one element by its own task, then the short list of elements gives every span its starting state, and
-then all spans are filtered at once. A long series needs no task of its own.
+the two flows walk randomly, and readings show storage and outflow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPAN_US, span_of, with_next
+from ..functions.columns import SPAN_US
 from ..plans.config import SeriesConfig
+from . import linear
+from .linear import Names
 
-UPPER = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
-MEAN, COV = ["m0", "m1", "m2"], [f"p{i}{j}" for i, j in UPPER]
-BEFORE_MEAN, BEFORE_COV = [f"b{c}" for c in MEAN], [f"b{c}" for c in COV]
-SMOOTHED_STATE = [f"s{n}" for n in MEAN + COV]
-INNOVATION = ["v0", "v1", "s00", "s01", "s11"]
-ELEMENT = [f"{n}{i}" for n, k in (("a", 9), ("b", 3), ("c", 9), ("e", 3), ("j", 9)) for i in range(k)]
+NAMES = Names(3, 2)
+MEAN, COV = NAMES.mean, NAMES.cov
+SMOOTHED_STATE = NAMES.smoothed
+#: What each of the two readings shows.
+OBSERVED = np.array([[1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
 
 
 def transitions(dt: np.ndarray, c: float) -> np.ndarray:
@@ -35,6 +32,15 @@ def transitions(dt: np.ndarray, c: float) -> np.ndarray:
     return f
 
 
+def process_bases(dt: np.ndarray, c: float) -> np.ndarray:
+    """(rows, 9, 3, 3): the noise over dt for each entry of q that is one and all others zero; process_covariances is their sum weighted by q."""
+    a = np.zeros((3, 3))
+    a[0] = 0, c, -c
+    d = dt[:, None, None, None]
+    unit = np.eye(9).reshape(9, 3, 3)
+    return unit * d + (a @ unit + unit @ a.T) * d**2 / 2 + (a @ unit @ a.T) * d**3 / 3
+
+
 def process_covariances(dt: np.ndarray, q: np.ndarray, c: float) -> np.ndarray:
     """The noise that q adds over dt: the integral of F(s) q F(s)', exact under splitting an interval."""
     a = np.zeros((3, 3))
@@ -43,209 +49,48 @@ def process_covariances(dt: np.ndarray, q: np.ndarray, c: float) -> np.ndarray:
     return q * d + (a @ q + q @ a.T) * d**2 / 2 + (a @ q @ a.T) * d**3 / 3
 
 
-def _t(x: np.ndarray) -> np.ndarray:
-    return np.swapaxes(x, -1, -2)
-
-
-def _sym(x: np.ndarray) -> np.ndarray:
-    return (x + _t(x)) / 2
-
-
-def readings(y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(H, R, y) with the missing components (NaN) taken out: their rows of H are zero, their variance one, their value zero."""
-    seen = np.isfinite(y)
-    h = np.zeros((len(y), 2, 3))
-    h[:, 0, 0], h[:, 1, 2] = seen[:, 0], seen[:, 1]
-    own = r[None] * (seen[:, :, None] & seen[:, None, :])
-    own[:, 0, 0] += ~seen[:, 0]
-    own[:, 1, 1] += ~seen[:, 1]
-    return h, own, np.where(seen, y, 0.0)
-
-
-def update(m: np.ndarray, p: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(mean, covariance, innovation, its covariance) after readings y (NaN: missing), for many states at once.
-
-    The covariance is in Joseph form; a singular innovation covariance is inverted as far as it goes.
-    """
-    h, own, z = readings(y, r)
-    v = z - (h @ m[:, :, None])[:, :, 0]
-    s = _sym(h @ p @ _t(h) + own)
-    cross = p @ _t(h)
-    gain = _t(_solved(s, _t(cross)))
-    rest = np.eye(3) - gain @ h
-    new = rest @ p @ _t(rest) + gain @ own @ _t(gain)
-    return m + (gain @ v[:, :, None])[:, :, 0], _sym(new), v, s
-
-
-def _solved(s: np.ndarray, b: np.ndarray) -> np.ndarray:
-    try:
-        return np.linalg.solve(s, b)
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(s, hermitian=True) @ b
+@dataclass(frozen=True)
+class WaterBalance:
+    """The water balance as a linear.Model: step rows (see prepare.steps) have dt and the series' first storage and outflow, from which it starts."""
 
+    config: SeriesConfig
+    states = 3
+    reads = ("storage", "outflow")
+    moves = ("dt",)
+    needs = ("dt", "first_storage", "first_outflow")
 
-def step_elements(y: np.ndarray, f: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The element of each step: move by F with noise Q, then read y."""
-    h, own, z = readings(y, r)
-    s = _sym(h @ q @ _t(h) + own)
-    hf = h @ f
-    gain = _t(_solved(s, h @ q))
-    rest = np.eye(3) - gain @ h
-    weighed = _solved(s, z[:, :, None])
-    return rest @ f, (gain @ z[:, :, None])[:, :, 0], _sym(rest @ q), (_t(hf) @ weighed)[:, :, 0], _sym(_t(hf) @ _solved(s, hf))
+    @property
+    def c(self) -> float:
+        return self.config.units.flow_to_volume_per_second
 
+    def transitions(self, rows: pd.DataFrame) -> np.ndarray:
+        return transitions(_seconds(rows), self.c)
 
-def compose(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """The elements x followed by y."""
-    a1, b1, c1, e1, j1 = x
-    a2, b2, c2, e2, j2 = y
-    one = np.eye(3)
-    left = _t(np.linalg.solve(_t(one + c1 @ j2), _t(a2)))
-    right = _t(np.linalg.solve(_t(one + j2 @ c1), a1))
-    b = (left @ (b1[:, :, None] + c1 @ e2[:, :, None]))[:, :, 0] + b2
-    e = (right @ (e2[:, :, None] - j2 @ b1[:, :, None]))[:, :, 0] + e1
-    return left @ a1, b, _sym(left @ c1 @ _t(a2) + c2), e, _sym(right @ j2 @ a1 + j1)
-
-
-def apply_element(m: np.ndarray, p: np.ndarray, x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """State (m, p) after the element."""
-    a, b, c, e, j = x
-    left = _t(np.linalg.solve(_t(np.eye(3) + p @ j), _t(a)))
-    return (left @ (m[:, :, None] + p @ e[:, :, None]))[:, :, 0] + b, _sym(left @ p @ _t(a) + c)
-
-
-def packed(p: np.ndarray) -> np.ndarray:
-    return np.stack([p[:, i, j] for i, j in UPPER], axis=1)
-
-
-def unpacked(v: np.ndarray) -> np.ndarray:
-    p = np.empty((len(v), 3, 3))
-    for k, (i, j) in enumerate(UPPER):
-        p[:, i, j] = p[:, j, i] = v[:, k]
-    return p
-
-
-def _groups(df: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the runs of equal keys in a sorted frame."""
-    new = np.ones(len(df), dtype=bool)
-    if len(df):
-        new[1:] = np.logical_or.reduce([df[k].to_numpy()[1:] != df[k].to_numpy()[:-1] for k in keys])
-    start = np.flatnonzero(new)
-    return start, np.diff(np.append(start, len(df)))
-
-
-def _in_step(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(groups, rows) for the first row of every group, then the second, ..."""
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    for t in range(size[0] if len(size) else 0):
-        n = int(np.searchsorted(-size, -t, side="left"))
-        yield order[:n], start[:n] + t
-
-
-def by_groups(df: DataFrame, keys: list[str], order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 200_000) -> DataFrame:
-    """work over whole groups of keys, many at a time, in blocks of about `rows` rows, sorted by keys and order.
-
-    Groups are dealt by hash and sorted by Spark; a block ends where a group ends, so memory is bounded by
-    `rows` and the largest group, which the span bounds.
-    """
+    def process(self, rows: pd.DataFrame) -> np.ndarray:
+        return process_covariances(_seconds(rows), np.asarray(self.config.q), self.c)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            held.append(frame)
-            if sum(map(len, held)) >= rows:
-                whole = pd.concat(held, ignore_index=True)
-                start, _ = _groups(whole, keys)
-                if start[-1]:
-                    yield work(whole.iloc[: start[-1]])
-                held = [whole.iloc[start[-1] :].reset_index(drop=True)]
-        if held and any(map(len, held)):
-            yield work(pd.concat(held, ignore_index=True))
+    def observation(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.broadcast_to(OBSERVED, (len(rows), 2, 3)), np.broadcast_to(np.asarray(self.config.r), (len(rows), 2, 2))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    def initial(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return start_state(rows["first_storage"].to_numpy(dtype=float), rows["first_outflow"].to_numpy(dtype=float), self.config)
 
 
-def _kernel_inputs(df: pd.DataFrame, config: SeriesConfig) -> tuple[np.ndarray, ...]:
-    c = config.units.flow_to_volume_per_second
-    dt = np.nan_to_num(df["dt"].to_numpy(dtype=float))
-    y = df[["storage", "outflow"]].to_numpy(dtype=float)
-    return y, transitions(dt, c), process_covariances(dt, np.asarray(config.q), c), np.asarray(config.r)
+def start_state(storage: np.ndarray, outflow: np.ndarray, config: SeriesConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The state before a series' first reading: as much flows in as out."""
+    return np.stack([storage, outflow, outflow], axis=1), np.broadcast_to(np.asarray(config.p0), (len(storage), 3, 3)).copy()
 
 
-def span_elements(spans: DataFrame, config: SeriesConfig) -> DataFrame:
-    """One composed element per (series, span) of step rows."""
-
-    def work(df: pd.DataFrame) -> pd.DataFrame:
-        y, f, q, r = _kernel_inputs(df, config)
-        parts = step_elements(y, f, q, r)
-        first = df["dt"].isna().to_numpy()
-        start, size = _groups(df, ["series", "span"])
-        out = [x[start].copy() for x in parts]
-        for groups, rows in _in_step(start, size):
-            if rows[0] == start[groups[0]]:
-                continue
-            for target, value in zip(out, compose(tuple(x[groups] for x in out), tuple(x[rows] for x in parts)), strict=True):
-                target[groups] = value
-        flat = np.hstack([x.reshape(len(start), -1) for x in out])
-        head = df.iloc[start]
-        return pd.DataFrame(flat, columns=ELEMENT).assign(series=head["series"].to_numpy(), span=head["span"].to_numpy(), starts=first[start], first_storage=head["first_storage"].to_numpy(), first_outflow=head["first_outflow"].to_numpy())
-
-    schema = f"{', '.join(f'{c} double' for c in ELEMENT)}, series string, span long, starts boolean, first_storage double, first_outflow double"
-    return by_groups(spans, ["series", "span"], "us", work, schema)
-
-
-def _initial(df: pd.DataFrame, config: SeriesConfig) -> tuple[np.ndarray, np.ndarray]:
-    s, o = df["first_storage"].to_numpy(dtype=float), df["first_outflow"].to_numpy(dtype=float)
-    return np.stack([s, o, o], axis=1), np.broadcast_to(np.asarray(config.p0), (len(df), 3, 3)).copy()
-
-
-def span_states(elements: DataFrame, config: SeriesConfig) -> DataFrame:
-    """(series, span, m0 .. p22): the state before each span, by applying the elements of the spans before it in turn."""
-
-    def work(df: pd.DataFrame) -> pd.DataFrame:
-        x = df[ELEMENT].to_numpy()
-        shapes = ((0, 9, (3, 3)), (9, 12, (3,)), (12, 21, (3, 3)), (21, 24, (3,)), (24, 33, (3, 3)))
-        parts = tuple(x[:, a:b].reshape(-1, *shape) for a, b, shape in shapes)
-        start, size = _groups(df, ["series"])
-        m, p = _initial(df.iloc[start], config)
-        means, covs = np.empty((len(df), 3)), np.empty((len(df), 3, 3))
-        for groups, rows in _in_step(start, size):
-            means[rows], covs[rows] = m[groups], p[groups]
-            m[groups], p[groups] = apply_element(m[groups], p[groups], tuple(v[rows] for v in parts))
-        return pd.DataFrame(np.hstack([means, packed(covs)]), columns=MEAN + COV).assign(series=df["series"].to_numpy(), span=df["span"].to_numpy())
-
-    return by_groups(elements, ["series"], "span", work, f"{', '.join(f'{c} double' for c in MEAN + COV)}, series string, span long")
+def _seconds(rows: pd.DataFrame) -> np.ndarray:
+    return np.nan_to_num(rows["dt"].to_numpy(dtype=float))
 
 
 def filtered(step_rows: DataFrame, config: SeriesConfig, span: int = SPAN_US) -> DataFrame:
     """step_rows with the predicted (b...) and filtered states, innovations and their covariance, and dt.
 
-    Columns bm0..bp22 (before the reading), m0..p22 (after), v0, v1 (innovations, null if not read), s00, s01, s11.
+    Columns bm0..bp22 (before the reading), m0..p22 (after), v0, v1 (innovations, null if not read), s00, s01, s11, log_density.
     """
-    spans = step_rows.withColumn("span", span_of("us", span))
-    before = span_states(span_elements(spans, config), config)
-    joined = spans.join(before, ["series", "span"])
-    names = BEFORE_MEAN + BEFORE_COV + MEAN + COV + INNOVATION
-
-    def work(df: pd.DataFrame) -> pd.DataFrame:
-        y, f, q, r = _kernel_inputs(df, config)
-        start, size = _groups(df, ["series", "span"])
-        m, p = df[MEAN].to_numpy()[start], unpacked(df[COV].to_numpy()[start])
-        out = np.empty((len(df), len(names)))
-        for groups, rows in _in_step(start, size):
-            bm = (f[rows] @ m[groups][:, :, None])[:, :, 0]
-            bp = _sym(f[rows] @ p[groups] @ _t(f[rows]) + q[rows])
-            m[groups], p[groups], v, s = update(bm, bp, y[rows], r)
-            v = np.where(np.isfinite(y[rows]), v, np.nan)
-            out[rows] = np.hstack([bm, packed(bp), m[groups], packed(p[groups]), v, s[:, 0, 0, None], s[:, 0, 1, None], s[:, 1, 1, None]])
-        got = pd.DataFrame(out, columns=names)
-        return pd.concat([df[["series", "us", "storage", "outflow", "dt", "first_us", "second_us"]].reset_index(drop=True), got], axis=1)
-
-    schema = "series string, us long, storage double, outflow double, dt double, first_us long, second_us long, " + ", ".join(f"{n} double" for n in names)
-    done = by_groups(joined, ["series", "span"], "us", work, schema)
-    nan = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("storage", "outflow", "dt", "v0", "v1")]
-    return done.select("series", "us", *nan[:3], "first_us", "second_us", *BEFORE_MEAN, *BEFORE_COV, *MEAN, *COV, *nan[3:], "s00", "s01", "s11")
+    return linear.filtered(step_rows, WaterBalance(config), ("first_us", "second_us"), span)
 
 
 def smoothed(states: DataFrame, config: SeriesConfig, provisional: bool = False, whole: bool = False, span: int = SPAN_US) -> DataFrame:
@@ -253,135 +98,16 @@ def smoothed(states: DataFrame, config: SeriesConfig, provisional: bool = False,
 
     A row is released by the first row at least the lag later, and smoothed back from that one.
     Rows not yet released have nulls, or with provisional are smoothed back from the series' last row; with whole,
-    all rows are smoothed back from the last row (see smoothed_back). Each row carries the row behind it, and
-    rows are copied to the span before as far as the lag reaches, so any row finds all its window in one block.
+    all rows are smoothed back from the last row. See linear.smoothed_by_lag and linear.smoothed_back.
     """
+    model = WaterBalance(config)
     if whole:
-        return smoothed_back(states, config, span).select("*", F.lit(None).cast("long").alias("release_us"), F.lit(False).alias("released"))
-    fixed = _smoothed_by_lag(states, config, span)
+        return linear.smoothed_back(states, model, span).select("*", F.lit(None).cast("long").alias("release_us"), F.lit(False).alias("released"))
+    fixed = linear.smoothed_by_lag(states, model, config.lag_us, span)
     if not provisional:
         return fixed
     last = states.groupBy("series").agg(F.max("us").alias("__last"))
     tail = states.join(last, "series").filter(F.col("us") > F.col("__last") - config.lag_us).drop("__last")
-    values = smoothed_back(tail, config, span).select("series", "us", F.struct(*SMOOTHED_STATE).alias("back"))
+    values = linear.smoothed_back(tail, model, span).select("series", "us", F.struct(*SMOOTHED_STATE).alias("back"))
     joined = fixed.join(values, ["series", "us"], "left")
     return joined.select("series", "us", *[F.when(F.col("released"), F.col(n)).otherwise(F.col(f"back.{n}")).alias(n) for n in SMOOTHED_STATE], "release_us", "released")
-
-
-def _with_row_behind(states: DataFrame, span: int) -> DataFrame:
-    ahead = with_next(states, "series", ["dt", *BEFORE_MEAN, *BEFORE_COV, *MEAN, *COV], "next", span)
-    nexts = [F.col(f"next.{n}").alias(f"n_{n}") for n in ("us", "dt", *BEFORE_MEAN, *BEFORE_COV, *MEAN, *COV)]
-    return ahead.select("series", span_of("us", span).alias("span"), "us", *MEAN, *COV, *nexts)
-
-
-def _gains(df: pd.DataFrame, c: float) -> tuple[np.ndarray, ...]:
-    """(gain, mean, covariance, mean and covariance predicted for the row behind, whether there is one) of rows that carry the row behind them."""
-    has_next = df["n_us"].notna().to_numpy()
-    m, p = df[MEAN].to_numpy(), unpacked(df[COV].to_numpy())
-    grab = lambda names: np.nan_to_num(df[[f"n_{x}" for x in names]].to_numpy(dtype=float))
-    nb_m, nb_p = grab(BEFORE_MEAN), unpacked(grab(BEFORE_COV))
-    nb_p[~has_next] = np.eye(3)
-    f = transitions(np.nan_to_num(df["n_dt"].to_numpy(dtype=float)), c)
-    return _t(_solved(nb_p, f @ p)), m, p, nb_m, nb_p, has_next
-
-
-def smoothed_back(states: DataFrame, config: SeriesConfig, span: int = SPAN_US) -> DataFrame:
-    """(series, us, sm0..sm2, sp00..sp22): every row smoothed back from its series' last one, in work linear in the rows.
-
-    A row's smoothed state is an affine function (A, e, L) of that of the row behind: A x + e, A P A' + L. As in the filter, the
-    functions of a span compose to one by its own task, the short list of them is run through from the last span, and then all spans
-    are swept back at once from the states behind them.
-    """
-    c = config.units.flow_to_volume_per_second
-    rows = _with_row_behind(states, span)
-    names = [f"a{i}" for i in range(9)] + [f"e{i}" for i in range(3)] + [f"l{i}" for i in range(9)]
-
-    def functions(df: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        gain, m, p, nb_m, nb_p, has_next = _gains(df, c)
-        gain = gain * has_next[:, None, None]
-        return gain, m - (gain @ nb_m[:, :, None])[:, :, 0], _sym(p - gain @ nb_p @ _t(gain))
-
-    def composed(df: pd.DataFrame) -> pd.DataFrame:
-        parts = functions(df)
-        start, size = _groups(df, ["series", "span"])
-        out = [x[start + size - 1].copy() for x in parts]
-        for groups, at in _in_step(start, size):
-            back = 2 * start[groups] + size[groups] - 1 - at
-            inner = back < start[groups] + size[groups] - 1
-            g, i = groups[inner], back[inner]
-            a = parts[0][i]
-            out[2][g] = parts[2][i] + a @ out[2][g] @ _t(a)
-            out[1][g] = parts[1][i] + (a @ out[1][g][:, :, None])[:, :, 0]
-            out[0][g] = a @ out[0][g]
-        head = df.iloc[start]
-        return pd.DataFrame(np.hstack([x.reshape(len(start), -1) for x in out]), columns=names).assign(series=head["series"].to_numpy(), span=head["span"].to_numpy())
-
-    def behind(df: pd.DataFrame) -> pd.DataFrame:
-        x = df[names].to_numpy()
-        a, e, l_ = x[:, :9].reshape(-1, 3, 3), x[:, 9:12], x[:, 12:].reshape(-1, 3, 3)
-        start, size = _groups(df, ["series"])
-        m, p = np.zeros((len(start), 3)), np.zeros((len(start), 3, 3))
-        means, covs = np.empty((len(df), 3)), np.empty((len(df), 3, 3))
-        for groups, at in _in_step(start, size):
-            i = 2 * start[groups] + size[groups] - 1 - at
-            means[i], covs[i] = m[groups], p[groups]
-            m[groups] = e[i] + (a[i] @ m[groups][:, :, None])[:, :, 0]
-            p[groups] = _sym(l_[i] + a[i] @ p[groups] @ _t(a[i]))
-        return pd.DataFrame(np.hstack([means, packed(covs)]), columns=SMOOTHED_STATE).assign(series=df["series"].to_numpy(), span=df["span"].to_numpy())
-
-    def swept(df: pd.DataFrame) -> pd.DataFrame:
-        a, e, l_ = functions(df)
-        start, size = _groups(df, ["series", "span"])
-        m, p = df[SMOOTHED_STATE[:3]].to_numpy()[start], unpacked(df[SMOOTHED_STATE[3:]].to_numpy()[start])
-        means, covs = np.empty((len(df), 3)), np.empty((len(df), 3, 3))
-        for groups, at in _in_step(start, size):
-            i = 2 * start[groups] + size[groups] - 1 - at
-            m[groups] = e[i] + (a[i] @ m[groups][:, :, None])[:, :, 0]
-            p[groups] = _sym(l_[i] + a[i] @ p[groups] @ _t(a[i]))
-            means[i], covs[i] = m[groups], p[groups]
-        return pd.DataFrame(np.hstack([means, packed(covs)]), columns=SMOOTHED_STATE).assign(series=df["series"].to_numpy(), us=df["us"].to_numpy())
-
-    doubles = lambda columns: ", ".join(f"{n} double" for n in columns)
-    elements = by_groups(rows, ["series", "span"], "us", composed, f"{doubles(names)}, series string, span long")
-    tips = by_groups(elements, ["series"], "span", behind, f"{doubles(SMOOTHED_STATE)}, series string, span long")
-    done = by_groups(rows.join(tips, ["series", "span"]), ["series", "span"], "us", swept, f"{doubles(SMOOTHED_STATE)}, series string, us long")
-    return done.select("series", "us", *SMOOTHED_STATE)
-
-
-def _smoothed_by_lag(states: DataFrame, config: SeriesConfig, span: int) -> DataFrame:
-    c, lag = config.units.flow_to_volume_per_second, config.lag_us
-    first = F.floor((F.col("us") - lag) / F.lit(span)).cast("long")
-    placed = _with_row_behind(states, span).withColumn("at", F.col("span")).withColumn("span", F.explode(F.sequence(first, F.col("at"))))
-    flat = placed.withColumn("own", F.col("span") == F.col("at")).drop("at")
-
-    def work(df: pd.DataFrame) -> pd.DataFrame:
-        n = len(df)
-        start, size = _groups(df, ["series", "span"])
-        end = np.repeat(start + size, size)
-        us = df["us"].to_numpy()
-        gain, m, p, nb_m, nb_p, has_next = _gains(df, c)
-        n_m = np.nan_to_num(df[[f"n_{x}" for x in MEAN]].to_numpy(dtype=float))
-        n_p = unpacked(np.nan_to_num(df[[f"n_{x}" for x in COV]].to_numpy(dtype=float)))
-        last = np.empty(n, dtype=np.int64)
-        for a, k in zip(start, size, strict=True):
-            part = us[a : a + k]
-            last[a : a + k] = a + np.searchsorted(part, part + lag, side="left") - 1
-        released = has_next[last] & (last < end)
-        sm, sp = np.full((n, 3), np.nan), np.full((n, 3, 3), np.nan)
-        sm[released], sp[released] = n_m[last[released]], n_p[last[released]]
-        at = last.copy()
-        rows = np.flatnonzero(released & (at >= np.arange(n)))
-        while len(rows):
-            i = at[rows]
-            g = gain[i]
-            sm[rows] = m[i] + (g @ (sm[rows] - nb_m[i])[:, :, None])[:, :, 0]
-            sp[rows] = _sym(p[i] + g @ (sp[rows] - nb_p[i]) @ _t(g))
-            at[rows] -= 1
-            rows = rows[at[rows] >= rows]
-        got = pd.DataFrame(np.hstack([sm, packed(sp)]), columns=SMOOTHED_STATE).assign(series=df["series"].to_numpy(), us=us, released=released)
-        got["release_us"] = pd.array([int(x) if r else None for x, r in zip(df["n_us"].to_numpy()[last], released, strict=True)], dtype="Int64")
-        return got[df["own"].to_numpy()]
-
-    schema = ", ".join(f"{n} double" for n in SMOOTHED_STATE) + ", series string, us long, release_us long, released boolean"
-    done = by_groups(flat, ["series", "span"], "us", work, schema)
-    return done.select("series", "us", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in SMOOTHED_STATE], "release_us", "released")

@@ -1,4 +1,4 @@
-"""The filter and fixed-lag smoother as a Structured Streaming query with state per series."""
+"""The filter and fixed-lag smoother as a Structured Streaming query whose state is an anchor and the readings behind it."""
 
 from __future__ import annotations
 
@@ -6,100 +6,163 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.estimate import NON_SMOOTHED, NORMAL, PREDICTED, SMOOTHED
-from ..operators.filtering import packed, process_covariances, transitions, unpacked, update
+from ..operators.filtering import WaterBalance
+from ..operators.linear import Model, Names, applied, backward_functions, by_groups, doubles, filtered_groups, groups_of, kernel_inputs, names_of, packed, scans, swept_groups, unpacked
 from ..plans.config import SeriesConfig
 
 OUTPUT = "series string, us long, kind string, value double, prediction_flag string, smoothing_flag string, standard_deviation double, reason string"
-#: Of each step not yet released: time, flag, and NUMBERS doubles (state, its covariance, both before the reading, seconds).
-STATE = "fingerprint string, last_us long, first_us long, first array<double>, us array<long>, flags array<string>, numbers array<double>"
-NUMBERS = 19
-
-
-class Running:
-    """One series' state: the last time, the first reading until there is a second, and the steps not yet released."""
-
-    def __init__(self):
-        self.last_us: int | None = None
-        self.first: tuple[int, float, float] | None = None
-        self.steps: list[tuple] = []
-
-    def stored(self) -> tuple:
-        """The columns of STATE behind the fingerprint."""
-        numbers = [x for _, m, p, bm, bp, dt, _ in self.steps for x in (*m[0].tolist(), *packed(p)[0].tolist(), *bm[0].tolist(), *packed(bp)[0].tolist(), dt)]
-        first = self.first or (None, None, None)
-        return self.last_us, first[0], list(first[1:]) if self.first else None, [s[0] for s in self.steps], [s[6] for s in self.steps], numbers
-
-    @classmethod
-    def restored(cls, last_us, first_us, first, us, flags, numbers) -> Running:
-        self = cls()
-        self.last_us, self.first = last_us, (first_us, *first) if first_us is not None else None
-        x = np.array(numbers, dtype=float).reshape(-1, 1, NUMBERS)
-        self.steps = [(t, v[:, :3], unpacked(v[:, 3:9]), v[:, 9:12], unpacked(v[:, 12:18]), float(v[0, 18]), f) for t, f, v in zip(us, flags, x, strict=True)]
-        return self
-
-    def accept(self, us: int, storage: float, outflow: float, config: SeriesConfig) -> Iterator[tuple]:
-        """The output rows of one reading, without the series; a rejected reading leaves the state as it was."""
-        if self.last_us is not None and us <= self.last_us:
-            yield us, "rejected", None, None, None, None, "not later than the last reading"
-            return
-        if not self.steps and self.first is None:
-            if not np.isfinite(storage):
-                self.last_us = us
-            elif not np.isfinite(outflow):
-                yield us, "rejected", None, None, None, None, "the first storage reading needs an outflow"
-            else:
-                self.last_us, self.first = us, (us, storage, outflow)
-            return
-        if not self.steps:
-            if np.isfinite(storage):
-                first, self.first = self.first, None
-                m = np.array([[first[1], first[2], first[2]]])
-                yield from self._step(first[0], first[1], first[2], 0.0, m, np.array([config.p0]), config)
-                yield from self._move(us, storage, outflow, config)
-            self.last_us = us
-            return
-        yield from self._move(us, storage, outflow, config)
-        self.last_us = us
-
-    def _move(self, us: int, storage: float, outflow: float, config: SeriesConfig) -> Iterator[tuple]:
-        before = self.steps[-1]
-        dt = np.array([(us - before[0]) / 1e6])
-        c = config.units.flow_to_volume_per_second
-        f = transitions(dt, c)
-        m, p = (f @ before[1][:, :, None])[:, :, 0], f @ before[2] @ np.swapaxes(f, 1, 2) + process_covariances(dt, np.asarray(config.q), c)
-        yield from self._step(us, storage, outflow, float(dt[0]), m, p, config)
-
-    def _step(self, us, storage, outflow, dt, bm, bp, config) -> Iterator[tuple]:
-        y = np.array([[storage, outflow]])
-        m, p, _, _ = update(bm, bp, y, np.asarray(config.r))
-        flag = NORMAL if np.isfinite(y).all() else PREDICTED
-        new = (us, m, p, bm, bp, dt, flag)
-        yield us, "filtered", float(m[0, 1]), flag, NON_SMOOTHED, float(np.sqrt(max(p[0, 1, 1], 0))), None
-        released = sum(us - s[0] >= config.lag_us for s in self.steps)
-        if not released and len(self.steps) >= config.max_window:
+#: The state after the last released row (anchor: mean, then covariance by its upper triangle), the first reading until there is a second, the last time, and the number of the next chunk.
+HEAD = "fingerprint string, last_us long, first_us long, first array<double>, anchor_us long, anchor array<double>, chunk long"
+#: Readings of one micro-batch that wait for release, a value a reading and column in time order.
+CHUNK = "us array<long>, readings array<double>"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LATE, BARE = "not later than the last reading", "the first storage reading needs an outflow"
+
+
+def _rows(model: Model, us: np.ndarray, y: np.ndarray, before_us: int | None) -> pd.DataFrame:
+    """Step rows of one series: dt is missing for its first row; first_... are that row's readings."""
+    dt = np.diff(us, prepend=us[0] if before_us is None else before_us) / 1e6
+    if before_us is None:
+        dt[0] = np.nan
+    frame = pd.DataFrame(y, columns=list(model.reads)).assign(us=us, dt=dt)
+    return frame.assign(**{f"first_{c}": y[0, i] for i, c in enumerate(model.reads)})
+
+
+class Estimator(StatefulProcessor):
+    """One series' part of the stream.
+
+    A batch's readings are filtered on from the anchor after those that wait (which are filtered again, so their states need not be kept), and rows are
+    released by block functions as in linear.smoothed_by_lag, whose gains are solved once a batch. Written are the head, one chunk of new readings,
+    and the removal of chunks that are released as a whole; so a batch writes what it changes.
+    """
+
+    def __init__(self, model: Model, lag_us: int, shown: int, mark: str, max_window: int, start_on: str | None):
+        self.model, self.lag, self.shown, self.mark, self.most = model, lag_us, shown, mark, max_window
+        self.start = model.reads.index(start_on) if start_on is not None else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", HEAD)
+        self.waiting = handle.getMapState("waiting", "chunk long", CHUNK)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        reads = list(self.model.reads)
+        new = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable")
+        last_us = first_us = first = anchor_us = anchor = None
+        chunk = 0
+        if self.head.exists():
+            known, last_us, first_us, first, anchor_us, anchor, chunk = self.head.get()
+            if known != self.mark:
+                raise ValueError("the stored state belongs to another configuration")
+        held = sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator())
+        started = bool(held) or anchor_us is not None
+        out, us, y = [], [], []
+        for t, *values in zip(new["us"].tolist(), *(new[c].astype(float).tolist() for c in reads), strict=True):
+            if last_us is not None and t <= last_us:
+                out.append((t, LATE))
+                continue
+            if not started and self.start is not None:
+                if not np.isfinite(values[self.start]):
+                    last_us = t
+                    continue
+                if first_us is None:
+                    if not np.isfinite(values).all():
+                        out.append((t, BARE))
+                        continue
+                    last_us, first_us, first = t, t, values
+                    continue
+                us, y = [first_us], [list(first)]
+                first_us = first = None
+            started, last_us = True, t
+            us.append(t)
+            y.append(values)
+        rejected = pd.DataFrame(out, columns=["us", "reason"]).assign(kind="rejected")
+        parts = [rejected] if out else []
+        if us:
+            old_us = [t for _, times, _ in held for t in times]
+            old_y = [v for _, _, values in held for v in values]
+            all_us = np.array(old_us + us, dtype=np.int64)
+            all_y = np.vstack([np.array(old_y, dtype=float).reshape(-1, len(reads)), np.array(y, dtype=float)])
+            behind = 0 if anchor_us is None else int(np.searchsorted(all_us, anchor_us, side="right"))
+            all_us, all_y = all_us[behind:], all_y[behind:]
+            found, anchor_us, anchor = self._advance(all_us, all_y, len(old_us) - behind, anchor_us, anchor)
+            parts += found
+            edge = anchor_us if anchor_us is not None else np.iinfo(np.int64).min
+            for number, times, _ in held:
+                if times[-1] <= edge:
+                    self.waiting.removeKey((number,))
+            fresh = [(t, v) for t, v in zip(us, y, strict=True) if t > edge]
+            if fresh:
+                self.waiting.updateValue((chunk,), ([t for t, _ in fresh], [float(x) for _, v in fresh for x in v]))
+                chunk += 1
+        self.head.update((self.mark, last_us, first_us, first, anchor_us, anchor, chunk))
+        names = ["us", "kind", "value", "prediction_flag", "smoothing_flag", "standard_deviation", "reason"]
+        if parts:
+            whole = pd.concat(parts, ignore_index=True).reindex(columns=names).assign(series=key[0])[["series", *names]]
+            # Strings as plain objects: Spark's serializer for these functions takes no chunked columns.
+            yield whole.astype({c: object for c in ("series", "kind", "prediction_flag", "smoothing_flag", "reason")} | {"us": "int64", "value": float, "standard_deviation": float})
+
+    def _advance(self, us: np.ndarray, y: np.ndarray, old: int, anchor_us: int | None, anchor: list | None) -> tuple[list[pd.DataFrame], int | None, list | None]:
+        """(output frames, the anchor's time and state) of readings of which the first `old` were there before."""
+        n = self.model.states
+        rows = _rows(self.model, us, y, anchor_us)
+        m, p = self.model.initial(rows.iloc[:1]) if anchor_us is None else (np.array([anchor[:n]]), unpacked(np.array([anchor[n:]])))
+        one = np.array([0]), np.array([len(us)])
+        bm, bp, m, p, _, _ = filtered_groups(m.copy(), p.copy(), kernel_inputs(rows, self.model), *one)
+        flag = np.where(np.isfinite(y).all(axis=1), NORMAL, PREDICTED)
+        out = [self._frame(us[old:], "filtered", m[old:], p[old:], flag[old:], NON_SMOOTHED)]
+        active = np.arange(len(us)) - np.searchsorted(us, us - self.lag, side="right") + 1
+        if (active[old:] > self.most).any():
             raise OverflowError("more rows than max_window wait for release")
-        self.steps.append(new)
+        last = np.searchsorted(us, us + self.lag, side="left") - 1
+        released = int((last < len(us) - 1).sum())
         if released:
-            yield from self._released(released, config)
-            del self.steps[:released]
-
-    def _released(self, count: int, config: SeriesConfig) -> Iterator[tuple]:
-        sm, sp = self.steps[-1][1], self.steps[-1][2]
-        out = []
-        for k in range(len(self.steps) - 2, -1, -1):
-            us, m, p, *_, flag = self.steps[k]
-            _, _, _, bm, bp, dt, _ = self.steps[k + 1]
-            f = transitions(np.array([dt]), config.units.flow_to_volume_per_second)
-            gain = np.swapaxes(np.linalg.solve(bp, f @ p), 1, 2)
-            sm = m + (gain @ (sm - bm)[:, :, None])[:, :, 0]
-            sp = p + gain @ (sp - bp) @ np.swapaxes(gain, 1, 2)
-            if k < count:
-                out.append((us, "revised", float(sm[0, 1]), flag, SMOOTHED, float(np.sqrt(max(sp[0, 1, 1], 0))), None))
-        yield from reversed(out)
+            parts, _ = backward_functions(_with_behind(names_of(self.model), self.model, rows, bm, bp, m, p), self.model)
+            block = us // self.lag
+            start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            ahead, so_far = scans(parts, start, np.diff(np.append(start, len(us))))
+            at = last[:released]
+            sm, sp = m[at + 1].copy(), p[at + 1].copy()
+            far = np.flatnonzero(block[at] != block[:released])
+            sm[far], sp[far] = applied(tuple(x[at[far]] for x in so_far), sm[far], sp[far])
+            sm, sp = applied(tuple(x[:released] for x in ahead), sm, sp)
+            out.append(self._frame(us[:released], "revised", sm, sp, flag[:released], SMOOTHED))
+            anchor_us, anchor = int(us[released - 1]), [*m[released - 1].tolist(), *packed(p[released - 1 : released])[0].tolist()]
+        return out, anchor_us, anchor
+
+    def _frame(self, us, kind, m, p, flag, smoothing) -> pd.DataFrame:
+        sd = np.sqrt(np.maximum(p[:, self.shown, self.shown], 0))
+        return pd.DataFrame({"us": us, "kind": kind, "value": m[:, self.shown], "prediction_flag": flag, "smoothing_flag": smoothing, "standard_deviation": sd})
+
+
+def _with_behind(names: Names, model: Model, rows: pd.DataFrame, bm, bp, m, p) -> pd.DataFrame:
+    """The rows as linear.backward_functions reads them: each with the row behind it."""
+    own = pd.DataFrame(np.hstack([bm, packed(bp), m, packed(p)]), columns=names.before + names.state)
+    both = pd.concat([own, rows[list(dict.fromkeys(["us", "dt", *model.moves]))].reset_index(drop=True)], axis=1)
+    return pd.concat([both, both.shift(-1).add_prefix("n_")], axis=1)
+
+
+def stream_states(readings: DataFrame, model: Model, lag_us: int, shown: int, mark: str, max_window: int = 100_000, start_on: str | None = None) -> DataFrame:
+    """Output rows (OUTPUT) for a stream of readings(series, us, model.reads), for any linear.Model whose matrices are constants or follow from dt.
+
+    value is state number `shown`. start_on: a reading whose first two rows start a series (rows between are left out; the first needs all
+    readings); without it a series starts with its first row. mark names the model: a query with another mark fails on stored state. See stream_estimates.
+    The state store is RocksDB's, which this sets for the session, as values of a map are written one by one.
+    """
+    known = {"dt", *(f"first_{c}" for c in model.reads)}
+    extra = [c for c in (*model.moves, *model.needs) if c not in known]
+    if extra:
+        raise ValueError(f"a stream keeps readings only, so matrices can't come from columns: {', '.join(extra)}")
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    work = Estimator(model, lag_us, shown, mark, max_window, start_on)
+    return readings.select("series", "us", *model.reads).groupBy("series").transformWithStateInPandas(work, OUTPUT, "append", "none")
 
 
 def stream_estimates(readings: DataFrame, config: SeriesConfig) -> DataFrame:
@@ -108,23 +171,53 @@ def stream_estimates(readings: DataFrame, config: SeriesConfig) -> DataFrame:
     Each reading gives a row of kind filtered, and rows of kind revised for those that are now at least the lag
     older. Readings of a micro-batch are taken in time order; one that is not later than the series' last,
     or a first storage reading without outflow, gives a row of kind rejected and changes nothing. The
-    state holds the steps not yet released, in typed columns, and lives in Spark's state store, so a restarted query goes on where it was; a
+    state (see Estimator) lives in Spark's state store, so a restarted query goes on where it was; a
     query with another model fails on it. Nulls are missing readings.
     """
-    mark = config.fingerprint()
+    return stream_states(readings, WaterBalance(config), config.lag_us, 1, config.fingerprint(), config.max_window, "storage")
+
+
+def waiting_readings(spark: SparkSession, checkpoint: str, reads: tuple[str, ...] = WaterBalance.reads) -> DataFrame:
+    """(series, us, readings, anchor_us, anchor) of the rows that wait for release, out of the state of a stopped stream with the checkpoint folder."""
+    state = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+    heads = state("head").load().select(F.col("key.series").alias("series"), "value.anchor_us", "value.anchor")
+    chunks = state("waiting").option("flattenCollectionTypes", "true").load().select(F.col("key.series").alias("series"), F.posexplode("user_map_value.us").alias("place", "us"), F.col("user_map_value.readings").alias("__all"))
+    value = [F.col("__all")[F.col("place") * len(reads) + i] for i in range(len(reads))]
+    rows = chunks.select("series", "us", *[F.when(~F.isnan(v), v).alias(c) for v, c in zip(value, reads, strict=True)])
+    return rows.join(heads, "series").filter("anchor_us IS NULL OR us > anchor_us")
 
-    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running = Running()
-        if state.exists:
-            known, *rest = state.get
-            if known != mark:
-                raise ValueError("the stored state belongs to another configuration")
-            running = Running.restored(*rest)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("us", kind="stable")
-        out = [x for us, s, o in zip(rows["us"], rows["storage"].astype(float), rows["outflow"].astype(float), strict=True) for x in running.accept(int(us), s, o, config)]
-        state.update((mark, *running.stored()))
-        names = ["us", "kind", "value", "prediction_flag", "smoothing_flag", "standard_deviation", "reason"]
-        yield pd.DataFrame(out, columns=names).assign(series=key[0])[["series", *names]]
 
-    kept = readings.select("series", "us", "storage", "outflow")
-    return kept.groupBy("series").applyInPandasWithState(work, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def pending_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(series, pending): how many rows of each series of a stopped stream wait for release."""
+    return waiting_readings(spark, checkpoint).groupBy("series").agg(F.count("*").alias("pending"))
+
+
+def provisional(spark: SparkSession, checkpoint: str, config: SeriesConfig) -> DataFrame:
+    """(series, us, value, standard_deviation) of the rows that wait for release, smoothed back from their series' last reading; the stream's state is not changed.
+
+    The waiting readings of a series are filtered again from its anchor, thousands of series in step; no series has more of them than max_window.
+    """
+    model = WaterBalance(config)
+    names = names_of(model)
+    waiting = waiting_readings(spark, checkpoint)
+
+    def work(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.reset_index(drop=True)
+        start, size = groups_of(df, ["series"])
+        us = df["us"].to_numpy()
+        dt = np.diff(us, prepend=us[:1]) / 1e6
+        first = df["anchor_us"].to_numpy(dtype=float)[start]
+        dt[start] = np.where(np.isfinite(first), (us[start] - np.nan_to_num(first)) / 1e6, np.nan)
+        df = df.assign(dt=dt, first_storage=np.repeat(df["storage"].to_numpy(dtype=float)[start], size), first_outflow=np.repeat(df["outflow"].to_numpy(dtype=float)[start], size))
+        m, p = model.initial(df.iloc[start])
+        for g in np.flatnonzero(np.isfinite(first)):
+            anchor = np.asarray(df["anchor"].iloc[start[g]], dtype=float)
+            m[g], p[g] = anchor[:3], unpacked(anchor[None, 3:])[0]
+        bm, bp, m, p, _, _ = filtered_groups(m, p, kernel_inputs(df, model), start, size)
+        behind = _with_behind(names, model, df, bm, bp, m, p)
+        behind.loc[start + size - 1, [c for c in behind.columns if c.startswith("n_")]] = np.nan
+        parts, _ = backward_functions(behind, model)
+        sm, sp = swept_groups(parts, np.zeros((len(start), 3)), np.zeros((len(start), 3, 3)), start, size)
+        return pd.DataFrame({"value": sm[:, 1], "standard_deviation": np.sqrt(np.maximum(sp[:, 1, 1], 0))}).assign(series=df["series"].to_numpy(), us=us)
+
+    return by_groups(waiting, ["series"], "us", work, f"{doubles(['value', 'standard_deviation'])}, series string, us long").select("series", "us", "value", "standard_deviation")
