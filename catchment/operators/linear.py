@@ -137,13 +137,8 @@ def matrix_faults(rows: DataFrame, model: Given) -> DataFrame:
             far = [F.abs(F.col(c)[i * wide + j] - F.col(c)[j * wide + i]) > SYMMETRY[1] + SYMMETRY[0] * F.abs(F.col(c)[j * wide + i]) for i in range(high) for j in range(i)]
             for x in far:
                 bad = bad.when(x, "not symmetric")
-
-            @F.pandas_udf("boolean")
-            def negative(values: pd.Series, size: int = high) -> pd.Series:
-                return pd.Series([bool(len(v) == size * size and negative_direction(np.asarray(v, dtype=float).reshape(size, size))) for v in values])
-
-            # Only rows without another fault go to Python.
-            bad = F.when(bad.isNotNull(), bad).when(negative(F.when(bad.isNull(), F.col(c)).otherwise(F.array().cast("array<double>"))), "negative variance")
+            # Only arrays without another fault go to Python.
+            bad = F.when(bad.isNotNull(), bad).when(_negative(high)(F.when(bad.isNull(), F.col(c)).otherwise(F.array().cast("array<double>"))), "negative variance")
         missing = F.when(F.col(c).isNull() & (F.lit(name in "hr") | F.col("dt").isNotNull()), "missing")
         one = rows.filter(F.col(c).isNotNull()).withColumn("fault", bad).select("series", "us", "fault").unionByName(rows.filter(F.col(c).isNull()).withColumn("fault", missing).select("series", "us", "fault"))
         one = one.filter("fault IS NOT NULL").select("series", "us", F.lit(name).alias("matrix"), "fault")
@@ -151,6 +146,15 @@ def matrix_faults(rows: DataFrame, model: Given) -> DataFrame:
     return found if found is not None else rows.sparkSession.createDataFrame([], "series string, us long, matrix string, fault string")
 
 
+def _negative(size: int) -> Callable:
+    """Whether arrays of size x size numbers have a negative variance in some direction; false for other sizes."""
+
+    def test(values: pd.Series) -> pd.Series:
+        return pd.Series([len(v) == size * size and negative_direction(np.asarray(v, dtype=float).reshape(size, size)) for v in values], dtype=bool)
+
+    return F.pandas_udf(test, "boolean")
+
+
 def infinite_readings(obs: DataFrame, reads: tuple[str, ...]) -> DataFrame:
     """(series, us, reading) for each reading that is infinite: neither a number nor missing."""
     each = F.explode(F.array_compact(F.array(*[F.when(F.abs(F.col(c)) == float("inf"), F.lit(c)) for c in reads])))
@@ -401,10 +405,16 @@ def doubles(columns: list[str]) -> str:
 
 
 def kernel_inputs(df: pd.DataFrame, model: Model) -> tuple[np.ndarray, ...]:
-    """(y, F, Q, H, R) of step rows; a row that starts its series doesn't move."""
+    """(y, F, Q, H, R) of step rows.
+
+    A row that starts its series doesn't move; its noise is the initial covariance, and the state before it is the initial mean with no
+    covariance. So a first reading without noise is taken in like any other.
+    """
     first = df["dt"].isna().to_numpy()
     f, q = model.transitions(df), model.process(df)
-    f[first], q[first] = np.eye(model.states), 0.0
+    f[first] = np.eye(model.states)
+    if first.any():
+        q[first] = model.initial(df[first])[1]
     h, r = model.observation(df)
     return df[list(model.reads)].to_numpy(dtype=float), f, q, h, r
 
@@ -465,7 +475,8 @@ def span_states(elements: DataFrame, model: Model) -> DataFrame:
     def work(df: pd.DataFrame) -> pd.DataFrame:
         parts = elements_of(df, model.states)
         start, size = groups_of(df, ["series"])
-        m, p = model.initial(df.iloc[start])
+        m = model.initial(df.iloc[start])[0]
+        p = np.zeros((len(start), model.states, model.states))
         means, covs = np.empty((len(df), model.states)), np.empty((len(df), model.states, model.states))
         for groups, rows in in_step(start, size):
             means[rows], covs[rows] = m[groups], p[groups]

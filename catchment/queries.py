@@ -11,7 +11,7 @@ from . import oracle
 from .functions.columns import micros, with_previous
 from .functions.units import SI, US, hourly_sd_of_q, valid_flow
 from .operators import align, estimate, prepare, reading_noise, scores, validation
-from .operators.filtering import filtered, smoothed
+from .operators.filtering import WaterBalance, filtered, smoothed
 from .plans import tuning
 from .plans.config import ScoreSettings, SeriesConfig
 from .plans.config import Window as Span
@@ -79,10 +79,17 @@ def order_faults(spark, sf_dir):
 
 
 def model_steps(spark, sf_dir):
+    """What the water balance does between readings: entries of F and of Q, as the filter takes them."""
     steps = prepare.steps(event_observations(spark, sf_dir)).filter("dt IS NOT NULL")
-    c, d = F.lit(US.flow_to_volume_per_second), F.col("dt")
-    noise = {"q00": Q[0] * d + c * c * (Q[1] + Q[2]) * d * d * d / 3, "q01": c * Q[1] * d * d / 2, "q02": -(c * Q[2] * d * d / 2), "q11": Q[1] * d, "q22": Q[2] * d}
-    return _rounded(steps.select("series", "us", (c * d).alias("volume_per_flow"), *[v.alias(k) for k, v in noise.items()]), "volume_per_flow", *noise)
+    model, entries = WaterBalance(CONFIG), {"q00": (0, 0), "q01": (0, 1), "q02": (0, 2), "q11": (1, 1), "q22": (2, 2)}
+
+    def work(frames):
+        for df in frames:
+            f, q = model.transitions(df), model.process(df)
+            yield df[["series", "us"]].assign(volume_per_flow=f[:, 0, 1], **{k: q[:, i, j] for k, (i, j) in entries.items()})
+
+    out = steps.select("series", "us", "dt").mapInPandas(work, "series string, us long, volume_per_flow double, " + ", ".join(f"{k} double" for k in entries))
+    return _rounded(out, "volume_per_flow", *entries)
 
 
 def inflow_filtered(spark, sf_dir):
@@ -417,14 +424,22 @@ def unit_conversions(spark, sf_dir):
     return _rounded(timed.select("series", "us", US.volume_of(F.col("value"), seconds).alias("volume"), US.flow_of(F.col("value"), seconds).alias("flow"), (F.col("value") * volume).alias("cubic_metres"), (F.col("value") * flow).alias("cubic_metres_per_second"), valid_flow(F.col("value")).alias("valid")), "volume", "flow", "cubic_metres", "cubic_metres_per_second", digits=5)
 
 
-def inflow_stream(spark, sf_dir):
-    """The streaming estimator over the observations, fed as files and run until all are read."""
+def streamed(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, str]:
+    """(what the streaming estimator puts out, its checkpoint folder): each part of the observations is a run of its own that goes on from the state of the run before."""
     folder, out, check = (new_dir(spark, n) for n in ("readings", "stream", "offsets"))
-    event_observations(spark, sf_dir).write.parquet(folder)
-    stream = spark.readStream.schema(prepare.OBSERVATION).parquet(folder)
-    query = stream_estimates(stream, CONFIG).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return _rounded(spark.read.schema(stream_schema()).parquet(out), "value", digits=4).filter("kind <> 'rejected'").select("series", "us", "kind", "value", "prediction_flag", "smoothing_flag")
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(prepare.OBSERVATION).parquet(folder)
+        query = stream_estimates(stream, CONFIG).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(stream_schema()).parquet(out), check
+
+
+def inflow_stream(spark, sf_dir):
+    """The streaming estimator over the observations: stopped half-way and started again on the rest."""
+    obs, half = event_observations(spark, sf_dir), START_US + 15 * DAY_US
+    out, _ = streamed(spark, [obs.filter(F.col("us") < half), obs.filter(F.col("us") >= half)])
+    return _rounded(out.filter("kind <> 'rejected'"), "value", digits=4).select("series", "us", "kind", "value", "prediction_flag", "smoothing_flag")
 
 
 def stream_rejected(spark, sf_dir):

@@ -113,7 +113,7 @@ class Estimator(StatefulProcessor):
         """(output frames, the anchor's time and state) of readings of which the first `old` were there before."""
         n = self.model.states
         rows = _rows(self.model, us, y, anchor_us)
-        m, p = self.model.initial(rows.iloc[:1]) if anchor_us is None else (np.array([anchor[:n]]), unpacked(np.array([anchor[n:]])))
+        m, p = (self.model.initial(rows.iloc[:1])[0], np.zeros((1, n, n))) if anchor_us is None else (np.array([anchor[:n]]), unpacked(np.array([anchor[n:]])))
         one = np.array([0]), np.array([len(us)])
         bm, bp, m, p, _, _ = filtered_groups(m.copy(), p.copy(), kernel_inputs(rows, self.model), *one)
         flag = np.where(np.isfinite(y).all(axis=1), NORMAL, PREDICTED)
@@ -209,7 +209,7 @@ def provisional(spark: SparkSession, checkpoint: str, config: SeriesConfig) -> D
         first = df["anchor_us"].to_numpy(dtype=float)[start]
         dt[start] = np.where(np.isfinite(first), (us[start] - np.nan_to_num(first)) / 1e6, np.nan)
         df = df.assign(dt=dt, first_storage=np.repeat(df["storage"].to_numpy(dtype=float)[start], size), first_outflow=np.repeat(df["outflow"].to_numpy(dtype=float)[start], size))
-        m, p = model.initial(df.iloc[start])
+        m, p = model.initial(df.iloc[start])[0], np.zeros((len(start), 3, 3))
         for g in np.flatnonzero(np.isfinite(first)):
             anchor = np.asarray(df["anchor"].iloc[start[g]], dtype=float)
             m[g], p[g] = anchor[:3], unpacked(anchor[None, 3:])[0]

@@ -10,7 +10,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def test_core_queries_without_the_text_operators(tmp_path):
     """With the text operators' folders gone, with corpus_pipeline.py or without it, the entry points give the core queries."""
-    from catchment import queries
+    from catchment import model_queries, queries
 
     for name in ("catchment", "__spark_entry__.py", "corpus_pipeline.py"):
         source = os.path.join(ROOT, name)
@@ -22,7 +22,7 @@ def test_core_queries_without_the_text_operators(tmp_path):
     for _ in range(2):
         run = subprocess.run([sys.executable, "-B", "-c", ask], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
         names, sql = run.stdout.splitlines()
-        assert names.split() == sorted(queries.QUERIES) and sql.split() == sorted(queries.ORACLE_SQL)
+        assert names.split() == sorted(queries.QUERIES | model_queries.QUERIES) and sql.split() == sorted(queries.ORACLE_SQL | model_queries.ORACLE_SQL)
         (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
 
 
