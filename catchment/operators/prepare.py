@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPAN_US, finite, span_of, with_previous
+from .ranks import equal_part, ranked
 
+#: Buckets of windows are 2^41 microseconds long at most, some 25 days.
+MOST_BITS = 41
 OBSERVATION = "series string, us long, storage double, outflow double"
 
 
@@ -136,10 +139,10 @@ def active_counts(rows: DataFrame, lag_us: int, span: int = SPAN_US) -> DataFram
 def split_windows(times: DataFrame, count: int) -> DataFrame:
     """(series, name, start_us, end_us, n): each series' distinct times in `count` windows of equal numbers, earlier ones larger by one.
 
-    A window ends where the next starts; the last ends a microsecond after its last time. Series of fewer times have fewer windows.
+    A window ends where the next starts; the last ends a microsecond after its last time. Series of fewer times have fewer windows. Places are
+    found by ranges (see ranks.ranked), so a series of any length is dealt over all tasks.
     """
-    order = Window.partitionBy("series").orderBy("us")
-    placed = times.select("series", "us").distinct().withColumn("part", F.ntile(count).over(order))
+    placed = ranked(times.select("series", "us").distinct(), ["series"], ["us"], "place", "many").withColumn("part", equal_part("place", "many", count))
     sizes = placed.groupBy("series", "part").agg(F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
     after = F.lead("start_us").over(Window.partitionBy("series").orderBy("part"))
     return sizes.select("series", F.concat(F.lit("window-"), F.col("part")).alias("name"), "start_us", F.coalesce(after, F.col("last_us") + 1).alias("end_us"), "n")
@@ -153,10 +156,23 @@ def window_faults(windows: DataFrame) -> DataFrame:
     return seen.select("series", "name", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
-def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """rows with the name of their series' window [start_us, end_us); rows outside all are dropped."""
-    w = windows.select("series", "name", "start_us", "end_us")
-    return rows.join(w, "series").filter("us >= start_us AND us < end_us").drop("start_us", "end_us")
+def in_windows(rows: DataFrame, windows: DataFrame, bounds: bool = False, most: int = MOST_BITS) -> DataFrame:
+    """rows with the name of their series' window [start_us, end_us) (and with bounds these two), once for each window that they lie in; rows outside all are dropped.
+
+    A window lies in buckets of time about as long as itself (a power of two, 2^most microseconds at most), so in two of them or, if it is longer than that, in as many
+    as it reaches over the rows' times; rows are looked up in the bucket that holds them, once for each bucket length that occurs. So the work grows with the rows and the
+    windows, not with their product, and a series is as many keys as it has buckets.
+    """
+    w = windows.select("series", "name", "start_us", "end_us").filter("start_us < end_us")
+    w = w.withColumn("__bits", F.least(F.ceil(F.log2((F.col("end_us") - F.col("start_us")).cast("double"))), F.lit(most)).cast("int"))
+    ends = rows.agg(F.min("us"), F.max("us")).first()
+    lengths = sorted(r[0] for r in w.select("__bits").distinct().collect())
+    if ends[0] is None or not lengths:
+        return rows.join(w.limit(0).select("series", "name", "start_us", "end_us"), "series").select(*rows.columns, "name", *["start_us", "end_us"] * bounds)
+    first, last = f"greatest(start_us, {ends[0]}L)", f"least(end_us - 1, {ends[1]}L)"
+    held = w.filter(f"{first} <= {last}").withColumn("__bucket", F.explode(F.expr(f"sequence(shiftright({first}, __bits), shiftright({last}, __bits))")))
+    looked = rows.withColumn("__bits", F.explode(F.array(*[F.lit(b) for b in lengths]))).withColumn("__bucket", F.expr("shiftright(us, __bits)"))
+    return looked.join(held, ["series", "__bits", "__bucket"]).filter("us >= start_us AND us < end_us").select(*rows.columns, "name", *["start_us", "end_us"] * bounds)
 
 
 def window_capacity(step_rows: DataFrame, windows: DataFrame, warmup_us: int, least: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPAN_US, correlation, with_previous
+from .prepare import in_windows
 from .validation import HOUR_US, regular
 
 WEEK_US = 7 * 86_400_000_000
@@ -39,10 +40,10 @@ def reading_noise(rows: DataFrame, windows: DataFrame | None = None, span: int =
         bad = w.filter(F.col("window") == POOLED).limit(1)
         if not bad.isEmpty():
             raise ValueError(f"the window name {POOLED} is reserved")
-        inside = pairs.join(w, "series").filter("from_us >= start_us AND us < end_us")
-        union = _in_union(pairs, w)
+        inside = in_windows(pairs, windows, bounds=True).filter("from_us >= start_us").withColumnRenamed("name", "window")
+        union = _in_union(pairs, windows)
         named = inside.drop("start_us", "end_us").unionByName(union.withColumn("window", F.lit(POOLED)))
-        ends = rows.join(w, "series").filter("us >= start_us AND us < end_us").groupBy("series").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+        ends = in_windows(rows.select("series", "us"), windows).groupBy("series").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"))
         keys = w.unionByName(first.select("series").join(ends, "series", "left").select("series", F.lit(POOLED).alias("window"), "start_us", "end_us"))
     product = F.avg(F.col("later") * F.col("earlier"))
     mean = (F.avg("later") + F.avg("earlier")) / 2
@@ -72,8 +73,8 @@ def _in_union(pairs: DataFrame, windows: DataFrame) -> DataFrame:
     """Pairs all of whose rows lie in some window; the middle row lies half-way as the spacing is even."""
     middle = F.col("from_us") + (F.col("us") - F.col("from_us")) / 2
     out = pairs.withColumn("mid_us", middle.cast("long")).withColumn("pair", F.struct("series", "us"))
-    ends = out.select("pair", "series", F.explode(F.array("from_us", "mid_us", "us")).alias("at")).join(windows.select("series", "start_us", "end_us"), "series").filter("at >= start_us AND at < end_us")
-    whole = ends.groupBy("pair").agg(F.countDistinct("at").alias("n")).filter("n = 3")
+    ends = in_windows(out.select("pair", "series", F.explode(F.array("from_us", "mid_us", "us")).alias("us")), windows)
+    whole = ends.groupBy("pair").agg(F.countDistinct("us").alias("n")).filter("n = 3")
     return out.join(whole.select("pair"), "pair", "left_semi").drop("pair", "mid_us")
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import SPAN_US, correlation, with_previous
 from ..plans.config import ScoreSettings
+from ..sources.shared import staged
 from .prepare import elapsed_seconds, in_windows
+from .ranks import quantiles
 
 # Half-widths of central intervals of a standard normal, in deviations.
 CENTRAL = {50: 0.6744897501960817, 90: 1.6448536269514722}
@@ -32,7 +34,8 @@ def row_scores(states: DataFrame) -> DataFrame:
 
     joint_nlpd and joint_nis over the components read (joint_components), storage_nlpd of storage given
     the outflow of the row (or alone), z and nis of storage, outflow and conditional storage. A
-    row whose covariance isn't safely positive definite has unscorable true and no scores.
+    row whose covariance isn't safely positive definite has no scores but joint_nlpd, from the raised covariance (see linear.log_density), and is
+    unscorable if it has none of that either.
     """
     a, b, c, v0, v1 = (F.col(x) for x in ("s00", "s01", "s11", "v0", "v1"))
     storage, outflow = v0.isNotNull(), v1.isNotNull()
@@ -46,12 +49,12 @@ def row_scores(states: DataFrame) -> DataFrame:
         {
             "joint_components": storage.cast("int") + outflow.cast("int"),
             "joint_nis": F.when(both, quad).when(one, v0 * v0 / a).when(two, v1 * v1 / c),
-            "joint_nlpd": F.when(both, density(quad, F.log(a * other), 2)).when(one, density(v0 * v0 / a, F.log(a), 1)).when(two, density(v1 * v1 / c, F.log(c), 1)),
+            "joint_nlpd": F.when(both, density(quad, F.log(a * other), 2)).when(one, density(v0 * v0 / a, F.log(a), 1)).when(two, density(v1 * v1 / c, F.log(c), 1)).when(storage | outflow, -F.col("log_density")),
             "storage_nlpd": F.when(both, density(conditional * conditional / schur, F.log(schur), 1)).when(one, density(v0 * v0 / a, F.log(a), 1)),
             "storage_z": z_storage,
             "outflow_z": z_outflow,
             "conditional_storage_z": z_conditional,
-            "unscorable": (storage | outflow) & ~F.coalesce(both | one | two, F.lit(False)),
+            "unscorable": (storage | outflow) & F.col("log_density").isNull(),
         }
     )
     return scored.withColumns({f"{n}_nis": F.col(f"{n}_z") * F.col(f"{n}_z") for n in ("storage", "outflow", "conditional_storage")})
@@ -112,10 +115,10 @@ def pooled_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSetting
     change = (F.col("m1") - F.col("before.m1")) / elapsed_seconds(F.col("us"), F.col("before.us"))
     cover = [F.avg((F.abs(F.col(f"{c}_z")) <= z).cast("int")).alias(f"{c}_coverage_{level}") for c in ("storage", "outflow") for level, z in CENTRAL.items()]
     parts = F.sum(F.when(F.col("joint_nis").isNotNull(), F.col("joint_components")))
-    return timed.withColumn("change", change).groupBy("series").agg(
+    timed = staged(timed.withColumn("change", change).withColumn("size", F.abs("change")), "changes")
+    middle = quantiles(timed, ["series"], "change", {"inflow_change_median_per_second": 0.5}).join(quantiles(timed, ["series"], "size", {"inflow_change_q95_per_second": 0.95}), "series", "full")
+    means = timed.groupBy("series").agg(
         F.avg((F.col("m1") < 0).cast("int")).alias("negative_inflow_frequency"),
-        F.median("change").alias("inflow_change_median_per_second"),
-        F.percentile(F.abs("change"), 0.95).alias("inflow_change_q95_per_second"),
         F.avg("storage_z").alias("storage_bias"),
         F.avg("outflow_z").alias("outflow_bias"),
         F.avg("conditional_storage_z").alias("conditional_storage_bias"),
@@ -129,6 +132,7 @@ def pooled_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSetting
         F.sqrt(F.avg(F.when(F.col("storage_z").isNotNull(), F.col("v0") * F.col("v0")))).alias("causal_storage_prediction_rmse"),
         F.avg(F.when(F.col("storage_z").isNotNull(), F.col("v0"))).alias("causal_storage_prediction_bias"),
     )
+    return means.join(middle, "series", "left")
 
 
 def autocorrelation(rows: DataFrame, value: str, lags: list[int] | DataFrame, tolerance_us: int | None = None) -> DataFrame:

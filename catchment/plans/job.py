@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyarrow import fs
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from ..operators.align import asof, combined_outflow, from_first_joint, window_audit
 from ..operators.prepare import checked_frame, observations, split_windows, steps, window_capacity
 from ..sources.gauges import Sources, clean, read_sources, source_audit, write_report
-from ..sources.shared import staged
+from ..sources.shared import shared_dir, staged
 from .config import ScoreSettings, SeriesConfig, Window
 from .tuning import TuningError, TuningSettings, tune
 
-#: Rows of each of a report's tables at most.
+#: Rows of a table that stand in the report itself; a larger table is written whole beside it.
 REPORT_ROWS = 10_000
 
 
@@ -69,14 +70,24 @@ def tune_exports(
         f.write((out["config"].as_json() + "\n").encode())
     out |= {"source_audit": audit, "window_audit": window}
     if report_path is not None:
-        write_report(report_path, {k: _plain_table(v) for k, v in out.items() if k != "config"} | {"version": version}, config_path)
+        write_report(report_path, {k: _plain_table(v, _beside(spark, report_path, k)) for k, v in out.items() if k != "config"} | {"version": version}, config_path)
     return out
 
 
-def _plain_table(value):
-    """A DataFrame as a list of its first REPORT_ROWS rows, scored rows left out of the report as their number; anything else as it is."""
+def _beside(spark: SparkSession, report_path: str, name: str) -> str:
+    """Where a report's large table goes: beside a report in a store, else to the shared folder, as executors don't see the driver's disk."""
+    base = report_path if "://" in report_path else f"{shared_dir(spark)}/{os.path.basename(report_path)}"
+    return f"{base}.tables/{name}"
+
+
+def _plain_table(value, path: str, most: int = REPORT_ROWS):
+    """A DataFrame of up to `most` rows as a list of them; a larger one is written whole as Parquet to path, in parallel, and gives its number of rows and the path; scored rows give their number; anything else stays as it is."""
     if not isinstance(value, DataFrame):
         return value
+    total = value.count()
     if "us" in value.columns:
-        return {"rows": value.count()}
-    return [r.asDict(recursive=True) for r in value.limit(REPORT_ROWS).collect()]
+        return {"rows": total}
+    if total > most:
+        value.write.mode("overwrite").parquet(path)
+        return {"rows": total, "path": path}
+    return [r.asDict(recursive=True) for r in value.collect()]

@@ -17,13 +17,17 @@ from ..operators.prepare import checked_order, in_windows, steps
 from ..operators.reading_noise import POOLED, ProxySettings, proxy_check, reading_noise, reading_noise_warnings
 from ..operators.scores import autocorrelation_metrics, calibration_warnings, pooled_metrics, row_scores, scored_rows, validity, window_scores
 from ..sources.shared import staged
+from .candidates import Candidate, candidate_sums, objective, of_config, windowed_steps
 from .config import ScoreSettings, SeriesConfig, Window, checked_windows
+from .search import minimize
 
 TERMS = ("q_storage", "q_inflow", "q_outflow", "r_storage", "r_outflow")
 
 
-#: Warnings of a kind that a tuning names.
-MOST_WARNINGS = 100
+#: Candidates scored in one job.
+BATCH = 64
+#: Warnings of a kind that a tuning spells out; its tables have them all.
+LISTED = 100
 
 
 class TuningError(RuntimeError):
@@ -37,7 +41,7 @@ class TuningSettings:
     bounds: dict = field(default_factory=lambda: {"q_storage": (0.5, 1.0), "q_inflow": (0.001, 10.0), "q_outflow": (0.1, 10.0), "r_storage": (0.5, 1.0), "r_outflow": (0.01, 4.0)}, hash=False)
     estimate_r_storage: bool = True
     r_storage_factor: float = 2.0
-    rounds: int = 12
+    evaluations: int = 200
     local_searches: int = 2
     hessian_step: float = 0.05
     check_identifiability: bool = True
@@ -45,24 +49,10 @@ class TuningSettings:
     def __post_init__(self):
         if set(self.bounds) != set(TERMS) or any(not 0 < a < b or not math.isfinite(b) for a, b in self.bounds.values()):
             raise ValueError("every term needs bounds 0 < low < high")
-        if self.r_storage_factor <= 1 or self.rounds < 1 or self.local_searches < 1:
+        if self.r_storage_factor <= 1 or self.evaluations < 1 or self.local_searches < 1:
             raise ValueError("settings out of range")
 
 
-@dataclass(frozen=True)
-class Candidate:
-    """One setting of the five variances."""
-
-    values: tuple[float, ...]
-
-    def config(self, base: SeriesConfig) -> SeriesConfig:
-        return base.with_noise(q=self.values[:3], r=self.values[3:])
-
-
-def of_config(config: SeriesConfig) -> Candidate:
-    return Candidate((config.q[0][0], config.q[1][1], config.q[2][2], config.r[0][0], config.r[1][1]))
-
-
 def windows_frame(like: DataFrame, windows: list[Window]) -> DataFrame:
     """(series, name, start_us, end_us, weight) of the windows for every series of like."""
     each = F.array(*[F.struct(F.lit(w.name).alias("name"), F.lit(w.start_us).cast("long").alias("start_us"), F.lit(w.end_us).cast("long").alias("end_us"), F.lit(float(w.weight)).alias("weight")) for w in checked_windows(windows)])
@@ -72,7 +62,7 @@ def windows_frame(like: DataFrame, windows: list[Window]) -> DataFrame:
 def candidate_scores(step_rows: DataFrame, config: SeriesConfig, candidates: list[Candidate], span: int = SPAN_US) -> DataFrame:
     """row_scores for every candidate: (candidate, series, us, ...).
 
-    Each candidate is one pass of the filter over the same steps; the passes are one union, so Spark runs all of them side by side.
+    For a few candidates whose rows are wanted; candidate_sums scores many at once.
     """
     out = None
     for k, c in enumerate(candidates):
@@ -81,15 +71,6 @@ def candidate_scores(step_rows: DataFrame, config: SeriesConfig, candidates: lis
     return out
 
 
-def objective(scores: DataFrame, windows: DataFrame, settings: ScoreSettings) -> DataFrame:
-    """(candidate, series, objective, total, reasons): the weighted mean of the windows' joint densities, and their sum over all components without weights; null if not valid."""
-    rows = window_scores(scores, windows, settings, ("candidate",))
-    ok = validity(rows, settings, ("candidate",))
-    mean = rows.join(windows.select("series", "name", "weight"), ["series", "name"]).groupBy("series", "candidate").agg(F.sum(F.col("joint_nlpd") * F.col("weight")).alias("mean"), F.sum(F.col("joint_nlpd") * F.col("joint_count")).alias("sum"))
-    valid = lambda c, name: F.when(F.col("valid"), F.col(c)).alias(name)
-    return ok.join(mean, ["series", "candidate"]).select("candidate", "series", valid("mean", "objective"), valid("sum", "total"), "reasons")
-
-
 def evaluate(obs: DataFrame, config: SeriesConfig, windows: list[Window] | None = None, settings: ScoreSettings | None = None, span: int = SPAN_US) -> dict[str, DataFrame]:
     """A frozen configuration's scores: windows, pooled metrics, validity and warnings.
 
@@ -109,8 +90,9 @@ def evaluate(obs: DataFrame, config: SeriesConfig, windows: list[Window] | None
 class Search:
     """The objective of points in the unit cube of logarithmic bounds, kept once computed; points are scored in batches, one job each."""
 
-    def __init__(self, step_rows: DataFrame, base: SeriesConfig, windows: DataFrame, settings: ScoreSettings, bounds: dict, progress: Callable[[str, int], None] | None = None):
+    def __init__(self, step_rows: DataFrame, base: SeriesConfig, windows: DataFrame, settings: ScoreSettings, bounds: dict, progress: Callable[[str, int], None] | None = None, span: int = SPAN_US):
         self.step_rows, self.base, self.windows, self.settings, self.progress = step_rows, base, windows, settings, progress
+        self.rows, self.single = windowed_steps(step_rows, windows, settings, span)
         self.low = np.log([bounds[t][0] for t in TERMS])
         self.high = np.log([bounds[t][1] for t in TERMS])
         self.known: dict[tuple, float] = {}
@@ -127,8 +109,9 @@ class Search:
     def values(self, candidates: list[Candidate], phase: str) -> np.ndarray:
         """The objectives, infinite for candidates that can't be used. Several series count by their mean."""
         new = [c for c in dict.fromkeys(candidates) if c.values not in self.known]
-        for part in [new[i : i + 16] for i in range(0, len(new), 16)]:
-            rows = objective(candidate_scores(self.step_rows, self.base, part), self.windows, self.settings).groupBy("candidate").agg(F.avg("objective").alias("mean"), F.sum("total").alias("total"), F.count_if(F.col("objective").isNull()).alias("bad"), F.first("reasons").alias("reasons")).collect()
+        for part in [new[i : i + BATCH] for i in range(0, len(new), BATCH)]:
+            sums = candidate_sums(self.rows, self.single, self.base, part)
+            rows = objective(sums, len(part), self.windows, self.settings).groupBy("candidate").agg(F.avg("objective").alias("mean"), F.sum("total").alias("total"), F.count_if(F.col("objective").isNull()).alias("bad"), F.first("reasons").alias("reasons")).collect()
             for r in rows:
                 self.known[part[r.candidate].values] = math.inf if r.bad or r["mean"] is None else r["mean"]
                 self.totals[part[r.candidate].values] = math.inf if r.bad or r.total is None else r.total
@@ -138,28 +121,9 @@ class Search:
                 self.progress(phase, self.passes)
         return np.array([self.known.get(c.values, math.inf) for c in candidates])
 
-    def local(self, start: np.ndarray, rounds: int) -> np.ndarray:
-        """A pattern search: each round scores a step up and down in every term at once, moves to the best, or halves the step."""
-        x, step = start.copy(), 0.25
-        best = self.values([self.candidate(x)], "search")[0]
-        for _ in range(rounds):
-            moves = [np.clip(x + s * step * np.eye(len(x))[i], 0, 1) for i in range(len(x)) for s in (-1, 1)]
-            found = self.values([self.candidate(m) for m in moves], "search")
-            gains = [(found[2 * i + int(found[2 * i + 1] < found[2 * i])], i) for i in range(len(x))]
-            joint = x.copy()
-            for value, i in gains:
-                if value < best:
-                    joint[i] = moves[2 * i + int(found[2 * i + 1] < found[2 * i])][i]
-            tried = [*moves, joint]
-            found = np.append(found, self.values([self.candidate(joint)], "search"))
-            k = int(np.argmin(found))
-            if found[k] < best - 1e-12:
-                x, best = tried[k], found[k]
-            else:
-                step /= 2
-                if step < 1e-3:
-                    break
-        return x
+    def local(self, start: np.ndarray, evaluations: int) -> np.ndarray:
+        """Where the quasi-Newton search from start ends (see search.minimize)."""
+        return minimize(lambda points: self.values([self.candidate(x) for x in points], "search"), start, evaluations)[0]
 
 
 def identifiability(search: Search, chosen: Candidate, step: float) -> dict:
@@ -289,7 +253,7 @@ def tune(obs: DataFrame, base: SeriesConfig, windows: list[Window], settings: Sc
     starts = starting_points(search.point(base_c), seeds, search.low, search.high)
     found = search.values([search.candidate(x) for x in starts] + [base_c], "screening")
     best = [starts[i] for i in np.argsort(found[:-1], kind="stable")[: tuning.local_searches] if math.isfinite(found[i])]
-    ends = [search.candidate(search.local(x, tuning.rounds)) for x in best]
+    ends = [search.candidate(search.local(x, tuning.evaluations)) for x in best]
     values = search.values([*ends, base_c], "selection")
     if not np.isfinite(values).any():
         raise TuningError("; ".join(sorted({r for x in search.reasons.values() for r in x})) or "no candidate could be used")
@@ -303,10 +267,12 @@ def tune(obs: DataFrame, base: SeriesConfig, windows: list[Window], settings: Sc
     proxies = proxy_frame(search, {"base": base_c} | {f"search-{i + 1}": c for i, c in enumerate(ends)}, proxy) if proxy is not None else None
     name = "base" if kept else f"search-{k + 1}"
     warnings = _gain_warnings(kept, gain, error) + [f"the search ended at the bounds of {', '.join(at_bound)}"] * bool(at_bound) + ["with fewer than five windows, errors are weak"] * (len(windows) < 5)
-    warnings += [f"calibration of {r.series}: {r.metric} is {r.value}" for r in tables["warnings"].orderBy("series", "metric").limit(MOST_WARNINGS).collect()]
+    warnings += _listed(tables["warnings"].select("series", F.format_string("calibration of %s: %s is %s", "series", "metric", F.col("value").cast("string"))), "calibration warnings")
     warnings += identified["warnings"] if identified else []
     if noise is not None:
-        warnings += [f"reading noise of {r[0]}: {r[-1]}" for r in reading_noise_warnings(noise).limit(MOST_WARNINGS).collect()]
+        found_noise = reading_noise_warnings(noise)
+        tables["reading_noise_warnings"] = found_noise
+        warnings += _listed(found_noise.select("series", F.concat(F.lit("reading noise of "), F.col("series"), F.lit(": "), F.col(found_noise.columns[-1]))), "reading noise warnings")
     if proxies is not None and not proxies.filter((F.col("candidate") == name) & ~F.col("proxy_check_passed")).isEmpty():
         warnings.append("the selected setting doesn't follow the proxy's shape or timing")
     selection = {"candidate": name, "objective": float(values[k]), "base_objective": float(values[-1]), "gain_error": error, "measured_r_storage": measured}
@@ -315,6 +281,14 @@ def tune(obs: DataFrame, base: SeriesConfig, windows: list[Window], settings: Sc
     return {"config": proposed, "objective": float(values[k]), "base_objective": float(values[-1]), "improved": bool(values[k] < values[-1]), "improvement": gain, "improvement_error": error, "at_bound": at_bound, "measured_r_storage": measured, "identifiability": identified, "candidates": candidates, "compared_windows": pair_frame, "reading_noise": noise, "proxies": proxies, "selection_warnings": list(dict.fromkeys(warnings)), "passes": search.passes, **tables}
 
 
+def _listed(rows: DataFrame, kind: str, most: int = LISTED) -> list[str]:
+    """The texts of rows(series, text) in order; beyond `most` of them a line that says how many more the table of their kind has."""
+    total = rows.count()
+    text = rows.columns[1]
+    first = [r[1] for r in rows.orderBy("series", text).limit(most).collect()]
+    return first + [f"{total - most} more {kind} in their table"] * (total > most)
+
+
 def _gain_warnings(kept: bool, gain: float | None, error: float | None) -> list[str]:
     if kept:
         return ["no search did better than the base, which is kept"]

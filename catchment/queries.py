@@ -211,8 +211,10 @@ def noise_screening(spark, sf_dir):
     obs = event_observations(spark, sf_dir)
     base = tuning.of_config(CONFIG)
     candidates = [base, tuning.Candidate((1e-4, 1e-3, 1e-4, 0.25, 4.0)), tuning.Candidate((1e-4, 2e-5, 1e-4, 0.5, 4.0))]
-    found = tuning.candidate_scores(staged(prepare.steps(obs), "steps"), CONFIG, candidates)
-    return _rounded(tuning.objective(found, _three(obs), SETTINGS).select("candidate", "series", "objective"), "objective", digits=5)
+    windows = _three(obs)
+    rows, single = tuning.windowed_steps(staged(prepare.steps(obs), "steps"), windows, SETTINGS)
+    found = tuning.candidate_sums(rows, single, CONFIG, candidates)
+    return _rounded(tuning.objective(found, len(candidates), windows, SETTINGS).select("candidate", "series", "objective"), "objective", digits=5)
 
 
 def autocorrelation(spark, sf_dir):
