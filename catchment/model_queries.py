@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import oracle, queries
 from .functions.columns import micros
-from .operators import linear, prepare
-from .queries import CONFIG, DAY_US, START_US, _rounded, event_observations, streamed
+from .operators import linear, prepare, reading_noise, scores
+from .plans import tuning
+from .plans.config import Window as Span
+from .queries import CONFIG, DAY_US, SETTINGS, START_US, _rounded, event_observations, streamed
 from .sources.shared import staged
 from .streaming import inflow
 
@@ -16,6 +20,8 @@ DAY = 86_400.0
 #: Level and trend: noise a day, reading noise, and the state before the first reading.
 LEVEL_Q, LEVEL_R, LEVEL_MEAN, LEVEL_P0 = (4.0, 0.25), 9.0, (50.0, 0.0), (400.0, 25.0)
 HALF_US = START_US + 15 * DAY_US
+#: Step of the logarithms of the terms for second differences.
+HESSE = 0.05
 
 
 def _levels(spark, sf_dir) -> DataFrame:
@@ -137,3 +143,141 @@ LEFT JOIN (SELECT * FROM fixed WHERE j = k) f ON f.series = rec.series AND f.k =
     "stream_provisional": f"WITH RECURSIVE {_HALF_DONE} SELECT waits.series, waits.us, round(s1, 4) AS value, round(sqrt(v11), 4) AS standard_deviation FROM waits JOIN whole USING (series, n)",
     "stream_pending": f"WITH RECURSIVE {_HALF_DONE} SELECT series, count(*) AS pending FROM waits GROUP BY series",
 }
+
+
+def _hourly(spark, sf_dir) -> DataFrame:
+    """(series, us, value): hourly sums of the events' values, of all and of the users modulo two; mostly without a gap."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    us = (F.floor(micros("ts") / 3_600_000_000) * 3_600_000_000).cast("long")
+    each = e.select(F.explode(F.array(F.lit("all"), (F.col("user_id") % 2).cast("string"))).alias("series"), us.alias("us"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return each.groupBy("series", "us").agg((F.sum("cents") / 100).alias("value"))
+
+
+def even_autocorrelation(spark, sf_dir):
+    """Autocorrelation of evenly spaced series by Fourier transforms of spans of five days, of those with gaps by pairs."""
+    rows = _hourly(spark, sf_dir)
+    return _rounded(scores.autocorrelation(rows, "value", scores.cadence_lags(rows, 2 * DAY_US), span=5 * DAY_US), "autocorrelation", digits=5)
+
+
+def _hourly_readings(spark, sf_dir) -> DataFrame:
+    """Hourly observations, a series per event type: storage out of the hour's sum, outflow its number of events; storage is missing each seventh hour, outflow each eleventh."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = F.floor(micros("ts") / 3_600_000_000).cast("long")
+    sums = e.groupBy(F.col("event_type").alias("series"), hour.alias("hour")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
+    late = F.row_number().over(Window.partitionBy("series").orderBy("hour")) > 2
+    storage = F.when(~(late & (F.col("hour") % 7 == 0)), 1000 + F.col("cents") / 1000)
+    outflow = F.when(~(late & (F.col("hour") % 11 == 0)), F.col("n").cast("double"))
+    return sums.select("series", (F.col("hour") * 3_600_000_000).alias("us"), storage.alias("storage"), outflow.alias("outflow"))
+
+
+def _frozen(spark, sf_dir) -> dict:
+    spans = [Span(f"w{i}", START_US + 10 * i * DAY_US, START_US + 10 * (i + 1) * DAY_US) for i in range(3)]
+    return tuning.evaluate(_hourly_readings(spark, sf_dir), CONFIG, spans, SETTINGS)
+
+
+def frozen_evaluation(spark, sf_dir):
+    """A frozen configuration scored over three windows of hourly readings: the pooled metrics with the largest autocorrelations of the deviations."""
+    out = _frozen(spark, sf_dir)["pooled"]
+    return _rounded(out, *[c for c in out.columns if c != "series"], digits=4).drop("inflow_change_median_per_second", "inflow_change_q95_per_second")
+
+
+def frozen_windows(spark, sf_dir):
+    """The same evaluation by window."""
+    return _rounded(_frozen(spark, sf_dir)["windows"].drop("unscorable_count"), *queries.WINDOW_METRICS, digits=5)
+
+
+def frozen_warnings(spark, sf_dir):
+    """Its calibration warnings, that of the autocorrelation among them."""
+    return _rounded(_frozen(spark, sf_dir)["warnings"], "value", "low", "high", digits=4)
+
+
+def identifiability(spark, sf_dir):
+    """How well the readings determine two terms of a setting, from the curvature of their log density on a grid of nine points."""
+    obs = event_observations(spark, sf_dir)
+    base = tuning.of_config(CONFIG)
+    bounds = {t: (v, 4 * v) for t, v in zip(tuning.TERMS, base.values, strict=True)} | {t: (v / 4, 4 * v) for t, v in zip(tuning.TERMS, base.values, strict=True) if t in ("r_storage", "r_outflow")}
+    search = tuning.Search(staged(prepare.steps(obs), "steps"), CONFIG, queries._three(obs), SETTINGS, bounds)
+    found = tuning.identifiability(search, base, HESSE)
+    rows = [(t, e, found["correlations"]["r_storage/r_outflow"]) for t, e in found["standard_errors"].items()]
+    return _rounded(spark.createDataFrame(rows, "term string, standard_error double, correlation double"), "standard_error", "correlation", digits=4)
+
+
+def reading_noise_alerts(spark, sf_dir):
+    """Warnings of the reading noise of series that give them: too few pairs, changes that don't cancel, windows that differ."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = F.floor(micros("ts") / 3_600_000_000).cast("long")
+    sums = e.groupBy(F.col("event_type").alias("kind"), hour.alias("hour")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    late = F.col("hour") * 3_600_000_000 >= HALF_US
+    value = F.col("cents") / 100
+    shapes = {"sparse": F.when(F.col("hour") % 5 < 2, value), "slope": F.col("hour") * F.col("hour") * 1.0, "louder": F.when(late, value * 9).otherwise(value)}
+    rows = sums.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{k}-"), "kind").alias("series"), (F.col("hour") * 3_600_000_000).alias("us"), v.cast("double").alias("storage")) for k, v in shapes.items()])).alias("r")).select("r.*")
+    spans = [Span("first", START_US, HALF_US), Span("second", HALF_US, START_US + 30 * DAY_US)]
+    table = reading_noise.reading_noise(rows, tuning.windows_frame(rows, spans))
+    return reading_noise.reading_noise_warnings(table)
+
+
+QUERIES |= {f.__name__: f for f in (even_autocorrelation, frozen_evaluation, frozen_windows, frozen_warnings, identifiability, reading_noise_alerts)}
+
+_HOURLY = """ex AS (SELECT unnest(['all', CAST(user_id % 2 AS VARCHAR)]) AS series, epoch_us(ts) // 3600000000 * 3600000000 AS us, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+even AS (SELECT series, us, CAST(sum(cents) AS DOUBLE) / 100 AS storage FROM ex GROUP BY 1, 2)"""
+_READINGS = """hh AS (SELECT event_type AS series, epoch_us(ts) // 3600000000 AS hour, sum(CAST(round(value * 100) AS BIGINT)) AS cents, count(*) AS n FROM events GROUP BY 1, 2),
+hr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY hour) > 2 AS late FROM hh),
+obs AS (SELECT series, hour * 3600000000 AS us, CASE WHEN NOT (late AND hour % 7 = 0) THEN 1000 + CAST(cents AS DOUBLE) / 1000 END AS storage, CASE WHEN NOT (late AND hour % 11 = 0) THEN CAST(n AS DOUBLE) END AS outflow FROM hr)"""
+
+
+def _on_readings(sql: str) -> str:
+    return sql.replace(oracle.OBS, _READINGS)
+
+
+def _largest(channel: str) -> str:
+    """CTEs with the largest absolute autocorrelation of a deviation at multiples of the series' cadence, and its lag."""
+    c = channel
+    return f"""m_{c} AS (SELECT series, us, {c}_z - avg({c}_z) OVER (PARTITION BY series) AS x FROM inside WHERE {c}_z IS NOT NULL),
+pr_{c} AS (SELECT a.series, lag_us, a.x AS x0, b.x AS x1 FROM m_{c} a JOIN lags l USING (series) JOIN m_{c} b ON a.series = b.series AND b.us > a.us AND b.us BETWEEN a.us + lag_us - tol AND a.us + lag_us + tol),
+g_{c} AS (SELECT series, lag_us, sum(x0 * x1) / sqrt(sum(x0 * x0) * sum(x1 * x1)) AS r FROM pr_{c} GROUP BY 1, 2 HAVING count(*) >= 3 AND sqrt(sum(x0 * x0) * sum(x1 * x1)) > 0),
+best_{c} AS (SELECT series, abs(r) AS r, lag_us / 1e6 AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY abs(r) DESC, lag_us) AS k FROM g_{c}) WHERE k = 1)"""
+
+
+_POOLED = queries.ORACLE_SQL["pooled_metrics"].rsplit(" SELECT series, ", 1)[1]
+_CHANNELS = ("storage", "outflow", "conditional_storage")
+_FROZEN = f"""{_on_readings(queries._COUNTED)}, gaps AS (SELECT series, min(gap) AS gap FROM (SELECT series, us - lag(us) OVER (PARTITION BY series ORDER BY us) AS gap FROM inside) GROUP BY series),
+lags AS (SELECT series, unnest(generate_series(gap, {DAY_US} + (gap + 1) // 2 - 1, gap)) AS lag_us, greatest(gap // 4, 1000000) AS tol FROM gaps),
+{", ".join(map(_largest, _CHANNELS))},
+pooled AS (SELECT p.*, {", ".join(f"{c}.r AS max_{c}_elapsed_lag_autocorrelation, {c}.seconds AS max_{c}_elapsed_lag_seconds" for c in _CHANNELS)}, greatest({", ".join(f"{c}.r" for c in _CHANNELS)}) AS max_material_elapsed_lag_autocorrelation
+  FROM (SELECT series, {_POOLED.replace(", 5)", ", 12)")}) p {" ".join(f"LEFT JOIN best_{c} {c} ON {c}.series = p.series" for c in _CHANNELS)})"""
+_METRICS = [x.split(" AS ")[-1].split(" ")[0] for x in _POOLED.split(", round(")]
+_METRICS = [m.strip() for m in _METRICS] + [f"max_{c}_elapsed_lag_{k}" for c in _CHANNELS for k in ("autocorrelation", "seconds")] + [scores.MATERIAL]
+_CHECKED = [*queries._CHECKS, (scores.MATERIAL, 0.0, 0.25)]
+
+
+def _total(k: int, q: tuple, r: tuple) -> str:
+    """The negative log density of all counted readings in the windows, for one candidate."""
+    own = queries._COUNTED.replace(queries._FILTER, oracle.filter_sql(q, r, queries.P0, queries.FACTOR))
+    return f"SELECT {k} AS k, t FROM (WITH RECURSIVE {own} SELECT sum(joint_nlpd) AS t FROM inside)"
+
+
+def _hesse_sql() -> str:
+    """Nine totals about the base, second differences, and the inverse of the matrix that they make."""
+    points = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)]
+    at = lambda a, b: (queries.Q, (queries.R[0] * math.exp(a * HESSE), queries.R[1] * math.exp(b * HESSE)))
+    totals = " UNION ALL ".join(_total(k, *at(a, b)) for k, (a, b) in enumerate(points))
+    pick = lambda k: f"max(CASE WHEN k = {k} THEN t END)"
+    return f"""WITH totals AS ({totals}), h AS (SELECT ({pick(1)} - 2 * {pick(0)} + {pick(2)}) / {HESSE**2!r} AS a, ({pick(3)} - 2 * {pick(0)} + {pick(4)}) / {HESSE**2!r} AS d, ({pick(5)} - {pick(6)} - {pick(7)} + {pick(8)}) / {4 * HESSE**2!r} AS b FROM totals)
+SELECT unnest(['r_storage', 'r_outflow']) AS term, round(unnest([sqrt(d / (a * d - b * b)), sqrt(a / (a * d - b * b))]), 4) AS standard_error, round(-b / sqrt(a * d), 4) AS correlation FROM h"""
+
+
+_ALERTS = f"""WITH hh AS (SELECT event_type AS kind, epoch_us(ts) // 3600000000 AS hour, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY 1, 2),
+sh AS (SELECT kind, hour, unnest(['sparse', 'slope', 'louder']) AS shape, unnest([CASE WHEN hour % 5 < 2 THEN CAST(cents AS DOUBLE) / 100 END, CAST(hour * hour AS DOUBLE), CAST(cents AS DOUBLE) / 100 * CASE WHEN hour * 3600000000 >= {HALF_US} THEN 9 ELSE 1 END]) AS storage FROM hh),
+even AS (SELECT shape || '-' || kind AS series, hour * 3600000000 AS us, storage FROM sh WHERE storage IS NOT NULL)"""
+_NOISE = queries.ORACLE_SQL["reading_noise_table"]
+ORACLE_SQL |= {
+    "even_autocorrelation": queries.ORACLE_SQL["cadence_autocorrelation"].replace(queries._EVEN, _HOURLY).replace(f"{DAY_US} + (gap", f"{2 * DAY_US} + (gap"),
+    "frozen_evaluation": f"WITH RECURSIVE {_FROZEN} SELECT series, {', '.join(f'round({m}, 4) AS {m}' for m in _METRICS)} FROM pooled",
+    "frozen_windows": _on_readings(queries.ORACLE_SQL["window_scores"]),
+    "frozen_warnings": f"WITH RECURSIVE {_FROZEN}, each AS ({' UNION ALL '.join(f'''SELECT series, '{m}' AS metric, {m} AS value, CAST({low!r} AS DOUBLE) AS low, CAST({high!r} AS DOUBLE) AS high FROM pooled''' for m, low, high in _CHECKED)}) SELECT series, metric, round(value, 4) AS value, round(low, 4) AS low, round(high, 4) AS high FROM each WHERE value IS NULL OR value < low OR value > high",
+    "identifiability": _hesse_sql(),
+    "reading_noise_alerts": f"""WITH tab AS ({_NOISE.replace("WITH " + queries._EVEN, _ALERTS).replace(", 3) AS r_storage", ", 12) AS r_storage")}), z AS (SELECT series, "window" AS w, r_storage AS r FROM tab),
+sp AS (SELECT series, arg_min(w, r) AS low, arg_max(w, r) AS high, max(r) / min(r) AS times, count(*) AS n FROM z WHERE w <> 'all' AND r > 0 GROUP BY series)
+SELECT series, 'no estimate: too few evenly spaced pairs' AS warning FROM z WHERE w = 'all' AND r IS NULL UNION ALL SELECT series, 'no estimate: changes are not negatively correlated' FROM z WHERE w = 'all' AND r = 0
+UNION ALL SELECT series, w || ' gave no estimate' FROM z WHERE w <> 'all' AND r = 0 UNION ALL SELECT series, 'reading noise differs between ' || low || ' and ' || high FROM sp WHERE n > 1 AND times > 4""",
+}

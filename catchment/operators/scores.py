@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPAN_US, correlation, with_previous
+from ..functions.columns import SPAN_US, correlation, span_of, with_previous
 from ..plans.config import ScoreSettings
 from ..sources.shared import staged
+from .linear import by_groups, groups_of
 from .prepare import elapsed_seconds, in_windows
 from .ranks import quantiles
 
@@ -135,20 +138,35 @@ def pooled_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSetting
     return means.join(middle, "series", "left")
 
 
-def autocorrelation(rows: DataFrame, value: str, lags: list[int] | DataFrame, tolerance_us: int | None = None) -> DataFrame:
+def autocorrelation(rows: DataFrame, value: str, lags: list[int] | DataFrame, tolerance_us: int | None = None, span: int = SPAN_US, transforms: bool = True) -> DataFrame:
     """(series, lag_us, autocorrelation, pair_count) of rows(series, us, value) over all pairs whose distance is lag +- tolerance, both ends included.
 
     lags are the same for all series, or (series, lag_us, tolerance_us) rows as cadence_lags gives. Values are centred on their
     series' mean; a bin's covariance is divided by the root of both sides' energies; under three pairs, or without energy, it is
-    null. Pairs meet in buckets of time as wide as the tolerance reaches, so no series is compared with itself as a whole.
+    null. Series whose values are evenly spaced, at lags that are multiples of the spacing with a tolerance below it, go by Fourier transforms
+    of overlapping spans (transforms: whether they may), so their work hardly grows with the lags; the others by pairs, which meet in buckets of time as wide as the tolerance reaches.
     """
-    seen = rows.filter(F.col(value).isNotNull()).select("series", "us", F.col(value).alias("x"))
-    mean = seen.groupBy("series").agg(F.avg("x").alias("mean"))
+    seen = staged(rows.filter(F.col(value).isNotNull()).select("series", "us", F.col(value).alias("x")), "values")
+    known = seen.groupBy("series").agg(F.avg("x").alias("mean"))
     if isinstance(lags, DataFrame):
-        mean = mean.join(lags.groupBy("series").agg(F.array_sort(F.collect_set("lag_us")).alias("lags"), F.max("tolerance_us").alias("tolerance")), "series")
+        known = known.join(lags.groupBy("series").agg(F.array_sort(F.collect_set("lag_us")).alias("lags"), F.max("tolerance_us").alias("tolerance")), "series")
     else:
-        mean = mean.withColumns({"lags": F.array(*[F.lit(x).cast("long") for x in lags]), "tolerance": F.lit(tolerance_us).cast("long")})
-    centred = seen.join(mean, "series").select("series", "us", (F.col("x") - F.col("mean")).alias("x"), "lags", "tolerance")
+        known = known.withColumns({"lags": F.array(*[F.lit(x).cast("long") for x in lags]), "tolerance": F.lit(tolerance_us).cast("long")})
+    gaps = with_previous(seen, "series", ["us"], "before", span).select("series", (F.col("us") - F.col("before.us")).alias("gap")).groupBy("series").agg(F.min("gap").alias("gap"), F.max("gap").alias("widest"))
+    even = F.lit(transforms) & (F.col("gap") == F.col("widest")) & (F.col("tolerance") < F.col("gap")) & F.forall("lags", lambda x: (x > 0) & (F.try_mod(x, F.col("gap")) == 0))
+    known = staged(known.join(gaps, "series").withColumn("even", F.coalesce(even, F.lit(False))), "series")
+    centred = seen.join(known, "series").select("series", "us", (F.col("x") - F.col("mean")).alias("x"), "lags", "tolerance", "gap", "even")
+    sums = _pair_sums(centred.filter("NOT even")).unionByName(_transform_sums(centred.filter("even"), span))
+    every = known.select("series", F.explode("lags").alias("lag_us"))
+    power = F.sqrt(F.col("e0") * F.col("e1"))
+    return every.join(sums, ["series", "lag_us"], "left").select("series", "lag_us", F.when((F.col("pair_count") >= 3) & (power > 0), F.col("c") / power).alias("autocorrelation"), F.coalesce("pair_count", F.lit(0)).alias("pair_count"))
+
+
+_SUMS = ("pair_count", "c", "e0", "e1")
+
+
+def _pair_sums(centred: DataFrame) -> DataFrame:
+    """(series, lag_us, pair_count, c, e0, e1): number of pairs, sum of their products, and of both sides' squares, by meeting in buckets."""
     width = 2 * F.col("tolerance") + 1
     sources = centred.select("series", F.col("us").alias("us0"), F.col("x").alias("x0"), "tolerance", F.explode("lags").alias("lag_us"))
     low = F.floor((F.col("us0") + F.col("lag_us") - F.col("tolerance")) / width).cast("long")
@@ -156,10 +174,40 @@ def autocorrelation(rows: DataFrame, value: str, lags: list[int] | DataFrame, to
     targets = centred.select("series", "us", "x", F.floor(F.col("us") / width).cast("long").alias("bucket"))
     near = F.abs(F.col("us") - F.col("us0") - F.col("lag_us")) <= F.col("tolerance")
     pairs = aimed.join(targets, ["series", "bucket"]).filter(near & (F.col("us") > F.col("us0")))
-    sums = pairs.groupBy("series", "lag_us").agg(F.count("*").alias("pair_count"), F.sum(F.col("x0") * F.col("x")).alias("c"), F.sum(F.col("x0") * F.col("x0")).alias("e0"), F.sum(F.col("x") * F.col("x")).alias("e1"))
-    every = mean.select("series", F.explode("lags").alias("lag_us"))
-    power = F.sqrt(F.col("e0") * F.col("e1"))
-    return every.join(sums, ["series", "lag_us"], "left").select("series", "lag_us", F.when((F.col("pair_count") >= 3) & (power > 0), F.col("c") / power).alias("autocorrelation"), F.coalesce("pair_count", F.lit(0)).alias("pair_count"))
+    return pairs.groupBy("series", "lag_us").agg(F.count("*").alias("pair_count"), F.sum(F.col("x0") * F.col("x")).alias("c"), F.sum(F.col("x0") * F.col("x0")).alias("e0"), F.sum(F.col("x") * F.col("x")).alias("e1"))
+
+
+def _transform_sums(centred: DataFrame, span: int) -> DataFrame:
+    """The same for evenly spaced series: each span's rows against themselves and the rows behind them as far as the longest lag, by one transform a span."""
+    at = span_of("us", span)
+    reach = F.floor((F.col("us") - F.element_at("lags", -1)) / F.lit(span)).cast("long")
+    placed = centred.select("series", "us", "x", "gap", F.element_at("lags", -1).alias("reach"), at.alias("at"), F.explode(F.sequence(reach, at)).alias("span"))
+
+    def work(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        start, size = groups_of(df, ["series", "span"])
+        for a, k in zip(start, size, strict=True):
+            part = df.iloc[a : a + k]
+            own = int((part["at"] == part["span"]).sum())
+            if own:
+                gap = int(part["gap"].iloc[0])
+                most = min(int(part["reach"].iloc[0]) // gap, k - 1)
+                out.append(lagged_sums(part["x"].to_numpy(dtype=float), own, most).assign(series=part["series"].iloc[0], gap=gap))
+        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["steps", *_SUMS, "series", "gap"])
+        return found.assign(lag_us=found["steps"] * found["gap"])[["series", "lag_us", *_SUMS]]
+
+    found = by_groups(placed, ["series", "span"], "us", work, "series string, lag_us long, pair_count long, c double, e0 double, e1 double")
+    return found.groupBy("series", "lag_us").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def lagged_sums(x: np.ndarray, own: int, most: int) -> pd.DataFrame:
+    """(steps, pair_count, c, e0, e1) for 1 .. most steps between a value among the first `own` and one behind it, by a Fourier transform."""
+    size = 1 << int(own + len(x) - 1).bit_length()
+    c = np.fft.irfft(np.conj(np.fft.rfft(x[:own], size)) * np.fft.rfft(x, size), size)
+    steps = np.arange(1, most + 1)
+    pairs = np.minimum(own, len(x) - steps)
+    energy = np.append(0.0, np.cumsum(x * x))
+    return pd.DataFrame({"steps": steps, "pair_count": pairs, "c": c[steps], "e0": energy[pairs], "e1": energy[steps + pairs] - energy[steps]})
 
 
 def cadence_lags(rows: DataFrame, max_lag_us: int, span: int = SPAN_US, most: int = MOST_LAGS) -> DataFrame:

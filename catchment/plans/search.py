@@ -75,7 +75,7 @@ def minimize(values: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray
             pairs, before = [], None
             continue
         before = x, g
-        small = best - found[k] < 1e-9 * (abs(best) + 1)
+        small = best - found[k] < 1e-8 * (abs(best) + 1)
         x, best = tried[k], found[k]
         if small:
             break
