@@ -164,7 +164,7 @@ def in_windows(rows: DataFrame, windows: DataFrame, bounds: bool = False, most:
     windows, not with their product, and a series is as many keys as it has buckets.
     """
     w = windows.select("series", "name", "start_us", "end_us").filter("start_us < end_us")
-    w = w.withColumn("__bits", F.least(F.ceil(F.log2((F.col("end_us") - F.col("start_us")).cast("double"))), F.lit(most)).cast("int"))
+    w = w.withColumn("__bits", F.least(F.ceil(F.log2(F.col("end_us").cast("double") - F.col("start_us").cast("double"))), F.lit(most)).cast("int"))
     ends = rows.agg(F.min("us"), F.max("us")).first()
     lengths = sorted(r[0] for r in w.select("__bits").distinct().collect())
     if ends[0] is None or not lengths:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import SPAN_US, correlation, finite, ratio, span_of, with_previous
 from ..functions.units import US
+from ..sources.shared import staged
 from .prepare import elapsed_seconds
+from .ranks import average_ranks
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 ESTIMATES = ("raw_inflow", "centered_rolling_inflow", "estimated_inflow", "delayed_revised_inflow")
@@ -111,18 +113,6 @@ def by_estimate(frame: DataFrame, names: tuple[str, ...] = ESTIMATES) -> DataFra
     return frame.select(*rest, each.alias("e")).select(*rest, "e.*")
 
 
-def _ranks(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """rows with the average rank of column within keys.
-
-    Counts per distinct value are cumulated over the values, so a key's rows are not sorted as a whole in one task
-    unless they all differ.
-    """
-    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(*keys, column, (before - F.col("__n") / 2 + 0.5).alias(name))
-    return rows.join(ranked, [*keys, column])
-
-
 def agreement(rows: DataFrame, least: int = 2) -> DataFrame:
     """One row per (series, estimate) of rows(series, estimate, value, upstream_flow): correlations, KGE and its parts, bias, NSE, RMSE, coverage.
 
@@ -131,7 +121,8 @@ def agreement(rows: DataFrame, least: int = 2) -> DataFrame:
     keys = ["series", "estimate"]
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("candidates"))
     pairs = rows.filter("value IS NOT NULL AND upstream_flow IS NOT NULL").select(*keys, "value", "upstream_flow")
-    ranked = _ranks(_ranks(pairs, keys, "value", "rx"), keys, "upstream_flow", "ry")
+    pairs = staged(pairs, "pairs")
+    ranked = pairs.join(average_ranks(pairs, keys, "value", "rx"), [*keys, "value"]).join(average_ranks(pairs, keys, "upstream_flow", "ry"), [*keys, "upstream_flow"])
     error = F.col("value") - F.col("upstream_flow")
     n = F.count("*")
     enough = lambda c: F.when(n >= least, c)

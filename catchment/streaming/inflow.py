@@ -154,13 +154,14 @@ def stream_states(readings: DataFrame, model: Model, lag_us: int, shown: int, ma
 
     value is state number `shown`. start_on: a reading whose first two rows start a series (rows between are left out; the first needs all
     readings); without it a series starts with its first row. mark names the model: a query with another mark fails on stored state. See stream_estimates.
-    The state store is RocksDB's, which this sets for the session, as values of a map are written one by one.
+    The state store is RocksDB's with change logs, which this sets for the session: entries of a map are written one by one, and a batch stores its changes only.
     """
     known = {"dt", *(f"first_{c}" for c in model.reads)}
     extra = [c for c in (*model.moves, *model.needs) if c not in known]
     if extra:
         raise ValueError(f"a stream keeps readings only, so matrices can't come from columns: {', '.join(extra)}")
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     work = Estimator(model, lag_us, shown, mark, max_window, start_on)
     return readings.select("series", "us", *model.reads).groupBy("series").transformWithStateInPandas(work, OUTPUT, "append", "none")
 
