@@ -155,13 +155,23 @@ def identifiability(search: Search, chosen: Candidate, step: float) -> dict:
             h[a, b] = h[b, a] = value / (step**2 if a == b else 4 * step**2)
     names = [TERMS[i] for i in free]
     if not np.isfinite(h).all() or np.linalg.eigvalsh(h)[0] <= 0:
-        return {"free": names, "standard_errors": {}, "correlations": {}, "warnings": ["the objective is not curved in every term"]}
+        # Correlations need all terms' curvature; a term's own curvature still bounds how well it is determined.
+        own = np.diag(h)
+        errors = {t: 1 / math.sqrt(v) if v > 0 else math.inf for t, v in zip(names, own, strict=True) if math.isfinite(v)}
+        blind = [f"{t} couldn't be checked: a point beside it can't be used" for t, v in zip(names, own, strict=True) if not math.isfinite(v)]
+        return {"free": names, "standard_errors": errors, "correlations": {}, "warnings": ["the objective is not curved in every direction, so terms may hide one another", *blind, *_loose(errors)]}
     cov = np.linalg.inv(h)
     se = np.sqrt(np.diag(cov))
     corr = cov / np.outer(se, se)
     pairs = {(names[a], names[b]): float(corr[a, b]) for a in range(len(free)) for b in range(a + 1, len(free))}
-    warnings = [f"{a} and {b} can't be told apart" for (a, b), v in pairs.items() if abs(v) > 0.95] + [f"{t} is loosely determined" for t, v in zip(names, se, strict=True) if v > 1]
-    return {"free": names, "standard_errors": dict(zip(names, se.tolist(), strict=True)), "correlations": {f"{a}/{b}": v for (a, b), v in pairs.items()}, "warnings": warnings}
+    errors = dict(zip(names, se.tolist(), strict=True))
+    warnings = [f"{a} and {b} can't be told apart" for (a, b), v in pairs.items() if abs(v) > 0.95] + _loose(errors)
+    return {"free": names, "standard_errors": errors, "correlations": {f"{a}/{b}": v for (a, b), v in pairs.items()}, "warnings": warnings}
+
+
+def _loose(errors: dict[str, float]) -> list[str]:
+    """Warnings of the terms whose logarithm is uncertain by more than one."""
+    return [f"{t} is loosely determined" for t, v in errors.items() if not v <= 1]
 
 
 def standard_error(values: np.ndarray, weights: np.ndarray) -> float:
