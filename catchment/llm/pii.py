@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,22 @@ SCRIPT_LETTERS = ("abcdefghijklmnopqrstuvwxyz", {"cyrillic": "абкдефгхи
 SYLLABLES = "bar ben bor dal den dor fal fen gar gel hol jan kal ken lam lor mar men mor nal nor pal ren ros sal sen tal tor val wes".split()
 LATIN, ACCENTED, GREEK, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "áéíóúàèìòùâêîôûäëïöüñç", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшэюя"
 
-TITLE = r"(?:(?:" + "|".join(TITLES[g].replace(" ", "|") for g in "mfx") + r")\.? )+"
-NAME = rf"(?<!\p{{L}}){TITLE}(?!{TITLE})\p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?"
+#: Titles in capitals, which count before names in capitals.
+CAPITALS = {"m": "MR HERR", "f": "MRS MS MISS FRAU", "x": "DR PROF"}
+#: Words of a surname that stay as they are.
+PARTICLES = "von van der den dem zu zum zur de del della di da das dos do du la le las los el bin ibn al af av ter ten"
+
+TITLE = r"(?:(?:" + "|".join(f"{TITLES[g]} {CAPITALS[g]}".replace(" ", "|") for g in "mfx") + r")\.? )+"
+_TITLE_CAPITALS = r"(?:(?:" + "|".join(CAPITALS[g].replace(" ", "|") for g in "mfx") + r")\.? )+"
+_PARTICLE = "(?:(?:" + PARTICLES.replace(" ", "|") + ") )"
+#: A word of a name begins with a capital, or is of a script without them.
+_WORD = r"(?:\p{Lu}[\p{L}'\u2019-]++|\p{Lo}{2,}+)"
+_CAPITAL_WORD = r"\p{Lu}[\p{Lu}'\u2019-]++(?![\p{L}])"
+#: After a title: up to three words, with initials and particles between them.
+NAME = (
+    rf"(?<!\p{{L}}){TITLE}(?!{TITLE}){_PARTICLE}*+{_WORD}(?: (?:\p{{Lu}}\. )*+{_PARTICLE}*+{_WORD}){{0,2}}"
+    rf"|(?<!\p{{L}}){_TITLE_CAPITALS}(?!{_TITLE_CAPITALS}){_CAPITAL_WORD}(?: {_CAPITAL_WORD})?"
+)
 ANY = "|".join((SECRET, EMAIL, NAME, ACCOUNT, PHONE, ADDRESS, ADDRESS6, SOCIAL, CARD))
 
 
@@ -64,7 +79,7 @@ def _array(words: list[str]) -> str:
 
 def _kind() -> str:
     """The type of an entity, from its form."""
-    title = lambda g: _lit("^(?:" + TITLES[g].replace(" ", "|") + r")\.? ")
+    title = lambda g: _lit("^(?:" + f"{TITLES[g]} {CAPITALS[g]}".replace(" ", "|") + r")\.? ")
     whole = lambda pattern: f"entity RLIKE {_lit('^(?:' + pattern + ')$')}"
     named = " ".join(f"WHEN entity RLIKE {title(g)} THEN 'name_{g}'" for g in "mfx")
     forms = (("email", EMAIL), ("iban", ACCOUNT), ("address", ADDRESS), ("ipv6", ADDRESS6), ("social", SOCIAL), ("card", CARD), ("phone", PHONE), ("secret", HEX))
@@ -135,6 +150,22 @@ def _account() -> str:
     return f"concat(left(canonical, 2), lpad(cast(98 - {rest} AS string), 2, '0'), {body})"
 
 
+def _tokens() -> str:
+    """(place, token, role) of a name's words: particle, initial, given or surname (the last of the others)."""
+    plain = f"array_except(split(canonical, ' '), {_array(PARTICLES.split())})"
+    last = "array_max(filter(transform(split(canonical, ' '), (x, j) -> IF(NOT x RLIKE '^\\\\p{L}[.]$' AND NOT array_contains(PARTS, x), j, null)), j -> j IS NOT NULL))".replace("PARTS", _array(PARTICLES.split()))
+    role = f"CASE WHEN t RLIKE '^\\\\p{{L}}[.]$' THEN 'initial' WHEN NOT array_contains({plain}, t) THEN 'particle' WHEN i = {last} THEN 'surname' ELSE 'given' END"
+    return f"transform(split(canonical, ' '), (t, i) -> struct(i AS place, t AS token, {role} AS role))"
+
+
+def _turned(key: str) -> str:
+    """An initial's other letter: its alphabet turned by a number of places that the key decides, so that no two initials meet."""
+    digest = int.from_bytes(hashlib.sha256(b"initials|" + key.encode()).digest()[:4], "big")
+    turn = lambda letters: letters[(k := 1 + digest % (len(letters) - 1)) :] + letters[:k]
+    alphabets = (LATIN, GREEK, CYRILLIC, ACCENTED)
+    return f"translate(upper(token), {_lit(''.join(a.upper() for a in alphabets))}, {_lit(''.join(turn(a).upper() for a in alphabets))})"
+
+
 def _real() -> str:
     """Whether a match is an entity: runs of 13 to 19 digits only with a valid Luhn sum."""
     return f"NOT (entity RLIKE '^[0-9]{{13,19}}$') OR {_luhn('entity')} % 10 = 0"
@@ -180,7 +211,7 @@ def _formatted() -> str:
     digits = f"concat(array_join(transform(split(entity, ''), (c, i) -> IF(c RLIKE '[0-9]', substring(replace(surrogate, ':', ''), {rank}, 1), c)), ''), substring(replace(surrogate, ':', ''), {held} + 1))"
     return f"""CASE WHEN kind IN ('phone', 'card', 'social') THEN {digits}
       WHEN kind = 'iban' THEN concat({spaced}, substring(surrogate, length(replace(entity, ' ', '')) + 1)) WHEN kind = 'key' THEN surrogate
-      WHEN kind LIKE 'name%' THEN concat(regexp_extract(entity, {_lit("^" + TITLE)}, 0), surrogate)
+      WHEN kind LIKE 'name%' THEN concat(regexp_extract(entity, {_lit("^" + TITLE)}, 0), IF(entity RLIKE {_lit("^" + _TITLE_CAPITALS)} AND entity = upper(entity), upper(surrogate), surrogate))
       WHEN entity = upper(entity) AND entity <> lower(entity) THEN upper(surrogate) ELSE surrogate END"""
 
 
@@ -198,7 +229,7 @@ def _mentions() -> str:
     """(mention, surrogate) for each titled name of map: the name without its title and each of its words, the longest first, once each."""
     bare = lambda x: f"regexp_replace({x}, {_lit('^' + TITLE)}, '')"
     names = f"transform(filter(map_entries(map), e -> e.key RLIKE {_lit('^' + TITLE)}), e -> struct({bare('e.key')} AS k, {bare('e.value')} AS v))"
-    words = "concat(array(e), IF(size(split(e.k, ' ')) = 2, array(struct(split(e.k, ' ')[0] AS k, split(e.v, ' ')[0] AS v), struct(split(e.k, ' ')[1] AS k, split(e.v, ' ')[1] AS v)), array()))"
+    words = "concat(array(e), IF(size(split(e.k, ' ')) > 1 AND size(split(e.k, ' ')) = size(split(e.v, ' ')), filter(transform(split(e.k, ' '), (x, i) -> struct(x AS k, split(e.v, ' ')[i] AS v)), x -> x.k <> x.v), array()))"
     return f"array_sort(filter(flatten(transform({names}, e -> {words})), e -> length(e.k) > 2), (x, y) -> CASE WHEN length(x.k) <> length(y.k) THEN length(y.k) - length(x.k) WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END)"
 
 
@@ -216,15 +247,20 @@ def surrogates(found: DataFrame, key: str = EXAMPLE_KEY, patience: int = PATIENC
 
     Spellings of one entity share a canonical form, which the keyed hash (HMAC-SHA256) maps to a surrogate, so
     an entity gets the same one everywhere. A name is mapped word by word, given names and surnames for themselves, so a
-    surname has one surrogate whatever stands before it. Surrogates of one kind that meet, or that are themselves
+    surname has one surrogate whatever stands before it, and a given name one whatever its title; initials turn to others, particles stay. Surrogates of one kind that meet, or that are themselves
     entities of the corpus, are tried again with the next attempt number until all differ; the smallest of those that
     meet keeps its own. From the attempt `patience` on, each is one letter, digit or syllable longer than the one
     before (addresses: any octets), so the loop ends whatever share of a format the corpus uses up.
     """
     named = staged(found.withColumn("kind", F.expr(_kind())).withColumn("canonical", F.expr(_canonical())), "entities")
-    words = "CASE WHEN kind LIKE 'name%' AND contains(canonical, ' ') THEN array(struct(concat('given', right(kind, 2)) AS kind, split(canonical, ' ')[0] AS canonical), struct('surname' AS kind, element_at(split(canonical, ' '), -1) AS canonical))"
-    words += " WHEN kind LIKE 'name%' THEN array(struct('surname' AS kind, canonical)) ELSE array(struct(kind, canonical)) END"
-    units = staged(named.select(F.expr(f"inline({words})")).distinct(), "units")
+    tokens = staged(named.filter("kind LIKE 'name%'").select("entity", "kind", F.expr(f"inline({_tokens()})")), "tokens")
+    # A given name is of one gender wherever it stands: that of its titles, if they agree.
+    shown = F.when(F.col("kind") != "name_x", F.right("kind", F.lit(1)))
+    gender = staged(tokens.filter("role = 'given'").groupBy("token").agg(F.min(shown).alias("low"), F.max(shown).alias("high")).select("token", F.expr("IF(low = high, low, 'x')").alias("gender")), "genders")
+    gender = gender.select("token", F.lit("given").alias("role"), F.concat(F.lit("given_"), F.coalesce("gender", F.lit("x"))).alias("unit"))
+    tokens = staged(tokens.join(gender, ["token", "role"], "left").withColumn("unit", F.coalesce("unit", "role")).drop("role"), "roles")
+    words = tokens.filter("unit LIKE 'given%' OR unit = 'surname'").select(F.col("unit").alias("kind"), F.col("token").alias("canonical"))
+    units = staged(named.filter("NOT kind LIKE 'name%'").select("kind", "canonical").unionByName(words).distinct(), "units")
     open_, real = units, units.select("kind", F.lower("canonical").alias("seen")).distinct()
     done, attempt = None, 0
     while True:
@@ -242,23 +278,32 @@ def surrogates(found: DataFrame, key: str = EXAMPLE_KEY, patience: int = PATIENC
         attempt += 1
     solved = done.select("kind", "canonical", "surrogate")
     plain = named.filter("NOT kind LIKE 'name%'").join(solved, ["kind", "canonical"])
-    last = solved.filter("kind = 'surname'").select(F.col("canonical").alias("last"), F.col("surrogate").alias("last_surrogate"))
-    given = solved.filter("kind LIKE 'given%'").select(F.col("kind").alias("given_kind"), F.col("canonical").alias("given"), F.col("surrogate").alias("given_surrogate"))
-    people = named.filter("kind LIKE 'name%'").withColumn("last", F.expr("element_at(split(canonical, ' '), -1)")).withColumn("given_kind", F.expr("IF(contains(canonical, ' '), concat('given', right(kind, 2)), null)")).withColumn("given", F.expr("split(canonical, ' ')[0]"))
-    people = people.join(last, "last").join(given, ["given_kind", "given"], "left").withColumn("surrogate", F.expr("concat_ws(' ', given_surrogate, last_surrogate)"))
+    each = tokens.join(solved.select(F.col("kind").alias("unit"), F.col("canonical").alias("token"), "surrogate"), ["unit", "token"], "left")
+    each = each.withColumn("word", F.expr(f"CASE WHEN unit = 'initial' THEN {_turned(key)} ELSE coalesce(surrogate, token) END"))
+    whole = each.groupBy("entity").agg(F.expr("array_join(transform(array_sort(collect_list(struct(place, word))), x -> x.word), ' ')").alias("surrogate"))
+    people = named.filter("kind LIKE 'name%'").join(whole, "entity")
     both = plain.select("entity", "kind", "canonical", "surrogate", "n").unionByName(people.select("entity", "kind", "canonical", "surrogate", "n"))
     return both.select("entity", F.expr(_formatted()).alias("replacement"), "n")
 
 
-def replace_entities(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
+def secret_key(spark: SparkSession) -> str:
+    """The session's key. Without one the example key, with a warning: surrogates made with it keep no secret."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with the published example key and keep no secret", stacklevel=2)
+    return key or EXAMPLE_KEY
+
+
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs(doc_id, text, ...) with every entity in text replaced, n_chars (if there) recounted, and n_entities added (replacing any such column).
 
-    key is the secret of the surrogates: the same key gives the same ones. Null texts stay null with no entities, empty ones empty;
+    key is the secret of the surrogates (the session's, if None; see secret_key): the same key gives the same ones. Null texts stay null with no entities, empty ones empty;
     other columns pass through; no rows give no rows. Bare mentions of a titled name in the same text are replaced with it, but not
     counted. Texts are searched once; rows without entities, told apart by a filter over doc_id and text hash, pass straight, the
     others meet their distinct entities' surrogates (a frequent one by broadcast, see join_groups); so repeated rows are treated alike.
     A text of any length is one value of a row, searched as a whole.
     """
+    key = secret_key(docs.sparkSession) if key is None else key
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars", "n_entities")]
     packed = docs.select(F.struct(*columns).alias("doc"), "text").withColumn("row", F.xxhash64("doc.doc_id", "text"))
     found = packed.filter(_has_entities()).select("row", F.explode(F.array_distinct(_entities())).alias("entity")).filter(_real())
@@ -281,5 +326,5 @@ def replace_entities(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = replace_entities(documents(spark, sf_dir), spark.conf.get(KEY_SETTING, EXAMPLE_KEY))
+    done = replace_entities(documents(spark, sf_dir))
     return done.select("doc_id", "n_entities", "text", F.sha2(whole_text().cast("binary"), 256).alias("text_sha256"))

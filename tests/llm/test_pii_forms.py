@@ -114,3 +114,47 @@ def test_no_rows_and_a_clashing_column(spark, nothing):
     docs = spark.createDataFrame([(1, "a@b.org", 99), (None, None, 98), (1, "a@b.org", 97)], "doc_id long, text string, n_entities long")
     got = pii.replace_entities(docs).collect()
     assert sorted((r.doc_id or 0, r.n_entities) for r in got) == [(0, 0), (1, 1), (1, 1)]
+
+
+NAMES = {
+    "Mr John F. Kennedy": r"Mr (?!John)\w+ (?!F)[A-Z]\. (?!Kennedy)\w+", "Mrs Ursula von der Leyen": r"Mrs (?!Ursula)\w+ von der (?!Leyen)\w+", "Dr. Martin Luther King": r"Dr\. (?!Martin)\w+ (?!Luther)\w+ (?!King)\w+",
+    "Mr. O\u2019Brien": r"Mr\. (?!O)\w+", "MR JOHN SMITH": r"MR (?!JOHN)[A-Z]+ (?!SMITH)[A-Z]+", "Mr de la Cruz": r"Mr de la (?!Cruz)\w+", "Mr \u738b\u5c0f\u660e": r"Mr [A-Z]\w+", "Frau Dr. Anna-Lena M\u00fcller": r"Frau Dr\. (?!Anna)\w+ (?!M\u00fcller)\w+",
+    "Prof. J. R. R. Tolkien": None, "Se\u00f1or Jos\u00e9 Mar\u00eda de la Vega": r"Se\u00f1or (?!Jos)\w+ (?!Mar)\w+ de la (?!Vega)\w+",
+}
+
+
+def test_names_of_many_words(spark):
+    """No word of a name is left, particles and the number of words stay."""
+    forms = {k: v for k, v in NAMES.items() if v}
+    for (form, want), r in zip(forms.items(), run(spark, [f"so {f}, then" for f in forms]), strict=True):
+        assert r.n_entities == 1 and re.fullmatch(f"so {want}, then", r.text), (form, r.text)
+
+
+def test_a_second_title_makes_no_second_person(spark):
+    got = run(spark, ["Mr John Smith met Dr John Smith and Prof Mary Jones. Mrs Mary Jones left.", "Dr Robin Hood", "Mrs Robin Day and Mr Robin Day"])
+    a, b, c, d = re.fullmatch(r"Mr (\w+ \w+) met Dr (\w+ \w+) and Prof (\w+ \w+)\. Mrs (\w+ \w+) left\.", got[0].text).groups()
+    assert a == b != c == d and a.split()[0] in pii.NAMES["m"] and c.split()[0] in pii.NAMES["f"]
+
+
+def test_recall_of_names_by_form(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(5, 9))).title()
+    make = {
+        "initial": lambda: f"Mr {word()} {rng.choice('BCDFG')}. {word()}", "three": lambda: f"Dr. {word()} {word()} {word()}", "particle": lambda: f"Mrs {word()} {rng.choice(['von', 'van der', 'de la', 'di'])} {word()}",
+        "apostrophe": lambda: f"Mr. O\u2019{word()}", "capitals": lambda: f"MR {word().upper()} {word().upper()}", "two titles": lambda: f"Prof. Dr. {word()} {word()}",
+    }
+    for kind, one in make.items():
+        names = [one() for _ in range(40)]
+        got = run(spark, [f"{word().lower()} met {n}, who left" for n in names])
+        skip = {"von", "van", "der", "de", "la", "di"}
+        words = [[w for w in n.split() if w not in skip and len(w.strip(".")) > 2 and w.strip(".") not in ("Mrs", "Prof", "Doctor")] for n in names]
+        caught = sum(not any(w in r.text for w in own) for own, r in zip(words, got, strict=True))
+        assert caught >= 0.98 * len(names), kind
+
+
+def test_the_example_key_is_not_silent(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="example key"):
+        pii.replace_entities(docs)
