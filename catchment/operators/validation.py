@@ -15,7 +15,7 @@ from .ranks import average_ranks
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 ESTIMATES = ("raw_inflow", "centered_rolling_inflow", "estimated_inflow", "delayed_revised_inflow")
-#: Other names that a column may come with.
+# Other names that a column may come with.
 ALIASES = {"trailing_rolling_inflow": "centered_rolling_inflow", "revised_inflow": "delayed_revised_inflow", "upstream": "upstream_flow", "rolling_inflow": "centered_rolling_inflow"}
 
 

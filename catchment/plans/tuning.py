@@ -36,7 +36,7 @@ class TuningError(RuntimeError):
 
 @dataclass(frozen=True)
 class TuningSettings:
-    """Bounds of each term as multiples of the base, and the search's budget."""
+    """Bounds of each term as multiples of the base, and the search's budget. The default bounds, factor and step."""
 
     bounds: dict = field(default_factory=lambda: {"q_storage": (0.5, 1.0), "q_inflow": (0.001, 10.0), "q_outflow": (0.1, 10.0), "r_storage": (0.5, 1.0), "r_outflow": (0.01, 4.0)}, hash=False)
     estimate_r_storage: bool = True
