@@ -95,9 +95,7 @@ def check_near(docs, got):
 def test_near_groups(spark, mixed, sf):
     check_near(mixed, near_dedup.near_groups(mixed).collect())
     docs = documents(spark, sf)
-    want = check_near(docs, near_dedup.near_groups(docs).collect())
-    rest = near_dedup.drop_near_copies(docs)
-    assert rest.columns == docs.columns and {r.doc_id for r in rest.collect()} == set(want.values())
+    check_near(docs, near_dedup.near_groups(docs).collect())
 
 
 @pytest.mark.parametrize("limit", [1, 2, 5, 512])
