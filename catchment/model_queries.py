@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import oracle, queries
 from .functions.columns import micros
-from .operators import linear, prepare, reading_noise, scores
+from .functions.units import SI, US
+from .operators import estimate, linear, prepare, reading_noise, scores
 from .plans import tuning
 from .plans.config import Window as Span
 from .queries import CONFIG, DAY_US, SETTINGS, START_US, _rounded, event_observations, streamed
@@ -281,3 +282,43 @@ sp AS (SELECT series, arg_min(w, r) AS low, arg_max(w, r) AS high, max(r) / min(
 SELECT series, 'no estimate: too few evenly spaced pairs' AS warning FROM z WHERE w = 'all' AND r IS NULL UNION ALL SELECT series, 'no estimate: changes are not negatively correlated' FROM z WHERE w = 'all' AND r = 0
 UNION ALL SELECT series, w || ' gave no estimate' FROM z WHERE w <> 'all' AND r = 0 UNION ALL SELECT series, 'reading noise differs between ' || low || ' and ' || high FROM sp WHERE n > 1 AND times > 4""",
 }
+
+
+def metric_filtered(spark, sf_dir):
+    """The observations and the configuration taken to metric units, filtered, and the inflow taken back: the same as in US units."""
+    volume, flow = US.factors_to(SI)
+    obs = event_observations(spark, sf_dir)
+    scaled = obs.select("series", "us", (F.col("storage") * volume).alias("storage"), (F.col("outflow") * flow).alias("outflow"))
+    out = estimate.states(scaled, CONFIG.in_units(SI))
+    return _rounded(out.select("series", "us", (F.col("m1") / flow).alias("estimated_inflow"), (F.sqrt("p11") / flow).alias("deviation")), "estimated_inflow", "deviation", digits=4)
+
+
+def candidate_gain(spark, sf_dir):
+    """What a setting with twice the inflow noise gains over the base in each series: the weighted mean over the windows, a reading, and its standard error."""
+    obs = event_observations(spark, sf_dir)
+    windows = queries._three(obs)
+    rows, single = tuning.windowed_steps(staged(prepare.steps(obs), "steps"), windows, SETTINGS)
+    base = tuning.of_config(CONFIG)
+    other = tuning.Candidate((base.values[0], 2 * base.values[1], *base.values[2:]))
+    found = tuning.candidate_sums(rows, single, CONFIG, [base, other]).withColumn("loss", F.col("joint_sum") / F.col("joint_count"))
+    gains = found.groupBy("series", "name").agg(F.sum(F.when(F.col("candidate") == 0, F.col("loss")).otherwise(-F.col("loss"))).alias("gain"), F.count("loss").alias("both")).filter("both = 2")
+    return _rounded(tuning.paired_gains(gains.join(windows.select("series", "name", "weight"), ["series", "name"])), "gain", "error")
+
+
+def noise_tuning(spark, sf_dir):
+    """A short tuning of hourly readings: every setting that was scored, with its objective, and which was selected."""
+    spans = [Span(f"w{i}", START_US + 10 * i * DAY_US, START_US + 10 * (i + 1) * DAY_US) for i in range(3)]
+    settings = tuning.TuningSettings(evaluations=45, local_searches=1, check_identifiability=False)
+    out = tuning.tune(_hourly_readings(spark, sf_dir), CONFIG, spans, SETTINGS, settings)
+    return out["candidates"]
+
+
+QUERIES |= {f.__name__: f for f in (metric_filtered, candidate_gain, noise_tuning)}
+_GAIN = lambda k, q: f"SELECT {k} AS k, series, name, loss FROM (WITH RECURSIVE {queries._COUNTED.replace(queries._FILTER, oracle.filter_sql(q, queries.R, queries.P0, queries.FACTOR))} SELECT series, name, sum(joint_nlpd) / sum(CASE WHEN joint_nlpd IS NOT NULL THEN joint_components END) AS loss FROM inside GROUP BY series, name)"
+ORACLE_SQL |= {
+    "metric_filtered": f"WITH RECURSIVE {queries._FILTER} SELECT series, us, round(m1, 4) AS estimated_inflow, round(sqrt(p11), 4) AS deviation FROM rec",
+    # Over windows of equal weight the weighted standard error is the plain one of a mean.
+    "candidate_gain": f"""WITH losses AS ({_GAIN(0, queries.Q)} UNION ALL {_GAIN(1, (queries.Q[0], 2 * queries.Q[1], queries.Q[2]))}),
+g AS (SELECT a.series, a.loss - b.loss AS gain FROM losses a JOIN losses b ON a.k = 0 AND b.k = 1 AND a.series = b.series AND a.name = b.name WHERE a.loss IS NOT NULL AND b.loss IS NOT NULL)
+SELECT series, round(avg(gain), 6) AS gain, round(CASE WHEN count(*) > 1 THEN stddev_samp(gain) / sqrt(count(*)) ELSE 0 END, 6) AS error, count(*) AS windows FROM g GROUP BY series""",
+}

@@ -184,6 +184,14 @@ def standard_error(values: np.ndarray, weights: np.ndarray) -> float:
     return math.sqrt(max(0.0, float(w @ (values - mean) ** 2) / free * float(w @ w)))
 
 
+def paired_gains(rows: DataFrame) -> DataFrame:
+    """(series, gain, error, windows) of rows(series, name, gain, weight): the weighted mean over a series' windows and its standard error, as standard_error gives it; for any number of series."""
+    shares = rows.groupBy("series").agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("gain")).alias("sum"))
+    each = rows.join(shares, "series").withColumns({"w": F.col("weight") / F.col("total"), "off": F.col("gain") - F.col("sum") / F.col("total")})
+    found = each.groupBy("series").agg(F.sum(F.col("w") * F.col("gain")).alias("gain"), F.sum(F.col("w") * F.col("w")).alias("own"), F.sum(F.col("w") * F.col("off") * F.col("off")).alias("spread"), F.count("*").alias("windows"))
+    return found.select("series", "gain", F.when(F.col("own") < 1, F.sqrt(F.col("spread") / (1 - F.col("own")) * F.col("own"))).otherwise(0.0).alias("error"), "windows")
+
+
 def paired_error(differences: np.ndarray, weights: np.ndarray, settings: ScoreSettings) -> float:
     """Standard error of a weighted mean difference: by a seeded bootstrap from five windows on, else analytic."""
     if len(differences) < 5 or settings.bootstrap_samples < 2:
