@@ -249,14 +249,14 @@ def test_tuning_improves_on_a_poor_base(spark):
     base = SeriesConfig.diagonal(q=(0.005, 0.4, 0.02), r=(0.25, 0.16), units=SI)
     windows = [Window(f"w{i}", a * HOUR, b * HOUR) for i, (a, b) in enumerate(((10, 50), (60, 100), (110, 150)))]
     seen = []
-    out = tuning.tune(obs, base, windows, ScoreSettings(warmup=timedelta(hours=2)), tuning.TuningSettings(rounds=1, local_searches=1, estimate_r_storage=False, check_identifiability=False), progress=lambda phase, n: seen.append((phase, n)))
+    out = tuning.tune(obs, base, windows, ScoreSettings(warmup=timedelta(hours=2)), tuning.TuningSettings(evaluations=15, local_searches=1, estimate_r_storage=False, check_identifiability=False), progress=lambda phase, n: seen.append((phase, n)))
     assert out["improved"] and out["objective"] < out["base_objective"] and out["config"].version == "1-tuned"
     assert seen and out["candidates"].count() == out["passes"]
     assert out["improvement"] == pytest.approx(out["base_objective"] - out["objective"], abs=1e-9) and out["improvement_error"] >= 0
     assert out["proxies"] is None and out["compared_windows"].count() == 6
     assert "with fewer than five windows, errors are weak" in out["selection_warnings"]
     with pytest.raises(tuning.TuningError):
-        tuning.tune(obs, base, [Window(f"v{i}", (1000 + i) * HOUR, (1001 + i) * HOUR) for i in range(3)], tuning=tuning.TuningSettings(rounds=1, estimate_r_storage=False, check_identifiability=False))
+        tuning.tune(obs, base, [Window(f"v{i}", (1000 + i) * HOUR, (1001 + i) * HOUR) for i in range(3)], tuning=tuning.TuningSettings(evaluations=15, estimate_r_storage=False, check_identifiability=False))
 
 
 def test_identifiability_ignores_window_weights(spark):
@@ -278,7 +278,7 @@ def test_proxy_in_the_tuner(spark):
     base = SeriesConfig.diagonal(q=(0.005, 0.04, 0.02), r=(0.25, 0.16), units=SI)
     windows = [Window(f"w{i}", a * HOUR, b * HOUR) for i, (a, b) in enumerate(((10, 45), (45, 80), (80, 115)))]
     proxy = obs.select("series", "us", (100 - F.col("us") / HOUR).alias("proxy"))
-    out = tuning.tune(obs, base, windows, ScoreSettings(warmup=timedelta(hours=2)), tuning.TuningSettings(rounds=1, local_searches=1, check_identifiability=False), proxy=proxy, seeds=[10.0, 20.0], version="2")
+    out = tuning.tune(obs, base, windows, ScoreSettings(warmup=timedelta(hours=2)), tuning.TuningSettings(evaluations=15, local_searches=1, check_identifiability=False), proxy=proxy, seeds=[10.0, 20.0], version="2")
     assert out["config"].version == "2" and {r.candidate for r in out["proxies"].collect()} == {"base", "search-1"}
     # The proxy is known outside the windows too, but only scored rows are held against it.
     assert all(r.proxy_aligned_count <= 105 for r in out["proxies"].collect())
@@ -299,7 +299,7 @@ def test_job_from_exports_to_a_configuration(spark, tmp_path):
     own = gauges.Sources("lake", *[str(tmp_path / f"{n}.csv") for n in ("storage", "outlet", "upstream")])
     base = SeriesConfig.diagonal(q=(0.005, 0.4, 0.02), r=(0.25, 0.16), units=SI)
     config, report = str(tmp_path / "config.json"), str(tmp_path / "report.json")
-    out = tune_exports(spark, own, base, 0, 99 * HOUR, config, "2", report, windows=3, settings=ScoreSettings(warmup=timedelta(hours=2)), tuning=tuning.TuningSettings(rounds=1, local_searches=1, check_identifiability=False))
+    out = tune_exports(spark, own, base, 0, 99 * HOUR, config, "2", report, windows=3, settings=ScoreSettings(warmup=timedelta(hours=2)), tuning=tuning.TuningSettings(evaluations=15, local_searches=1, check_identifiability=False))
     assert json.load(open(config))["version"] == "2" and out["improved"]
     written = json.load(open(report))
     assert {r["name"]: r["timestamp_parse_failures"] for r in written["source_audit"]} == {"storage": 1, "outlet": 1, "upstream": 1}

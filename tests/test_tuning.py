@@ -97,3 +97,26 @@ def test_transforms_equal_pairs(spark):
         assert set(other) == set(results[2])
         for k, (r, n) in results[2].items():
             assert other[k][1] == n and (other[k][0] is None) == (r is None) and (r is None or other[k][0] == pytest.approx(r, abs=1e-9))
+
+
+def test_nothing_is_left_out_unsaid(spark):
+    """A large table of a report is written whole, and warnings beyond those spelled out are counted."""
+    from catchment.plans.job import _beside, _plain_table
+
+    rows = spark.range(57).selectExpr("concat('s', id) AS series", "concat('text ', id) AS text")
+    assert len(_plain_table(rows, "unused")) == 57
+    place = _beside(spark, "report.json", "candidates")
+    got = _plain_table(rows, place, most=20)
+    assert got == {"rows": 57, "path": place} and spark.read.parquet(place).count() == 57
+    assert _plain_table(rows.selectExpr("series", "1 AS us"), "unused") == {"rows": 57} and _plain_table(3, "unused") == 3
+    listed = tuning._listed(rows, "odd warnings", most=10)
+    assert len(listed) == 11 and listed[-1] == "47 more odd warnings in their table" and len(tuning._listed(rows, "odd warnings")) == 57
+
+
+def test_gains_by_series_equal_the_plain_error(spark):
+    rng = np.random.default_rng(2)
+    gains, weights = rng.normal(0, 1, 4), np.array([1.0, 2.0, 0.5, 1.5])
+    rows = [("a", f"w{i}", float(g), float(w)) for i, (g, w) in enumerate(zip(gains, weights, strict=True))] + [("b", "w0", 0.5, 2.0)]
+    got = {r.series: r for r in tuning.paired_gains(spark.createDataFrame(rows, "series string, name string, gain double, weight double")).collect()}
+    assert got["a"].gain == pytest.approx(weights @ gains / weights.sum()) and got["a"].error == pytest.approx(tuning.standard_error(gains, weights))
+    assert (got["b"].gain, got["b"].error, got["b"].windows) == (0.5, 0.0, 1)
