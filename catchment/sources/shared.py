@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `staged` wrote and that nothing reads any more, neither a DataFrame that is still to be computed nor one whose lost parts would be computed again."""
+    for df in tables:
+        own = urlparse(shared_dir(df.sparkSession)).path.rstrip("/") + "/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if urlparse(folder).path.startswith(own):
+                _delete(df.sparkSession, folder)
