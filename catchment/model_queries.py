@@ -11,7 +11,7 @@ from . import oracle, queries
 from .functions.columns import micros
 from .functions.units import SI, US
 from .operators import estimate, linear, prepare, reading_noise, scores
-from .plans import tuning
+from .plans import candidates, tuning
 from .plans.config import Window as Span
 from .queries import CONFIG, DAY_US, SETTINGS, START_US, _rounded, event_observations, streamed
 from .sources.shared import staged
@@ -300,7 +300,7 @@ def candidate_gain(spark, sf_dir):
     rows, single = tuning.windowed_steps(staged(prepare.steps(obs), "steps"), windows, SETTINGS)
     base = tuning.of_config(CONFIG)
     other = tuning.Candidate((base.values[0], 2 * base.values[1], *base.values[2:]))
-    found = tuning.candidate_sums(rows, single, CONFIG, [base, other]).withColumn("loss", F.col("joint_sum") / F.col("joint_count"))
+    found = tuning.candidate_sums(rows, single, CONFIG, [base, other]).withColumn("loss", candidates.mean_loss())
     gains = found.groupBy("series", "name").agg(F.sum(F.when(F.col("candidate") == 0, F.col("loss")).otherwise(-F.col("loss"))).alias("gain"), F.count("loss").alias("both")).filter("both = 2")
     return _rounded(tuning.paired_gains(gains.join(windows.select("series", "name", "weight"), ["series", "name"])), "gain", "error")
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPAN_US, span_of
@@ -133,11 +133,16 @@ def candidate_sums(rows: DataFrame, single: bool, config: SeriesConfig, candidat
     return parts.groupBy("candidate", "series", "name").agg(*[F.sum(c).alias(c) for c in ("joint_sum", "joint_count", "storage_count", "unscorable_count")])
 
 
+def mean_loss() -> Column:
+    """The mean joint density a reading of candidate_sums' rows; null for a window whose counted rows have no reading."""
+    return F.when(F.col("joint_count") > 0, F.col("joint_sum") / F.col("joint_count"))
+
+
 def objective(sums: DataFrame, count: int, windows: DataFrame, settings: ScoreSettings) -> DataFrame:
     """(candidate, series, objective, total, reasons): the weighted mean of the windows' joint densities a reading, and their sum over all readings without weights; null if not valid."""
     every = windows.select("series", "name", "weight", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("candidate"))
     rows = every.join(sums, ["candidate", "series", "name"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("joint_count", "storage_count", "unscorable_count")})
-    rows = rows.withColumn("joint_nlpd", F.when(F.col("joint_count") > 0, F.col("joint_sum") / F.col("joint_count")))
+    rows = rows.withColumn("joint_nlpd", mean_loss())
     ok = validity(rows, settings, ("candidate",))
     mean = rows.groupBy("series", "candidate").agg(F.sum(F.col("joint_nlpd") * F.col("weight")).alias("mean"), F.sum("joint_sum").alias("sum"))
     valid = lambda c, name: F.when(F.col("valid"), F.col(c)).alias(name)
