@@ -139,11 +139,14 @@ def mean_loss() -> Column:
 
 
 def objective(sums: DataFrame, count: int, windows: DataFrame, settings: ScoreSettings) -> DataFrame:
-    """(candidate, series, objective, total, reasons): the weighted mean of the windows' joint densities a reading, and their sum over all readings without weights; null if not valid."""
+    """(candidate, series, objective, total, reasons): the weighted mean of the windows' joint densities a reading, null if not valid, and their sum over all readings without weights.
+
+    Windows with few readings or none make an objective invalid but not a total, which has what readings there are; it is null only if rows couldn't be scored.
+    """
     every = windows.select("series", "name", "weight", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("candidate"))
     rows = every.join(sums, ["candidate", "series", "name"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("joint_count", "storage_count", "unscorable_count")})
     rows = rows.withColumn("joint_nlpd", mean_loss())
     ok = validity(rows, settings, ("candidate",))
-    mean = rows.groupBy("series", "candidate").agg(F.sum(F.col("joint_nlpd") * F.col("weight")).alias("mean"), F.sum("joint_sum").alias("sum"))
-    valid = lambda c, name: F.when(F.col("valid"), F.col(c)).alias(name)
-    return ok.join(mean, ["series", "candidate"]).select("candidate", "series", valid("mean", "objective"), valid("sum", "total"), "reasons")
+    mean = rows.groupBy("series", "candidate").agg(F.sum(F.col("joint_nlpd") * F.col("weight")).alias("mean"), F.sum(F.coalesce("joint_sum", F.lit(0.0))).alias("sum"), F.sum("unscorable_count").alias("unscorable"))
+    total = F.when(F.col("unscorable") == 0, F.col("sum")).alias("total")
+    return ok.join(mean, ["series", "candidate"]).select("candidate", "series", F.when(F.col("valid"), F.col("mean")).alias("objective"), total, "reasons")

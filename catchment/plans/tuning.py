@@ -111,10 +111,10 @@ class Search:
         new = [c for c in dict.fromkeys(candidates) if c.values not in self.known]
         for part in [new[i : i + BATCH] for i in range(0, len(new), BATCH)]:
             sums = candidate_sums(self.rows, self.single, self.base, part)
-            rows = objective(sums, len(part), self.windows, self.settings).groupBy("candidate").agg(F.avg("objective").alias("mean"), F.sum("total").alias("total"), F.count_if(F.col("objective").isNull()).alias("bad"), F.first("reasons").alias("reasons")).collect()
+            rows = objective(sums, len(part), self.windows, self.settings).groupBy("candidate").agg(F.avg("objective").alias("mean"), F.sum("total").alias("total"), F.count_if(F.col("objective").isNull()).alias("bad"), F.count_if(F.col("total").isNull()).alias("lost"), F.first("reasons").alias("reasons")).collect()
             for r in rows:
                 self.known[part[r.candidate].values] = math.inf if r.bad or r["mean"] is None else r["mean"]
-                self.totals[part[r.candidate].values] = math.inf if r.bad or r.total is None else r.total
+                self.totals[part[r.candidate].values] = math.inf if r.lost or r.total is None else r.total
                 self.reasons[part[r.candidate].values] = list(r.reasons)
             self.passes += len(part)
             if self.progress:
@@ -129,7 +129,7 @@ class Search:
 def identifiability(search: Search, chosen: Candidate, step: float) -> dict:
     """Standard errors and correlations of the logarithms of the terms not at a bound, by a central-difference Hessian of 2 n squared + 1 points.
 
-    The Hessian is that of the whole negative log density of all scored readings, so window weights don't enter.
+    The Hessian is that of the whole negative log density of all scored readings, so window weights don't enter, and series with too few readings in a window count with those they have.
     """
     x = search.point(chosen)
     free = [i for i in range(len(TERMS)) if 1e-6 < x[i] < 1 - 1e-6]

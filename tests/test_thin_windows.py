@@ -37,3 +37,8 @@ def by_sql(name, folder):
 def test_gains_where_a_window_has_no_reading(spark, events):
     got = sorted(tuple(r) for r in entry.queries()["candidate_gain"](spark, events).select("series", "gain", "error", "windows").collect())
     assert got == by_sql("candidate_gain", events) and [r[3] for r in got] == [3, 2, 3]
+
+
+def test_terms_are_determined_though_a_series_has_thin_windows(spark, events):
+    got = sorted(tuple(r) for r in entry.queries()["identifiability"](spark, events).select("term", "standard_error", "correlation").collect())
+    assert len(got) == 2 and got == by_sql("identifiability", events)
