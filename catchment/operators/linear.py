@@ -23,6 +23,8 @@ from ..plans.config import SYMMETRY, covariance, negative_direction
 
 #: How far a covariance may be raised, as a share of its own scale, before it counts as not scorable.
 MOST_RAISED = 1e-6
+#: Rows that a task works on at once; more cost memory and save no time.
+BLOCK_ROWS = 20_000
 LOG_TWO_PI = float(np.log(2 * np.pi))
 
 
@@ -377,7 +379,7 @@ def in_step_back(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarr
         yield groups, 2 * start[groups] + size[groups] - 1 - rows
 
 
-def by_groups(df: DataFrame, keys: list[str], order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 200_000) -> DataFrame:
+def by_groups(df: DataFrame, keys: list[str], order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """work over whole groups of keys, many at a time, in blocks of about `rows` rows, sorted by keys and order.
 
     Groups are dealt by hash and sorted by Spark; a block ends where a group ends, so memory is bounded by
