@@ -14,7 +14,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard
@@ -148,25 +148,32 @@ def _fit(a: str, b: str) -> str:
     return f"least({a}, {b}) >= {SIMILARITY} * greatest({a}, {b})"
 
 
-def narrower(crowded: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, node, items, company): the members of crowded(key, node, items, company) at each pair of their anchor and another one of theirs in keys(node, keys), if two of them meet there.
+def narrower(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, node, items, company): the members of crowded(node, items, company, of) at those of their shingles in sets(node, items) by which any two of SIMILARITY meet; shingles of one component only are left out.
 
-    Texts that share a passage crowd an anchor whose voters lie in it, but seldom a second one; sets of SIMILARITY that share one share another of the thirteen with 0.994.
+    Shingles are ordered by the number of members that have them, the rarest first. Two sets of SIMILARITY share one of the first items - SIMILARITY * items + 1 of either, whatever the order
+    (prefix filter). So no pair is lost, and texts that share a passage seldom meet by it, as their own words come before it.
     """
-    each = crowded.join(keys, "node").select("node", "items", "company", "key", F.explode("keys").alias("other")).filter("key <> other")
-    each = staged(each.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "items", "company").distinct(), "narrow")
-    many = staged(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "meeting")
-    return join_groups(each, many, "key", "n", each.count()).drop("n")
-
-
-def chained(sizes: DataFrame, shared: DataFrame, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairwise: int = PAIRWISE, leaders: int = LEADERS) -> DataFrame:
+    members = crowded.select("node", "items", "company", "of").distinct()
+    total = members.agg(F.sum("items")).first()[0] or 0
+    each = members.join(sets.select("node", F.col("items").alias("set")), "node").withColumn("key", F.explode("set")).drop("set")
+    many = staged(each.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).filter("n > 1"), "meeting")
+    met = join_groups(perhaps(each, many, "key").filter("__maybe").drop("__maybe"), many, "key", "n", total)
+    own = Window.partitionBy("node")
+    # Shingles that no other member has come first and are not in `met`.
+    place = F.col("items") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "key"))
+    first = met.withColumn("place", place).filter(f"place <= items - ceil({SIMILARITY} * items - 1e-9) + 1 AND x <> y")
+    return first.select("key", "node", "items", "company")
+
+
+def chained(sizes: DataFrame, shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairwise: int = PAIRWISE, leaders: int = LEADERS) -> DataFrame:
     """(node, component): the nodes that chains of pairs with an anchor in common and of SIMILARITY or more connect.
 
     sizes(key, n, a, b) has the anchors of two nodes or more with two of their nodes (node, items); shared(key, node, items) the members of
-    those of more than two; keys(node, keys) all anchors of a node; sets_of gives the shingle sets of nodes. First each member meets its
+    those of more than two; sets_of gives the shingle sets of nodes. First each member meets its
     anchor's leader, the member with the most company over all anchors: in a group of edited copies
     of one text that is the text or one near its middle. Then only members that aren't connected yet are compared:
-    pairwise at anchors with at most `pairwise` of them; the members of more crowded ones go to narrower anchors, and where these
+    pairwise at anchors with at most `pairwise` of them; the members of more crowded ones meet at their rarest shingles (see narrower), and where these
     are crowded too, they are compared in rounds against about `leaders` of
     them, chosen by hash, which then leave the anchor, as they have met all others. So a group of copies costs a pair per
     member and anchor, and no pair of connected nodes is listed.
@@ -211,7 +218,14 @@ def chained(sizes: DataFrame, shared: DataFrame, keys: DataFrame, sets_of: Calla
         if not new.isEmpty():
             found = found.unionByName(new)
             known = staged(connected_components(found).select("node", "component"), "components")
-        rest = active.join(top.select("key", F.explode("lead.node").alias("node")), ["key", "node"], "left_anti") if turn else narrower(active.drop("n", "of"), keys)
+        if turn:
+            rest = active.join(top.select("key", F.explode("lead.node").alias("node")), ["key", "node"], "left_anti")
+        elif active.isEmpty():
+            return known
+        else:
+            sets = sets_of(active.select(F.col("node").alias("a"), F.col("node").alias("b")))
+            rest = staged(narrower(active, sets), "narrow")
+            discard(sets)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -233,9 +247,12 @@ def similar_groups(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     classes = staged(rows.groupBy("node").agg(least.alias("first"), F.min("same").alias("same"), F.count("*").alias("size"), F.first("items").alias("items"), F.first("keys").alias("keys")), "classes")
     placed = classes.select("node", "items", F.explode("keys").alias("key"))
     member = F.struct("node", "items")
-    sizes = staged(placed.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("a"), F.max(member).alias("b")).filter("n > 1"), "anchors")
+    # Keys alone are counted first: few of them have two nodes, and only those of their rows that a filter passes are shuffled whole.
+    twice = staged(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
+    sizes = perhaps(placed, twice, "key").filter("__maybe").groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("a"), F.max(member).alias("b"))
+    sizes = staged(sizes.filter("n > 1"), "anchors")
     many = sizes.filter("n > 2").select("key")
-    shared = staged(perhaps(placed, many, "key").filter("__maybe").select("key", "node", "items").join(many, "key"), "shared")
+    shared = staged(perhaps(placed, many, "key").filter("__maybe").select("key", "node", "items").join(many, "key", "left_semi"), "shared")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -245,7 +262,7 @@ def similar_groups(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         discard(used)
         return sets
 
-    known = chained(sizes, shared, classes.select("node", "keys"), sets_of, pairwise).withColumnRenamed("component", "root")
+    known = chained(sizes, shared, sets_of, pairwise).withColumnRenamed("component", "root")
     rooted = staged(classes.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     roots = staged(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "roots")
     solved = staged(join_groups(rooted, roots, "root", "n", total).select("node", "size", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first")), "solved")

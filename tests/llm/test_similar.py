@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from catchment.llm import similar_dedup
@@ -131,3 +132,13 @@ def test_fingerprint_of_few_and_many_items():
     items = np.random.default_rng(2).integers(0, 1 << 63, 70_000).astype(np.uint64)
     whole = similar_dedup.fingerprint(items)
     assert np.array_equal(whole, similar_dedup.fingerprint(items[::-1])) and len(similar_dedup.fingerprint(items[:1])) == similar_dedup.PARTS + similar_dedup.SMALL_PARTS and len(whole) == similar_dedup.PARTS
+
+
+def test_no_pair_is_lost_at_a_crowded_anchor(spark, monkeypatch):
+    """All texts at one anchor, with more members than are compared pairwise: the pairs are those of brute force though none shares a second anchor."""
+    own = similar_dedup.described
+    monkeypatch.setattr(similar_dedup, "described", lambda docs: own(docs).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    texts = planted()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar_dedup.similar_groups(docs, 4).collect()}
+    assert got == components(texts)
