@@ -437,6 +437,9 @@ def filtered_groups(m: np.ndarray, p: np.ndarray, inputs: tuple[np.ndarray, ...]
     y, f, q, h, r = inputs
     rows_, n, k = len(y), m.shape[1], y.shape[1]
     out = tuple(np.empty((rows_, *shape)) for shape in ((n,), (n, n), (n,), (n, n), (k,), (k, k)))
+    if len(start) == 1:
+        _filtered_alone(m, p, inputs, range(start[0], start[0] + size[0]), out)
+        return out
     for groups, rows in in_step(start, size):
         bm, bp = predict(m[groups], p[groups], f[rows], q[rows])
         m[groups], p[groups], v, s = update(bm, bp, y[rows], h[rows], r[rows])
@@ -445,6 +448,26 @@ def filtered_groups(m: np.ndarray, p: np.ndarray, inputs: tuple[np.ndarray, ...]
     return out
 
 
+def _filtered_alone(m: np.ndarray, p: np.ndarray, inputs: tuple[np.ndarray, ...], rows: range, out: tuple[np.ndarray, ...]) -> None:
+    """filtered_groups of one group: the same steps on single matrices, as arrays of one cost several times the work."""
+    y, f, q, h, r = inputs
+    h, own, z = seen_readings(y, h, r)
+    mean, cov, one = m[0], p[0], np.eye(m.shape[1])
+    for i in rows:
+        bm, bp = f[i] @ mean, f[i] @ cov @ f[i].T + q[i]
+        bp = (bp + bp.T) / 2
+        v, hp = z[i] - h[i] @ bm, h[i] @ bp
+        s = hp @ h[i].T + own[i]
+        s = (s + s.T) / 2
+        gain = solved(s[None], hp[None])[0].T
+        rest = one - gain @ h[i]
+        mean, cov = bm + gain @ v, rest @ bp @ rest.T + gain @ own[i] @ gain.T
+        cov = (cov + cov.T) / 2
+        for target, value in zip(out, (bm, bp, mean, cov, v, s), strict=True):
+            target[i] = value
+    m[0], p[0] = mean, cov
+
+
 def span_elements(spans: DataFrame, model: Model) -> DataFrame:
     """One composed element per (series, span) of step rows, with what the initial state needs of the span's first row."""
     names = names_of(model)
@@ -529,10 +552,15 @@ def backward_functions(df: pd.DataFrame, model: Model) -> tuple[tuple[np.ndarray
     m, p = df[names.mean].to_numpy(), unpacked(df[names.cov].to_numpy())
     n_before = np.nan_to_num(df[[f"n_{x}" for x in names.before]].to_numpy(dtype=float))
     bm, bp = n_before[:, : model.states], unpacked(n_before[:, model.states :])
-    bp[~has_next] = np.eye(model.states)
     f = model.transitions(df[[f"n_{c}" for c in model.moves]].set_axis(list(model.moves), axis=1) if model.moves else df[["us"]])
+    return backward_parts(m, p, bm, bp, f, has_next), has_next
+
+
+def backward_parts(m: np.ndarray, p: np.ndarray, bm: np.ndarray, bp: np.ndarray, f: np.ndarray, has_next: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The functions (A, e, L) of backward_functions from the states after each row's reading, and from F and the state before the reading of the row behind it; bp is changed."""
+    bp[~has_next] = np.eye(m.shape[1])
     gain = t_(solved(bp, f @ p)) * has_next[:, None, None]
-    return (gain, m - times(gain, bm), sym(p - gain @ bp @ t_(gain))), has_next
+    return gain, m - times(gain, bm), sym(p - gain @ bp @ t_(gain))
 
 
 def after(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.estimate import NON_SMOOTHED, NORMAL, PREDICTED, SMOOTHED
 from ..operators.filtering import WaterBalance
-from ..operators.linear import Model, Names, applied, backward_functions, by_groups, doubles, filtered_groups, groups_of, kernel_inputs, names_of, packed, scans, swept_groups, unpacked
+from ..operators.linear import Model, Names, applied, backward_functions, backward_parts, by_groups, doubles, filtered_groups, groups_of, kernel_inputs, names_of, packed, scans, swept_groups, unpacked
 from ..plans.config import SeriesConfig
 
 OUTPUT = "series string, us long, kind string, value double, prediction_flag string, smoothing_flag string, standard_deviation double, reason string"
@@ -83,8 +83,7 @@ class Estimator(StatefulProcessor):
             started, last_us = True, t
             us.append(t)
             y.append(values)
-        rejected = pd.DataFrame(out, columns=["us", "reason"]).assign(kind="rejected")
-        parts = [rejected] if out else []
+        parts = [self._columns([t for t, _ in out], "rejected", np.nan, None, None, np.nan, [why for _, why in out])] if out else []
         if us:
             old_us = [t for _, times, _ in held for t in times]
             old_y = [v for _, _, values in held for v in values]
@@ -103,19 +102,19 @@ class Estimator(StatefulProcessor):
                 self.waiting.updateValue((chunk,), ([t for t, _ in fresh], [float(x) for _, v in fresh for x in v]))
                 chunk += 1
         self.head.update((self.mark, last_us, first_us, first, anchor_us, anchor, chunk))
-        names = ["us", "kind", "value", "prediction_flag", "smoothing_flag", "standard_deviation", "reason"]
         if parts:
-            whole = pd.concat(parts, ignore_index=True).reindex(columns=names).assign(series=key[0])[["series", *names]]
+            whole = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
             # Strings as plain objects: Spark's serializer for these functions takes no chunked columns.
-            yield whole.astype({c: object for c in ("series", "kind", "prediction_flag", "smoothing_flag", "reason")} | {"us": "int64", "value": float, "standard_deviation": float})
+            yield pd.DataFrame({"series": pd.Series([key[0]] * len(whole["us"]), dtype=object)} | {c: pd.Series(v, dtype=v.dtype) for c, v in whole.items()})
 
-    def _advance(self, us: np.ndarray, y: np.ndarray, old: int, anchor_us: int | None, anchor: list | None) -> tuple[list[pd.DataFrame], int | None, list | None]:
-        """(output frames, the anchor's time and state) of readings of which the first `old` were there before."""
+    def _advance(self, us: np.ndarray, y: np.ndarray, old: int, anchor_us: int | None, anchor: list | None) -> tuple[list[dict[str, np.ndarray]], int | None, list | None]:
+        """(columns of output rows, the anchor's time and state) of readings of which the first `old` were there before."""
         n = self.model.states
         rows = _rows(self.model, us, y, anchor_us)
         m, p = (self.model.initial(rows.iloc[:1])[0], np.zeros((1, n, n))) if anchor_us is None else (np.array([anchor[:n]]), unpacked(np.array([anchor[n:]])))
         one = np.array([0]), np.array([len(us)])
-        bm, bp, m, p, _, _ = filtered_groups(m.copy(), p.copy(), kernel_inputs(rows, self.model), *one)
+        inputs = kernel_inputs(rows, self.model)
+        bm, bp, m, p, _, _ = filtered_groups(m.copy(), p.copy(), inputs, *one)
         flag = np.where(np.isfinite(y).all(axis=1), NORMAL, PREDICTED)
         out = [self._frame(us[old:], "filtered", m[old:], p[old:], flag[old:], NON_SMOOTHED)]
         active = np.arange(len(us)) - np.searchsorted(us, us - self.lag, side="right") + 1
@@ -124,7 +123,9 @@ class Estimator(StatefulProcessor):
         last = np.searchsorted(us, us + self.lag, side="left") - 1
         released = int((last < len(us) - 1).sum())
         if released:
-            parts, _ = backward_functions(_with_behind(names_of(self.model), self.model, rows, bm, bp, m, p), self.model)
+            # The row behind each; the last has none.
+            behind = [np.roll(x, -1, axis=0) for x in (bm, bp, inputs[1])]
+            parts = backward_parts(m, p, *behind, np.arange(len(us)) < len(us) - 1)
             block = us // self.lag
             start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             ahead, so_far = scans(parts, start, np.diff(np.append(start, len(us))))
@@ -137,9 +138,17 @@ class Estimator(StatefulProcessor):
             anchor_us, anchor = int(us[released - 1]), [*m[released - 1].tolist(), *packed(p[released - 1 : released])[0].tolist()]
         return out, anchor_us, anchor
 
-    def _frame(self, us, kind, m, p, flag, smoothing) -> pd.DataFrame:
-        sd = np.sqrt(np.maximum(p[:, self.shown, self.shown], 0))
-        return pd.DataFrame({"us": us, "kind": kind, "value": m[:, self.shown], "prediction_flag": flag, "smoothing_flag": smoothing, "standard_deviation": sd})
+    def _frame(self, us, kind, m, p, flag, smoothing) -> dict[str, np.ndarray]:
+        return self._columns(us, kind, m[:, self.shown], flag, smoothing, np.sqrt(np.maximum(p[:, self.shown, self.shown], 0)), None)
+
+    @staticmethod
+    def _columns(us, kind, value, flag, smoothing, deviation, reason) -> dict[str, np.ndarray]:
+        """The columns of OUTPUT but series, each given by row or as one value."""
+        given = {"us": (us, np.int64), "kind": (kind, object), "value": (value, float), "prediction_flag": (flag, object), "smoothing_flag": (smoothing, object), "standard_deviation": (deviation, float), "reason": (reason, object)}
+        out = {c: np.empty(len(us), dtype=kind) for c, (_, kind) in given.items()}
+        for c, (x, _) in given.items():
+            out[c][:] = x
+        return out
 
 
 def _with_behind(names: Names, model: Model, rows: pd.DataFrame, bm, bp, m, p) -> pd.DataFrame:
