@@ -29,8 +29,8 @@ SIMILARITY = 0.8
 PARTS, BITS, VOTERS = 14, 31, 5
 #: Sets of up to so many shingles have so many more parts with so many voters, as five are most of theirs.
 SMALL, SMALL_PARTS, SMALL_VOTERS = 20, 6, 2
-#: Up to so many members of an anchor are compared pairwise; with more, in rounds against about so many leaders.
-PAIRWISE, LEADERS = 256, 512
+#: Up to so many members of an anchor or shingle are compared pairwise; more members of an anchor meet at their rarest shingles, more of a shingle in rounds against about so many leaders.
+PAIRWISE, LEADERS = 16, 1024
 #: Nodes of one label whose sets are sent to one place, and pairs that are judged there, about.
 SPLIT, BATCH = 2000, 1000
 #: Shingles whose places in the parts' orders are looked at together.
@@ -110,12 +110,12 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("node", "text").mapInArrow(rows, "node long, items array<long>")
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs(a, b), staged, of SIMILARITY or more by their sets(node, items); both tables are discarded.
+def _judged(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], labels: DataFrame) -> DataFrame:
+    """The pairs(a, b), staged, of SIMILARITY or more by the shingle sets of the texts that texts_of gives; the pairs are discarded.
 
     Pairs are dealt by their nodes' labels(node, label, parts), so that the pairs of one group of copies meet in a few places and each
-    set is sent once to a place, not once a pair; a label of many nodes is cut into `parts`, so a place holds at most
-    about 2 * SPLIT sets of it. Pairs without a label in common are dealt by hash, about BATCH to a place.
+    text is sent once to a place, not once a pair; a label of many nodes is cut into `parts`, so a place holds at most
+    about 2 * SPLIT texts of it. Pairs without a label in common are dealt by hash, about BATCH to a place. Texts are sent, not sets, which take more room than they.
     """
     total = pairs.count()
     places = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BATCH)
@@ -125,10 +125,10 @@ def _judged(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         named = named.join(own, n, "left").withColumns({f"label_{n}": F.coalesce(f"label_{n}", n), f"part_{n}": F.coalesce(f"part_{n}", F.lit(0).cast("long"))})
     ends = [F.struct(F.col(f"label_{n}").alias("label"), F.col(f"part_{n}").alias("part")) for n in ("a", "b")]
     dealt = staged(named.withColumns({"x": F.least(*ends), "y": F.greatest(*ends)}).select("a", "b", F.expr(f"pmod(xxhash64(x, y), {places})").alias("place")), "dealt")
-    sent = dealt.select("place", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select(F.col("place").alias("at"), "node", "items")
+    sent = texts_of(dealt.select(F.explode(F.array("a", "b")).alias("node"), F.col("place").alias("at")).distinct())
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        items = {n: np.asarray(x.values) for n, x in zip(right.column("node").to_pylist(), right.column("items"), strict=True)}
+        items = {n: shingles(x.lower().split()) for n, x in zip(right.column("node").to_pylist(), right.column("text").cast(pa.large_binary()).to_pylist(), strict=True)}
         a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
         near = np.zeros(len(a), dtype=bool)
         for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
@@ -139,7 +139,7 @@ def _judged(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(a[near]), "b": pa.array(b[near])})
 
     links = staged(dealt.groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(judge, "a long, b long"), "links")
-    discard(dealt, sets, pairs)
+    discard(dealt, pairs)
     return links
 
 
@@ -148,34 +148,49 @@ def _fit(a: str, b: str) -> str:
     return f"least({a}, {b}) >= {SIMILARITY} * greatest({a}, {b})"
 
 
+def _may(x: str, y: str) -> str:
+    """Whether the members x and y of a key are of two components and can have SIMILARITY if the key's shingle is the first that they share: all others are behind its places in both (positional filter). Place 1 leaves their sizes to tell."""
+    return f"{x}.of <> {y}.of AND 1 + least({x}.items - {x}.place, {y}.items - {y}.place) >= {SIMILARITY / (1 + SIMILARITY)} * ({x}.items + {y}.items) - 1e-6"
+
+
 def narrower(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, node, items, company): the members of crowded(node, items, company, of) at those of their shingles in sets(node, items) by which any two of SIMILARITY meet; shingles of one component only are left out.
+    """(key, node, items, of, place): the members of crowded(node, items, of) at those of their shingles in sets(node, items) by which any two of SIMILARITY meet; shingles of one component only are left out.
 
-    Shingles are ordered by the number of members that have them, the rarest first. Two sets of SIMILARITY share one of the first items - SIMILARITY * items + 1 of either, whatever the order
+    Shingles are ordered by the number of members that have them, the rarest first; place is the key's in this order. Two sets of SIMILARITY share one of the first items - SIMILARITY * items + 1 of either, whatever the order
     (prefix filter). So no pair is lost, and texts that share a passage seldom meet by it, as their own words come before it.
     """
-    members = crowded.select("node", "items", "company", "of").distinct()
+    members = crowded.select("node", "items", "of").distinct()
     total = members.agg(F.sum("items")).first()[0] or 0
     each = members.join(sets.select("node", F.col("items").alias("set")), "node").withColumn("key", F.explode("set")).drop("set")
-    many = staged(each.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).filter("n > 1"), "meeting")
+    many = staged(each.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y").select("key", "n"), "meeting")
     met = join_groups(perhaps(each, many, "key").filter("__maybe").drop("__maybe"), many, "key", "n", total)
     own = Window.partitionBy("node")
-    # Shingles that no other member has come first and are not in `met`.
+    # Shingles that members of no other component have come first and are not in `met`.
     place = F.col("items") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "key"))
-    first = met.withColumn("place", place).filter(f"place <= items - ceil({SIMILARITY} * items - 1e-9) + 1 AND x <> y")
-    return first.select("key", "node", "items", "company")
+    return met.withColumn("place", place).filter(f"place <= items - ceil({SIMILARITY} * items - 1e-9) + 1").select("key", "node", "items", "of", "place")
+
+
+def _of(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """rest with the component of each node: itself if none is known."""
+    return rest.drop("of").join(known, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
 
 
-def chained(sizes: DataFrame, shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairwise: int = PAIRWISE, leaders: int = LEADERS) -> DataFrame:
+def _several(rest: DataFrame) -> DataFrame:
+    """(key, n), staged, of the keys at which members of several components meet."""
+    return staged(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y").select("key", "n"), "mixed")
+
+
+def chained(sizes: DataFrame, shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], pairwise: int = PAIRWISE, leaders: int = LEADERS) -> DataFrame:
     """(node, component): the nodes that chains of pairs with an anchor in common and of SIMILARITY or more connect.
 
     sizes(key, n, a, b) has the anchors of two nodes or more with two of their nodes (node, items); shared(key, node, items) the members of
-    those of more than two; sets_of gives the shingle sets of nodes. First each member meets its
+    those of more than two; texts_of adds the texts to rows of nodes. First each member meets its
     anchor's leader, the member with the most company over all anchors: in a group of edited copies
     of one text that is the text or one near its middle. Then only members that aren't connected yet are compared:
-    pairwise at anchors with at most `pairwise` of them; the members of more crowded ones meet at their rarest shingles (see narrower), and where these
-    are crowded too, they are compared in rounds against about `leaders` of
-    them, chosen by hash, which then leave the anchor, as they have met all others. So a group of copies costs a pair per
+    pairwise at anchors with at most `pairwise` of them; the members of more crowded ones meet at their rarest shingles (see narrower), where a pair is
+    listed only if the shingle's places allow the similarity, which few pairs of unlike copies of one text pass. Where more than `pairwise` meet at a shingle,
+    they are compared in rounds against about `leaders` of
+    them, chosen by hash, which then leave the shingle, as they have met all others. So a group of copies costs a pair per
     member and anchor, and no pair of connected nodes is listed.
     """
     crowd = shared.groupBy("key").agg(F.count("*").alias("n"))
@@ -183,49 +198,55 @@ def chained(sizes: DataFrame, shared: DataFrame, sets_of: Callable[[DataFrame],
     rest = staged(shared.join(company, "node"), "ranked")
     heads = rest.groupBy("key").agg(F.max(F.struct("company", "node", "items")).alias("head"), F.count("*").alias("n"))
     heads = staged(heads.select("key", "n", F.col("head.node").alias("lead"), F.col("head.items").alias("lead_items"), F.col("head.company").alias("lead_company")), "heads")
-    met = staged(join_groups(rest.select("key", "node", "items"), heads, "key", "n", rest.count()).select("node", "items", "lead", "lead_items", "lead_company"), "met")
+    total = rest.count()
+    met = staged(join_groups(rest.select("key", "node", "items"), heads, "key", "n", total).select("node", "items", "lead", "lead_items", "lead_company"), "met")
     # A node's label is the most accompanied leader that it meets: one for all of a group of copies.
     labels = met.groupBy("node").agg(F.max(F.struct("lead_company", "lead")).alias("l")).select("node", F.col("l.lead").alias("label"))
     crowds = labels.groupBy("label").agg(F.count("*").alias("n"))
-    labels = staged(join_groups(labels, crowds, "label", "n", rest.count()).select("node", "label", F.expr(f"1 + n div {SPLIT}").alias("parts")), "labels")
-    stars = met.filter(f"node <> lead AND {_fit('items', 'lead_items')}").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    twos = sizes.filter(f"n = 2 AND {_fit('a.items', 'b.items')}").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    labels = staged(join_groups(labels, crowds, "label", "n", total).select("node", "label", F.expr(f"1 + n div {SPLIT}").alias("parts")), "labels")
+    stars = met.filter(f"node <> lead AND {_fit('items', 'lead_items')}").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    twos = sizes.filter(f"n = 2 AND {_fit('a.items', 'b.items')}").select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     pairs = staged(twos.unionByName(stars).distinct(), "pairs")
     discard(met)
-    found = _judged(pairs, sets_of(pairs), labels)
+    found = _judged(pairs, texts_of, labels)
     known = staged(connected_components(found).select("node", "component"), "components")
-    rest = rest.join(heads.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti")
-    for turn in count():
-        rest = rest.select("key", "node", "items", "company").join(known, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+    rest = rest.join(heads.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti").withColumn("place", F.lit(1).cast("long"))
+    rest = staged(_of(rest.select("key", "node", "items", "place"), known), "rest")
+    mixed = _several(rest)
+    crowded = staged(rest.join(mixed.filter(F.col("n") > pairwise), "key", "left_semi").select("node", "items", "of").distinct(), "crowded")
+    rest = rest.join(mixed.filter(F.col("n") <= pairwise), "key", "left_semi")
+    if not crowded.isEmpty():
+        sets = staged(shingle_sets(texts_of(crowded.select("node"))), "sets")
+        rest = rest.unionByName(narrower(crowded, sets).select(*rest.columns))
+    for turn in count(1):
         rest = staged(rest, "rest")
-        mixed = staged(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y").select("key", "n"), "mixed")
+        if turn == 1 and not crowded.isEmpty():
+            discard(sets)
+        mixed = _several(rest)
         if mixed.isEmpty():
             return known
-        few = rest.join(mixed.filter(F.col("n") <= pairwise), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "of", "items"))).alias("m"))
-        each = f"transform(filter(slice(m, i + 2, size(m)), y -> y.of <> x.of AND {_fit('x.items', 'y.items')}), y -> struct(x.node AS a, y.node AS b))"
+        member = F.struct("node", "of", "items", "place")
+        few = rest.join(mixed.filter(F.col("n") <= pairwise), "key").groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
+        each = f"transform(filter(slice(m, i + 2, size(m)), y -> {_may('x', 'y')}), y -> struct(x.node AS a, y.node AS b))"
         pairs = few.select(F.expr(f"inline(flatten(transform(m, (x, i) -> {each})))"))
-        active = staged(join_groups(rest, mixed.filter(F.col("n") > pairwise), "key", "n", rest.count()), "crowded")
-        if turn:
-            picked = F.expr(f"pmod(xxhash64(node, {turn}), greatest(1, n div {leaders})) = 0")
-            member = F.struct("company", "node", "of", "items")
-            top = active.groupBy("key").agg(F.array_union(F.array(F.max(member)), F.collect_list(F.when(picked, member))).alias("lead"), F.max("n").alias("n"))
+        active = staged(join_groups(rest, mixed.filter(F.col("n") > pairwise), "key", "n", rest.count()).withColumn("picked", F.expr(f"pmod(xxhash64(node, {turn}), greatest(1, n div {leaders})) = 0")), "crowd")
+        more = not active.isEmpty()
+        if more:
+            top = active.groupBy("key").agg(F.array_union(F.array(F.max(member)), F.collect_list(F.when(F.col("picked"), member))).alias("lead"), F.max("n").alias("n"))
             top = staged(top, "heads")
-            met = join_groups(active.drop("n"), top, "key", "n", active.count()).select("node", "of", "items", F.explode("lead").alias("lead"))
-            met = met.filter(f"node <> lead.node AND of <> lead.of AND {_fit('items', 'lead.items')}")
-            pairs = pairs.unionByName(met.select(F.col("node").alias("a"), F.col("lead.node").alias("b")))
+            met = join_groups(active.select("key", "picked", member.alias("x")), top, "key", "n", active.count())
+            # Two leaders are listed once.
+            near = met.select(F.col("x.node").alias("node"), F.expr(f"explode(filter(lead, y -> (y.node < x.node OR y.node > x.node AND NOT picked) AND {_may('x', 'y')}).node)").alias("lead"))
+            pairs = pairs.unionByName(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")))
         pairs = staged(pairs.distinct(), "pairs")
-        new = _judged(pairs, sets_of(pairs), labels)
+        new = _judged(pairs, texts_of, labels)
         if not new.isEmpty():
             found = found.unionByName(new)
             known = staged(connected_components(found).select("node", "component"), "components")
-        if turn:
-            rest = active.join(top.select("key", F.explode("lead.node").alias("node")), ["key", "node"], "left_anti")
-        elif active.isEmpty():
+        if not more:
             return known
-        else:
-            sets = sets_of(active.select(F.col("node").alias("a"), F.col("node").alias("b")))
-            rest = staged(narrower(active, sets), "narrow")
-            discard(sets)
+        left = active.join(top.select("key", F.explode("lead.node").alias("node")), ["key", "node"], "left_anti")
+        rest = _of(left.select("key", "node", "items", "place", "of"), known)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -254,15 +275,13 @@ def similar_groups(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     many = sizes.filter("n > 2").select("key")
     shared = staged(perhaps(placed, many, "key").filter("__maybe").select("key", "node", "items").join(many, "key", "left_semi"), "shared")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        used = staged(classes.select("node", "same").join(used, "node", "left_semi"), "used")
-        texts = perhaps(numbered.select("same", "text"), used, "same").filter("__maybe").groupBy("same").agg(F.first("text").alias("text")).join(used, "same")
-        sets = staged(shingle_sets(texts), "sets")
-        discard(used)
-        return sets
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """nodes(node, ...) with their texts; a text is shuffled once."""
+        used = staged(nodes.join(classes.select("node", "same"), "node"), "used")
+        texts = perhaps(numbered.select("same", "text"), used.select("same"), "same").filter("__maybe").groupBy("same").agg(F.first("text").alias("text"))
+        return texts.join(used, "same").select("text", *nodes.columns)
 
-    known = chained(sizes, shared, sets_of, pairwise).withColumnRenamed("component", "root")
+    known = chained(sizes, shared, texts_of, pairwise).withColumnRenamed("component", "root")
     rooted = staged(classes.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     roots = staged(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "roots")
     solved = staged(join_groups(rooted, roots, "root", "n", total).select("node", "size", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first")), "solved")

@@ -142,3 +142,26 @@ def test_no_pair_is_lost_at_a_crowded_anchor(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in similar_dedup.similar_groups(docs, 4).collect()}
     assert got == components(texts)
+
+
+def test_unlike_copies_of_one_text_are_not_paired(spark, monkeypatch):
+    """Copies of one text with up to twelve edits, most too unlike each other to be linked: few of the pairs that share an anchor are judged, and none is lost."""
+    rng = random.Random(29)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=150)
+    texts = []
+    for i in range(400):
+        t = list(base)
+        for at in rng.sample(range(150), i % 13):
+            t[at] = rng.choice(words)
+        texts.append(" ".join(t))
+    seen, own = [], similar_dedup._judged
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return own(pairs, *rest)
+
+    monkeypatch.setattr(similar_dedup, "_judged", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar_dedup.similar_groups(docs).collect()}
+    assert got == components(texts) and sum(seen) < 20 * len(texts)
