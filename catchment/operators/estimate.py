@@ -23,9 +23,10 @@ def deviation(variance: str) -> Column:
     return F.when(low, F.raise_error(F.lit(f"negative variance {variance}")).cast("double")).otherwise(F.sqrt(F.greatest(v, F.lit(0.0))))
 
 
-def states(obs: DataFrame, config: SeriesConfig, strict: bool = True, span: int = SPAN_US) -> DataFrame:
-    """Filtered states of obs(series, us, storage, outflow); see steps for which rows have one. Written once, as what follows reads them more than once."""
-    return staged(filtered(staged(steps(obs, strict, span), "steps"), config, span), "states")
+def states(obs: DataFrame, config: SeriesConfig, strict: bool = True, span: int = SPAN_US, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Filtered states of obs(series, us, storage, outflow), or these columns of them; see steps for which rows have one. Written once, as what follows reads them more than once."""
+    found = filtered(staged(steps(obs, strict, span), "steps"), config, span)
+    return staged(found.select(*columns) if columns else found, "states")
 
 
 def estimate(obs: DataFrame, config: SeriesConfig, uncertainty: bool = False, provisional: bool = False, strict: bool = True, check_window: bool = True, span: int = SPAN_US) -> DataFrame:

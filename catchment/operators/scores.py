@@ -21,6 +21,8 @@ CENTRAL = {50: 0.6744897501960817, 90: 1.6448536269514722}
 LOG_TWO_PI = math.log(2 * math.pi)
 CHANNELS = ("storage", "outflow", "conditional_storage")
 MATERIAL = "max_material_elapsed_lag_autocorrelation"
+#: The columns of filtered states that row_scores and the metrics read.
+READS = ("series", "us", "second_us", "m1", "v0", "v1", "s00", "s01", "s11", "log_density")
 #: Lags of one series at most.
 MOST_LAGS = 100_000
 #: A 2 x 2 covariance nearer to singular than this is not scored.
@@ -113,14 +115,24 @@ def validity(window_rows: DataFrame, settings: ScoreSettings | None = None, by:
 def pooled_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSettings | None = None, span: int = SPAN_US) -> DataFrame:
     """One row per series over all counted rows in its windows: inflow behaviour, biases, NIS, coverage and prediction errors."""
     settings = settings or ScoreSettings()
-    rows = in_windows(scored_rows(scores, _us(settings.warmup)), windows)
-    timed = with_previous(rows, "series", ["m1"], "before", span)
+    rows = in_windows(scored_rows(scores, _us(settings.warmup)).select("series", "us", "m1"), windows)
+    timed = with_previous(rows.drop("name"), "series", ["m1"], "before", span)
     change = (F.col("m1") - F.col("before.m1")) / elapsed_seconds(F.col("us"), F.col("before.us"))
+    # The quantiles read their rows more than once; they need nothing but these two columns.
+    changes = staged(timed.select("series", change.alias("change")).filter("change IS NOT NULL"), "changes")
+    sizes = changes.select("series", F.abs("change").alias("size"))
+    middle = quantiles(changes, ["series"], "change", {"inflow_change_median_per_second": 0.5}).join(quantiles(sizes, ["series"], "size", {"inflow_change_q95_per_second": 0.95}), "series", "full")
+    return calibration_metrics(scores, windows, settings).join(middle, "series", "left")
+
+
+def calibration_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSettings | None = None) -> DataFrame:
+    """pooled_metrics without the quantiles of the inflow's changes: all that calibration_warnings checks, by one aggregate over the rows."""
+    settings = settings or ScoreSettings()
+    zs = [f"{c}_z" for c in CHANNELS]
+    rows = in_windows(scored_rows(scores, _us(settings.warmup)).select("series", "us", "m1", "v0", "joint_components", "joint_nis", *zs, *[f"{c}_nis" for c in CHANNELS]), windows)
     cover = [F.avg((F.abs(F.col(f"{c}_z")) <= z).cast("int")).alias(f"{c}_coverage_{level}") for c in ("storage", "outflow") for level, z in CENTRAL.items()]
     parts = F.sum(F.when(F.col("joint_nis").isNotNull(), F.col("joint_components")))
-    timed = staged(timed.withColumn("change", change).withColumn("size", F.abs("change")), "changes")
-    middle = quantiles(timed, ["series"], "change", {"inflow_change_median_per_second": 0.5}).join(quantiles(timed, ["series"], "size", {"inflow_change_q95_per_second": 0.95}), "series", "full")
-    means = timed.groupBy("series").agg(
+    return rows.groupBy("series").agg(
         F.avg((F.col("m1") < 0).cast("int")).alias("negative_inflow_frequency"),
         F.avg("storage_z").alias("storage_bias"),
         F.avg("outflow_z").alias("outflow_bias"),
@@ -135,7 +147,6 @@ def pooled_metrics(scores: DataFrame, windows: DataFrame, settings: ScoreSetting
         F.sqrt(F.avg(F.when(F.col("storage_z").isNotNull(), F.col("v0") * F.col("v0")))).alias("causal_storage_prediction_rmse"),
         F.avg(F.when(F.col("storage_z").isNotNull(), F.col("v0"))).alias("causal_storage_prediction_bias"),
     )
-    return means.join(middle, "series", "left")
 
 
 def autocorrelation(rows: DataFrame, value: str, lags: list[int] | DataFrame, tolerance_us: int | None = None, span: int = SPAN_US, transforms: bool = True) -> DataFrame:

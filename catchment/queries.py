@@ -133,7 +133,7 @@ def smoothed_in_spans(spark, sf_dir):
 
 
 def inflow_log_likelihood(spark, sf_dir):
-    out = scores.row_scores(estimate.states(event_observations(spark, sf_dir), CONFIG))
+    out = _scores(event_observations(spark, sf_dir))
     return _rounded(out.groupBy("series").agg(F.sum(-F.col("joint_nlpd")).alias("log_likelihood"), F.count("*").alias("steps")), "log_likelihood", digits=4)
 
 
@@ -166,13 +166,13 @@ def _three(obs: DataFrame) -> DataFrame:
     return tuning.windows_frame(obs, [Span(f"w{i}", START_US + 10 * i * DAY_US, START_US + 10 * (i + 1) * DAY_US) for i in range(3)])
 
 
-def _scores(spark, sf_dir):
-    return scores.row_scores(estimate.states(event_observations(spark, sf_dir), CONFIG))
+def _scores(obs: DataFrame) -> DataFrame:
+    return scores.row_scores(estimate.states(obs, CONFIG, columns=scores.READS))
 
 
 def row_scores(spark, sf_dir):
     names = ["joint_nlpd", "joint_nis", "storage_nlpd", "storage_z", "outflow_z", "conditional_storage_z"]
-    return _rounded(_scores(spark, sf_dir).select("series", "us", "joint_components", *names), *names, digits=5)
+    return _rounded(_scores(event_observations(spark, sf_dir)).select("series", "us", "joint_components", *names), *names, digits=5)
 
 
 WINDOW_METRICS = ("storage_nlpd", "joint_nlpd", "joint_nis", "storage_nis", "outflow_nis", "conditional_storage_nis", "storage_bias", "outflow_bias", "conditional_storage_bias", "scored_fraction")
@@ -180,31 +180,31 @@ WINDOW_METRICS = ("storage_nlpd", "joint_nlpd", "joint_nis", "storage_nis", "out
 
 def window_scores(spark, sf_dir):
     obs = event_observations(spark, sf_dir)
-    rows = scores.window_scores(_scores(spark, sf_dir), _three(obs), SETTINGS).drop("unscorable_count")
+    rows = scores.window_scores(_scores(obs), _three(obs), SETTINGS).drop("unscorable_count")
     return _rounded(rows, *WINDOW_METRICS, digits=5)
 
 
 def pooled_metrics(spark, sf_dir):
     obs = event_observations(spark, sf_dir)
-    out = scores.pooled_metrics(_scores(spark, sf_dir), _three(obs), SETTINGS)
+    out = scores.pooled_metrics(_scores(obs), _three(obs), SETTINGS)
     return _rounded(out, *[c for c in out.columns if c not in ("series", "inflow_change_median_per_second", "inflow_change_q95_per_second")], digits=5).drop("inflow_change_median_per_second", "inflow_change_q95_per_second")
 
 
 def inflow_changes(spark, sf_dir):
     obs = event_observations(spark, sf_dir)
-    out = scores.pooled_metrics(_scores(spark, sf_dir), _three(obs), SETTINGS)
+    out = scores.pooled_metrics(_scores(obs), _three(obs), SETTINGS)
     return _rounded(out.select("series", (F.col("inflow_change_median_per_second") * 1e6).alias("median"), (F.col("inflow_change_q95_per_second") * 1e6).alias("q95")), "median", "q95", digits=3)
 
 
 def calibration_warnings(spark, sf_dir):
     obs = event_observations(spark, sf_dir)
-    out = scores.calibration_warnings(scores.pooled_metrics(_scores(spark, sf_dir), _three(obs), SETTINGS), SETTINGS)
+    out = scores.calibration_warnings(scores.calibration_metrics(_scores(obs), _three(obs), SETTINGS), SETTINGS)
     return _rounded(out, "value", "low", "high", digits=4)
 
 
 def candidate_validity(spark, sf_dir):
     obs = event_observations(spark, sf_dir)
-    return scores.validity(scores.window_scores(_scores(spark, sf_dir), _three(obs), SETTINGS), ScoreSettings(warmup=timedelta(days=2), least_scored=8)).withColumn("reasons", F.array_join("reasons", "; "))
+    return scores.validity(scores.window_scores(_scores(obs), _three(obs), SETTINGS), ScoreSettings(warmup=timedelta(days=2), least_scored=8)).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 def noise_screening(spark, sf_dir):
@@ -224,7 +224,7 @@ def autocorrelation(spark, sf_dir):
 
 
 def innovation_autocorrelation(spark, sf_dir):
-    rows = _scores(spark, sf_dir)
+    rows = _scores(event_observations(spark, sf_dir))
     lags = [DAY_US * k // 2 for k in range(1, 9)]
     found = scores.largest_autocorrelation(scores.autocorrelation(rows, "storage_z", lags, DAY_US // 8))
     return _rounded(found, "largest", digits=5)

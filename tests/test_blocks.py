@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from catchment.operators import linear
+from catchment import queries
+from catchment.operators import estimate, linear, ranks, scores
 from catchment.operators.linear import by_groups, filtered_groups
 
 
@@ -44,3 +45,22 @@ def test_a_stream_batch_is_filtered_without_a_loop_over_groups(monkeypatch):
     monkeypatch.setattr(linear, "in_step", None)
     inputs = (np.zeros((5, 1)), np.ones((5, 1, 1)), np.ones((5, 1, 1)), np.ones((5, 1, 1)), np.ones((5, 1, 1)))
     assert len(linear.filtered_groups(np.zeros((1, 1)), np.ones((1, 1, 1)), inputs, np.array([0]), np.array([5]))[0]) == 5
+
+
+def test_scores_write_only_the_columns_that_are_read_again(spark, sf, monkeypatch):
+    """The metrics' tables are written once and narrow; warnings need no quantiles, so none are ranked for them."""
+    wrote, built = [], []
+
+    def noted(module):
+        own = module.staged
+        monkeypatch.setattr(module, "staged", lambda df, name="stage": (wrote.append((name, tuple(df.columns))), own(df, name))[1])
+
+    for module in (scores, estimate, ranks):
+        noted(module)
+    own = queries.event_observations
+    monkeypatch.setattr(queries, "event_observations", lambda *a: (built.append(a), own(*a))[1])
+    warned = queries.calibration_warnings(spark, sf)
+    assert {name for name, _ in wrote} == {"steps", "states"} and ("states", scores.READS) in wrote and len(built) == 1
+    assert warned.count() > 0
+    queries.pooled_metrics(spark, sf)
+    assert ("changes", ("series", "change")) in wrote and len(built) == 2
