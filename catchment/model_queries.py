@@ -161,14 +161,17 @@ def even_autocorrelation(spark, sf_dir):
 
 
 def _hourly_readings(spark, sf_dir) -> DataFrame:
-    """Hourly observations, a series per event type: storage out of the hour's sum, outflow its number of events; storage is missing each seventh hour, outflow each eleventh."""
+    """Hourly observations, a series per event type: storage out of the hour's sum, outflow its number of events; storage is missing each seventh hour, outflow each eleventh.
+
+    Written once: scoring and tuning read them many times, and would read and sum up all events each time.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     hour = F.floor(micros("ts") / 3_600_000_000).cast("long")
     sums = e.groupBy(F.col("event_type").alias("series"), hour.alias("hour")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
     late = F.row_number().over(Window.partitionBy("series").orderBy("hour")) > 2
     storage = F.when(~(late & (F.col("hour") % 7 == 0)), 1000 + F.col("cents") / 1000)
     outflow = F.when(~(late & (F.col("hour") % 11 == 0)), F.col("n").cast("double"))
-    return sums.select("series", (F.col("hour") * 3_600_000_000).alias("us"), storage.alias("storage"), outflow.alias("outflow"))
+    return staged(sums.select("series", (F.col("hour") * 3_600_000_000).alias("us"), storage.alias("storage"), outflow.alias("outflow")), "readings")
 
 
 def _frozen(spark, sf_dir) -> dict:

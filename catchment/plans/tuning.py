@@ -251,6 +251,7 @@ def tune(obs: DataFrame, base: SeriesConfig, windows: list[Window], settings: Sc
     objective wins, an optimum before the base of equal ones. Returns the proposed configuration, the objectives, the gain over the base
     with its paired error, identifiability, the frames of candidates, windows, reading noise and, with proxy(series, us, proxy), of the proxy
     check, and all warnings, which never change the selection. Nothing is stored. progress(phase, passes) may raise to stop.
+    obs is read many times: it should be a table, not a long computation.
     """
     settings, tuning = settings or ScoreSettings(), tuning or TuningSettings()
     if len(windows) < 3:

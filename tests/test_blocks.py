@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from catchment import queries
+from catchment import model_queries, queries
 from catchment.operators import estimate, linear, ranks, scores
 from catchment.operators.linear import by_groups, filtered_groups
 
@@ -64,3 +64,9 @@ def test_scores_write_only_the_columns_that_are_read_again(spark, sf, monkeypatc
     assert warned.count() > 0
     queries.pooled_metrics(spark, sf)
     assert ("changes", ("series", "change")) in wrote and len(built) == 2
+
+
+def test_tuning_reads_hourly_sums_and_not_the_events_each_time(spark, sf):
+    """What is scored and tuned is a written table of one row an hour and series, whatever the number of events."""
+    readings = model_queries._hourly_readings(spark, sf)
+    assert readings.count() > 0 and not any("events.parquet" in f for f in readings.inputFiles())
